@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, piece_codec
+from . import exact_dedup, line_dedup, packing, piece_codec, simhash
 from ._common import read_table
 
 
@@ -31,12 +31,17 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_groups(read_table(spark, sf_dir, "documents"), simhash.Params(words=4, bits=64, radius=4))
+    return out.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_dedup, op5_exact_dedup, op7_piece_codec, op9_packing)}
+    return {f.__name__: f for f in (op4_line_dedup, op5_exact_dedup, op7_piece_codec, op8_simhash, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
