@@ -8,10 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, piece_codec, simhash
+from . import exact_dedup, line_dedup, packing, piece_codec, simhash, toxicity
 from ._common import read_table
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """From the labelled rows that aren't held out."""
+    labels = read_table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    return toxicity.train(docs, labels)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = toxicity.score_documents(docs, toxicity_model(spark, docs, sf_dir))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -41,7 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_line_dedup, op5_exact_dedup, op7_piece_codec, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op4_line_dedup, op5_exact_dedup, op7_piece_codec, op8_simhash, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
