@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, piece_codec, simhash, toxicity
+from . import exact_dedup, imatch, line_dedup, packing, piece_codec, simhash, toxicity, url_filter
 from ._common import read_table
 
 
@@ -24,6 +24,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The rules of the contract.
+RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.train(url_filter.seed_urls(spark))
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), RULES, model)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -33,6 +42,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_study(read_table(spark, sf_dir, "documents"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_codec.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select(
@@ -53,7 +66,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_line_dedup, op5_exact_dedup, op7_piece_codec, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op4_line_dedup, op5_exact_dedup, op6_imatch, op7_piece_codec, op8_simhash, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
