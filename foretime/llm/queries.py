@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, imatch, line_dedup, packing, piece_codec, simhash, toxicity, url_filter
+from . import exact_dedup, imatch, line_dedup, packing, piece_codec, secret_scan, simhash, toxicity, url_filter
 from ._common import read_table
 
 
@@ -65,8 +65,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"), secret_scan.train())
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op4_line_dedup, op5_exact_dedup, op6_imatch, op7_piece_codec, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op4_line_dedup, op5_exact_dedup, op6_imatch, op7_piece_codec, op8_simhash, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
