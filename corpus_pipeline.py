@@ -2,24 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foretime.llm import exact_dedup
+from foretime.llm import exact_dedup, packing, secret_scan, simhash, toxicity
 from foretime.llm._common import materialise, read_table
+from foretime.llm.queries import toxicity_model
 
 
-def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return toxicity.drop_toxic(docs, toxicity_model(spark, docs, sf_dir))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest doc_id stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact_dedup_stage)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles) the smallest doc_id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are masked and n_chars follows."""
+    return secret_scan.mask_secrets(docs, secret_scan.train())
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack),
+]
 
-#: No stage but exact dedup can be written in SQL.
+#: Only exact dedup can be written in SQL, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, imatch, line_dedup, packing, piece_codec, secret_scan, simhash, toxicity, url_filter
+from . import exact_dedup, imatch, line_dedup, packing, piece_codec, quality, secret_scan, simhash, toxicity, url_filter
 from ._common import read_table
 
 
@@ -33,6 +33,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), RULES, model)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(read_table(spark, sf_dir, "documents"))
+    return out.withColumn("keep", F.col("score") >= 0.5)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -74,7 +79,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op4_line_dedup, op5_exact_dedup, op6_imatch, op7_piece_codec, op8_simhash, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_quality, op4_line_dedup, op5_exact_dedup, op6_imatch, op7_piece_codec, op8_simhash, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
