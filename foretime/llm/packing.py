@@ -36,29 +36,66 @@ from ._common import materialise, slices, text_of
 CAPACITY = 2048
 END_ID = 0
 #: Entries of a task's table of distinct words.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 300_000
 #: Fillings that the search tries before it settles for its incumbent, and those kept at each step.
 NODES = 6_000
 WIDTH = 3
 
 
 class WordIds:
-    """Ids of texts by a table of distinct words: white space ends every token of this vocabulary, so the words between blanks are encoded one by one."""
+    """Ids of texts by a table of distinct words: white space ends every token of this vocabulary, so the words between blanks are encoded one by one.
+
+    A word of letters alone is one token run whose last id, and no other, ends a word; such words are encoded many
+    at once and cut at those ids. A word of letters and one comma or full stop is those two runs.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for word, k in vocab.items() if word.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids = {"": b""} | {x: self.one(x) for x in ",."}
+
+    def one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        letters, ended, others = set(), [], []
+        for x in words:
+            if x.isalpha():
+                letters.add(x)
+            elif x[-1] in ",." and x[:-1].isalpha():
+                letters.add(x[:-1])
+                ended.append(x)
+            else:
+                others.append(x)
+        some = [x for x in letters if x not in self.ids]
+        for at in range(0, len(some), 5_000):
+            part = some[at : at + 5_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                self.ids.update((x, self.one(x)) for x in part)
+                continue
+            raw, ends = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            self.ids.update(zip(part, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+        self.ids.update([(x, self.ids[x[:-1]] + self.ids[x[-1]]) for x in ended])
+        for at in range(0, len(others), 5_000):
+            part = others[at : at + 5_000]
+            self.ids.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without the end id."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.ids) > TABLE_WORDS:
-            self.ids = {"": b""}
-        new = [x for x in set().union(*cut) if x not in self.ids]
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.ids[word] = np.array(found.ids, "<u4").tobytes()
+            self.clear()
+        self.learn(list(set().union(*cut).difference(self.ids)))
         return [b"".join(map(self.ids.__getitem__, x)) for x in cut]
 
 
@@ -226,7 +263,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     spark = pieces.sparkSession
     pieces = materialise(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pack-pieces")
-    buckets = max(64, pieces.count() // 200_000)
+    buckets = max(16, pieces.count() // 500_000)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
