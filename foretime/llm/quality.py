@@ -33,8 +33,8 @@ DIM = 1 << 14
 MAX_SAMPLE = 8_000
 #: Entries of a task's table of words.
 TABLE_WORDS = 200_000
-#: Most votes for bad among a labeller's on good texts.
-FALSE_ALARMS = 0.01
+#: Most votes for bad among a labeller's on good and on bad texts.
+FALSE_ALARMS, MOST_FOUND = 0.002, 0.4
 LABELLERS = ("length", "signs", "capitals", "repetition", "sentences", "separators", "exclamations", "word_length")
 
 
@@ -135,9 +135,12 @@ def expectation_maximisation(counts: dict[str, int], steps: int = 100, prior: fl
         weight = post * n[:, None]
         prior = float(np.clip((weight[:, 1].sum() + 1) / (n.sum() + 2), 0.05, 0.95))
         chances = np.einsum("py,pkv->kyv", weight, onehot) + start
-        # labellers are made to call few good texts bad; without that bound the classes drift to any two clusters of votes
-        chances[:, 1, 1] = np.minimum(chances[:, 1, 1], FALSE_ALARMS * chances[:, 1].sum(1))
         chances /= chances.sum(2, keepdims=True)
+        # labellers call few good texts bad, and each sees some kinds of bad texts only; without these bounds the classes drift to any two clusters of votes
+        for y, most in ((1, FALSE_ALARMS), (0, MOST_FOUND)):
+            low = np.minimum(chances[:, y, 1], most)
+            chances[:, y, 2] += chances[:, y, 1] - low
+            chances[:, y, 1] = low
     return LabelModel(prior, chances)
 
 
