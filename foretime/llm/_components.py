@@ -11,13 +11,13 @@ from ._common import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node gets an edge to the node's smallest neighbour (or the node itself)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "component-least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below it get edges to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "component-least")
     moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
@@ -29,8 +29,8 @@ def _sum_of(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable), for every id on an edge (a, b) of distinct ids.
 
-    Each step is an aggregation that combines before its shuffle and a join whose
-    skewed partitions Spark may split; its edges are written to the shared folder.
+    Each step is an aggregation that combines before its shuffle, written to the shared folder, and
+    a join of two tables, whose skewed partitions Spark may split; its edges are written too.
     The number of steps grows with the logarithm of the longest path.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
