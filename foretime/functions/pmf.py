@@ -86,6 +86,19 @@ def middle_value(pmf: Column, low: Column, high: Column, dec_over: Column, dec_u
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
 
 
+def tilted(pmf: Column, line: Column, chance: Column) -> Column:
+    """The PMF with each mass times exp(theta * value), renormalised; theta is such that, the line itself left out, the mass above it is chance."""
+    total = lambda q: F.aggregate(q, F.lit(0.0), lambda s, x: s + x)
+    weighed = lambda q, theta: F.transform(q, lambda p, k: p * F.exp(theta * k))
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  a lambda over one value: it is computed once
+
+    def bent(q: Column) -> Column:
+        above = lambda theta: once(weighed(q, theta), lambda w: over(w, line) / (total(w) - push(w, line)))
+        return once(bisect(above, chance, -5.0, 5.0), lambda theta: normalised(weighed(q, theta)))
+
+    return once(pmf, bent)
+
+
 def bisect(f, target: Column, low: float, high: float, steps: int = 40) -> Column:
     """x with f(x) = target for a rising f, by halving [low, high] steps times."""
     start = F.struct(F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foretime.functions import calendar as cal
 from foretime.functions import pmf, prices
 from foretime.functions.guards import ratio
-from foretime.operators import joins, keyed, markets, pit, ranking, reshape, sequential, stats
+from foretime.operators import joins, keyed, ledger, markets, pit, ranking, reshape, sequential, stats
 from foretime.plans import features
 from foretime.sources.tables import driver_table
 from foretime.streaming import changes
@@ -655,6 +655,78 @@ def bisection_root(spark, d):
     return p.select("p_size", F.round(pmf.bisect(lambda x: x * x, F.col("p_size").cast("double"), 0.0, 100.0), 5).alias("root"))
 
 
+@query("SELECT p_partkey, 0.3 + (p_partkey % 40) / 100.0 AS over_2_5 FROM part")
+def tilted_chance(spark, d):
+    """A PMF bent to a given chance has that chance."""
+    chance = F.lit(0.3) + F.pmod("p_partkey", F.lit(40)) / 100.0
+    bent = pmf.tilted(pmf.poisson(F.lit(1.5) + F.pmod("p_size", F.lit(20)) / 10.0), F.lit(2.5), chance)
+    return driver_table(spark, d, "part").select("p_partkey", F.round(pmf.over(bent, F.lit(2.5)), 6).alias("over_2_5"))
+
+
+# --- ledgers --------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH l AS (SELECT p_partkey, p_partkey % 6 AS h, p_size % 5 AS a, p_partkey % 3 AS m, p_size % 2 = 0 AS first, (p_partkey % 7) / 2.0 AS line, p_partkey % 11 <> 0 AS final, p_partkey % 13 = 0 AS void FROM part),
+x AS (SELECT *, CASE WHEN m = 2 THEN CASE WHEN first THEN h + a - line ELSE line - h - a END ELSE CASE WHEN first THEN h - a ELSE a - h END + CASE WHEN m = 1 THEN line ELSE 0 END END AS ahead FROM l)
+SELECT p_partkey, CASE WHEN void THEN 'VOID' WHEN NOT final THEN NULL WHEN ahead > 0 THEN 'WIN' WHEN ahead < 0 THEN 'LOSS' ELSE 'PUSH' END AS result FROM x"""
+)
+def leg_results(spark, d):
+    k, first = F.pmod("p_partkey", F.lit(3)), F.pmod("p_size", F.lit(2)) == 0
+    result = ledger.leg_result(
+        F.when(k == 0, "ml").when(k == 1, "pl").otherwise("total"),
+        F.when(k == 2, F.when(first, "over").otherwise("under")).otherwise(F.when(first, "home").otherwise("away")),
+        F.pmod("p_partkey", F.lit(7)) / 2.0,
+        F.pmod("p_partkey", F.lit(6)),
+        F.pmod("p_size", F.lit(5)),
+        F.pmod("p_partkey", F.lit(11)) != 0,
+        F.pmod("p_partkey", F.lit(13)) == 0,
+    )
+    return driver_table(spark, d, "part").select("p_partkey", result.alias("result"))
+
+
+@query(
+    f"""WITH {GAMES}, b AS (SELECT priority, day, count(*) AS bets, CAST(sum(lines) AS BIGINT) AS staked, sum(qty - 100) AS pnl FROM games GROUP BY 1, 2)
+SELECT priority, CAST(day AS VARCHAR) AS day, bets, staked, pnl, 1000 + sum(pnl) OVER (PARTITION BY priority ORDER BY day) AS balance FROM b"""
+)
+def daily_bankroll_log(spark, d):
+    out = ledger.daily_log(games(spark, d).withColumn("gain", F.col("qty") - 100), "priority", "day", "lines", "gain")
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
+@query(
+    """WITH t AS (SELECT o_custkey AS k, sum(round(o_totalprice)) FILTER (WHERE o_orderstatus = 'F') AS deposits, sum(round(o_totalprice)) FILTER (WHERE o_orderstatus = 'O') AS withdrawals FROM orders GROUP BY 1),
+s AS (SELECT user_id AS k, sum(round(value)) AS pnl FROM events GROUP BY 1)
+SELECT coalesce(t.k, s.k) AS k, coalesce(deposits, 0.0) AS deposits, coalesce(withdrawals, 0.0) AS withdrawals, coalesce(pnl, 0.0) AS pnl, coalesce(deposits, 0.0) - coalesce(withdrawals, 0.0) + coalesce(pnl, 0.0) AS balance FROM t FULL JOIN s ON t.k = s.k"""
+)
+def balance_table(spark, d):
+    moves = driver_table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderstatus") == "F", "deposit").when(F.col("o_orderstatus") == "O", "withdrawal").alias("kind"), F.round("o_totalprice").alias("amount"))
+    slips = driver_table(spark, d, "events").select(F.col("user_id").alias("k"), F.round("value").alias("gain"))
+    return ledger.balances(moves, slips, ["k"], "kind", "amount", "gain")
+
+
+@query(
+    f"""WITH {QUOTES}, e AS (SELECT ih / (ih + ia) AS m, 0.3 + (p_partkey % 40) / 80.0 AS p, p_partkey % 80 >= 25 AS y FROM f),
+c AS (SELECT k / 40.0 AS s, sum(ln(CASE WHEN y THEN m + k / 40.0 * (p - m) ELSE 1 - m - k / 40.0 * (p - m) END)) AS ll FROM e, range(0, 41) t(k) GROUP BY 1),
+b AS (SELECT arg_max(s, ll) AS s FROM c),
+g AS (SELECT DISTINCT least(greatest(s + k / 800.0, 0), 1) AS s FROM b, range(-20, 21) t(k)),
+x AS (SELECT s, sum(ln(CASE WHEN y THEN m + s * (p - m) ELSE 1 - m - s * (p - m) END)) AS ll FROM e, g GROUP BY s)
+SELECT round(arg_max(s, ll), 6) AS trust FROM x"""
+)
+def trust_in_model(spark, d):
+    q = markets.add_fair(_quotes(spark, d)).select("fair_home", (F.lit(0.3) + F.pmod("p_partkey", F.lit(40)) / 80.0).alias("p"), (F.pmod("p_partkey", F.lit(80)) >= 25).alias("y"))
+    return spark.range(1).select(F.lit(round(ledger.trust(q, "p", "fair_home", "y"), 6)).alias("trust"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, CAST(o_orderpriority LIKE '1%' AS INT) AS urgent FROM orders)
+SELECT o_orderkey, CASE WHEN count(*) OVER w >= 3 THEN round(avg(urgent) OVER w, 6) END AS urgent_share FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY day, o_orderkey ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"""
+)
+def recent_share(spark, d):
+    o = driver_table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").startswith("1").alias("urgent"))
+    return o.select("o_orderkey", r6(features.recent_share(o, ["o_custkey"], ["day", "o_orderkey"], "urgent", 10, 3), "urgent_share"))
+
+
 # --- arrays, JSON, strings, dates -------------------------------------------------------------------------------------------
 
 

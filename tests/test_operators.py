@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foretime.functions import calendar as cal
 from foretime.functions import guards, pmf, prices, text
-from foretime.operators import joins, keyed, markets, pit, ranking, reshape, sequential, simulate, stats
+from foretime.operators import joins, keyed, ledger, markets, pit, ranking, reshape, sequential, simulate, stats
 from foretime.plans import features, models
 from foretime.sources import sinks, tables
 from foretime.streaming import changes
@@ -92,6 +92,15 @@ def test_pmfs_sum_to_one(spark):
     assert -1 < r["i"] < 2
 
 
+def test_ledger(spark):
+    leg = lambda m, s, x, h, a, final=True, void=False: ledger.leg_result(F.lit(m), F.lit(s), F.lit(x).cast("double"), F.lit(h), F.lit(a), F.lit(final), F.lit(void))
+    r = one(spark, a=leg("ml", "home", None, 3, 2), b=leg("pl", "away", 1.0, 3, 2), c=leg("total", "under", 5.5, 3, 3), d=leg("ml", "away", None, 1, 0, False), e=leg("ml", "away", None, 1, 0, True, True), f=leg("total", "over", None, 3, 2))
+    assert tuple(r) == ("WIN", "PUSH", "LOSS", None, "VOID", None)
+    rnd = random.Random(4)
+    rows = [(p, 0.5, rnd.random() < 0.5 + 0.6 * (p - 0.5)) for p in (rnd.uniform(0.2, 0.8) for _ in range(4000))]
+    assert abs(ledger.trust(spark.createDataFrame(rows, "p double, m double, y boolean"), "p", "m", "y") - 0.6) < 0.15
+
+
 def test_calendar(spark):
     d = lambda s: F.lit(s).cast("date")
     r = one(spark, a=cal.season_of(d("2024-06-30")), b=cal.season_of(d("2024-07-01")), c=cal.utc_offset_hours(d("2024-01-10"), F.lit("America/New_York")), e=cal.utc_offset_hours(d("2024-07-10"), F.lit("America/New_York")), f=cal.haversine_km(F.lit(40.7505), F.lit(-73.9934), F.lit(34.043), F.lit(-118.2673)), g=cal.spans(d("2024-01-01"), d("2024-01-10"), 4), h=cal.season_before(F.lit(20242025)))
