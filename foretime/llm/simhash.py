@@ -12,19 +12,30 @@ and a BK-tree over the shard (children keyed by their distance to the parent; a
 follows the edges within the radius alone) finds who links. For small radii the bits
 are cut into bands and the keys are combinations of bands, so that two nodes within the
 radius share at least one key: the search is exact. For large radii the keys are
-random subsets, as many as find a pair at RECALL_SHARE of its bits with 95 %.
+random subsets, as many as find a pair at RECALL_SHARE of its bits with 95 %; only
+`near_groups` called with such a radius searches that way, no query does.
 A shard of over SHARD nodes is dealt into parts, a tree over every two parts, so no
 tree has over about 2 * SHARD nodes, however large a group, and no pair is missed.
 A tree gives links that connect what it holds, not all pairs.
 
+`drop_near_duplicates` links two texts when their fingerprints are within the radius and
+their sets of shingles have a Jaccard similarity of SIMILAR or more, compared on the whole
+texts. Its search loses no such pair, at any number of texts: sets so alike share one of
+the smallest (1 - SIMILAR) * size + 1 hashes of each, so texts meet under those hashes
+(prefix filter). Texts that meet in a shard, differ little enough in size and are within the
+radius are candidates. They are compared in rounds, a few for each text of a shard first;
+pairs that are in one group by then need no comparison, so a dense group costs few.
+
 Cases: a null or empty text has fingerprint zero and links like any other. A null id
 counts as the largest id and comes back as null. Rows that repeat are linked. An
 empty table gives an empty result. Other columns are ignored by `near_groups` and
-carried along by `drop_near_duplicates`.
+carried along by `drop_near_duplicates`, which tells rows by id and text: other texts
+under the same id, or without an id, stay.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -35,7 +46,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import NO_ID, materialise, slices, text_of
@@ -45,6 +56,10 @@ from ._components import components
 SHARD = 4096
 #: Share of differing bits at which random keys still find 95 % of the pairs.
 RECALL_SHARE = 0.14
+#: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Candidates for each text of a shard in the first round, and how many times more in each next one.
+FEW, MORE = 4, 16
 
 
 @dataclass(frozen=True)
@@ -59,22 +74,30 @@ class Params:
 NEAR = Params()
 
 
-def fingerprint(text: bytes, p: Params) -> bytes:
-    """Most significant bit first."""
-    words = text.lower().split()
-    if not words:
-        return bytes(p.bits // 8)
+def _digests(words: list[bytes], p: Params) -> Iterator[np.ndarray]:
+    """The hashes of all shingles, a row of bytes for each, in slices."""
     joined = b" ".join(words)
     starts = [0, *itertools.accumulate(len(w) + 1 for w in words)]
     n = max(1, len(words) - p.words + 1)
     digest = partial(xxhash.xxh64_digest if p.bits == 64 else xxhash.xxh3_128_digest, seed=p.seed)
-    ones = np.zeros(p.bits, np.int64)
     for at in range(0, n, 1 << 14):
         first = starts[at : min(n, at + (1 << 14))]
         last = starts[at + min(p.words, len(words)) :][: len(first)]
         hashes = b"".join([digest(joined[a : b - 1]) for a, b in zip(first, last)])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(len(first), -1), axis=1).sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > n).tobytes()
+        yield np.frombuffer(hashes, np.uint8).reshape(len(first), -1)
+
+
+def _majority(slices_: list[np.ndarray], p: Params) -> bytes:
+    ones = np.zeros(p.bits, np.int64)
+    for x in slices_:
+        ones += np.unpackbits(x, axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > sum(map(len, slices_))).tobytes()
+
+
+def fingerprint(text: bytes, p: Params) -> bytes:
+    """Most significant bit first."""
+    words = text.lower().split()
+    return _majority(list(_digests(words, p)), p) if words else bytes(p.bits // 8)
 
 
 def fingerprints(docs: DataFrame, p: Params = NEAR) -> DataFrame:
@@ -233,7 +256,167 @@ def near_groups(docs: DataFrame, p: Params = NEAR) -> DataFrame:
     return prints.join(labels, "fingerprint").select(real("doc_id"), "fingerprint", real("component_id"))
 
 
+def _row_key() -> Column:
+    """24 bytes that sort as the id, then tell the text."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).bitwiseXOR(F.lit(-(2**63)))
+    return F.unhex(F.concat(F.lpad(F.hex(number), 16, "0"), F.md5(text_of())))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(_row_key().alias("row"), text_of().alias("text"))
+
+
+def _sketches(docs: DataFrame, p: Params) -> DataFrame:
+    """row, words (a digest of all words), fingerprint, size of the shingle set, prefix (its smallest hashes): a row for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                words = text.lower().split()
+                key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                if not words:
+                    out.append((key, bytes(p.bits // 8), 0, np.zeros(0, np.int64)))
+                    continue
+                made = list(_digests(words, p))
+                hashes = np.unique(np.concatenate([x[:, :8] for x in made]).copy().view(np.int64))
+                shared = -(-SIMILAR[0] * len(hashes) // SIMILAR[1])  # at least so many are in a near copy too
+                out.append((key, _majority(made, p), len(hashes), hashes[: len(hashes) - shared + 1]))
+            ends = np.cumsum([0, *(len(x[3]) for x in out)], dtype=np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[3] for x in out])))
+            yield pa.record_batch(
+                [batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64()), prefix],
+                ["row", "words", "fingerprint", "size", "prefix"],
+            )
+
+    return _rows(docs).mapInArrow(run, "row binary, words binary, fingerprint binary, size long, prefix array<long>")
+
+
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """shard, node: nodes that share a hash of their prefixes. Shards of over SHARD nodes become one for every two of their parts."""
+    posted = nodes.select("node", F.explode("prefix").alias("shard"))
+    sizes = posted.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialise(posted.join(sizes, "shard"), "simhash-met")
+    parts = F.ceil(F.col("n") / SHARD).cast("int")
+    split = (
+        met.filter(F.col("n") > SHARD)
+        .withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .filter("own <> other")
+        .select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "node")
+    )
+    return met.filter(F.col("n") <= SHARD).select("shard", "node").unionByName(split)
+
+
+def shard_candidates(prints: np.ndarray, sizes: np.ndarray, groups: np.ndarray, radius: int, few: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places (later, earlier) of pairs within the radius, of sizes that allow SIMILAR and of distinct groups: the first few of each later one, and whether there are more."""
+    later, earlier, more = [], [], False
+    for lo in range(0, len(sizes), 256):
+        hi = min(len(sizes), lo + 256)
+        near = np.bitwise_count(prints[lo:hi, None] ^ prints[None, :hi]).sum(2, dtype=np.int64) <= radius
+        least, most = np.minimum(sizes[lo:hi, None], sizes[None, :hi]), np.maximum(sizes[lo:hi, None], sizes[None, :hi])
+        near &= (SIMILAR[1] * least >= SIMILAR[0] * most) & (groups[lo:hi, None] != groups[None, :hi])
+        near &= np.arange(lo, hi)[:, None] > np.arange(hi)[None]
+        first = near & (near.cumsum(1) <= few)
+        more = more or bool((first != near).any())
+        a, b = first.nonzero()
+        later.append(a + lo)
+        earlier.append(b)
+    return np.concatenate(later), np.concatenate(earlier), more
+
+
+def _candidates(shards: DataFrame, p: Params, few: int) -> DataFrame:
+    """a, b: candidates of each shard; a row of nulls tells that there are more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            table = table.combine_chunks()
+            shard, node, sizes = table.column("shard").to_numpy(), table.column("node").to_pylist(), table.column("size").to_numpy()
+            prints = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), np.uint64).reshape(len(shard), -1)
+            groups = np.unique(np.array(table.column("component").to_pylist(), "S24").view("V24"), return_inverse=True)[1]
+            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+            out: set[tuple] = set()
+            for lo, hi in itertools.pairwise(cuts.tolist()):
+                if hi - lo < 2:
+                    continue
+                a, b, more = shard_candidates(prints[lo:hi], sizes[lo:hi], groups[lo:hi], p.radius, few)
+                out.update((node[lo + x], node[lo + y]) for x, y in zip(a.tolist(), b.tolist()))
+                if more:
+                    out.add((None, None))
+            return pa.record_batch([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], schema=schema)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            shard = table.column("shard").to_numpy()
+            cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on in the next batch
+            if cut:
+                yield pairs(table.slice(0, cut))
+            kept = table.slice(cut)
+        if kept is not None and kept.num_rows:
+            yield pairs(kept)
+
+    return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def shingles(text: bytes, w: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[k : k + w]) for k in range(max(1, len(words) - w + 1))} if words else set()
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) whose whole texts have a similarity of SIMILAR or more."""
+    needed = pairs.select("a").union(pairs.select("b")).distinct().toDF("row")
+    texts = materialise(_rows(docs).join(needed, "row").dropDuplicates(["row"]), "simhash-texts")
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "text_a", "b", "text_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in slices(iter([big])):
+                keep, last, own = [], None, set()
+                for x, y in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist()):
+                    if x != last:
+                        last, own = x, shingles(x, p.words)
+                    other = shingles(y, p.words)
+                    shared = len(own & other)
+                    keep.append(SIMILAR[1] * shared >= SIMILAR[0] * (len(own) + len(other) - shared))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a binary, b binary")
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame | None:
+    """id, component: nodes joined by links of texts that are within the radius and alike. None where there are no candidates."""
+    shards = materialise(_meetings(nodes).join(nodes.select("node", "fingerprint", "size"), "node"), "simhash-shards")
+    tested = links = found = None
+    few = FEW
+    while True:
+        labelled = shards.withColumn("component", F.col("node")) if found is None else shards.join(found.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        made = materialise(_candidates(labelled.select("shard", "node", "fingerprint", "size", "component"), p, few), "simhash-candidates")
+        more, pairs = not made.filter("a IS NULL").isEmpty(), made.filter("a IS NOT NULL")
+        new = pairs if tested is None else materialise(pairs.join(tested, ["a", "b"], "left_anti"), "simhash-candidates")
+        if not new.isEmpty():
+            alike = materialise(_alike(new, docs, p), "simhash-alike")
+            tested = new if tested is None else tested.unionByName(new)
+            links = alike if links is None else links.unionByName(alike)
+            found = materialise(components(links), "simhash-found")
+        if not more:
+            return found
+        few *= MORE
+
+
 def drop_near_duplicates(docs: DataFrame, p: Params = NEAR) -> DataFrame:
     """The rows of docs with the smallest id of their group; all columns stay as they are."""
-    dropped = near_groups(docs, p).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    rows = materialise(_sketches(docs, p), "simhash-sketches")
+    first = lambda c: F.first(c).alias(c)
+    nodes = materialise(rows.groupBy("words").agg(F.min("row").alias("node"), first("fingerprint"), first("size"), first("prefix")), "simhash-nodes")
+    found = near_links(nodes, docs, p)
+    labels = nodes.select("words", F.col("node").alias("component"))
+    if found is not None:
+        labels = nodes.join(found.toDF("node", "component"), "node", "left").select("words", F.coalesce("component", "node").alias("component"))
+    dropped = rows.select("row", "words").join(labels, "words").filter("row <> component").select(F.col("row").alias("dropped_row")).distinct()
+    return docs.join(dropped, _row_key() == dropped["dropped_row"], "left_anti")

@@ -175,3 +175,54 @@ def test_pipeline_stages_against_brute_force(spark):
     assert len(got ^ set(kept)) <= 0.01 * len(kept)  # random keys find nearly all pairs
     assert set(kept) <= got
     assert set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+def _pairs_at(share, n, seed):
+    """Isolated pairs of texts whose shingle sets have about the given Jaccard similarity."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    out = []
+    for _ in range(n):
+        a = [word() for _ in range(204)]
+        common = round(200 * 2 * share / (1 + share)) + 4
+        out.append((" ".join(a), " ".join(a[:common] + [word() for _ in range(204 - common)])))
+    return out
+
+
+def test_near_dedup_finds_isolated_pairs_and_keeps_the_less_alike(spark):
+    """Every pair of similarity 0.8 or more within the radius links, none below 0.8 does."""
+    pairs = [x for k, s in enumerate((0.6, 0.7, 0.78, 0.81, 0.85, 0.9)) for x in _pairs_at(s, 40, k)]
+    rows = [(2 * k + j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near, loose = 0, 0
+    for k, (a, b) in enumerate(pairs):
+        x, y = ({" ".join(t.split()[j : j + 5]) for j in range(200)} for t in (a, b))
+        within = (naive_print(a, 5, H128) ^ naive_print(b, 5, H128)).bit_count() <= simhash.NEAR.radius
+        link = within and 5 * len(x & y) >= 4 * len(x | y)
+        near, loose = near + link, loose + (within and not link)
+        assert 2 * k in kept and (2 * k + 1 in kept) != link
+    assert near > 100 and loose > 20
+
+
+def test_near_dedup_of_a_dense_group_in_rounds(spark, monkeypatch):
+    """A group larger than a shard, with few candidates at a time, equals brute force over all pairs."""
+    monkeypatch.setattr(simhash, "SHARD", 16)
+    monkeypatch.setattr(simhash, "FEW", 1)
+    monkeypatch.setattr(simhash, "MORE", 2)
+    rnd = random.Random(5)
+    base, texts = [f"w{k}" for k in range(100)], {}
+    for i in range(60):
+        t = list(base)
+        for k in rnd.sample(range(100), rnd.choice((1, 1, 2, 3, 4))):
+            t[k] = f"x{rnd.randrange(10**6)}"
+        texts[i] = " ".join(t)
+    least = {i: i for i in texts}
+    root = lambda i: i if least[i] == i else root(least[i])
+    prints, sets = {i: naive_print(t, 5, H128) for i, t in texts.items()}, {i: simhash.shingles(t.encode(), 5) for i, t in texts.items()}
+    for a in texts:
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 26 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in texts if root(i) == i}
