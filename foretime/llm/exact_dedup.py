@@ -54,8 +54,10 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text no row of a smaller id has; all columns stay as they are.
 
-    Only the ids of dropped rows are joined, so the join moves few rows on one
-    side and Spark may broadcast them when it finds them small.
+    A row is told by its id and its text: other texts under the same id, or without an
+    id, stay. Only the dropped rows are joined, so the join moves few rows on one side and
+    Spark may broadcast them when it finds them small.
     """
-    dropped = duplicate_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    dropped = duplicate_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_sha")).distinct()
+    same = docs["doc_id"].eqNullSafe(dropped["dropped_id"]) & (F.sha2(normalised(text_of()), 256) == dropped["dropped_sha"])
+    return docs.join(dropped, same, "left_anti")

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from foretime.llm import exact_dedup, imatch, queries, url_filter
+from foretime.llm import exact_dedup, imatch, queries, simhash, url_filter
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -121,3 +121,12 @@ def test_imatch_of_nothing_and_of_one(none, odd):
     assert imatch.edit_study(none).count() == 0
     one = imatch.edit_study(odd.filter("doc_id = 21")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    """Only a copy goes, not other texts of the same id or without one."""
+    rows = [(1, "copy"), (2, "copy"), (2, "another text"), (None, "copy"), (None, "a text without an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, "copy"), (2, "another text"), (None, "a text without an id")}
+    assert {tuple(r) for r in exact_dedup.drop_duplicates(df).collect()} == want
+    assert {tuple(r) for r in simhash.drop_near_duplicates(df).collect()} == want
