@@ -6,9 +6,9 @@ upper-case letters and digits, 18 or more), hex (16 or more of [0-9a-f]).
 
 The random field tags the tokens of a text, its runs of other than white space, as begin,
 inside or outside of a secret. Its features are a token's shape, the words next to it and
-features of the whole file; it is decoded by Viterbi. Tokens without an ASCII digit are
-always outside, by definition of the model, so the chain falls apart at them and each run of tokens
-with digits is decoded by itself, with the same result as the whole text. Spans of the field that touch
+features of the whole file; it is decoded by Viterbi over all tokens. Where the scores of a token
+are so low that no best path can leave outside there (`Field.sure`), the chain falls apart, and each
+run of the other tokens is decoded by itself, with the same result as the whole text. Spans of the field that touch
 no pattern's span are added with kind `crf`.
 
 The field is trained here, by gradient descent on the likelihood with numpy, on sequences made by
@@ -23,6 +23,7 @@ ignored by `find_secrets` and carried along by `mask_secrets`.
 from __future__ import annotations
 
 import math
+import operator
 import random
 import re
 import string
@@ -43,7 +44,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _DIGIT = re.compile(r"[0-9]")
-_SPACE = re.compile(r"\s")
+_TOKEN = re.compile(r"\S+")
+_KINDS = str.maketrans(string.ascii_letters + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
+_HEXED = frozenset(string.hexdigits)
 _CORE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: Words that the field looks for next to a token.
 TELLING = ("key", "auth", "bearer", "credential", "private", "access", "login", "pass", "pwd", "signature", *NAMES)
@@ -51,6 +54,8 @@ PLAIN = ("phone", "tel", "call", "card", "date", "version", "page", "id", "order
 OUT, BEGIN, INSIDE = range(3)
 #: Sequences made for training, and the steps.
 SEQUENCES, STEPS = 2_000, 120
+#: Entries of a task's table of tokens.
+TABLE_TOKENS = 200_000
 MASK = "[SECRET]"
 
 
@@ -71,15 +76,16 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 def shape(token: str) -> list[str]:
     """The features of a token by itself."""
-    core = max(_CORE.findall(token) or [""], key=len)
+    core = "".join(_CORE.findall(token))
     n, counts = len(core), Counter(core)
-    lower, upper, digit = (any(c in s for c in counts) for s in (string.ascii_lowercase, string.ascii_uppercase, string.digits))
-    digits = sum(counts[c] for c in string.digits)
+    upper, lower = core != core.lower(), core != core.upper()
+    digits = sum(k for c, k in counts.items() if c in string.digits)
+    digit = digits > 0
     length = min(n // 4, 12)
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
-    kinds = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in core[:64]]
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(kinds) - 1)
-    hexed = n > 0 and all(c in string.hexdigits for c in counts)
+    entropy = -sum([k / n * math.log2(k / n) for k in counts.values()]) if n else 0.0
+    kinds = core[:64].translate(_KINDS)
+    turns = sum(map(operator.ne, kinds, kinds[1:])) / max(1, len(kinds) - 1)
+    hexed = n > 0 and _HEXED.issuperset(counts)
     out = [
         "bias",
         f"mix{lower:d}{upper:d}{digit:d}",
@@ -94,6 +100,9 @@ def shape(token: str) -> list[str]:
     out += ["mail"] * ("@" in token) + ["url"] * ("://" in token or token.startswith("www.")) + ["words"] * bool(re.search(r"[A-Za-z]{8}", core) and digits < 3)
     out += ["named"] * any(x in token.lower() for x in NAMES) + ["prefixed"] * bool(re.match(r"[\"']?(AKIA|[a-z]{2,3}_[a-z]*_?[A-Za-z0-9]{8})", token))
     out += ["quoted"] * (token[:1] in "\"'")
+    if not digit:  # words have at most a first capital, or capitals only
+        low, rest = token.lower(), token.lstrip("\"'([{<*_-#")[1:]
+        out += ["cased"] * (token in (low, token.upper()) or rest == rest.lower()) + ["signs"] * bool(re.search(r"[+/=]", core)) + ["foreign"] * (not token.isascii())
     return out
 
 
@@ -126,6 +135,12 @@ class Field:
                 out += w
         return out
 
+    def sure(self, emissions: np.ndarray) -> np.ndarray:
+        """Tokens that are outside on every best path: putting them outside gains more than the moves to and from them can lose, whatever stands next to them."""
+        m = self.moves
+        gain = [max(m[p, tag] + m[tag, q] - m[p, OUT] - m[OUT, q] for p in range(3) for q in range(3)) for tag in (BEGIN, INSIDE)]
+        return (emissions[:, BEGIN] - emissions[:, OUT] + gain[0] < -1e-6) & (emissions[:, INSIDE] - emissions[:, OUT] + gain[1] < -1e-6)
+
     def decode(self, emissions: list[np.ndarray]) -> list[int]:
         """Viterbi; what stands before and after is outside."""
         best, back = emissions[0] + self.moves[OUT], []
@@ -141,80 +156,84 @@ class Field:
         return tags[::-1]
 
 
-def token_at(text: str, at: int) -> tuple[int, int]:
-    """The run of other than white space around at."""
-    lo = at
-    while lo and not text[lo - 1].isspace():
-        lo -= 1
-    found = _SPACE.search(text, at)
-    return lo, found.start() if found else len(text)
-
-
-def before(text: str, at: int) -> tuple[int, int]:
-    """The token before the one that starts at at; empty at the start of the text."""
-    while at and text[at - 1].isspace():
-        at -= 1
-    return token_at(text, at - 1) if at else (0, 0)
-
-
-def after(text: str, at: int) -> tuple[int, int]:
-    while at < len(text) and text[at].isspace():
-        at += 1
-    return token_at(text, at) if at < len(text) else (at, at)
-
-
-def digit_runs(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of neighbouring tokens that have a digit."""
-    run: list[tuple[int, int]] = []
-    found = _DIGIT.search(text)
-    while found:
-        span = token_at(text, found.start())
-        if run and not text[run[-1][1] : span[0]].isspace():
-            yield run
-            run = []
-        run.append(span)
-        found = _DIGIT.search(text, span[1])
-    if run:
-        yield run
-
-
-def field_spans(text: str, model: Field) -> list[tuple[str, int, int]]:
-    out, of_file = [], None
-    for run in digit_runs(text):
-        if of_file is None:
-            of_file = model.emission(file_features(text))
-        emissions = []
-        for lo, hi in run:
-            one = before(text, lo)
-            two = before(text, one[0])
-            nxt = after(text, hi)
-            feats = shape(text[lo:hi]) + near_word(text[slice(*one)], "b") + near_word(text[slice(*two)], "bb") + near_word(text[slice(*nxt)], "a")
-            emissions.append(model.emission(feats) + of_file)
-        open_: tuple[int, int] | None = None
-        for tag, (lo, hi) in [*zip(model.decode(emissions), run), (OUT, (0, 0))]:
-            if open_ and tag != INSIDE:
-                core = [m.span() for m in _CORE.finditer(text, *open_)]
-                if core:
-                    out.append(("crf", min(core[0][0], core[-1][0]), core[-1][1]))
-                open_ = None
-            if tag != OUT:
-                open_ = (open_[0] if open_ else lo, hi)
+class Scores:
+    """For each token: what it adds to its own scores and to those of the tokens next to it."""
+
+    def __init__(self, model: Field):
+        self.model = model
+        self.known: dict[tuple, np.ndarray] = {}  # by features, of which there are few combinations
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.table = np.zeros((1024, 4, 3))
+        self.add("")
+
+    def add(self, token: str) -> int:
+        k = self.row[token] = len(self.row)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        own, near = tuple(shape(token)), tuple(near_word(token, ""))
+        scores = self.known.get((own, near))
+        if scores is None:
+            scores = self.known[own, near] = np.array([self.model.emission(own), *(self.model.emission([at + x for x in near]) for at in ("b", "bb", "a"))])
+        self.table[k] = scores
+        return k
+
+    def emissions(self, tokens: list[str]) -> np.ndarray:
+        if len(self.row) > TABLE_TOKENS:
+            self.clear()
+        row, add = self.row, self.add
+        rows = [row[x] if x in row else add(x) for x in tokens]
+        at = np.array([0, 0, *rows, 0])
+        return self.table[at[2:-1], 0] + self.table[at[1:-2], 1] + self.table[at[:-3], 2] + self.table[at[3:], 3]
+
+
+def field_spans(text: str, model: Field, scores: Scores | None = None) -> list[tuple[str, int, int]]:
+    out: list[tuple[str, int, int]] = []
+    tokens = text.split()
+    if not tokens:
+        return out
+    emissions = (scores or Scores(model)).emissions(tokens) + model.emission(file_features(text))
+    open_ = np.flatnonzero(~model.sure(emissions)).tolist()
+    tags = {}
+    while open_:
+        n = next((k for k in range(1, len(open_)) if open_[k] != open_[k - 1] + 1), len(open_))
+        tags.update(zip(open_[:n], model.decode(list(emissions[open_[:n]]))))
+        open_ = open_[n:]
+    if not any(tags.values()):
+        return out
+    places = [m.span() for m in _TOKEN.finditer(text)]
+    span: tuple[int, int] | None = None
+    for k in [*sorted(tags), len(tokens)]:
+        tag = tags.get(k, OUT)
+        if span and (tag != INSIDE or k - 1 not in tags):
+            core = [m.span() for m in _CORE.finditer(text, *span)]
+            if core:
+                out.append(("crf", core[0][0], core[-1][1]))
+            span = None
+        if tag != OUT:
+            span = (span[0] if span else places[k][0], places[k][1])
     return out
 
 
-def scan(text: str, model: Field) -> list[tuple[str, int, int]]:
+def scan(text: str, model: Field, scores: Scores | None = None) -> list[tuple[str, int, int]]:
     """All spans in order: those of the patterns, and those of the field that touch none of them."""
     base = base_spans(text)
-    added = [x for x in field_spans(text, model) if not any(lo < x[2] and x[1] < hi for _, lo, hi in base)] if _DIGIT.search(text) else []
-    return in_order(base + added)
+    return in_order(base + [x for x in field_spans(text, model, scores) if not any(lo < x[2] and x[1] < hi for _, lo, hi in base)])
+
+
+#: Of the words in training sequences.
+SYLLABLES = ("th", "er", "on", "an", "re", "en", "la", "de", "os", "ch", "ing", "tion", "heit", "eux", "ción", "über", "st", "ble", "ge", "un")
 
 
 def _made(rnd: random.Random) -> tuple[list[str], list[int]]:
     """One training sequence: tokens and tags."""
-    words = lambda k: ["".join(rnd.choice(("th", "er", "on", "an", "re", "en", "la", "de", "os", "ch")) for _ in range(rnd.randint(1, 4))) for _ in range(k)]
+    cased = lambda w: rnd.choices((w, w.capitalize(), w.upper(), f"{w}-{w[:4].capitalize()}", f"{w}{w[:5].capitalize()}"), (70, 22, 4, 2, 2))[0]
+    words = lambda k: [cased("".join(rnd.choice(SYLLABLES) for _ in range(rnd.choices(range(1, 10), (8, 8, 8, 8, 4, 2, 1, 1, 1))[0]))) + rnd.choices(("", ",", ".", "?", ")", "..."), (80, 8, 8, 1, 1, 1))[0] for _ in range(k)]
     pick = lambda signs, lo, hi: "".join(rnd.choice(signs) for _ in range(rnd.randint(lo, hi)))
     digits, alnum = string.digits, string.ascii_letters + string.digits
-    tokens, tags = words(rnd.randint(1, 5)), []
+    tokens, tags = words(rnd.randint(1, 12)), []
     tags = [OUT] * len(tokens)
     for _ in range(rnd.randint(0, 2)):
         if rnd.random() < 0.5:
@@ -225,16 +244,15 @@ def _made(rnd: random.Random) -> tuple[list[str], list[int]]:
                 lambda: rnd.choice(("sk_live_", "ghp_", "xoxb-", "pk_test_")) + pick(alnum, 20, 36),
                 lambda: pick(alnum + "+/", 30, 60),
                 lambda: pick(alnum, 14, 20) + rnd.choice("!_-.") + pick(digits, 2, 4),
+                lambda: pick(string.ascii_letters, 20, 44),
             ))()
-            if not _DIGIT.search(value):
-                value += "7"
             quote = rnd.choice(('"', "'", ""))
             name = rnd.choice(TELLING)
             lead = rnd.choice(([name, "="], [name + ":"], [name.upper(), "="], [name, ":"], words(1)))
             tokens += lead + [quote + value + quote + rnd.choice(("", "", ",", ";"))]
             tags += [OUT] * len(lead) + [BEGIN]
             if rnd.random() < 0.05:  # a secret that is broken by white space
-                tokens.append(pick(alnum, 12, 20) + "9")
+                tokens.append(pick(rnd.choice((alnum, string.ascii_letters)), 12, 20))
                 tags.append(INSIDE)
         else:
             value = rnd.choice((
@@ -253,7 +271,7 @@ def _made(rnd: random.Random) -> tuple[list[str], list[int]]:
             lead = rnd.choice(([rnd.choice(PLAIN)], [rnd.choice(PLAIN) + ":"], words(1), words(2)))
             tokens += lead + [value + rnd.choice(("", "", ".", ",", "###", "%%%"))]
             tags += [OUT] * (len(lead) + 1)
-        more = words(rnd.randint(0, 3))
+        more = words(rnd.randint(0, 8))
         tokens, tags = tokens + more, tags + [OUT] * len(more)
     return tokens, tags
 
@@ -264,22 +282,13 @@ def _token_features(tokens: list[str], k: int) -> list[str]:
 
 
 def train(sequences: int = SEQUENCES, steps: int = STEPS, seed: int = 7) -> Field:
-    """The field, from so many sequences made by rule. Only runs of tokens with digits are chains; the rest is outside by definition."""
+    """The field, from so many sequences made by rule, each a chain of all its tokens."""
     rnd = random.Random(seed)
     runs: list[tuple[list[list[str]], list[int]]] = []
     for _ in range(sequences):
         tokens, tags = _made(rnd)
         of_file = file_features(" ".join(tokens))
-        k = 0
-        while k < len(tokens):
-            if not _DIGIT.search(tokens[k]):
-                k += 1
-                continue
-            end = k
-            while end < len(tokens) and _DIGIT.search(tokens[end]):
-                end += 1
-            runs.append(([_token_features(tokens, j) + of_file for j in range(k, end)], tags[k:end]))
-            k = end
+        runs.append(([_token_features(tokens, j) + of_file for j in range(len(tokens))], tags))
     names = sorted({x for feats, _ in runs for f in feats for x in f})
     at, longest = {x: k for k, x in enumerate(names)}, max(len(t) for _, t in runs)
     n, f = len(runs), len(names)
@@ -290,14 +299,14 @@ def train(sequences: int = SEQUENCES, steps: int = STEPS, seed: int = 7) -> Fiel
         for j, names_j in enumerate(feats):
             x[r, j, [at[y] for y in names_j]] = 1
         tags[r, : len(t)], live[r, : len(t)] = t, True
-    flat, gold = x.reshape(-1, f), np.eye(3, dtype=np.float32)[tags] * live[..., None]
+    flat, gold = x[live], np.eye(3, dtype=np.float32)[tags[live]]
     w, moves = np.zeros((f, 3), np.float32), np.zeros((3, 3))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(moves), np.zeros_like(moves)]
     total = lambda a, axis: np.log(np.exp(a - a.max(axis, keepdims=True)).sum(axis)) + a.max(axis)
     padded = np.c_[np.zeros(n, np.int64), tags, np.zeros(n, np.int64)]
     for step in range(1, steps + 1):
-        e = (flat @ w).reshape(n, longest, 3).astype(float)
-        e[~live] = (0.0, -1e4, -1e4)  # outside after the end
+        e = np.full((n, longest, 3), (0.0, -1e4, -1e4))  # outside after the end
+        e[live] = flat @ w
         alpha, beta = np.zeros((n, longest, 3)), np.zeros((n, longest, 3))
         alpha[:, 0] = e[:, 0] + moves[OUT]
         for j in range(1, longest):
@@ -307,7 +316,7 @@ def train(sequences: int = SEQUENCES, steps: int = STEPS, seed: int = 7) -> Fiel
             beta[:, j] = total(moves + (e[:, j + 1] + beta[:, j + 1])[:, None, :], 2)
         z = total(alpha[:, -1] + moves[:, OUT], 1)
         p = np.exp(alpha + beta - z[:, None, None])
-        g_w = flat.T @ ((p * live[..., None] - gold).reshape(-1, 3)).astype(np.float32) / n + 1e-4 * w
+        g_w = flat.T @ (p[live] - gold).astype(np.float32) / n + 1e-4 * w
         pairs = np.exp(alpha[:, :-1, :, None] + moves + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1)) if longest > 1 else 0
         want = np.zeros((3, 3))
         np.add.at(want, (padded[:, :-1].ravel(), padded[:, 1:].ravel()), 1)
@@ -330,8 +339,9 @@ def find_secrets(docs: DataFrame, model: Field) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(sent.value)
         for batch in slices(batches):
-            found = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t, sent.value)] for t in batch.column(1).to_pylist()]
+            found = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t, sent.value, scores)] for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(found, _SPANS)], ["doc_id", "spans"])
 
     schema = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
@@ -354,8 +364,9 @@ def mask_secrets(docs: DataFrame, model: Field) -> DataFrame:
 
     @F.arrow_udf("string")
     def mask(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scores = Scores(sent.value)
         for text in texts:
-            yield pa.array([None if t is None else masked(t, scan(t, sent.value)) for t in text.to_pylist()], pa.string())
+            yield pa.array([None if t is None else masked(t, scan(t, sent.value, scores)) for t in text.to_pylist()], pa.string())
 
     out = docs.withColumn("text", mask(F.col("text")))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -246,3 +246,32 @@ def test_op9_on_the_small_table(spark):
     out = queries.op9_packing(spark, SMALL)
     r = out.agg(F.sum("length").alias("total"), F.count_distinct("sequence_id").alias("n")).first()
     assert r["n"] <= -(-r["total"] // 2048) + 1
+
+
+def test_field_tags_secrets_without_digits(field):
+    import random
+    import string
+
+    rnd, hit, letters = random.Random(17), 0, string.ascii_letters
+    for _ in range(100):
+        value = "".join(rnd.choice(letters) for _ in range(rnd.randint(24, 40)))
+        text = f"theron anre {rnd.choice(('auth =', 'bearer:', 'key :'))} {value} onan there."
+        spans = secret_scan.field_spans(text, field)
+        hit += any(text[lo:hi] == value for _, lo, hi in spans)
+    assert hit >= 90
+    assert not secret_scan.field_spans("the cathedral of Saint Bartholomew internationalisation was built in the summer", field)
+
+
+def test_all_tokens_are_decoded_as_the_whole_text(field):
+    """Viterbi over every token of the text, none forced, gives the same tags."""
+    import random
+
+    rnd = random.Random(6)
+    for _ in range(100):
+        tokens, _ = secret_scan._made(rnd)
+        text = " ".join(tokens)
+        tags = field.decode([field.emission(secret_scan._token_features(tokens, k) + secret_scan.file_features(text)) for k in range(len(tokens))])
+        spans, at = secret_scan.field_spans(text, field), 0
+        for token, tag in zip(tokens, tags):
+            assert (tag != 0) == any(lo < at + len(token) and at < hi for _, lo, hi in spans)
+            at += len(token) + 1
