@@ -8,8 +8,8 @@ The random field tags the tokens of a text, its runs of other than white space,
 inside or outside of a secret. Its features are a token's shape, the words next to it and
 features of the whole file; it is decoded by Viterbi over all tokens. Where the scores of a token
 are so low that no best path can leave outside there (`Field.sure`), the chain falls apart, and each
-run of the other tokens is decoded by itself, with the same result as the whole text. Spans of the field that touch
-no pattern's span are added with kind `crf`.
+run of the other tokens is decoded by itself, with the same result as the whole text. All spans of
+the field are added with kind `crf`, also where they touch a pattern's span.
 
 The field is trained here, by gradient descent on the likelihood with numpy, on sequences made by
 rule: secrets of several forms after telling and untelling words, and look-alikes (numbers, cards,
@@ -218,9 +218,8 @@ def field_spans(text: str, model: Field, scores: Scores | None = None) -> list[t
 
 
 def scan(text: str, model: Field, scores: Scores | None = None) -> list[tuple[str, int, int]]:
-    """All spans in order: those of the patterns, and those of the field that touch none of them."""
-    base = base_spans(text)
-    return in_order(base + [x for x in field_spans(text, model, scores) if not any(lo < x[2] and x[1] < hi for _, lo, hi in base)])
+    """All spans in order: those of the patterns and those of the field."""
+    return in_order(base_spans(text) + field_spans(text, model, scores))
 
 
 #: Of the words in training sequences.

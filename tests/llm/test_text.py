@@ -275,3 +275,11 @@ def test_all_tokens_are_decoded_as_the_whole_text(field):
         for token, tag in zip(tokens, tags):
             assert (tag != 0) == any(lo < at + len(token) and at < hi for _, lo, hi in spans)
             at += len(token) + 1
+
+
+def test_spans_of_the_field_stay_beside_those_of_patterns(field):
+    """The rest of a secret that a pattern ends in is masked too."""
+    text = "the auth key = Qx7Lm2Zp9Rt4Vk8deadbeefdeadbeef0Jw3Ns6Hy1Gf5 there on"
+    spans = secret_scan.scan(text, field)
+    assert {k for k, _, _ in spans} == {"hex", "crf"}
+    assert secret_scan.masked(text, spans) == "the auth key = [SECRET] there on"
