@@ -1,25 +1,27 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good (1), bad (0) or nothing (-1) on a text. Expectation-maximisation
+Heuristic labellers vote good (1), bad (0) or nothing (-1) on a text. They overlap: each kind of bad
+text is seen by two or more of them, so a labeller that errs alone is outvoted. Expectation-maximisation
 over the counts of vote patterns, of which there are at most 3 to the power of the number of
-labellers, estimates how often each labeller votes and is right on good and on bad texts, and
-gives each pattern its posterior of being good. These posteriors, not any given label, train a
-linear scorer on hashed features of words (shape and ending) and of the text's repetition.
+labellers, estimates how often each labeller votes bad on good texts and on each kind of bad ones, and
+gives each pattern its posterior of being good. The rates are free: a weak prior of a few counts keeps
+them off 0 and 1. Silence is no evidence. These posteriors, not any given label, train a linear scorer
+on hashed features of words (shape and ending) and of the text's repetition and length.
 
 The pattern counts cover all documents. The scorer is trained on a sample of at most
 MAX_SAMPLE documents, lowest hash of the id first; every whole text is scored.
 
-Cases: a null or empty text is bad by definition of the labellers' vote on length. A null id is
+Cases: on a null or empty text the labeller of length votes bad and its score is 0. A null id is
 scored. Rows that repeat are scored alike. An empty table gives an empty result. Other columns
 are ignored by `score_documents`.
 """
 
 from __future__ import annotations
 
-import operator
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,42 +34,59 @@ from ._common import slices, text_of
 DIM = 1 << 14
 MAX_SAMPLE = 8_000
 #: Entries of a task's table of words.
-TABLE_WORDS = 200_000
-#: Most votes for bad among a labeller's on good and on bad texts.
-FALSE_ALARMS, MOST_FOUND = 0.002, 0.4
-LABELLERS = ("length", "signs", "capitals", "repetition", "sentences", "separators", "exclamations", "word_length")
+TABLE_WORDS = 500_000
+#: Words of a stretch in which distinct words are counted.
+STRETCH = 128
+#: Pseudo-counts of a labeller's good and bad votes in each class: right in 80 %.
+PRIOR_VOTES = 5.0
+#: Values of the features of repetition and of length.
+BUCKET_VALUES = np.array([1.0, 0.3])
+LABELLERS = ("length", "sign_words", "sign_characters", "capital_words", "capital_letters", "repeats", "distinct", "sentences", "separators", "exclamations", "word_length")
+
+#: The labellers that look at each kind of bad text: fragments, signs, capitals, repetition, lists.
+KINDS = [[LABELLERS.index(x) for x in kind] for kind in (("length", "sentences", "word_length"), ("sign_words", "sign_characters"), ("capital_words", "capital_letters", "exclamations"), ("repeats", "distinct"), ("separators", "sign_words"))]
 
 
 class Words:
-    """For each word: eight counts, and the indices of its two hashed features."""
+    """For each word: the counts that votes need, and, where features are wanted, the indices of its two hashed features."""
+
+    COUNTS = ("chars", "letters", "upper", "capitals", "signs", "sign_words", "ends", "separators", "shouts")
 
-    def __init__(self):
+    def __init__(self, features: bool = True):
+        self.features = features
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.stats: list[tuple] = []
-        self.hashed: list[tuple[int, int]] = []
+        self.stats = np.zeros((0, len(self.COUNTS)), np.float32)
+        self.hashed = np.zeros((0, 2), np.int64)
 
-    def rows(self, words: Counter) -> list[int]:
+    def learn(self, words: set[str]) -> None:
+        """Rows for those words that the table lacks; it is emptied first when it has TABLE_WORDS entries."""
         if len(self.row) > TABLE_WORDS:
             self.clear()
-        out = []
-        for w in words:
-            k = self.row.get(w)
-            if k is None:
-                k = self.row[w] = len(self.stats)
-                letters = sum(map(str.isalpha, w))
-                upper = sum(map(str.isupper, w)) if not w.islower() else 0
-                signs = len(w) - letters - sum(map(str.isdigit, w)) - (1 if w[-1] in ".,;:?!" else 0)
-                self.stats.append((1, len(w), letters, letters > 1 and upper == letters, signs > 0, w[-1] in ".?", w == "|" or w in ("•", "»"), w.endswith("!!")))
-                self.hashed.append((xxhash.xxh32_intdigest("s" + _shape(w)) % DIM, xxhash.xxh32_intdigest("e" + w[-3:]) % DIM))
-            out.append(k)
-        return out
+        new = [w for w in words if w not in self.row]
+        if not new:
+            return
+        stats, hashed = [], []
+        for w in new:
+            letters = len(w) if w.isalpha() else sum(map(str.isalpha, w))
+            upper = 0 if w.islower() else sum(map(str.isupper, w))
+            digits = 0 if letters == len(w) else sum(map(str.isdigit, w))
+            signs = len(w) - letters - digits - (w[-1] in ".,;:?!")
+            stats.append((len(w), letters, upper, letters > 1 and upper == letters, signs, signs > 0, w[-1] in ".?", w in ("|", "•", "»"), w.endswith("!!")))
+            if self.features:
+                hashed.append((xxhash.xxh32_intdigest("s" + _shape(w)) % DIM, xxhash.xxh32_intdigest("e" + w[-3:]) % DIM))
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
+        self.stats = np.concatenate([self.stats, np.array(stats, np.float32)])
+        if self.features:
+            self.hashed = np.concatenate([self.hashed, np.array(hashed, np.int64)])
 
 
 def _shape(word: str) -> str:
     """Runs of capitals, small letters and digits as one sign each; other signs stay, up to three."""
+    if word.isalpha() and (word.islower() or word[0].isupper() and word[1:].islower()):
+        return "a" if word.islower() else "Aa"
     out = []
     for c in word[:40]:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "w" if c.isalpha() else c
@@ -76,81 +95,109 @@ def _shape(word: str) -> str:
     return "".join(out)
 
 
-def examine(text: str, table: Words) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """The votes on a text, and its hashed features: indices and values."""
-    sequence = text.split()
-    words = Counter(sequence)
-    rows = table.rows(words)
-    n = np.fromiter(words.values(), float, len(words))
-    if not len(n):
-        return [0] + [-1] * (len(LABELLERS) - 1), np.array([0]), np.array([1.0])
-    total, chars, letters, capitals, signs, ends, separators, shouts = n @ np.array([table.stats[k] for k in rows], float)
-    vote = lambda x, good, bad: 1 if good(x) else 0 if bad(x) else -1
-    share = sum(map(operator.eq, sequence, sequence[1:])) / total  # words that repeat the one before
+@dataclass
+class Examined:
+    """Of some texts: each token's text and row in the table of words, each text's number of words and votes."""
+
+    text: np.ndarray
+    rows: np.ndarray
+    total: np.ndarray
+    votes: np.ndarray  # text, labeller: -1, 0 or 1
+    repeats: np.ndarray  # share of words that repeat the one before
+
+    def buckets(self) -> np.ndarray:
+        """The indices of each text's features of repetition and of length."""
+        return np.c_[1 + np.minimum((self.repeats * 10).astype(int), 9), 11 + np.minimum(np.log2(self.total + 1).astype(int), 15)]
+
+
+def examine(texts: list[str], table: Words) -> Examined:
+    sequences = [t.split() for t in texts]
+    total = np.array([len(s) for s in sequences], float)
+    table.learn(set().union(*sequences))
+    rows = np.fromiter(map(table.row.__getitem__, chain.from_iterable(sequences)), np.int64, int(total.sum()))
+    text = np.repeat(np.arange(len(texts)), total.astype(int))
+    count = {name: np.bincount(text, table.stats[rows, k], len(texts)) for k, name in enumerate(table.COUNTS)}
+    again = (rows[1:] == rows[:-1]) & (text[1:] == text[:-1])
+    repeats = np.bincount(text[1:][again], minlength=len(texts)) / np.maximum(total, 1)
+    distinct = np.array([sum(len(set(s[k : k + STRETCH])) for k in range(0, len(s), STRETCH)) for s in sequences], float) / np.maximum(total, 1)
+    words, chars, letters = (np.maximum(x, 1) for x in (total, count["chars"], count["letters"]))
+    some, many = total > 0, total >= 20
+
+    def vote(good: np.ndarray, bad: np.ndarray, may: np.ndarray) -> np.ndarray:
+        return np.where(may & good, 1, np.where(may & bad, 0, -1))
+
+    def low(x: np.ndarray, good: float, bad: float, may: np.ndarray = some) -> np.ndarray:
+        return vote(x < good, x > bad, may)
+
+    mean = chars / words
     votes = [
-        vote(total, lambda x: x >= 40, lambda x: x < 5),
-        vote(signs / total, lambda x: x < 0.05, lambda x: x > 0.2),
-        vote(capitals / total, lambda x: x < 0.05, lambda x: x > 0.2),
-        vote(share, lambda x: x < 0.05, lambda x: x > 0.15),
-        vote(ends / total, lambda x: 0.02 < x < 0.35, lambda x: total >= 20 and x < 0.005),
-        vote(separators / total, lambda x: x < 0.01, lambda x: x > 0.1),
-        vote(shouts / total, lambda x: x < 0.01, lambda x: x > 0.05),
-        vote(chars / total, lambda x: 3 <= x <= 9, lambda x: x < 2 or x > 14),
+        vote(total >= 40, total < 5, total >= 0),
+        low(count["sign_words"] / words, 0.05, 0.2),
+        low(count["signs"] / chars, 0.02, 0.08),
+        low(count["capitals"] / words, 0.05, 0.2),
+        low(count["upper"] / letters, 0.1, 0.3),
+        low(repeats, 0.05, 0.15),
+        vote(distinct > 0.5, distinct < 0.4, many),
+        vote((count["ends"] / words > 0.02) & (count["ends"] / words < 0.35), count["ends"] / words < 0.005, many),
+        low(count["separators"] / words, 0.01, 0.1),
+        low(count["shouts"] / words, 0.01, 0.05),
+        vote((mean >= 3) & (mean <= 9), (mean < 2) | (mean > 14), some),
     ]
-    hashed = np.array([table.hashed[k] for k in rows])
-    at = np.concatenate([hashed.ravel(), [1 + min(int(share * 10), 9), 11 + min(int(np.log2(total + 1)), 15)]])
-    value = np.concatenate([np.repeat(n / total, 2), [1.0, 0.3]])
-    idx, inverse = np.unique(at, return_inverse=True)
-    return votes, idx, np.bincount(inverse, value)
+    return Examined(text, rows, total, np.array(votes).T.reshape(len(texts), len(LABELLERS)), repeats)
 
 
-def _pattern(votes: list[int]) -> str:
-    return "".join("-01"[v + 1] for v in votes)
+def _patterns(votes: np.ndarray) -> list[str]:
+    signs = np.array(list("-01"))[votes + 1]
+    return ["".join(x) for x in signs]
 
 
 @dataclass
 class LabelModel:
-    """prior: share of good texts. chances[k, y, v]: chance that labeller k votes v (nothing, bad, good) on a text of class y."""
+    """shares: of good texts, then of each kind of bad ones. bad[c, k]: chance that labeller k, when it votes, votes bad on a text of class c."""
+
+    shares: np.ndarray
+    bad: np.ndarray
+
+    @property
+    def prior(self) -> float:
+        return float(self.shares[0])
 
-    prior: float
-    chances: np.ndarray
+    def of_classes(self, votes: np.ndarray) -> np.ndarray:
+        """The chance of each class (column), given votes (row) of -1, 0 or 1."""
+        log = np.log(self.shares) + (votes == 0) @ np.log(self.bad).T + (votes == 1) @ np.log(1 - self.bad).T
+        post = np.exp(log - log.max(1, keepdims=True))
+        return post / post.sum(1, keepdims=True)
 
     def posterior(self, pattern: str) -> float:
-        v = ["-01".index(c) for c in pattern]
-        log = np.log([1 - self.prior, self.prior]) + sum(np.log(self.chances[k, :, c]) for k, c in enumerate(v))
-        return float(1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500))))
+        return float(self.of_classes(_votes([pattern]))[0, 0])
+
+
+def _votes(patterns: list[str]) -> np.ndarray:
+    return np.array([["-01".index(c) - 1 for c in p] for p in patterns])
 
 
-def expectation_maximisation(counts: dict[str, int], steps: int = 100, prior: float = 0.85) -> LabelModel:
-    """From the counts of vote patterns. It starts from labellers that are right in 80 % of their votes, which settles what good and bad mean."""
-    votes = np.array([["-01".index(c) for c in p] for p in counts])
+def expectation_maximisation(counts: dict[str, int], kinds: list[list[int]] = KINDS, steps: int = 200, prior: float = 0.85) -> LabelModel:
+    """From the counts of vote patterns. On bad texts of one kind the labellers in kinds that look at it start as right in 80 % of their votes, all others as on good texts; the start settles what the classes mean."""
+    votes = _votes(list(counts))
     n = np.array(list(counts.values()), float)
-    onehot = np.eye(3)[votes]  # pattern, labeller, vote
-    start = np.tile(np.array([[0.4, 0.48, 0.12], [0.4, 0.12, 0.48]]), (votes.shape[1], 1, 1))
-    chances = start
+    start = np.full((1 + len(kinds), votes.shape[1]), 0.2)
+    for c, at in enumerate(kinds):
+        start[1 + c, at] = 0.8
+    model = LabelModel(np.array([prior, *[(1 - prior) / len(kinds)] * len(kinds)]), start)
     for _ in range(steps):
-        log = np.log([1 - prior, prior]) + np.einsum("pkv,kyv->py", onehot, np.log(chances))
-        post = np.exp(log - log.max(1, keepdims=True))
-        post /= post.sum(1, keepdims=True)
-        weight = post * n[:, None]
-        prior = float(np.clip((weight[:, 1].sum() + 1) / (n.sum() + 2), 0.05, 0.95))
-        chances = np.einsum("py,pkv->kyv", weight, onehot) + start
-        chances /= chances.sum(2, keepdims=True)
-        # labellers call few good texts bad, and each sees some kinds of bad texts only; without these bounds the classes drift to any two clusters of votes
-        for y, most in ((1, FALSE_ALARMS), (0, MOST_FOUND)):
-            low = np.minimum(chances[:, y, 1], most)
-            chances[:, y, 2] += chances[:, y, 1] - low
-            chances[:, y, 1] = low
-    return LabelModel(prior, chances)
+        weight = model.of_classes(votes) * n[:, None]
+        found, passed = weight.T @ (votes == 0), weight.T @ (votes == 1)
+        model = LabelModel((weight.sum(0) + 1) / (n.sum() + len(weight[0])), (found + PRIOR_VOTES * start) / (found + passed + PRIOR_VOTES))
+    return model
 
 
 def fit_labellers(docs: DataFrame) -> LabelModel:
     """The label model of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words()
+        table = Words(features=False)
         for batch in slices(batches, 0):
-            counts = Counter(_pattern(examine(t, table)[0]) for t in batch.column(0).to_pylist())
+            counts = Counter(_patterns(examine(batch.column(0).to_pylist(), table).votes))
             yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
     rows = docs.select(text_of().alias("text")).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
@@ -163,8 +210,15 @@ def train_scorer(docs: DataFrame, labels: LabelModel, max_sample: int = MAX_SAMP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Words()
         for batch in slices(batches):
-            rows = [examine(t, table) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([pa.array([_pattern(v) for v, _, _ in rows], pa.string()), pa.array([a.tolist() for _, a, _ in rows], pa.list_(pa.int32())), pa.array([x.tolist() for _, _, x in rows], pa.list_(pa.float32()))], ["pattern", "at", "value"])
+            found = examine(batch.column(1).to_pylist(), table)
+            n = len(found.total)
+            # (text, feature) pairs of words, of both buckets
+            key = np.r_[(found.text[:, None] * DIM + table.hashed[found.rows]).ravel(), (np.arange(n)[:, None] * DIM + found.buckets()).ravel()]
+            value = np.r_[np.repeat(1 / found.total[found.text], 2), np.tile(BUCKET_VALUES, n)]
+            pairs, inverse = np.unique(key, return_inverse=True)
+            ends = np.searchsorted(pairs, np.arange(n + 1) * DIM).astype(np.int32)
+            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, t))
+            yield pa.record_batch([pa.array(_patterns(found.votes)), lists(pairs % DIM, pa.int32()), lists(np.bincount(inverse, value), pa.float32())], ["pattern", "at", "value"])
 
     picked = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
     sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")  # at most max_sample ids
@@ -193,16 +247,13 @@ def score_documents(docs: DataFrame, labels: LabelModel, weights: np.ndarray) ->
         table, known = Words(), {}
         labels, weights = sent.value
         for batch in slices(batches):
-            patterns, posts, scores = [], [], []
-            for text in batch.column(1).to_pylist():
-                votes, at, value = examine(text, table)
-                pattern = _pattern(votes)
-                if pattern not in known:
-                    known[pattern] = labels.posterior(pattern)
-                patterns.append(pattern)
-                posts.append(known[pattern])
-                scores.append(float(1 / (1 + np.exp(-np.clip(weights[at] @ value + weights[-1], -30, 30)))) if text.strip() else 0.0)
-            yield pa.record_batch([batch.column(0), pa.array(patterns, pa.string()), pa.array(posts, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "votes", "posterior", "score"])
+            found = examine(batch.column(1).to_pylist(), table)
+            patterns = _patterns(found.votes)
+            known.update((p, labels.posterior(p)) for p in set(patterns).difference(known))
+            of_words = np.bincount(found.text, weights[table.hashed].sum(1)[found.rows], len(found.total)) / np.maximum(found.total, 1)
+            z = of_words + weights[found.buckets()] @ BUCKET_VALUES + weights[-1]
+            score = np.where(found.total > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+            yield pa.record_batch([batch.column(0), pa.array(patterns, pa.string()), pa.array([known[p] for p in patterns], pa.float64()), pa.array(score, pa.float64())], ["doc_id", "votes", "posterior", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, votes string, posterior double, score double")
 
