@@ -74,7 +74,7 @@ def test_em_finds_accuracies(wrong):
     assert abs(m.prior - 0.9) < 0.02
     assert abs(m.bad[0, 3] - wrong) < 0.02 and np.abs(np.delete(m.bad[0], 3) - 0.01).max() < 0.01
     for k, at in enumerate(quality.KINDS):
-        assert np.abs(m.bad[1 + k, at] - 0.85).max() < 0.12  # two kinds share a labeller
+        assert np.abs(m.bad[1 + k, at] - 0.85).max() < (0.05 if len(at) > 2 else 0.16)  # two labellers alone leave their rates less settled
     post = np.array([m.posterior(p) for p in patterns])
     assert (post[good & bad[:, 3]] >= 0.5).mean() > 0.85 and (post[good] >= 0.5).mean() > 0.98
     assert (post[~good & (bad.sum(1) > 1)] >= 0.5).mean() < 0.08
