@@ -36,7 +36,7 @@ from ._common import materialise, slices, text_of
 CAPACITY = 2048
 END_ID = 0
 #: Entries of a task's table of distinct words.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 400_000
 #: Fillings that the search tries before it settles for its incumbent, and those kept at each step.
 NODES = 6_000
 WIDTH = 3
@@ -45,15 +45,20 @@ WIDTH = 3
 class WordIds:
     """Ids of texts by a table of distinct words: white space ends every token of this vocabulary, so the words between blanks are encoded one by one.
 
-    A word of letters alone is one token run whose last id, and no other, ends a word; such words are encoded many
-    at once and cut at those ids. A word of letters and one comma or full stop is those two runs.
+    The vocabulary is of small letters; A-Z are lower-cased first, so that a word and its capitalised form are one entry.
+    A word of Latin letters alone is one token run whose last id, and no other, ends a word; such words are encoded many
+    at once, cut at blanks alone, and their ids cut at those ids. A word of letters and one comma or full stop is those two runs.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        # for Latin letters the normaliser is lower case, and the pattern that cuts texts cuts at blanks
+        self.latin = Tokenizer(self.tokenizer.model)
+        self.latin.normalizer = normalizers.Lowercase()
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[k for word, k in vocab.items() if word.endswith("</w>")]] = True
@@ -65,12 +70,12 @@ class WordIds:
     def one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         letters, ended, others = set(), [], []
         for x in words:
-            if x.isalpha():
+            if x.isalpha() and (x.isascii() or max(x) < "\u0250"):
                 letters.add(x)
-            elif x[-1] in ",." and x[:-1].isalpha():
+            elif x[-1] in ",." and x[:-1].isalpha() and (x.isascii() or max(x) < "\u0250"):
                 letters.add(x[:-1])
                 ended.append(x)
             else:
@@ -78,7 +83,7 @@ class WordIds:
         some = [x for x in letters if x not in self.ids]
         for at in range(0, len(some), 5_000):
             part = some[at : at + 5_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.latin.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 self.ids.update((x, self.one(x)) for x in part)
@@ -88,14 +93,15 @@ class WordIds:
         self.ids.update([(x, self.ids[x[:-1]] + self.ids[x[-1]]) for x in ended])
         for at in range(0, len(others), 5_000):
             part = others[at : at + 5_000]
-            self.ids.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)))
+            self.ids.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without the end id."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        # bytes.lower changes A-Z alone
+        cut = [t.encode().lower().replace(b"\n", b" ").decode().split(" ") for t in texts]
         if len(self.ids) > TABLE_WORDS:
             self.clear()
-        self.learn(list(set().union(*cut).difference(self.ids)))
+        self.learn(set().union(*cut).difference(self.ids))
         return [b"".join(map(self.ids.__getitem__, x)) for x in cut]
 
 
