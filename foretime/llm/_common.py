@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,22 +18,45 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a folder made for this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, all of whose tasks see the driver's disk, may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="foretime-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Folders of the tables written by this process, oldest first.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors. `released` removes such tables."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foretime/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/foretime/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialise` writes in this block are removed at its end, but for the last one."""
+    before = len(_written)
+    yield
+    remove_tables(spark, before, len(_written) - 1)
+
+
+def remove_tables(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Remove the tables that `materialise` wrote, when no result that reads them is needed any more."""
+    for path in _written[first:last]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[first:last]
+
+
 def text_of(col: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
@@ -54,3 +78,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
         step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def cut(texts: pa.Array) -> Iterator[list]:
+    """The texts as Python lists, of about SLICE_BYTES each."""
+    step = max(1, int(len(texts) * SLICE_BYTES / max(1, texts.nbytes)))
+    for at in range(0, len(texts), step):
+        yield texts.slice(at, step).to_pylist()

@@ -13,9 +13,9 @@ from ._common import read_table
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
-    """From the labelled rows that aren't held out."""
+    """From toxic rows and documents that aren't held out."""
     labels = read_table(spark, sf_dir, "labels").filter(~toxicity.held_out())
-    return toxicity.train(docs, labels)
+    return toxicity.train(docs, labels, docs.filter(~toxicity.held_out()))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, text_of
+from ._common import cut, slices, text_of
 
 KINDS = ("assign", "access", "hex", "crf")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -365,7 +365,7 @@ def mask_secrets(docs: DataFrame, model: Field) -> DataFrame:
     def mask(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scores = Scores(sent.value)
         for text in texts:
-            yield pa.array([None if t is None else masked(t, scan(t, sent.value, scores)) for t in text.to_pylist()], pa.string())
+            yield pa.array([None if t is None else masked(t, scan(t, sent.value, scores)) for part in cut(text) for t in part], pa.string())
 
     out = docs.withColumn("text", mask(F.col("text")))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -15,8 +15,9 @@ it is there twice or three times, and that it makes up 0.5 % of the words or mor
 that length alone makes no text toxic. Only features of at least MIN_P toxic
 examples are weighed, the FEATURES best of them.
 
-Training reads a sample of labelled rows, of at most MAX_P toxic examples and MAX_U
-rows whose labels are hidden, lowest hash of the id first; scoring reads every whole text.
+Training reads at most MAX_P toxic examples and MAX_U of all documents, whose labels, if any, are
+hidden, lowest hash of the id first; scoring reads every whole text. The class prior is the share of toxic rows among the
+labelled ones; no other label is looked at.
 
 Cases: a null or empty text has no features and gets the score of the bias. A null id is
 scored and never trained on. Rows that repeat are scored alike. Without toxic
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, text_of
+from ._common import cut, slices, text_of
 
 MAX_P = 2_000
 MAX_U = 6_000
@@ -113,14 +114,15 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, seed: int, steps: int = 300
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_p: int = MAX_P, max_u: int = MAX_U) -> Model:
-    """A model from the rows of labels (doc_id, toxic); labels other than toxic = 1 are never looked at, but for the class prior."""
+def train(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = None, max_p: int = MAX_P, max_u: int = MAX_U) -> Model:
+    """A model from the toxic rows of labels (doc_id, toxic) and from unlabelled (doc_id): documents taken as if nothing was known of them, all of docs by default."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     prior = known.agg(F.avg("toxic")).first()[0]
     if not prior:
         return Model()
-    picked = first(known.filter("toxic = 1").select("doc_id").distinct(), max_p).withColumn("p", F.lit(True)).union(first(known.select("doc_id").distinct(), max_u).withColumn("p", F.lit(False)))
+    some = (docs if unlabelled is None else unlabelled).select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    picked = first(known.filter("toxic = 1").select("doc_id").distinct(), max_p).withColumn("p", F.lit(True)).union(first(some, max_u).withColumn("p", F.lit(False)))
     # at most max_p + max_u ids of 9 bytes
     sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").select("p", "text").persist()
 
@@ -181,7 +183,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in texts:
-            yield pa.array([sent.value.score(t) for t in text.to_pylist()], pa.float64())
+            yield pa.array([sent.value.score(t) for part in cut(text) for t in part], pa.float64())
 
     return docs.filter(score(text_of()) < threshold)
 
