@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foretime.llm import exact_dedup, packing, secret_scan, simhash, toxicity
-from foretime.llm._common import materialise, read_table
+from foretime.llm._common import materialise, read_table, released
 from foretime.llm.queries import toxicity_model
 
 
@@ -48,7 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that every stage but the last one kept, with their places.
+
+    Cases are those of the stages: texts that are null or empty, repeated rows, null or repeated ids
+    and ties have defined results in each; empty tables give an empty result; extra columns are carried
+    up to packing. Tables that a stage needed for itself are removed when its result is written.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.lower().replace(" ", "-"))
+        with released(spark):
+            docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
