@@ -1,15 +1,16 @@
 """I-Match document fingerprints.
 
 Built of DataFrame functions only. Terms are the words `[^\\x20\\x09-\\x0D]+` of the lower-cased
-text, hashed into SLOTS slots; the lexicon keeps the slots whose document frequency over the
-whole corpus lies in a band of shares, that is a band of inverse document frequencies. The
-lexicon is a bit map of SLOTS bits, whatever the corpus.
+text, by their 64-bit hash. The lexicon keeps the terms whose document frequency over the whole corpus
+lies in a band of shares, that is a band of inverse document frequencies. A term needs at least the
+lower share, so the lexicon has at most (mean number of distinct terms of a text) / BAND[0] terms,
+however many documents there are; it is broadcast up to MOST_BROADCAST terms and joined beyond.
 
 A fingerprint hashes the sorted distinct lexicon terms of a text: once for the whole lexicon and
-once for each of SUBSETS randomised subsets. A subset is a nested family of random halves, and a
-text is hashed with the smallest half that still holds one of its terms, so that long and short
-texts alike are hashed by few terms and small edits leave most subsets unchanged. Likeness is
-the share of subsets with equal hashes.
+once for each of LEVELS * EACH randomised subsets, which are fixed for the lexicon: a term is in a subset
+of level l with probability 2 ** -(FIRST + l). Large subsets serve texts with few lexicon terms,
+small ones texts with many. Likeness is the share of equal subset hashes, over the levels that are
+sparse for the two texts: those with a subset that holds no term of either.
 
 Cases: a null text counts as empty; a text without lexicon terms, as an empty one, is hashed as
 it is, so it is like equal texts only. Rows of one doc_id are put in order of their text hash, rows
@@ -25,61 +26,85 @@ from pyspark.sql import functions as F
 
 from ._common import NO_ID, materialise, text_of
 
-SLOTS = 1 << 18
-SUBSETS = 8
+#: Subsets: levels, subsets of each, and the power of a half that is the share of the first level.
+LEVELS, EACH, FIRST = 8, 7, 3
+SUBSETS = LEVELS * EACH
 #: Document frequencies of the lexicon, as shares of all documents.
 BAND = (0.001, 0.1)
+#: Terms of a lexicon that is broadcast: 16 bytes each.
+MOST_BROADCAST = 4_000_000
+_EMPTY = "0" * 8
 
 
-def slots_of(text: Column) -> Column:
-    """The slots of a text's terms, repeats included."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
+def words_of(text: Column) -> Column:
+    """The words of a text, repeats included; an empty string may stand at both ends."""
+    return F.split(F.lower(text), r"[\x20\x09-\x0D]+")
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[int]:
-    """The slots in the band as 64-bit words: SLOTS / 64 of them. Counts cover all documents; at most SLOTS rows reach the driver."""
-    n = docs.count()
-    slots = docs.select(F.explode(F.array_distinct(slots_of(text_of()))).alias("slot"))
-    kept = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= F.lit(max(2.0, band[0] * n))) & (F.col("df") <= F.lit(max(2.0, band[1] * n))))
-    words = [0] * (SLOTS // 64)
-    for r in kept.select("slot").collect():
-        words[r["slot"] >> 6] |= 1 << (r["slot"] & 63)
-    return [w - (1 << 64) if w >> 63 else w for w in words]
-
+def _in_subset(term: Column, k: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(term, F.lit(k)), 64 - FIRST - k // EACH) == 0
 
-def terms_of(text: Column, words: list[int]) -> Column:
-    """The sorted distinct lexicon terms of a text."""
-    bits = F.expr("array(" + ",".join(f"{w}L" if w != -(1 << 63) else "(-9223372036854775807L - 1L)" for w in words) + ")")
-    held = lambda t: F.getbit(F.element_at(bits, F.shiftright(t, 6) + 1), t.bitwiseAND(63)) == 1
-    return F.array_sort(F.array_distinct(F.filter(slots_of(text), held)))
 
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+    """term, subsets (a bit for each): the lexicon of docs. Counts cover all documents."""
+    n = docs.count()
+    terms = docs.select(F.explode(F.array_distinct(words_of(text_of()))).alias("word")).filter("word <> ''").select(F.xxhash64("word").alias("term"))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    kept = df.filter((F.col("df") >= F.lit(max(2.0, band[0] * n))) & (F.col("df") <= F.lit(max(2.0, band[1] * n))))
+    bits = [F.when(_in_subset(F.col("term"), k), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(SUBSETS)]
+    subsets = bits[0]
+    for bit in bits[1:]:
+        subsets = subsets.bitwiseOR(bit)
+    return materialise(kept.select("term", subsets.alias("subsets")), "imatch-lexicon")
+
+
+def _hashed(terms: Column) -> Column:
+    return F.lower(F.hex(F.xxhash64(F.transform(terms, lambda x: x["term"]))))
+
+
+def _digests(terms: Column, plain: Column) -> Column:
+    """16 hex digits for the whole lexicon, then 8 for each subset, of terms array<struct<term, subsets>>; without terms those of plain, and all subsets empty."""
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(SUBSETS - 1)),
+        lambda k: F.element_at(
+            F.transform(F.array(F.filter(terms, lambda x: F.getbit(x["subsets"], k) == 1)), lambda held: F.when(F.size(held) == 0, F.lit(_EMPTY)).otherwise(F.substring(F.lpad(_hashed(held), 16, "0"), 9, 8))), 1
+        ),
+    )
+    whole = F.when(F.size(terms) == 0, F.substring(F.lower(F.hex(plain)), 1, 16)).otherwise(F.lpad(_hashed(terms), 16, "0"))
+    return F.concat(whole, F.array_join(each, ""))
 
-def _subset(terms: Column, seed: int) -> Column:
-    """The terms in the smallest random half of the lexicon that holds one of them."""
-    rank = lambda t: F.shiftrightunsigned(F.xxhash64(t, F.lit(seed)), 33)  # noqa: E731  31 random bits
-    # a half holds the ranks below a power of two
-    low = F.array(F.array_min(F.transform(terms, rank)))
-    halves = F.transform(low, lambda r: F.pow(F.lit(2.0), F.floor(F.log2(r + F.lit(1.0))) + 1) - 1)
-    return F.flatten(F.transform(halves, lambda h: F.filter(terms, lambda t: rank(t) < h)))
 
+def _with_terms(rows: DataFrame, words: DataFrame, texts: dict[str, Column], keys: list[str], carried: list[str]) -> DataFrame:
+    """keys, carried, and for each of texts its fingerprint: the words of each text are laid out, meet the lexicon and are gathered for each row again.
 
-def fingerprint(text: Column, words: list[int]) -> Column:
-    """Hex digits: 16 for the whole lexicon, then 8 for each subset. A text without lexicon terms is hashed as it is."""
-    digest = lambda t, n: F.substring(F.md5(F.array_join(t.cast("array<string>"), ",")), 1, n)
-    hashed = lambda t: F.concat(digest(t, 16), *[digest(_subset(t, k), 8) for k in range(SUBSETS)])
-    plain = F.substring(F.repeat(F.md5(text), 1 + SUBSETS // 4), 1, 16 + 8 * SUBSETS)
-    # a lambda over one value: the terms are computed once
-    return F.element_at(F.transform(F.array(terms_of(text, words)), lambda t: F.when(F.size(t) > 0, hashed(t)).otherwise(plain)), 1)
+    `keys` must tell rows apart. Where rows are dealt by some of the keys already, gathering needs no other shuffle.
+    """
+    names = list(texts)
+    plain = ["plain_" + name for name in names]
+    rows = rows.withColumns({p: F.unhex(F.md5(c)) for p, c in zip(plain, texts.values())})
+    laid = rows.select(*keys, F.struct(*carried, *plain).alias("meta"), F.explode(F.array(*[F.struct(F.lit(k).alias("which"), c.alias("text")) for k, c in enumerate(texts.values())])).alias("one"))
+    laid = laid.select(*keys, "meta", F.col("one.which").alias("which"), F.posexplode(words_of(F.col("one.text"))).alias("place", "word"))
+    laid = laid.select(*keys, "meta", "which", "place", F.xxhash64("word").alias("term"))
+    # the first word stays in any case, so that no row is lost
+    met = laid.join(F.broadcast(words) if words.count() <= MOST_BROADCAST else words, "term", "left").filter("subsets IS NOT NULL OR place = 0")
+    hit = lambda k: F.when((F.col("which") == k) & F.col("subsets").isNotNull(), F.struct("term", "subsets"))
+    gathered = met.groupBy(*keys).agg(F.first("meta").alias("meta"), *[F.sort_array(F.collect_set(hit(k))).alias("terms_" + name) for k, name in enumerate(names)])
+    return gathered.select(*keys, *[F.col("meta." + c).alias(c) for c in carried], *[_digests(F.col("terms_" + name), F.col("meta.plain_" + name)).alias(name) for name in names])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of subsets with equal hashes."""
-    return sum(((F.substring(a, 17 + 8 * k, 8) == F.substring(b, 17 + 8 * k, 8)).cast("double") for k in range(SUBSETS)), F.lit(0.0)) / SUBSETS
+    """The share of equal hashes among the subsets with terms, over the levels in which some subset has none of either text; without such subsets 1 for equal fingerprints, else 0."""
+    of = lambda c, k: F.substring(c, k * 8 + 17, F.lit(8))
+    told = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.when(of(a, k) != of(b, k), 1).when(of(a, k) == _EMPTY, 0).otherwise(2))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.slice(told, k * EACH + 1, F.lit(EACH)))
+    sparse = F.flatten(F.filter(levels, lambda x: F.array_contains(x, 0)))
+    share = lambda x: F.when(F.array_contains(x, 1) | F.array_contains(x, 2), F.size(F.filter(x, lambda t: t == 2)) / F.size(F.filter(x, lambda t: t > 0)))
+    # a lambda over one value: the comparison is made once
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.element_at(F.transform(F.array(sparse), share), 1), F.lit(0.0)))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of()).alias("tie"), text_of().alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text_of()).alias("tie"), text_of().alias("text"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -107,13 +132,14 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return linked.select("id", "tie", F.col("next.id").alias("next_id"), F.col("next.tie").alias("next_tie"), F.col("prev.id").alias("prev_id"), F.col("prev.tie").alias("prev_tie"), F.col("prev.chars").alias("prev_chars"))
 
 
-def fingerprints(docs: DataFrame, words: list[int]) -> DataFrame:
-    """doc_id, fingerprint: a row for each row of docs."""
-    return docs.select("doc_id", fingerprint(text_of(), words).alias("fingerprint"))
+def fingerprints(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id, fingerprint: a row for each row of docs, by the lexicon words."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
+    return _with_terms(rows, words, {"fingerprint": F.col("text")}, ["row"], ["doc_id"]).select("doc_id", "fingerprint")
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """id, tie, next_id, next_tie, text, edited: the last quarter of the text is replaced by the beginning of the next document.
+    """id, no_id, tie, next_id, next_tie, text, edited: the last quarter of the text is replaced by the beginning of the next document.
 
     Each text is shuffled once, by its id; what of it goes to the document before is a quarter of that one's length at most.
     """
@@ -122,26 +148,20 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     heads = texts.select(F.col("prev_id").alias("id"), F.col("prev_tie").alias("tie"), F.expr("left(text, cast(prev_chars div 4 as int))").alias("head"))
     heads = heads.groupBy("id", "tie").agg(F.first("head").alias("head"))  # rows that repeat have equal heads
     edited = F.concat(F.expr("left(text, cast(char_length(text) - char_length(text) div 4 as int))"), F.coalesce("head", F.lit("")))
-    return texts.join(heads, ["id", "tie"], "left").select("id", "tie", "next_id", "next_tie", "text", edited.alias("edited"))
+    return texts.join(heads, ["id", "tie"], "left").select("id", "no_id", "tie", "next_id", "next_tie", "text", edited.alias("edited"))
 
 
 def edit_study(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: how alike are a document's fingerprint and those of its edited text and of the next document."""
     words = lexicon(docs, band)
-    made = edited_texts(docs).select(
-        "id",
-        "tie",
-        "next_id",
-        "next_tie",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text"), words).alias("fingerprint"),
-        fingerprint(F.col("edited"), words).alias("edited_fingerprint"),
+    texts = edited_texts(docs).withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("edited", 256), "row": F.monotonically_increasing_id()})
+    made = _with_terms(
+        texts, words, {"fingerprint": F.col("text"), "edited_fingerprint": F.col("edited")}, ["id", "tie", "row"], ["no_id", "next_id", "next_tie", "n_chars", "edited_sha256"]
     )
-    made = materialise(made, "imatch-prints")
+    made = materialise(made.drop("row"), "imatch-prints")
     following = made.groupBy(F.col("id").alias("next_id"), F.col("tie").alias("next_tie")).agg(F.first("fingerprint").alias("next_fingerprint"))
     return made.join(following, ["next_id", "next_tie"]).select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         "fingerprint",

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import struct
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from foretime.llm import exact_dedup, imatch, queries, simhash, url_filter
@@ -104,11 +106,65 @@ def test_imatch_edits_follow_the_definition(odd, odd_rows):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+def spark_hash(*values, seed=42):
+    """Spark's xxhash64 of longs, ints (as 1-tuples) and strings, one after the other."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_prints_of(rows, edits, band):
+    """Fingerprints of rows and edits by the lexicon of rows."""
+    terms = lambda t: {spark_hash(w) for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w}
+    df = Counter(x for t in rows for x in terms(t))
+    kept = {x for x, n in df.items() if max(2, band[0] * len(rows)) <= n <= max(2, band[1] * len(rows))}
+    digits = lambda ts: f"{spark_hash(*sorted(ts)) % 2**64:016x}"
+    holds = {x: [spark_hash(x, (k,)) % 2**64 >> (64 - imatch.FIRST - k // imatch.EACH) == 0 for k in range(imatch.SUBSETS)] for x in kept}
+    out = []
+    for t in rows + edits:
+        own = terms(t) & kept
+        subsets = [[x for x in own if holds[x][k]] for k in range(imatch.SUBSETS)]
+        out.append((digits(own) if own else hashlib.md5(t.encode()).hexdigest()[:16]) + "".join(digits(x)[8:] if x else "0" * 8 for x in subsets))
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    cut = lambda p: [p[16 + 8 * k : 24 + 8 * k] for k in range(imatch.SUBSETS)]
+    pairs = list(zip(cut(a), cut(b)))
+    levels = [pairs[k : k + imatch.EACH] for k in range(0, imatch.SUBSETS, imatch.EACH)]
+    held = [p for level in levels if ("0" * 8, "0" * 8) in level for p in level if p != ("0" * 8, "0" * 8)]
+    return sum(x == y for x, y in held) / len(held) if held else 0.0
+
+
+def test_imatch_equals_brute_force(odd, odd_rows, monkeypatch):
+    band = (0.0, 0.2)
+    docs = sorted({(r[0], r[1] or "") for r in odd_rows if r[0] is not None and "\u0130" not in (r[1] or "")})
+    texts = [t for _, t in docs]
+    edits = [t[: len(t) - len(t) // 4] + texts[(k + 1) % len(texts)][: len(t) // 4] for k, t in enumerate(texts)]
+    # the lexicon counts the rows of the table, repeated ones too
+    rows = [r[1] or "" for r in odd_rows if r[0] is not None]
+    prints = dict(zip(rows + edits, brute_prints_of(rows, edits, band)))
+    for most in (imatch.MOST_BROADCAST, 0):  # the lexicon is broadcast or joined
+        monkeypatch.setattr(imatch, "MOST_BROADCAST", most)
+        got = imatch.edit_study(odd.filter("doc_id IS NOT NULL").select("text", "doc_id", "key"), band).collect()
+        assert len(got) == len(rows)
+        at = {(i, hashlib.sha256(e.encode()).hexdigest()): k for k, ((i, _), e) in enumerate(zip(docs, edits))}
+        for r in got:
+            k = at[(r["doc_id"], r["edited_sha256"])]
+            own, edit, following = prints[texts[k]], prints[edits[k]], prints[texts[(k + 1) % len(texts)]]
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (own, edit)
+            assert abs(r["near_edited"] - brute_likeness(own, edit)) < 1e-9 and abs(r["near_next"] - brute_likeness(own, following)) < 1e-9
+
+
 def test_imatch_equal_texts_have_equal_fingerprints(odd, odd_rows):
     made = imatch.fingerprints(odd, imatch.lexicon(odd, (0.0, 0.2))).join(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "doc_id").collect()
     by = defaultdict(set)
     for r in made:
         by[r["t"]].add(r["fingerprint"])
+    assert imatch.fingerprints(odd, imatch.lexicon(odd)).count() == len(odd_rows)
     assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) > 30
 
 
