@@ -22,12 +22,10 @@ ignored by `find_secrets` and carried along by `mask_secrets`.
 
 from __future__ import annotations
 
-import math
 import operator
 import random
 import re
 import string
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +49,9 @@ _CORE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: Words that the field looks for next to a token.
 TELLING = ("key", "auth", "bearer", "credential", "private", "access", "login", "pass", "pwd", "signature", *NAMES)
 PLAIN = ("phone", "tel", "call", "card", "date", "version", "page", "id", "order", "issue", "chapter", "mail", "isbn", "year")
+_TELLING, _NAMED = re.compile("|".join(TELLING)), re.compile("|".join(NAMES))
+_NUMBER, _LETTERS, _SIGNS = re.compile(r"[\d.,:/+()#-]+"), re.compile("[A-Za-z]{8}"), re.compile("[+/=]")
+_PREFIXED = re.compile(r"[\"']?(AKIA|[a-z]{2,3}_[a-z]*_?[A-Za-z0-9]{8})")
 OUT, BEGIN, INSIDE = range(3)
 #: Sequences made for training, and the steps.
 SEQUENCES, STEPS = 2_000, 120
@@ -77,32 +78,32 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 def shape(token: str) -> list[str]:
     """The features of a token by itself."""
     core = "".join(_CORE.findall(token))
-    n, counts = len(core), Counter(core)
+    n, signs = len(core), set(core)
     upper, lower = core != core.lower(), core != core.upper()
-    digits = sum(k for c, k in counts.items() if c in string.digits)
+    digits = sum(map(core.count, string.digits)) if not core.isalpha() else 0
     digit = digits > 0
     length = min(n // 4, 12)
-    entropy = -sum([k / n * math.log2(k / n) for k in counts.values()]) if n else 0.0
     kinds = core[:64].translate(_KINDS)
     turns = sum(map(operator.ne, kinds, kinds[1:])) / max(1, len(kinds) - 1)
-    hexed = n > 0 and _HEXED.issuperset(counts)
+    hexed = n > 0 and _HEXED.issuperset(signs)
     out = [
         "bias",
         f"mix{lower:d}{upper:d}{digit:d}",
         f"len{length}",
         f"mix{lower:d}{upper:d}{digit:d}len{min(length, 6)}",
-        f"entropy{min(int(entropy * 2), 10)}",
+        f"distinct{min(len(signs) // 3, 9)}",
+        f"distinct{min(len(signs) // 3, 9)}len{min(length, 6)}",
         f"turns{int(turns * 5)}",
         f"digits{int(5 * digits / n) if n else 0}",
         f"hex{hexed:d}{min(length, 6)}",
     ]
-    out += ["allnumber"] * bool(re.fullmatch(r"[\d.,:/+()#-]+", token.strip("\"'")))
-    out += ["mail"] * ("@" in token) + ["url"] * ("://" in token or token.startswith("www.")) + ["words"] * bool(re.search(r"[A-Za-z]{8}", core) and digits < 3)
-    out += ["named"] * any(x in token.lower() for x in NAMES) + ["prefixed"] * bool(re.match(r"[\"']?(AKIA|[a-z]{2,3}_[a-z]*_?[A-Za-z0-9]{8})", token))
+    out += ["allnumber"] * bool(_NUMBER.fullmatch(token.strip("\"'")))
+    out += ["mail"] * ("@" in token) + ["url"] * ("://" in token or token.startswith("www.")) + ["words"] * bool(digits < 3 and _LETTERS.search(core))
+    out += ["named"] * bool(_NAMED.search(token.lower())) + ["prefixed"] * bool(_PREFIXED.match(token))
     out += ["quoted"] * (token[:1] in "\"'")
     if not digit:  # words have at most a first capital, or capitals only
         low, rest = token.lower(), token.lstrip("\"'([{<*_-#")[1:]
-        out += ["cased"] * (token in (low, token.upper()) or rest == rest.lower()) + ["signs"] * bool(re.search(r"[+/=]", core)) + ["foreign"] * (not token.isascii())
+        out += ["cased"] * (token in (low, token.upper()) or rest == rest.lower()) + ["signs"] * bool(_SIGNS.search(core)) + ["foreign"] * (not token.isascii())
     return out
 
 
@@ -111,7 +112,20 @@ def near_word(token: str, at: str) -> list[str]:
     low = token.lower().strip("\"'.,;()")
     out = [f"{at}sign"] * (low in ("=", ":", ":=", "=>")) + [f"{at}ends"] * (low[-1:] in ("=", ":") and len(low) > 1)
     low = low.rstrip("=:")
-    return out + [f"{at}telling"] * any(x in low for x in TELLING) + [f"{at}plain"] * (low in PLAIN) + [f"{at}digit"] * bool(_DIGIT.search(low)) + [f"{at}none"] * (not token)
+    return out + [f"{at}telling"] * bool(_TELLING.search(low)) + [f"{at}plain"] * (low in PLAIN) + [f"{at}digit"] * bool(_DIGIT.search(low)) + [f"{at}none"] * (not token)
+
+
+def plain_form(token: str) -> tuple | None:
+    """For words of letters, small but for the first, with a comma or full stop or without: all that the features of such a token depend on."""
+    body = token[:-1] if token[-1:] in (".", ",") else token
+    if not (body.isalpha() and (body.islower() or body[1:].islower())):
+        return None
+    low, core = body.lower(), body.encode("ascii", "ignore").decode()
+    if low == "www":
+        return None
+    signs = set(core)
+    telling = bool(_TELLING.search(low))
+    return token[len(body) :], body.isascii(), core[:1].isupper(), len(core), len(signs), _HEXED.issuperset(signs), telling, telling and bool(_NAMED.search(low)), low in PLAIN
 
 
 def file_features(text: str) -> list[str]:
@@ -161,7 +175,7 @@ class Scores:
 
     def __init__(self, model: Field):
         self.model = model
-        self.known: dict[tuple, np.ndarray] = {}  # by features, of which there are few combinations
+        self.known: dict[tuple, np.ndarray] = {}  # by form or features, of which there are few
         self.clear()
 
     def clear(self) -> None:
@@ -173,10 +187,11 @@ class Scores:
         k = self.row[token] = len(self.row)
         if k == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        own, near = tuple(shape(token)), tuple(near_word(token, ""))
-        scores = self.known.get((own, near))
+        form = plain_form(token) or (tuple(shape(token)), tuple(near_word(token, "")))
+        scores = self.known.get(form)
         if scores is None:
-            scores = self.known[own, near] = np.array([self.model.emission(own), *(self.model.emission([at + x for x in near]) for at in ("b", "bb", "a"))])
+            own, near = shape(token), near_word(token, "")
+            scores = self.known[form] = np.array([self.model.emission(own), *(self.model.emission([at + x for x in near]) for at in ("b", "bb", "a"))])
         self.table[k] = scores
         return k
 
