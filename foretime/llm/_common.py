@@ -78,10 +78,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
         step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
-
-
-def cut(texts: pa.Array) -> Iterator[list]:
-    """The texts as Python lists, of about SLICE_BYTES each."""
-    step = max(1, int(len(texts) * SLICE_BYTES / max(1, texts.nbytes)))
-    for at in range(0, len(texts), step):
-        yield texts.slice(at, step).to_pylist()

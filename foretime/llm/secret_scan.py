@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, slices, text_of
+from ._common import slices, text_of
 
 KINDS = ("assign", "access", "hex", "crf")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -375,12 +375,14 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def mask_secrets(docs: DataFrame, model: Field) -> DataFrame:
     """docs with MASK in place of every secret; a null text stays null. n_chars, if there, is the new length; other columns stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
-    @F.arrow_udf("string")
-    def mask(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(sent.value)
-        for text in texts:
-            yield pa.array([None if t is None else masked(t, scan(t, sent.value, scores)) for part in cut(text) for t in part], pa.string())
+        for batch in slices(batches, at):
+            texts = pa.array([None if t is None else masked(t, scan(t, sent.value, scores)) for t in batch.column(at).to_pylist()], batch.column(at).type)
+            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
-    out = docs.withColumn("text", mask(F.col("text")))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -9,18 +9,20 @@ documents of a connected component are one group.
 Search. Equal fingerprints are one node first, so copies cost nothing. Every node is
 put under several keys, each a subset of the bits: nodes under one key form a shard,
 and a BK-tree over the shard (children keyed by their distance to the parent; a search
-follows the edges within the radius alone) finds who links. For small radii the bits
-are cut into bands and the keys are combinations of bands, so that two nodes within the
-radius share at least one key: the search is exact. For large radii the keys are
-random subsets, as many as find a pair at RECALL_SHARE of its bits with 95 %; only
-`near_groups` called with such a radius searches that way, no query does.
+follows the edges within the radius alone) finds who links. The bits are cut into bands
+and the keys are combinations of bands, so that two nodes within the radius share at
+least one key: the search is exact for every radius and number of nodes. How many bands
+there are follows the number of nodes, so that shards stay small where few keys allow it;
+with a wide radius shards are large and their parts many.
 A shard of over SHARD nodes is dealt into parts, a tree over every two parts, so no
 tree has over about 2 * SHARD nodes, however large a group, and no pair is missed.
 A tree gives links that connect what it holds, not all pairs.
 
 `drop_near_duplicates` links two texts when their fingerprints are within the radius and
 their sets of shingles have a Jaccard similarity of SIMILAR or more, compared on the whole
-texts. Its search loses no such pair, at any number of texts: sets so alike share one of
+texts. At that similarity
+about 19 of 128 bits differ, with a deviation of 4 to 5, so the radius of 36 is four deviations away. At such a
+radius a BK-tree skips no edge, so shards are compared in blocks. The search loses no such pair, at any number of texts: sets so alike share one of
 the smallest (1 - SIMILAR) * size + 1 hashes of each, so texts meet under those hashes
 (prefix filter). Texts that meet in a shard, differ little enough in size and are within the
 radius are candidates. They are compared in rounds, a few for each text of a shard first;
@@ -38,7 +40,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -54,8 +55,8 @@ from ._components import components
 
 #: Nodes in one part of a shard.
 SHARD = 4096
-#: Share of differing bits at which random keys still find 95 % of the pairs.
-RECALL_SHARE = 0.14
+#: Keys of a node.
+MOST_KEYS = 500
 #: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
 SIMILAR = (4, 5)
 #: Candidates for each text of a shard in the first round, and how many times more in each next one.
@@ -66,7 +67,7 @@ FEW, MORE = 4, 16
 class Params:
     words: int = 5
     bits: int = 128  # 64: XXH64, 128: XXH3
-    radius: int = 26  # of 128 bits: an estimated cosine of 0.8, that is a Jaccard similarity about 0.7 to 0.8
+    radius: int = 36  # of 128 bits
     seed: int = 42
 
 
@@ -112,16 +113,13 @@ def fingerprints(docs: DataFrame, p: Params = NEAR) -> DataFrame:
 
 
 def key_masks(nodes: int, p: Params) -> list[int]:
-    """The bits of each key. Bands while they and their combinations are few: with b bands, two fingerprints within the radius agree on b - radius of them at least."""
+    """The bits of each key. With b bands, two fingerprints within the radius agree on b - radius of them at least; b is the least that gives keys of enough bits for so many nodes, or the largest with at most MOST_KEYS keys."""
     want = max(18, math.ceil(math.log2(max(2, nodes))))
-    edges = lambda b: [round(p.bits * k / b) for k in range(b + 1)]
-    for b in range(p.radius + 1, p.radius + 5):
-        if math.comb(b, p.radius) <= 200 and p.bits * (b - p.radius) / b >= want:
-            bands = [((1 << hi) - (1 << lo)) for lo, hi in itertools.pairwise(edges(b))]
-            return [sum(x) for x in itertools.combinations(bands, b - p.radius)]
-    rnd = random.Random(p.seed)
-    many = math.ceil(3 / (1 - RECALL_SHARE) ** want)
-    return [sum(1 << k for k in rnd.sample(range(p.bits), want)) for _ in range(many)]
+    fitting = [b for b in range(p.radius + 1, p.bits + 1) if math.comb(b, p.radius) <= MOST_KEYS] or [p.radius + 1]
+    b = next((b for b in fitting if p.bits * (b - p.radius) / b >= want), fitting[-1])
+    edges = [round(p.bits * k / b) for k in range(b + 1)]
+    bands = [((1 << hi) - (1 << lo)) for lo, hi in itertools.pairwise(edges)]
+    return [sum(x) for x in itertools.combinations(bands, b - p.radius)]
 
 
 class BKTree:

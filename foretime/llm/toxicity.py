@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, slices, text_of
+from ._common import slices, text_of
 
 MAX_P = 2_000
 MAX_U = 6_000
@@ -50,6 +50,7 @@ CLASSIFIERS = 3
 #: Entries of a task's table of words.
 TABLE_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
+_NONE: list[str] = []
 
 
 def _grams(word: str) -> list[str]:
@@ -86,7 +87,7 @@ class Model:
         if found is None:
             if len(self._table) > TABLE_WORDS:
                 self._table.clear()
-            found = self._table[word] = [g for g in _grams(word) if g in self._grams]
+            found = self._table[word] = [g for g in _grams(word) if g in self._grams] or _NONE
         return found
 
     def score(self, text: str) -> float:
@@ -179,13 +180,14 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score under threshold; all columns stay as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
-    @F.arrow_udf("double")
-    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for text in texts:
-            yield pa.array([sent.value.score(t) for part in cut(text) for t in part], pa.float64())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array([sent.value.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.filter(score(text_of()) < threshold)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):
