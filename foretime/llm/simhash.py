@@ -21,8 +21,8 @@ A tree gives links that connect what it holds, not all pairs.
 `drop_near_duplicates` links two texts when their fingerprints are within the radius and
 their sets of shingles have a Jaccard similarity of SIMILAR or more, compared on the whole
 texts. At that similarity
-about 19 of 128 bits differ, with a deviation of 4 to 5, so the radius of 36 is four deviations away. At such a
-radius a BK-tree skips no edge, so shards are compared in blocks. The search loses no such pair, at any number of texts: sets so alike share one of
+about 19 of 128 bits differ, with a deviation of 4 to 5, so the radius of 26 takes in 19 of 20 pairs at exactly 0.8
+and nearly all that are more alike. At such a radius a BK-tree skips no edge, so shards are compared in blocks. The search loses no such pair, at any number of texts: sets so alike share one of
 the smallest (1 - SIMILAR) * size + 1 hashes of each, so texts meet under those hashes
 (prefix filter). Texts that meet in a shard, differ little enough in size and are within the
 radius are candidates. They are compared in rounds, a few for each text of a shard first;
@@ -41,13 +41,14 @@ import hashlib
 import itertools
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import NO_ID, materialise, slices, text_of
@@ -59,6 +60,8 @@ SHARD = 4096
 MOST_KEYS = 500
 #: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
 SIMILAR = (4, 5)
+#: Pairs of whole texts handed to Python at once.
+PAIRS = 64
 #: Candidates for each text of a shard in the first round, and how many times more in each next one.
 FEW, MORE = 4, 16
 
@@ -67,7 +70,7 @@ FEW, MORE = 4, 16
 class Params:
     words: int = 5
     bits: int = 128  # 64: XXH64, 128: XXH3
-    radius: int = 36  # of 128 bits
+    radius: int = 26  # of 128 bits
     seed: int = 42
 
 
@@ -366,6 +369,18 @@ def shingles(text: bytes, w: int) -> set[bytes]:
     return {b" ".join(words[k : k + w]) for k in range(max(1, len(words) - w + 1))} if words else set()
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows: for rows that are long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose whole texts have a similarity of SIMILAR or more."""
     needed = pairs.select("a").union(pairs.select("b")).distinct().toDF("row")
@@ -398,7 +413,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame | None
         more, pairs = not made.filter("a IS NULL").isEmpty(), made.filter("a IS NOT NULL")
         new = pairs if tested is None else materialise(pairs.join(tested, ["a", "b"], "left_anti"), "simhash-candidates")
         if not new.isEmpty():
-            alike = materialise(_alike(new, docs, p), "simhash-alike")
+            with _batches_of(docs.sparkSession, PAIRS):
+                alike = materialise(_alike(new, docs, p), "simhash-alike")
             tested = new if tested is None else tested.unionByName(new)
             links = alike if links is None else links.unionByName(alike)
             found = materialise(components(links), "simhash-found")
