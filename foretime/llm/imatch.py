@@ -4,7 +4,8 @@ Built of DataFrame functions only. Terms are the words `[^\\x20\\x09-\\x0D]+` of
 text, by their 64-bit hash. The lexicon keeps the terms whose document frequency over the whole corpus
 lies in a band of shares, that is a band of inverse document frequencies. A term needs at least the
 lower share, so the lexicon has at most (mean number of distinct terms of a text) / BAND[0] terms,
-however many documents there are; it is broadcast up to MOST_BROADCAST terms and joined beyond.
+however many documents there are. Up to MOST_SLOTTED terms it is part of the expressions, as a constant
+hash table in which a term has two places; beyond, words are laid out and joined with it.
 
 A fingerprint hashes the sorted distinct lexicon terms of a text: once for the whole lexicon and
 once for each of LEVELS * EACH randomised subsets, which are fixed for the lexicon: a term is in a subset
@@ -21,6 +22,8 @@ result. Other columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ LEVELS, EACH, FIRST = 8, 7, 3
 SUBSETS = LEVELS * EACH
 #: Document frequencies of the lexicon, as shares of all documents.
 BAND = (0.001, 0.1)
-#: Terms of a lexicon that is broadcast: 16 bytes each.
-MOST_BROADCAST = 4_000_000
+#: Terms of a lexicon that is sent with the expressions: about 64 bytes each.
+MOST_SLOTTED = 200_000
 _EMPTY = "0" * 8
 
 
@@ -74,21 +77,66 @@ def _digests(terms: Column, plain: Column) -> Column:
     return F.concat(whole, F.array_join(each, ""))
 
 
-def _with_terms(rows: DataFrame, words: DataFrame, texts: dict[str, Column], keys: list[str], carried: list[str]) -> DataFrame:
-    """keys, carried, and for each of texts its fingerprint: the words of each text are laid out, meet the lexicon and are gathered for each row again.
-
-    `keys` must tell rows apart. Where rows are dealt by some of the keys already, gathering needs no other shuffle.
-    """
+@dataclass(frozen=True)
+class Slots:
+    """A lexicon as a constant hash table: terms and their subsets by slot, numbers joined by commas. A term is at one of its two places."""
+
+    size: int
+    terms: str
+    subsets: str
+
+    @staticmethod
+    def of(words: dict[int, int]) -> Slots:
+        """The table of words (term -> subsets), by cuckoo hashing; its size is a power of two."""
+        size = 1 << max(4, (4 * len(words)).bit_length())
+        while True:
+            slots: dict[int, int] = {}
+            if all(Slots._place(slots, term, size) for term in words):
+                break
+            size *= 2
+        # a free slot holds a number that belongs elsewhere, so no term is ever found there
+        free = [(k + 1) % size * ((1 << 20) + 1) for k in range(size)]
+        return Slots(size, ",".join(str(slots.get(k, free[k])) for k in range(size)), ",".join(str(words[slots[k]] if k in slots else 0) for k in range(size)))
+
+    @staticmethod
+    def _place(slots: dict[int, int], term: int, size: int) -> bool:
+        at = term % size
+        for _ in range(200):
+            term, slots[at] = slots.get(at), term
+            if term is None:
+                return True
+            at = (term >> 20) % size if term % size == at else term % size
+        return False
+
+    def found(self, text: Column) -> Column:
+        """The sorted distinct terms of a text that the table holds, with their subsets."""
+        terms, subsets = (F.split(F.lit(x), ",").cast("array<long>") for x in (self.terms, self.subsets))
+        places = lambda t: (F.pmod(t, F.lit(self.size)).cast("int") + 1, F.pmod(F.shiftright(t, 20), F.lit(self.size)).cast("int") + 1)
+        hashes = F.transform(F.array_distinct(F.filter(words_of(text), lambda w: w != "")), lambda w: F.xxhash64(w))
+        held = F.filter(hashes, lambda t: (F.element_at(terms, places(t)[0]) == t) | (F.element_at(terms, places(t)[1]) == t))
+        of = lambda t: F.when(F.element_at(terms, places(t)[0]) == t, F.element_at(subsets, places(t)[0])).otherwise(F.element_at(subsets, places(t)[1]))
+        return F.sort_array(F.transform(held, lambda t: F.struct(t.alias("term"), of(t).alias("subsets"))))
+
+    def fingerprint(self, text: Column) -> Column:
+        # a lambda over one value: the terms are found once
+        return F.element_at(F.transform(F.array(self.found(text)), lambda terms: _digests(terms, F.unhex(F.md5(text)))), 1)
+
+
+def _with_prints(rows: DataFrame, words: DataFrame, texts: dict[str, Column], keys: list[str], carried: list[str]) -> DataFrame:
+    """keys, carried, and for each of texts its fingerprint by the lexicon words. `keys` must tell rows apart."""
+    if words.count() <= MOST_SLOTTED:
+        slots = Slots.of({r["term"]: r["subsets"] for r in words.collect()})
+        return rows.select(*keys, *carried, *[slots.fingerprint(c).alias(name) for name, c in texts.items()])
+    # the words of each text are laid out, meet the lexicon and are gathered for each row again
     names = list(texts)
     plain = ["plain_" + name for name in names]
     rows = rows.withColumns({p: F.unhex(F.md5(c)) for p, c in zip(plain, texts.values())})
     laid = rows.select(*keys, F.struct(*carried, *plain).alias("meta"), F.explode(F.array(*[F.struct(F.lit(k).alias("which"), c.alias("text")) for k, c in enumerate(texts.values())])).alias("one"))
-    laid = laid.select(*keys, "meta", F.col("one.which").alias("which"), F.posexplode(words_of(F.col("one.text"))).alias("place", "word"))
-    laid = laid.select(*keys, "meta", "which", "place", F.xxhash64("word").alias("term"))
-    # the first word stays in any case, so that no row is lost
-    met = laid.join(F.broadcast(words) if words.count() <= MOST_BROADCAST else words, "term", "left").filter("subsets IS NOT NULL OR place = 0")
+    laid = laid.select(*keys, "meta", F.col("one.which").alias("which"), F.posexplode(F.array_distinct(words_of(F.col("one.text")))).alias("place", "word"))
+    # the first word stays in any case, so that no row is lost, and it alone carries what belongs to the row
+    met = laid.select(*keys, F.when(F.col("place") == 0, F.col("meta")).alias("meta"), "which", "place", F.xxhash64("word").alias("term")).join(words, "term", "left").filter("subsets IS NOT NULL OR place = 0")
     hit = lambda k: F.when((F.col("which") == k) & F.col("subsets").isNotNull(), F.struct("term", "subsets"))
-    gathered = met.groupBy(*keys).agg(F.first("meta").alias("meta"), *[F.sort_array(F.collect_set(hit(k))).alias("terms_" + name) for k, name in enumerate(names)])
+    gathered = met.groupBy(*keys).agg(F.first("meta", ignorenulls=True).alias("meta"), *[F.sort_array(F.collect_list(hit(k))).alias("terms_" + name) for k, name in enumerate(names)])
     return gathered.select(*keys, *[F.col("meta." + c).alias(c) for c in carried], *[_digests(F.col("terms_" + name), F.col("meta.plain_" + name)).alias(name) for name in names])
 
 
@@ -135,7 +183,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, words: DataFrame) -> DataFrame:
     """doc_id, fingerprint: a row for each row of docs, by the lexicon words."""
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
-    return _with_terms(rows, words, {"fingerprint": F.col("text")}, ["row"], ["doc_id"]).select("doc_id", "fingerprint")
+    return _with_prints(rows, words, {"fingerprint": F.col("text")}, ["row"], ["doc_id"]).select("doc_id", "fingerprint")
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
@@ -155,7 +203,7 @@ def edit_study(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: how alike are a document's fingerprint and those of its edited text and of the next document."""
     words = lexicon(docs, band)
     texts = edited_texts(docs).withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("edited", 256), "row": F.monotonically_increasing_id()})
-    made = _with_terms(
+    made = _with_prints(
         texts, words, {"fingerprint": F.col("text"), "edited_fingerprint": F.col("edited")}, ["id", "tie", "row"], ["no_id", "next_id", "next_tie", "n_chars", "edited_sha256"]
     )
     made = materialise(made.drop("row"), "imatch-prints")

@@ -1,8 +1,10 @@
 """URL filter, exact dedup, I-Match."""
 
 import hashlib
+import random
 import re
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -84,12 +86,30 @@ def test_urls_are_split_and_ruled_as_defined(spark):
         assert r["verdict"] == (queries.RULES[r["rule"]] if r["rule"] else "allow")
 
 
-def test_url_model_tells_seed_words(spark):
+def test_url_model_on_held_out_hosts(spark):
+    """Hosts of which no url was trained on; the figures are in the README."""
+    rows = [tuple(r) for r in url_filter.seed_urls(spark).collect()]
+    hosts = [split_url(url)[0] for url, _ in rows]
+    scored = {}
+    for fold in range(3):
+        held = [k for k, h in enumerate(hosts) if zlib.crc32(h.encode()) % 3 == fold]
+        model = url_filter.train(spark.createDataFrame([r for k, r in enumerate(rows) if k not in set(held)], "url string, bad int"))
+        pages = spark.createDataFrame([(k, rows[k][0], "x", -1.0) for k in held], "page_id long, url string, verdict string, score double")  # names that clash
+        scored |= {r["page_id"]: r["score"] for r in url_filter.judge(pages, {}, model).collect()}
+    assert len(scored) == len(rows)
+    bad, good = [scored[k] for k, r in enumerate(rows) if r[1]], [scored[k] for k, r in enumerate(rows) if not r[1]]
+    auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(bad) / len(good)
+    print("auc", auc, "bad blocked", sum(b >= 0.5 for b in bad) / len(bad), "good blocked", sum(g >= 0.5 for g in good) / len(good))
+    assert auc > 0.93 and sum(b >= 0.5 for b in bad) / len(bad) > 0.75 and sum(g >= 0.5 for g in good) / len(good) < 0.06
+
+
+def test_url_model_cases(spark):
     model = url_filter.train(url_filter.seed_urls(spark))
-    pages = spark.createDataFrame([(1, "http://www.best-casino.example.com/en/3"), (2, "http://www.cheap-viagra.example.net/4"), (3, "http://city-library.example.org/en/3"), (4, "http://thereon.example.com/de/4")], "page_id long, url string")
+    pages = spark.createDataFrame([(1, "http://freecasino-slots.net/spin"), (2, "http://www.cheap-viagra.biz/4"), (3, "http://city-library.example.org/en/3"), (4, "http://thereon.example.com/de/4"), (5, None)], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, {}, model).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
     assert url_filter.train(spark.createDataFrame([(None, 1), ("http://a", None)], "url string, bad int")) == url_filter.Model()
+    assert url_filter.train(spark.createDataFrame([("http://a", 1)], "url string, bad int")) == url_filter.Model()
     assert url_filter.judge(pages.limit(0), {}, model).count() == 0
 
 
@@ -147,8 +167,8 @@ def test_imatch_equals_brute_force(odd, odd_rows, monkeypatch):
     # the lexicon counts the rows of the table, repeated ones too
     rows = [r[1] or "" for r in odd_rows if r[0] is not None]
     prints = dict(zip(rows + edits, brute_prints_of(rows, edits, band)))
-    for most in (imatch.MOST_BROADCAST, 0):  # the lexicon is broadcast or joined
-        monkeypatch.setattr(imatch, "MOST_BROADCAST", most)
+    for most in (imatch.MOST_SLOTTED, 0):  # the lexicon is a constant table or joined
+        monkeypatch.setattr(imatch, "MOST_SLOTTED", most)
         got = imatch.edit_study(odd.filter("doc_id IS NOT NULL").select("text", "doc_id", "key"), band).collect()
         assert len(got) == len(rows)
         at = {(i, hashlib.sha256(e.encode()).hexdigest()): k for k, ((i, _), e) in enumerate(zip(docs, edits))}
@@ -168,6 +188,17 @@ def test_imatch_equal_texts_have_equal_fingerprints(odd, odd_rows):
     assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) > 30
 
 
+def test_slots_hold_each_term_at_one_of_its_places():
+    rnd = random.Random(3)
+    words = {rnd.getrandbits(64) - (1 << 63): k for k in range(3000)} | {0: 1, 1: 2, -1: 3}
+    slots = imatch.Slots.of(words)
+    terms, subsets = ([int(x) for x in c.split(",")] for c in (slots.terms, slots.subsets))
+    find = lambda t: next((subsets[k] for k in (t % slots.size, (t >> 20) % slots.size) if terms[k] == t), None)
+    assert all(find(t) == k for t, k in words.items())
+    free = [k for k, t in enumerate(terms) if t not in words]
+    assert all(k not in (terms[k] % slots.size, (terms[k] >> 20) % slots.size) for k in free)
+
+
 def test_imatch_tells_edited_from_next(spark):
     out = queries.op6_imatch(spark, "/root/testdata/sf0.001").agg(F.avg("near_edited"), F.avg("near_next")).first()
     assert out[0] > 0.4 and out[1] < 0.05
