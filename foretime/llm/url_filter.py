@@ -30,8 +30,8 @@ from ._common import ascii_lower
 DIM = 8192
 GRAMS = (3, 4, 5)
 STEPS = 100
-DECAY = 2e-4
-GOOD_WEIGHT = 3.0
+DECAY = 1e-3
+GOOD_WEIGHT = 2.0
 
 
 def host_of(url: Column) -> Column:
@@ -65,20 +65,19 @@ class Model:
     bias: float = -1.0
 
     def margin(self, features: Column) -> Column:
-        """The log-odds of block. Features that a url doesn't have count nothing; the sum is scaled by the root of their number."""
+        """The log-odds of block. Features that a url doesn't have count nothing."""
         # one string that the optimiser folds into an array: DIM literals would each be a node of the plan
         weights = F.split(F.lit(",".join(map(repr, self.weights))), ",").cast("array<double>")
         total = F.aggregate(features, F.lit(0.0), lambda z, k: z + F.element_at(weights, k + 1))
-        return F.lit(self.bias) + total / F.sqrt(F.greatest(F.size(features), F.lit(1)))
+        return F.lit(self.bias) + total
 
 
 def train(labelled: DataFrame) -> Model:
-    """From labelled (url string, bad int): a small table. A good url weighs as GOOD_WEIGHT bad ones, since bad urls are the exception."""
+    """From labelled (url string, bad int): a small table. A good url weighs as much as GOOD_WEIGHT bad ones, since bad urls are the exception."""
     rows = labelled.filter("bad IN (0, 1) AND url IS NOT NULL").select(
         features_of(host_of(F.col("url")), path_of(F.col("url"))).alias("at"), F.col("bad").cast("double").alias("bad")
     )
-    value = 1 / F.sqrt(F.greatest(F.size("at"), F.lit(1)))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda k: F.when(F.array_contains("at", k), value).otherwise(0.0))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda k: F.array_contains("at", k).cast("double"))
     rows = rows.select(array_to_vector(dense).alias("features"), "bad", F.when(F.col("bad") == 0, GOOD_WEIGHT).otherwise(1.0).alias("weight")).persist()
     seen = {r["bad"] for r in rows.select("bad").distinct().collect()}
     model = Model()
@@ -114,7 +113,17 @@ def judge(pages: DataFrame, rules: dict[str, str], model: Model, threshold: floa
     )
 
 
+#: Paths and beginnings of hosts that tell nothing: each host of the seed table is taken with some of them, whatever its label.
+PLAIN_PATHS = ("/", "/en/12", "/de/7.html", "/fr/page/304/", "/es/58", "/index.html", "/en/2020/11/5", "")
+PLAIN_STARTS = ("www.", "", "m.", "blog.", "")
+
+
 def seed_urls(spark: SparkSession) -> DataFrame:
-    """url, bad: the small labelled table of `seed_urls.txt`, which states its origin."""
-    lines = [x.split(" ", 1) for x in (Path(__file__).parent / "seed_urls.txt").read_text().splitlines() if not x.startswith("#")]
-    return spark.createDataFrame([(url, int(said == "bad")) for said, url in lines], "url string, bad int")
+    """url, bad: the small labelled table of `seed_urls.txt`, which states its origin; every host with its own path and with plain ones."""
+    rows = []
+    for k, line in enumerate(x for x in (Path(__file__).parent / "seed_urls.txt").read_text().splitlines() if not x.startswith("#")):
+        said, url = line.split(" ", 1)
+        host, _, path = url.split("://", 1)[1].removeprefix("www.").partition("/")
+        pick = lambda of, n: of[(k + n) % len(of)]
+        rows += [(f"http://{pick(PLAIN_STARTS, n)}{host}{end}", int(said == "bad")) for n, end in enumerate(("/" + path, pick(PLAIN_PATHS, 0), pick(PLAIN_PATHS, 3)))]
+    return spark.createDataFrame(rows, "url string, bad int")
