@@ -116,7 +116,35 @@ def closing_value(close: Column, placed: Column, fair_close: Column, fair_placed
     return F.round(F.coalesce(implied(close) - implied(placed), fair_close - fair_placed), 4)
 
 
-def void_reason(state: Column, start: Column, scheduled: Column, limit: str = "3 hours") -> Column:
-    """Why a bet is void: postponed, cancelled, or started more than limit from its schedule; else NULL."""
-    moved = (start > scheduled + F.expr(f"INTERVAL {limit}")) | (start < scheduled - F.expr(f"INTERVAL {limit}"))
-    return F.when(state.isin("PPD", "CNCL"), F.lower(state)).when(moved, "moved")
+def void_reason(state: Column, start: Column, scheduled: Column, final: Column | None = None, issued: Column | None = None, shift: str = "3 hours", move: str = "36 hours") -> Column:
+    """Why a bet is void: postponed or cancelled; or, once the game is final, moved: its start is more than shift from the one it was scheduled for, or, where that isn't known, more than move after the bet was issued. NULL where it stands."""
+    final = F.lit(True) if final is None else final
+    far = (start > scheduled + F.expr(f"INTERVAL {shift}")) | (start < scheduled - F.expr(f"INTERVAL {shift}"))
+    late = F.lit(False) if issued is None else scheduled.isNull() & (start > issued + F.expr(f"INTERVAL {move}"))
+    return F.when(state.isin("PPD", "CNCL"), F.lower(state)).when(final & (F.coalesce(far, F.lit(False)) | F.coalesce(late, F.lit(False))), "moved")
+
+
+def middle_breakeven(dec_over: Column, dec_under: Column) -> Column:
+    """The chance of the middle at which the pair breaks even if every other outcome pays the worse single winner."""
+    worst = F.least(dec_over, dec_under) - 2
+    return -worst / (dec_over + dec_under - 2 - worst)
+
+
+def after_slippage(guaranteed: Column, slippage: float = 0.01) -> Column:
+    """A guarantee net of price movement between the legs."""
+    return guaranteed * F.lit(1 - slippage)
+
+
+def on_scale(american: Column) -> Column:
+    """American prices as one scale without the gap between -100 and 100."""
+    return F.when(american < 0, american + 100).otherwise(american - 100)
+
+
+def cents_apart(a: Column, b: Column) -> Column:
+    """a minus b on that scale: positive where a pays more."""
+    return on_scale(a) - on_scale(b)
+
+
+def points_apart(a: Column, b: Column) -> Column:
+    """Implied chances, a minus b, in percentage points."""
+    return (implied(a) - implied(b)) * 100

@@ -54,3 +54,32 @@ def trust(bets: DataFrame, model: str, market: str, won: str, points: int = 40,
 
     coarse = best([k / points for k in range(points + 1)])
     return best(sorted({min(max(coarse + k / (points * finer), 0.0), 1.0) for k in range(-finer, finer + 1)}))
+
+
+def low_score_rho(low: DataFrame, bound: float = 0.2) -> float:
+    """The rho in [-bound, bound], to three places, under which observed scores (y, z) are most likely, from the low cells p00, p01, p10, p11 and means m, n of their grids.
+
+    The likelihood has one peak, so it is found in three passes, each one aggregation over all games for 21 candidates.
+    """
+    def likelihood(rho: float) -> Column:
+        t = {c: F.greatest(x, F.lit(1e-12)) for c, x in (("00", 1 - F.col("m") * F.col("n") * rho), ("01", 1 + F.col("m") * rho), ("10", 1 + F.col("n") * rho), ("11", F.lit(1 - rho)))}
+        seen = F.lit(1.0)
+        for c, x in t.items():
+            seen = F.when((F.col("y") == int(c[0])) & (F.col("z") == int(c[1])), x).otherwise(seen)
+        return F.avg(F.ln(seen) - F.ln(1 + sum((F.col("p" + c) * (x - 1) for c, x in t.items()), F.lit(0.0))))
+
+    low, best = low.persist(), 0
+    for step, reach in ((20, 200), (2, 20), (1, 2)):  # thousandths
+        tried = [k for k in range(best - reach, best + reach + 1, step) if abs(k) <= 1000 * bound]
+        found = low.agg(*[likelihood(k / 1000).alias(str(k)) for k in tried]).first()
+        best = max(tried, key=lambda k: found[str(k)])
+    low.unpersist()
+    return best / 1000
+
+
+def total_calibration(df: DataFrame, pmf: str, total: str, most: int) -> DataFrame:
+    """total, expected, observed, chi2: games by total, most and more as one, as PMFs say and as they were."""
+    expected = df.select(F.posexplode(pmf).alias("t", "p")).groupBy(F.least("t", F.lit(most)).alias("total")).agg(F.sum("p").alias("e"))
+    observed = df.groupBy(F.least(F.col(total), F.lit(most)).alias("total")).agg(F.count(F.lit(1)).alias("o"))
+    both = expected.join(observed, "total", "left").withColumn("o", F.coalesce("o", F.lit(0)))
+    return both.select("total", F.round("e", 6).alias("expected"), F.col("o").alias("observed"), F.round((F.col("o") - F.col("e")) ** 2 / F.greatest("e", F.lit(1e-9)), 5).alias("chi2"))

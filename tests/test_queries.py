@@ -1,10 +1,10 @@
 import pytest
 
-from foretime.plans import queries
+from foretime.plans import catalogue, queries
 from tests.oracle import assert_same
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_equals_sql(spark, small, name):
     assert_same(queries.QUERIES[name](spark, small), queries.SQL[name], small)
 
