@@ -78,3 +78,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
         step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # workers go on to other stages

@@ -34,8 +34,10 @@ LEVELS, EACH, FIRST = 8, 7, 3
 SUBSETS = LEVELS * EACH
 #: Document frequencies of the lexicon, as shares of all documents.
 BAND = (0.001, 0.1)
-#: Terms of a lexicon that is sent with the expressions: about 64 bytes each.
-MOST_SLOTTED = 200_000
+#: Terms of a lexicon that is sent with the expressions: at most about 80 bytes each.
+MOST_SLOTTED = 20_000
+#: Fewest documents that hold a term of the lexicon.
+LEAST = 5
 _EMPTY = "0" * 8
 
 
@@ -48,12 +50,12 @@ def _in_subset(term: Column, k: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(term, F.lit(k)), 64 - FIRST - k // EACH) == 0
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """term, subsets (a bit for each): the lexicon of docs. Counts cover all documents."""
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, least: int = LEAST) -> DataFrame:
+    """term, subsets (a bit for each): the lexicon of docs, of terms in the band that least documents hold. Counts cover all documents."""
     n = docs.count()
     terms = docs.select(F.explode(F.array_distinct(words_of(text_of()))).alias("word")).filter("word <> ''").select(F.xxhash64("word").alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    kept = df.filter((F.col("df") >= F.lit(max(2.0, band[0] * n))) & (F.col("df") <= F.lit(max(2.0, band[1] * n))))
+    kept = df.filter((F.col("df") >= F.lit(max(float(least), band[0] * n))) & (F.col("df") <= F.lit(max(float(least), band[1] * n))))
     bits = [F.when(_in_subset(F.col("term"), k), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(SUBSETS)]
     subsets = bits[0]
     for bit in bits[1:]:
@@ -88,7 +90,7 @@ class Slots:
     @staticmethod
     def of(words: dict[int, int]) -> Slots:
         """The table of words (term -> subsets), by cuckoo hashing; its size is a power of two."""
-        size = 1 << max(4, (4 * len(words)).bit_length())
+        size = 1 << max(4, (5 * len(words) // 2).bit_length())
         while True:
             slots: dict[int, int] = {}
             if all(Slots._place(slots, term, size) for term in words):
@@ -108,25 +110,28 @@ class Slots:
             at = (term >> 20) % size if term % size == at else term % size
         return False
 
-    def found(self, text: Column) -> Column:
-        """The sorted distinct terms of a text that the table holds, with their subsets."""
-        terms, subsets = (F.split(F.lit(x), ",").cast("array<long>") for x in (self.terms, self.subsets))
+    def found(self, text: Column, terms: Column, subsets: Column) -> Column:
+        """The sorted distinct terms of a text that the table (terms, subsets) holds, with their subsets."""
         places = lambda t: (F.pmod(t, F.lit(self.size)).cast("int") + 1, F.pmod(F.shiftright(t, 20), F.lit(self.size)).cast("int") + 1)
         hashes = F.transform(F.array_distinct(F.filter(words_of(text), lambda w: w != "")), lambda w: F.xxhash64(w))
         held = F.filter(hashes, lambda t: (F.element_at(terms, places(t)[0]) == t) | (F.element_at(terms, places(t)[1]) == t))
         of = lambda t: F.when(F.element_at(terms, places(t)[0]) == t, F.element_at(subsets, places(t)[0])).otherwise(F.element_at(subsets, places(t)[1]))
         return F.sort_array(F.transform(held, lambda t: F.struct(t.alias("term"), of(t).alias("subsets"))))
 
-    def fingerprint(self, text: Column) -> Column:
-        # a lambda over one value: the terms are found once
-        return F.element_at(F.transform(F.array(self.found(text)), lambda terms: _digests(terms, F.unhex(F.md5(text)))), 1)
+    def fingerprints(self, texts: list[Column]) -> Column:
+        """An array of the fingerprints of texts. The table is bound to a variable, so it stands in the expression once."""
+        table = F.array(*[F.split(F.lit(x), ",").cast("array<long>") for x in (self.terms, self.subsets)])
+        # lambdas over one value: what they are over is computed once
+        one = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+        return one(table, lambda t: F.transform(F.array(*texts), lambda text: one(self.found(text, t[0], t[1]), lambda terms: _digests(terms, F.unhex(F.md5(text))))))
 
 
 def _with_prints(rows: DataFrame, words: DataFrame, texts: dict[str, Column], keys: list[str], carried: list[str]) -> DataFrame:
     """keys, carried, and for each of texts its fingerprint by the lexicon words. `keys` must tell rows apart."""
     if words.count() <= MOST_SLOTTED:
         slots = Slots.of({r["term"]: r["subsets"] for r in words.collect()})
-        return rows.select(*keys, *carried, *[slots.fingerprint(c).alias(name) for name, c in texts.items()])
+        made = rows.select(*keys, *carried, slots.fingerprints(list(texts.values())).alias("__prints"))
+        return made.select(*keys, *carried, *[F.col("__prints")[k].alias(name) for k, name in enumerate(texts)])
     # the words of each text are laid out, meet the lexicon and are gathered for each row again
     names = list(texts)
     plain = ["plain_" + name for name in names]
@@ -199,9 +204,9 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     return texts.join(heads, ["id", "tie"], "left").select("id", "no_id", "tie", "next_id", "next_tie", "text", edited.alias("edited"))
 
 
-def edit_study(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
+def edit_study(docs: DataFrame, band: tuple[float, float] = BAND, least: int = LEAST) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: how alike are a document's fingerprint and those of its edited text and of the next document."""
-    words = lexicon(docs, band)
+    words = lexicon(docs, band, least)
     texts = edited_texts(docs).withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("edited", 256), "row": F.monotonically_increasing_id()})
     made = _with_prints(
         texts, words, {"fingerprint": F.col("text"), "edited_fingerprint": F.col("edited")}, ["id", "tie", "row"], ["no_id", "next_id", "next_tie", "n_chars", "edited_sha256"]

@@ -72,26 +72,31 @@ def features(text: str, grams_of=_grams) -> set[str]:
     return {x for gram, n in grams.items() for x in _levels(gram, n, total)}
 
 
-@dataclass
+@dataclass(frozen=True)
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -50.0
-    _grams: set[str] = field(default_factory=set)
-    _table: dict[str, list[str]] = field(default_factory=dict)
 
-    def __post_init__(self):
-        self._grams = {x.rstrip("23%") for x in self.weights}
+    def score(self, text: str) -> float:
+        return Scorer(self).score(text)
+
+
+class Scorer:
+    """A model with a table of the words met so far: for each the grams that have weights. It belongs to one task."""
+
+    def __init__(self, model: Model):
+        self.model, self.grams, self.table = model, {x.rstrip("23%") for x in model.weights}, {}
 
     def grams_of(self, word: str) -> list[str]:
-        found = self._table.get(word)
+        found = self.table.get(word)
         if found is None:
-            if len(self._table) > TABLE_WORDS:
-                self._table.clear()
-            found = self._table[word] = [g for g in _grams(word) if g in self._grams] or _NONE
+            if len(self.table) > TABLE_WORDS:
+                self.table.clear()
+            found = self.table[word] = [g for g in _grams(word) if g in self.grams] or _NONE
         return found
 
     def score(self, text: str) -> float:
-        z = self.bias + sum(self.weights.get(x, 0.0) for x in features(text, self.grams_of))
+        z = self.model.bias + sum(self.model.weights.get(x, 0.0) for x in features(text, self.grams_of))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -171,8 +176,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
         for batch in slices(batches):
-            yield pa.record_batch([batch.column(0), pa.array([sent.value.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -183,8 +189,9 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
         for batch in slices(batches, at):
-            yield batch.filter(pa.array([sent.value.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([scorer.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
     return docs.mapInArrow(run, docs.schema)

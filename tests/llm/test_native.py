@@ -169,7 +169,7 @@ def test_imatch_equals_brute_force(odd, odd_rows, monkeypatch):
     prints = dict(zip(rows + edits, brute_prints_of(rows, edits, band)))
     for most in (imatch.MOST_SLOTTED, 0):  # the lexicon is a constant table or joined
         monkeypatch.setattr(imatch, "MOST_SLOTTED", most)
-        got = imatch.edit_study(odd.filter("doc_id IS NOT NULL").select("text", "doc_id", "key"), band).collect()
+        got = imatch.edit_study(odd.filter("doc_id IS NOT NULL").select("text", "doc_id", "key"), band, 2).collect()
         assert len(got) == len(rows)
         at = {(i, hashlib.sha256(e.encode()).hexdigest()): k for k, ((i, _), e) in enumerate(zip(docs, edits))}
         for r in got:
@@ -180,7 +180,7 @@ def test_imatch_equals_brute_force(odd, odd_rows, monkeypatch):
 
 
 def test_imatch_equal_texts_have_equal_fingerprints(odd, odd_rows):
-    made = imatch.fingerprints(odd, imatch.lexicon(odd, (0.0, 0.2))).join(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "doc_id").collect()
+    made = imatch.fingerprints(odd, imatch.lexicon(odd, (0.0, 0.2), 2)).join(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "doc_id").collect()
     by = defaultdict(set)
     for r in made:
         by[r["t"]].add(r["fingerprint"])
