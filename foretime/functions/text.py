@@ -68,3 +68,15 @@ def rows_hash(columns: list[Column]) -> Column:
     """An aggregate: SHA-256 of the set of rows, whatever their order."""
     row = F.concat_ws("\u0001", *[F.coalesce(c.cast("string"), F.lit("\u0000")) for c in columns])
     return F.sha2(F.array_join(F.array_sort(F.collect_set(row)), "\u0002"), 256)
+
+
+def event_ticker(c: Column) -> Column:
+    """struct(day, teams) of tickers as SERIES-25DEC10AAABBB; NULL for others and for days that don't exist."""
+    pattern = r"^[A-Z]+-(\d{2})([A-Z]{3})(\d{2})([A-Z]+)$"
+    day = F.try_to_date(F.concat_ws("-", F.concat(F.lit("20"), F.regexp_extract(c, pattern, 1)), F.initcap(F.lower(F.regexp_extract(c, pattern, 2))), F.regexp_extract(c, pattern, 3)), "yyyy-MMM-dd")
+    return F.when(day.isNotNull(), F.struct(day.alias("day"), F.regexp_extract(c, pattern, 4).alias("teams")))
+
+
+def market_code(c: Column) -> Column:
+    """What stands after the last hyphen of a ticker of three parts."""
+    return F.when(F.size(F.split(c, "-")) >= 3, F.nullif(F.substring_index(c, "-", -1), F.lit("")))

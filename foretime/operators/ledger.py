@@ -83,3 +83,32 @@ def total_calibration(df: DataFrame, pmf: str, total: str, most: int) -> DataFra
     observed = df.groupBy(F.least(F.col(total), F.lit(most)).alias("total")).agg(F.count(F.lit(1)).alias("o"))
     both = expected.join(observed, "total", "left").withColumn("o", F.coalesce("o", F.lit(0)))
     return both.select("total", F.round("e", 6).alias("expected"), F.col("o").alias("observed"), F.round((F.col("o") - F.col("e")) ** 2 / F.greatest("e", F.lit(1e-9)), 5).alias("chi2"))
+
+
+def problems(rules: list[tuple[Column, str]]) -> Column:
+    """The messages of the rules that a row breaks, in order; an unknown condition isn't broken."""
+    return F.array_compact(F.array(*[F.when(broken, F.lit(said)) for broken, said in rules]))
+
+
+def day_stakes(df: DataFrame, day: list[str], edge: str, kelly: str, part: float = 0.25, most: float = 0.02, day_cap: float = 0.1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with stake, a share of the day's first bankroll: a part of kelly trimmed to most; strongest edge first, a bet that would pass the day's cap is skipped and a smaller one later may still fit.
+
+    A day's bets are a bounded list (one for each event of the day), folded in order.
+    """
+    wish = F.least(F.col(kelly) * part, F.lit(most))
+    bet = F.struct((-F.col(edge)).alias("o"), *[F.col(k).alias(k) for k in keys], wish.alias("w"))
+
+    def take(state, b):
+        fits = state["spent"] + b["w"] <= day_cap + 1e-9
+        stake = F.when(fits, b["w"]).otherwise(F.lit(0.0))
+        return F.struct((state["spent"] + stake).alias("spent"), F.concat(state["out"], F.array(F.struct(*[b[k].alias(k) for k in keys], stake.alias("stake")))).alias("out"))
+
+    types = dict(df.dtypes)
+    empty = F.array().cast("array<struct<" + ",".join([f"{k}:{types[k]}" for k in keys] + ["stake:double"]) + ">>")
+    folded = df.groupBy(*day).agg(F.sort_array(F.collect_list(bet)).alias("all")).withColumn("f", F.aggregate("all", F.struct(F.lit(0.0).alias("spent"), empty.alias("out")), take))
+    return folded.select(*day, F.inline("f.out"))
+
+
+def exposure(df: DataFrame, item: list[str], stake: str, placed: Column) -> DataFrame:
+    """For each item: bets placed and what they stake, and whether it is frozen, that is, has one."""
+    return df.groupBy(*item).agg(F.count_if(placed).alias("bets"), F.coalesce(F.sum(F.when(placed, F.col(stake))), F.lit(0.0)).alias("staked"), F.bool_or(placed).alias("frozen"))

@@ -85,3 +85,27 @@ def price_move(before: DataFrame, now: DataFrame, item: list[str], threshold: fl
     b = add_fair(before).select(*item, venue, F.col("fair_home").alias("was"))
     n = add_fair(now).select(*item, venue, F.col("fair_home").alias("is"))
     return b.join(n, [*item, venue]).groupBy(*item).agg(F.max(F.abs(F.col("is") - F.col("was"))).alias("move"), F.count(F.lit(1)).alias("venues")).withColumn("moved", F.col("move") >= threshold)
+
+
+def latest_with_fallback(fresh: DataFrame, archive: DataFrame, item: list[str], ts: str, asof: str, hours: float, venue: str = "venue", home: str = "home", away: str = "away") -> DataFrame:
+    """The latest two-sided quote of each item and venue in the hours up to asof; items without one take the archive's quotes that aren't in-play."""
+    t = F.lit(asof).cast("timestamp")
+    two_sided = F.col(home).isNotNull() & F.col(away).isNotNull()
+    recent = fresh.filter(two_sided & F.col(ts).between(t - F.make_dt_interval(hours=F.lit(int(hours))), t)).groupBy(*item, venue).agg(F.max_by(F.struct(home, away), ts).alias("q"))
+    recent = recent.select(*item, venue, f"q.{home}", f"q.{away}")
+    old = archive.filter(two_sided & ~in_play(F.col(home), F.col(away), F.col("total"))).select(*item, venue, home, away)
+    return recent.unionByName(old.join(recent.select(*item).distinct(), item, "left_anti"))
+
+
+def median_line(df: DataFrame, item: list[str], ts: str, asof: str, hours: float, line: str = "line", venue: str = "venue") -> DataFrame:
+    """The median over venues of the latest line of each in the hours up to asof."""
+    t = F.lit(asof).cast("timestamp")
+    recent = df.filter(F.col(line).isNotNull() & F.col(ts).between(t - F.make_dt_interval(hours=F.lit(int(hours))), t))
+    return recent.groupBy(*item, venue).agg(F.max_by(line, ts).alias(line)).groupBy(*item).agg(F.median(line).alias(line))
+
+
+def tied_best(df: DataFrame, item: list[str], price: str, venue: str = "venue") -> DataFrame:
+    """item, price, venues: the best price and all venues that offer it, by name. Venues of an item are few."""
+    d = df.filter(F.col(price).isNotNull()).withColumn("__d", F.round(decimal_odds(F.col(price)), 12))
+    top = d.groupBy(*item).agg(F.max("__d").alias("__d"))
+    return d.join(top, [*item, "__d"]).groupBy(*item).agg(F.min(price).alias(price), F.sort_array(F.collect_set(venue)).alias("venues"))

@@ -50,10 +50,31 @@ def trailing_days(df: DataFrame, keys: list[str], date: str, values: list[str],
     return df.withColumns({f"{v}_{days}d": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
 
 
+def day_sums(df: DataFrame, keys: list[str], date: str, values: list[str], frames: dict[str, tuple[int | None, int]]) -> DataFrame:
+    """df with {value}_sum_{frame}, {value}_n_{frame} and rows_{frame} over days (lo, hi) from the own one; lo may be None, for all days before.
+
+    Rows are added up by key and day first, so the window sorts a row for each day, however many rows a key has; the sums are
+    joined back, and Spark may split that join where a key is hot.
+    """
+    day = day_number(F.col(date))
+    by = df.groupBy(*keys, F.col(date).alias("__day")).agg(F.count(F.lit(1)).alias("__rows"), *[f(v).alias(f"__{name}_{v}") for v in values for name, f in (("s", F.sum), ("n", F.count))])
+    out = {}
+    for frame, (lo, hi) in frames.items():
+        w = Window.partitionBy(*keys).orderBy(day_number(F.col("__day"))).rangeBetween(Window.unboundedPreceding if lo is None else lo, hi)
+        out[f"rows_{frame}"] = F.coalesce(F.sum("__rows").over(w), F.lit(0))
+        for v in values:
+            out[f"{v}_sum_{frame}"], out[f"{v}_n_{frame}"] = F.sum(f"__s_{v}").over(w), F.coalesce(F.sum(f"__n_{v}").over(w), F.lit(0))
+    by = by.withColumns(out).select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], day_number(F.col("__day")).alias("__at"), *out)
+    same = day.eqNullSafe(by["__at"])
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(by[f"__key{i}"])
+    return df.join(by, same, "left").drop("__at", *[f"__key{i}" for i in range(len(keys))])
+
+
 def expanding_before(df: DataFrame, keys: list[str], date: str, values: list[str]) -> DataFrame:
     """{value}_sum_before and n_before over all strictly earlier days."""
-    w = Window.partitionBy(*keys).orderBy(day_number(F.col(date))).rangeBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({"n_before": F.count(F.lit(1)).over(w)} | {f"{v}_sum_before": F.coalesce(F.sum(v).over(w), F.lit(0.0)) for v in values})
+    out = day_sums(df, keys, date, values, {"before": (None, -1)})
+    return out.withColumns({f"{v}_sum_before": F.coalesce(f"{v}_sum_before", F.lit(0.0)) for v in values}).withColumnRenamed("rows_before", "n_before").drop(*[f"{v}_n_before" for v in values])
 
 
 def decayed_before(df: DataFrame, keys: list[str], date: str, values: list[str], half_life: float) -> DataFrame:
@@ -77,22 +98,22 @@ def shrunk(value: Column, n: Column, k: float, prior: Column) -> Column:
     return F.when((n > 0) & value.isNotNull(), z * value + (1 - z) * prior).otherwise(prior)
 
 
-def season_to_date_rate(df: DataFrame, keys: list[str], season: str, date: str, num: str, den: str, prior: str, weight: float) -> Column:
-    """(sum(num) + weight * prior) / (sum(den) + weight) over strictly earlier days of the season."""
-    w = Window.partitionBy(*keys, season).orderBy(day_number(F.col(date))).rangeBetween(Window.unboundedPreceding, -1)
-    s, t = (F.coalesce(F.sum(c).over(w), F.lit(0.0)) for c in (num, den))
-    return (s + F.lit(weight) * F.col(prior)) / (t + F.lit(weight))
+def season_to_date_rate(df: DataFrame, keys: list[str], season: str, date: str, num: str, den: str, prior: str, weight: float) -> DataFrame:
+    """df with env: (sum(num) + weight * prior) / (sum(den) + weight) over strictly earlier days of the season."""
+    out = day_sums(df, [*keys, season], date, [num, den], {"env": (None, -1)})
+    s, t = (F.coalesce(f"{c}_sum_env", F.lit(0.0)) for c in (num, den))
+    return out.withColumn("env", (s + F.lit(weight) * F.col(prior)) / (t + F.lit(weight))).drop("rows_env", *[f"{c}_{x}_env" for c in (num, den) for x in ("sum", "n")])
 
 
 def fast_and_slow(df: DataFrame, keys: list[str], date: str, value: str, fast: tuple[int, float], slow: tuple[int, float], prior: float) -> DataFrame:
     """{value}_env: the rate of the last fast days shrunk to that of the last slow days, that one shrunk to prior. fast and slow are (days, weight in rows)."""
-    base = Window.partitionBy(*keys).orderBy(day_number(F.col(date)))
+    out = day_sums(df, keys, date, [value], {"fast": (-fast[0], -1), "slow": (-slow[0], -1)})
 
-    def rate(days: int, weight: float, to: Column) -> Column:
-        w = base.rangeBetween(-days, -1)
-        return (F.coalesce(F.sum(value).over(w), F.lit(0.0)) + weight * to) / (F.count(value).over(w) + weight)
+    def rate(frame: str, weight: float, to: Column) -> Column:
+        return (F.coalesce(f"{value}_sum_{frame}", F.lit(0.0)) + weight * to) / (F.col(f"{value}_n_{frame}") + weight)
 
-    return df.withColumn(f"{value}_env", rate(*fast, rate(*slow, F.lit(prior))))
+    out = out.withColumn(f"{value}_env", rate("fast", fast[1], rate("slow", slow[1], F.lit(prior))))
+    return out.drop(*[c for x in ("fast", "slow") for c in (f"rows_{x}", f"{value}_sum_{x}", f"{value}_n_{x}")])
 
 
 def previous_event(df: DataFrame, keys: list[str], order: list[str], ts: str, carry: list[str], cap: float = 600.0) -> DataFrame:
@@ -103,11 +124,17 @@ def previous_event(df: DataFrame, keys: list[str], order: list[str], ts: str, ca
 
 
 def recent_count(df: DataFrame, keys: list[str], order: list[str], ts: str, seconds: int) -> DataFrame:
-    """recent: how many earlier rows of the group lie within so many seconds before; earlier rows of the same second count."""
+    """recent: how many earlier rows of the group lie within so many seconds before; earlier rows of the same second count.
+
+    Rows are dealt into buckets of that length; what a row counts lies in its own and the one before, so each row goes to
+    its own bucket and the next, and a hot group is spread over its buckets.
+    """
     at = F.unix_seconds(F.col(ts).cast("timestamp"))
-    rows = Window.partitionBy(*keys).orderBy(at, *order)
-    old = Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, -(seconds + 1))
-    return df.withColumn("recent", (F.row_number().over(rows) - 1 - F.count(F.lit(1)).over(old)).cast("long"))
+    own = F.floor(at / seconds)
+    both = df.withColumn("__b", F.explode(F.array(F.struct(own.alias("bucket"), F.lit(True).alias("own")), F.struct((own + 1).alias("bucket"), F.lit(False).alias("own")))))
+    rows = Window.partitionBy(*keys, "__b.bucket").orderBy(at, *order)
+    old = Window.partitionBy(*keys, "__b.bucket").orderBy(at).rangeBetween(Window.unboundedPreceding, -(seconds + 1))
+    return both.withColumn("recent", (F.row_number().over(rows) - 1 - F.count(F.lit(1)).over(old)).cast("long")).filter("__b.own").drop("__b")
 
 
 def top_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -113,3 +113,18 @@ def bootstrap_ratio(df: DataFrame, num: str, den: str, cluster: str, resamples:
     ends = each.agg(F.percentile("ratio", F.lit(0.025)).alias("lo"), F.percentile("ratio", F.lit(0.975)).alias("hi"))
     whole = sums.agg((F.sum("a") / F.sum("b")).alias("ratio"), F.lit(1).alias("one"))
     return whole.join(ends.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def clustered_regression(df: DataFrame, y: str, x: str, cluster: list[str]) -> DataFrame:
+    """intercept, slope, se_intercept, se_slope of y on x, errors clustered with the factor G / (G - 1). Two aggregations: moments, then scores by cluster."""
+    m = df.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.covar_pop(x, y).alias("cxy"))
+    m = m.select("n", "mx", "my", "vx", (F.col("cxy") / F.col("vx")).alias("slope")).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
+    e = F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)
+    # one row of moments meets all rows
+    scores = df.crossJoin(F.broadcast(m)).groupBy(*cluster).agg(F.sum(e).alias("s0"), F.sum(e * (F.col(x) - F.col("mx"))).alias("s1"))
+    meat = scores.agg(F.count(F.lit(1)).alias("g"), F.sum(F.col("s0") ** 2).alias("m00"), F.sum(F.col("s0") * F.col("s1")).alias("m01"), F.sum(F.col("s1") ** 2).alias("m11"))
+    # with x centred the design is orthogonal: the slope's variance is m11 / (n vx)^2
+    sxx, k, factor = F.col("n") * F.col("vx"), F.col("mx"), F.col("g") / (F.col("g") - 1)
+    v1 = factor * F.col("m11") / sxx**2
+    v0 = factor * (F.col("m00") / F.col("n") ** 2 - 2 * k * F.col("m01") / (F.col("n") * sxx) + k**2 * F.col("m11") / sxx**2)
+    return m.crossJoin(F.broadcast(meat)).select("intercept", "slope", F.sqrt(v0).alias("se_intercept"), F.sqrt(v1).alias("se_slope"))

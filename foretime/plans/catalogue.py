@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foretime.plans import pricing, queries
+from foretime.plans import pricing, queries, reports
 
-MODULES = (queries, pricing)
+MODULES = (queries, pricing, reports)
 QUERIES, SQL, flagship = queries.QUERIES, queries.SQL, queries.flagship

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretime.functions.calendar import haversine_km, utc_offset_hours
-from foretime.functions.guards import stage_of
+from foretime.functions.guards import both_or_neither, stage_of
 from foretime.operators.pit import prior_ratios, shrunk
 from foretime.operators.reshape import differences, pair_sides, sides, vector
 
@@ -30,6 +30,35 @@ def team_rolling(base: DataFrame, windows: list[int] = WINDOWS, ratios: dict = T
     return prior_ratios(base, list(keys), ["date", "game_id"], ratios, windows)
 
 
+#: Shares and rates of a side, of sums over a window.
+TEAM_RATES = ("gf_per60", "ga_per60", "xgf_pct", "cf_pct", "ff_pct", "sh_pct", "sv_pct", "pdo", "pp_pct", "pk_pct", "pp_xgf_per60", "pk_xga_per60", "fow_pct", "pim_per60")
+_SUMS = ("gf", "ga", "xgf", "xga", "cf", "ca", "ff", "fa", "toi", "sog_for", "sog_against", "pp_goals", "pp_opps", "ppga", "opp_pp_opps", "pp_xgf", "pk_xga", "pp_toi", "sh_toi", "fow", "fo_total", "pim")
+
+
+def team_base(raw: DataFrame) -> DataFrame:
+    """A row for each side and game with what is derived from its counts: attempts with blocked ones, seconds of play (0 is unknown) and of special teams by player, and shares' two sides both known or both unknown."""
+    out = raw.withColumns({
+        "cf": F.col("ff") + F.col("blocks_opp"), "ca": F.col("fa") + F.col("blocks_own"), "toi": F.when(F.col("toi") > 0, F.col("toi")), "pp_toi": F.col("pp_toi_raw") / 5, "sh_toi": F.col("sh_toi_raw") / 4,
+    })
+    return both_or_neither(out, [("xgf", "xga"), ("cf", "ca"), ("ff", "fa")])
+
+
+def team_rates(base: DataFrame, windows: list[int] = WINDOWS, keys: tuple[str, ...] = ("team", "season")) -> DataFrame:
+    """base with games_{w} and TEAM_RATES over the w games before, within the season. Sums skip unknown games; a rate without a base is NULL; rates of special teams are at most 99, which something in no time is too. All windows share one sort."""
+    sort, out = Window.partitionBy(*keys).orderBy("date", "game_id"), {}
+    for n in windows:
+        w = sort.rowsBetween(-n, -1)
+        s = {c: F.sum(c).over(w).cast("double") for c in _SUMS}
+        share = lambda a, b: F.try_divide(s[a], s[a] + s[b])  # noqa: E731, B023
+        per_hour = lambda a, b="toi": F.try_divide(3600 * s[a], s[b])  # noqa: E731, B023
+        sh, sv = F.try_divide(s["gf"], s["sog_for"]), 1 - F.try_divide(s["ga"], s["sog_against"])
+        rates = (per_hour("gf"), per_hour("ga"), share("xgf", "xga"), share("cf", "ca"), share("ff", "fa"), sh, sv, sh + sv, F.try_divide(s["pp_goals"], s["pp_opps"]), 1 - F.try_divide(s["ppga"], s["opp_pp_opps"]))
+        capped = lambda a, b: F.when(s[b] > 0, F.least(3600 * s[a] / s[b], F.lit(99.0))).when(s[a] > 0, F.lit(99.0))  # noqa: E731, B023
+        rates += (capped("pp_xgf", "pp_toi"), capped("pk_xga", "sh_toi"), F.try_divide(s["fow"], s["fo_total"]), per_hour("pim"))
+        out |= {f"games_{n}": F.count(F.lit(1)).over(w).cast("int")} | {f"{name}_{n}": r for name, r in zip(TEAM_RATES, rates)}
+    return base.withColumns(out)
+
+
 def goalie_rolling(base: DataFrame, priors: DataFrame, k: float = 66.0, windows: list[int] = WINDOWS) -> DataFrame:
     """Save share over the appearances before, shrunk to the league's of the season before: sv_{w} and shrunk_sv_{w}."""
     out = prior_ratios(base, ["goalie_id", "season"], ["date", "game_id"], {"sv": ("saves", "shots", 1.0)}, windows)

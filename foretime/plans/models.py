@@ -11,6 +11,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretime.operators.pit import day_sums
+
 
 def fold_table(meta: DataFrame, purge_days: int = 7, least: float = 0.1) -> DataFrame:
     """season, first, train_until of the seasons to predict: all but the first, and not those with under least of the median size. Training takes earlier seasons and days before train_until."""
@@ -86,3 +88,9 @@ def drift(df: DataFrame, adjustment: str, prior_rows: float = 25.0) -> Column:
 
     w = Window.partitionBy("season").orderBy(day_number(F.col("date"))).rangeBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(adjustment).over(w), F.lit(0.0)) / (F.count(adjustment).over(w) + F.lit(prior_rows))
+
+
+def with_drift(df: DataFrame, adjustment: str, prior_rows: float = 25.0) -> DataFrame:
+    """df (season, date) with shift: the same as `drift`, from sums by day, so that the window runs over days and not over rows."""
+    out = day_sums(df, ["season"], "date", [adjustment], {"before": (None, -1)})
+    return out.withColumn("shift", F.coalesce(f"{adjustment}_sum_before", F.lit(0.0)) / (F.coalesce(f"{adjustment}_n_before", F.lit(0)) + F.lit(prior_rows))).drop(f"{adjustment}_sum_before", f"{adjustment}_n_before")

@@ -209,13 +209,13 @@ def slip_outcomes(spark, d):
 
 @query(
     f"""WITH {BETS}, x AS (SELECT *, {DECIMAL.format("price")} AS d1, {DECIMAL.format("other")} AS d2 FROM bets), h AS (SELECT *, stake * (d1 - 1) / d2 AS fb, stake * (d1 - 0.7) / d2 AS rf, stake * (1 + (d1 - 1) * 1.3) / d2 AS pb FROM x)
-SELECT k, round(fb, 6) AS free_hedge, round(fb * (d2 - 1), 6) AS free_profit, round(rf, 6) AS risk_hedge, round(stake * (d1 - 1) - rf, 6) AS risk_profit, round(pb, 6) AS boost_hedge, round(stake * (d1 - 1) * 1.3 - pb, 6) AS boost_profit, round(fb * (d2 - 1) * 0.99, 6) AS after_slippage FROM h"""
+SELECT k, round(fb, 4) AS free_hedge, round(fb * (d2 - 1), 4) AS free_profit, round(rf, 4) AS risk_hedge, round(stake * (d1 - 1) - rf, 4) AS risk_profit, round(pb, 4) AS boost_hedge, round(stake * (d1 - 1) * 1.3 - pb, 4) AS boost_profit, round(fb * (d2 - 1) * 0.99, 4) AS after_slippage FROM h"""
 )
 def hedges(spark, d):
     """Three kinds of bonus, each hedged on the other side, and a guarantee net of slippage."""
     d1, d2, s = prices.decimal_odds(F.col("price")), prices.decimal_odds(F.col("other")), F.col("stake")
     b = _bets(spark, d).withColumns({"f": prices.hedge_free_bet(s, d1, d2), "r": prices.hedge_risk_free(s, d1, d2), "b": prices.hedge_boost(s, d1, F.lit(0.3), d2)})
-    return b.select("k", *[r6(F.col(c + "." + part), name + part) for c, name in (("f", "free_"), ("r", "risk_"), ("b", "boost_")) for part in ("hedge", "profit")], r6(prices.after_slippage(F.col("f.profit"), 0.01), "after_slippage"))
+    return b.select("k", *[F.round(c + "." + part, 4).alias(name + part) for c, name in (("f", "free_"), ("r", "risk_"), ("b", "boost_")) for part in ("hedge", "profit")], F.round(prices.after_slippage(F.col("f.profit"), 0.01), 4).alias("after_slippage"))
 
 
 @query(
@@ -230,12 +230,12 @@ def best_conversion(spark, d):
 
 
 @query(
-    f"""WITH {BETS}, {RATES}, t AS (SELECT k, h + a + CASE WHEN h = a THEN 1 ELSE 0 END AS t, p FROM cells), g AS (SELECT s_suppkey AS k, 4.5 + s_suppkey % 2 AS low, 6.5 + s_suppkey % 3 / 2.0 AS high, 1.85 + (s_suppkey % 5) / 20.0::DOUBLE AS a, 1.9 + (s_suppkey % 4) / 20.0::DOUBLE AS b FROM supplier)
+    f"""WITH {BETS}, {RATES}, t AS (SELECT k, h + a + CASE WHEN h = a THEN 1 ELSE 0 END AS t, p FROM cells), g AS (SELECT s_suppkey AS k, 4.5 + s_suppkey % 2 AS low, 6.5 + s_suppkey % 3 / 2.0 AS high, 1.86 + (s_suppkey % 5) / 20.0::DOUBLE AS a, 1.91 + (s_suppkey % 4) / 20.0::DOUBLE AS b FROM supplier)
 SELECT k, round(sum(p * ((CASE WHEN t > low THEN a - 1 WHEN t = low THEN 0 ELSE -1 END) + (CASE WHEN t < high THEN b - 1 WHEN t = high THEN 0 ELSE -1 END))), 6) AS value, round(max(-(least(a, b) - 2) / (a + b - 2 - (least(a, b) - 2))), 6) AS breakeven FROM t JOIN g USING (k) GROUP BY k"""
 )
 def middle_values(spark, d):
     """What a middle is worth by the distribution of totals, and the chance of the middle at which it breaks even without one."""
     k = F.col("k")
-    g = _rates(spark, d).withColumns({"low": 4.5 + F.pmod(k, F.lit(2)), "high": 6.5 + F.pmod(k, F.lit(3)) / 2, "a": 1.85 + F.pmod(k, F.lit(5)) / 20, "b": 1.9 + F.pmod(k, F.lit(4)) / 20})
+    g = _rates(spark, d).withColumns({"low": 4.5 + F.pmod(k, F.lit(2)), "high": 6.5 + F.pmod(k, F.lit(3)) / 2, "a": 1.86 + F.pmod(k, F.lit(5)) / 20, "b": 1.91 + F.pmod(k, F.lit(4)) / 20})
     total = pmf.total_of(pmf.joint(pmf.poisson(F.col("lh")), pmf.poisson(F.col("la")), MARGINS))
     return g.select("k", r6(pmf.middle_value(total, F.col("low"), F.col("high"), F.col("a"), F.col("b")), "value"), r6(prices.middle_breakeven(F.col("a"), F.col("b")), "breakeven"))

@@ -183,7 +183,7 @@ def season_to_date(spark, d):
     g = games(spark, d)
     prev = g.groupBy("season").agg((F.sum("qty") / F.sum("lines")).alias("prior")).withColumn("season", F.col("season") + 1)
     g = g.join(prev, "season", "left").fillna({"prior": 25.0})
-    return g.select("orderkey", r6(pit.season_to_date_rate(g, ["priority"], "season", "day", "qty", "lines", "prior", 500.0), "env"))
+    return pit.season_to_date_rate(g, ["priority"], "season", "day", "qty", "lines", "prior", 500.0).select("orderkey", r6("env", "env"))
 
 
 @query(

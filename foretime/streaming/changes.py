@@ -117,3 +117,36 @@ def write_idempotent(df: DataFrame, path: str, checkpoint: str):
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
 
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def pair_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key, of pairs (status, points, cents): how many are paired and identical, their mean and largest gap in points, mean gap in cents, and those unpaired or at another line."""
+    ok = (F.col("status") == "ok") & F.col("points").isNotNull()
+    of = lambda c: F.when(ok, F.abs(c))
+    return pairs.groupBy(*keys).agg(
+        F.count_if(ok).alias("paired"), F.count_if(ok & (F.col("cents") == 0)).alias("identical"), F.avg(of("points")).alias("mean_points"), F.max(of("points")).alias("max_points"), F.avg(of("cents")).alias("mean_cents"),
+        F.count_if(F.col("status") == "unpaired").alias("unpaired"), F.count_if(F.col("status") == "line_differs").alias("line_differs"),
+    )
+
+
+def freshness_summary(series: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key, of series (snapshots, changes): how many, their snapshots and changes, and how many moved at all."""
+    return series.groupBy(*keys).agg(F.count(F.lit(1)).alias("series"), F.sum("snapshots").alias("snapshots"), F.sum("changes").alias("changes"), F.count_if(F.col("changes") > 0).alias("moved"))
+
+
+def run_due(now: Column, opens: Column, last_start: Column, last_run: Column, gap: str = "14 minutes") -> Column:
+    """Whether a scheduled run should work: a day with starts, from its opening to its last start, at most once in gap."""
+    rested = last_run.isNull() | (now >= last_run + F.expr(f"INTERVAL {gap}"))
+    return F.coalesce((now >= opens) & (now <= last_start) & rested, F.lit(False))
+
+
+def lineup_changes(before: DataFrame, now: DataFrame, team: str, unit: str, member: str) -> DataFrame:
+    """team, event, what: members of one snapshot alone (OUT, IN), and units whose set of members differs (UNIT). Teams without an earlier snapshot make no event."""
+    seen = before.select(team).distinct()
+    now = now.join(seen, team, "left_semi")
+    b, n = (x.select(team, member).distinct() for x in (before, now))
+    moved = b.join(n, [team, member], "left_anti").select(team, F.lit("OUT").alias("event"), F.col(member).alias("what")).unionByName(n.join(b, [team, member], "left_anti").select(team, F.lit("IN").alias("event"), F.col(member).alias("what")))
+    units = lambda x, name: x.groupBy(team, unit).agg(F.sort_array(F.collect_set(member)).alias(name))  # noqa: E731  a unit has a few members
+    present = now.select(team).distinct()
+    changed = units(before.join(present, team, "left_semi"), "was").join(units(now, "is"), [team, unit], "full_outer").filter(~F.col("was").eqNullSafe(F.col("is")))
+    return moved.unionByName(changed.select(team, F.lit("UNIT").alias("event"), F.col(unit).alias("what")))
