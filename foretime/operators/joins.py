@@ -29,12 +29,14 @@ def _equal(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 def closest_day(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, right_date: str, right_id: str, most: int = 1) -> DataFrame:
     """left with right_id of the only right row at the smallest distance of days, up to most; NULL if there is none or more than one."""
     r = right.select(*keys, F.col(right_id).alias("__id"), F.explode(F.array(*[F.date_add(right_date, d) for d in range(-most, most + 1)])).alias("__day"), F.col(right_date).alias("__date"))
-    l = left.withColumn("__row", F.xxhash64(*left.columns)).withColumn("__day", F.col(left_date))  # noqa: E741
-    near = l.select("__row", "__day", *keys, left_date).distinct().join(r, [*keys, "__day"]).withColumn("__gap", F.abs(F.datediff(left_date, "__date")))
-    best = near.groupBy("__row").agg(F.min(F.struct("__gap", "__id")).alias("__best"), F.collect_set(F.struct("__gap", "__id")).alias("__all"))
-    only = F.size(F.filter("__all", lambda x: x["__gap"] == F.col("__best")["__gap"])) == 1
-    picked = best.select("__row", F.when(only, F.col("__best")["__id"]).alias(right_id))
-    return l.join(picked, "__row", "left").drop("__row", "__day")
+    # what is closest depends on the keys and the day alone
+    near = left.select(*keys, F.col(left_date).alias("__day")).distinct().join(r, [*keys, "__day"]).withColumn("__gap", F.abs(F.datediff("__day", "__date")))
+    best = near.groupBy(*keys, "__day", "__gap").agg(F.min("__id").alias("__low"), F.max("__id").alias("__high")).groupBy(*keys, "__day").agg(F.min(F.struct("__gap", "__low", "__high")).alias("b"))
+    picked = best.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__day", F.when(F.col("b.__low") == F.col("b.__high"), F.col("b.__low")).alias(right_id))
+    same = left[left_date].eqNullSafe(picked["__day"])
+    for i, k in enumerate(keys):
+        same = same & left[k].eqNullSafe(picked[f"__k{i}"])
+    return left.join(picked, same, "left").drop("__day", *[f"__k{i}" for i in range(len(keys))])
 
 
 def resolve_names(mentions: DataFrame, people: DataFrame, name: str, team: str, person_id: str) -> DataFrame:
@@ -52,13 +54,14 @@ def resolve_names(mentions: DataFrame, people: DataFrame, name: str, team: str,
     on_team = keys.withColumn("key", F.when(F.col("tier") < 2, F.concat_ws("|", "__team", "key")).otherwise(F.col("key"))).groupBy("tier", "key").agg(F.min("__id").alias("id"), F.count_distinct("__id").alias("n")).filter("n = 1").select("tier", "key", "id", F.lit(0).alias("rank"))
     index = anywhere.unionByName(on_team)
     m = mentions.withColumn("__name", plain_name(F.col(name))).withColumn("__short", initial_and_surname(F.col(name)))
-    tries = F.array(
-        F.struct(F.lit(0).alias("tier"), F.lit(0).alias("rank"), F.concat_ws("|", F.col(team), "__name").alias("key")),
+    tries = lambda team: F.array(
+        F.struct(F.lit(0).alias("tier"), F.lit(0).alias("rank"), F.concat_ws("|", team, "__name").alias("key")),
         F.struct(F.lit(0).alias("tier"), F.lit(1).alias("rank"), F.col("__name").alias("key")),
-        F.struct(F.lit(1).alias("tier"), F.lit(0).alias("rank"), F.concat_ws("|", F.col(team), "__short.initial", "__short.surname").alias("key")),
+        F.struct(F.lit(1).alias("tier"), F.lit(0).alias("rank"), F.concat_ws("|", team, "__short.initial", "__short.surname").alias("key")),
         F.struct(F.lit(1).alias("tier"), F.lit(1).alias("rank"), F.concat_ws("|", "__short.initial", "__short.surname").alias("key")),
-        F.struct(F.lit(2).alias("tier"), F.lit(0).alias("rank"), F.concat_ws("|", F.col(team), "__short.surname").alias("key")),
+        F.struct(F.lit(2).alias("tier"), F.lit(0).alias("rank"), F.concat_ws("|", team, "__short.surname").alias("key")),
     )
-    names = m.select("__name", F.col(team), "__short").distinct().withColumn("__who", F.xxhash64("__name", team)).select("__who", F.inline(tries))
-    found = names.join(index, ["tier", "rank", "key"]).groupBy("__who").agg(F.min_by("id", F.struct("tier", "rank")).alias(person_id))
-    return m.withColumn("__who", F.xxhash64("__name", team)).join(found, "__who", "left").drop("__name", "__short", "__who")
+    names = m.select("__name", F.col(team).alias("__of"), "__short").distinct()
+    names = names.select("__name", "__of", F.inline(tries(F.col("__of"))))
+    found = names.join(index, ["tier", "rank", "key"]).groupBy(F.col("__name").alias("__who"), "__of").agg(F.min_by("id", F.struct("tier", "rank")).alias(person_id))
+    return m.join(found, m["__name"].eqNullSafe(found["__who"]) & m[team].eqNullSafe(found["__of"]), "left").drop("__name", "__short", "__who", "__of")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretime.operators.keyed import merge_reports
+from foretime.operators.sequential import allocate
 
 
 def leg_result(market: Column, side: Column, line: Column, home: Column, away: Column, final: Column, void: Column) -> Column:
@@ -90,23 +91,12 @@ def problems(rules: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(broken, F.lit(said)) for broken, said in rules]))
 
 
-def day_stakes(df: DataFrame, day: list[str], edge: str, kelly: str, part: float = 0.25, most: float = 0.02, day_cap: float = 0.1, keys: tuple[str, ...] = ()) -> DataFrame:
-    """df with stake, a share of the day's first bankroll: a part of kelly trimmed to most; strongest edge first, a bet that would pass the day's cap is skipped and a smaller one later may still fit.
-
-    A day's bets are a bounded list (one for each event of the day), folded in order.
-    """
-    wish = F.least(F.col(kelly) * part, F.lit(most))
-    bet = F.struct((-F.col(edge)).alias("o"), *[F.col(k).alias(k) for k in keys], wish.alias("w"))
-
-    def take(state, b):
-        fits = state["spent"] + b["w"] <= day_cap + 1e-9
-        stake = F.when(fits, b["w"]).otherwise(F.lit(0.0))
-        return F.struct((state["spent"] + stake).alias("spent"), F.concat(state["out"], F.array(F.struct(*[b[k].alias(k) for k in keys], stake.alias("stake")))).alias("out"))
-
-    types = dict(df.dtypes)
-    empty = F.array().cast("array<struct<" + ",".join([f"{k}:{types[k]}" for k in keys] + ["stake:double"]) + ">>")
-    folded = df.groupBy(*day).agg(F.sort_array(F.collect_list(bet)).alias("all")).withColumn("f", F.aggregate("all", F.struct(F.lit(0.0).alias("spent"), empty.alias("out")), take))
-    return folded.select(*day, F.inline("f.out"))
+def day_stakes(df: DataFrame, day: list[str], edge: str, kelly: str, order: list[str], part: float = 0.25, most: float = 0.02, day_cap: float = 0.1) -> DataFrame:
+    """df with stake, a share of the day's first bankroll: a part of kelly trimmed to most; strongest edge first, a bet that would pass the day's cap is skipped and a smaller one later may still fit."""
+    wished = df.withColumn("stake", F.least(F.col(kelly) * part, F.lit(most)))
+    # without caps for items, any column serves as item
+    kept = allocate(wished, day, order[0], edge, "stake", [-F.col(edge), *[F.col(c) for c in order]], daily=day_cap, per_item=float("inf"), most=2**62)
+    return kept.withColumn("stake", F.when(F.col("kept"), F.col("stake")).otherwise(F.lit(0.0))).drop("kept")
 
 
 def exposure(df: DataFrame, item: list[str], stake: str, placed: Column) -> DataFrame:

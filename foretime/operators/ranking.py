@@ -24,26 +24,27 @@ def share_of_group(by: list[str], value: str) -> Column:
     return F.when(total > 0, F.col(value) / total)
 
 
-def whole_row_number(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
-    """1..n over the whole table in a total order.
+def whole_row_number(df: DataFrame, order: list[str], name: str = "row_no", count: str | None = None) -> DataFrame:
+    """1..n over the whole table in a total order, and n itself under the name count.
 
     Rows are dealt by ranges of the order; each range numbers its own rows and adds the sizes of those before,
-    which are one row for each partition. The dealt rows are cached between the two passes.
+    which are one row for each partition. Both passes read the same exchange of the range shuffle.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
+    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
     sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    ahead = sizes.select(F.col("__part"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     # one row for each partition of the range shuffle
-    return dealt.withColumn("__own", own).join(F.broadcast(ahead), "__part").withColumn(name, (F.col("__own") + F.col("__ahead")).cast("long")).drop("__own", "__ahead", "__part")
+    before, all_ = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    ahead = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"), F.sum("__n").over(all_).alias("__all"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    out = dealt.withColumn("__own", own).join(F.broadcast(ahead), "__part").withColumn(name, (F.col("__own") + F.col("__ahead")).cast("long"))
+    return (out.withColumnRenamed("__all", count) if count else out).drop("__own", "__ahead", "__part", "__all")
 
 
 def equal_count_bins(df: DataFrame, order: list[str], bins: int, name: str = "bin") -> DataFrame:
     """floor((row number - 1) * bins / n): bins of as equal size as can be, ties by the order."""
-    numbered = whole_row_number(df, order, "__row")
-    n = df.count()
-    return numbered.withColumn(name, F.floor((F.col("__row") - 1) * bins / F.lit(max(1, n))).cast("int")).drop("__row")
+    numbered = whole_row_number(df, order, "__row", "__rows")
+    return numbered.withColumn(name, F.floor((F.col("__row") - 1) * bins / F.col("__rows")).cast("int")).drop("__row", "__rows")
 
 
 def bit_reversal(index: Column, bits: int) -> Column:

@@ -1,7 +1,7 @@
 """Folds whose steps depend on each other: ratings, caps and bankrolls.
 
 They are serial within a group by nature, so groups (a league, a day, a strategy) run side by side.
-A group of a day is folded inside a JVM expression; ratings and bankrolls stream through a sorted pass.
+Each streams through one sorted pass, so no group is ever held whole.
 """
 
 from __future__ import annotations
@@ -87,26 +87,25 @@ class _Runs:
 def allocate(bets: DataFrame, day: list[str], item: str, edge: str, stake: str, order: list[Column], daily: float = 0.10, per_item: float = 0.04, most: int = 3) -> DataFrame:
     """bets with `kept`: taken in order (strongest first) while the day's and the item's caps hold; one that doesn't fit is skipped and the next tried.
 
-    A day's bets are folded in the JVM as one array; days run side by side.
+    Days run side by side; a day's bets are streamed in order, and what is kept in memory are the sums of the items taken.
     """
-    row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(item).alias("item"), F.col(stake).alias("stake"), F.struct(*bets.columns).alias("row"))
-    days = bets.groupBy(*[F.col(d).alias(f"__{d}") for d in day]).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    item_type = dict(bets.dtypes)[item]
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast(f"array<struct<item:{item_type},stake:double>>").alias("taken"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(s: Column, b: Column) -> Column:
-        mine = F.filter(s["taken"], lambda t: t["item"] == b["item"])
-        on_item = F.aggregate(mine, F.lit(0.0), lambda a, t: a + t["stake"])
-        fits = (s["used"] + b["stake"] <= daily + 1e-9) & (on_item + b["stake"] <= per_item + 1e-9) & (F.size(mine) < most)
-        return F.struct(
-            (s["used"] + F.when(fits, b["stake"]).otherwise(F.lit(0.0))).alias("used"),
-            F.when(fits, F.concat(s["taken"], F.array(F.struct(b["item"].alias("item"), b["stake"].cast("double").alias("stake"))))).otherwise(s["taken"]).alias("taken"),
-            F.concat(s["kept"], F.array(fits)).alias("kept"),
-        )
-
-    done = days.withColumn("kept", F.aggregate("all", start, step)["kept"])
-    each = done.select(F.explode(F.arrays_zip("all", "kept")).alias("x"))
-    return each.select("x.all.row.*", F.col("x.kept").alias("kept"))
+    columns = bets.columns
+
+    def run(key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used, taken = 0.0, {}
+        for frame in frames:
+            kept = []
+            for what, s in zip(frame[item], frame[stake]):
+                n, on_item = taken.get(what, (0, 0.0))
+                fits = bool(used + s <= daily + 1e-9 and on_item + s <= per_item + 1e-9 and n < most)
+                if fits:
+                    used, taken[what] = used + s, (n + 1, on_item + s)
+                kept.append(fits)
+            yield frame[columns].assign(kept=kept)
+
+    keyed = bets.withColumns({"__key": F.to_json(F.struct(*day))} | {f"__o{i}": c for i, c in enumerate(order)})
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bets.schema.fields)
+    return _sorted_groups(keyed, "__key", [f"__o{i}" for i in range(len(order))], run, f"{fields}, kept boolean")
 
 
 def bankroll(bets: DataFrame, strategy: str, day: str, order: list[str], stake: str, gain: str, start: float = 1000.0, daily: float = 0.10) -> DataFrame:
@@ -140,14 +139,24 @@ def bankroll(bets: DataFrame, strategy: str, day: str, order: list[str], stake:
 
 
 def anchored_clusters(df: DataFrame, keys: list[str], seconds: str, span: int) -> DataFrame:
-    """keys, first, members: instants (whole seconds) in order; a new cluster begins when one is over span after its cluster's first. Unlike gap sessions, a cluster never spans more."""
-    start = F.array().cast("array<struct<first:bigint,n:bigint>>")
+    """keys, first, members: instants (whole seconds) in order; a new cluster begins when one is over span after its cluster's first. Unlike gap sessions, a cluster never spans more. A group is streamed in order."""
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"))))
-        new = F.concat(acc, F.array(F.struct(t.alias("first"), F.lit(1).cast("long").alias("n"))))
-        return F.when((F.size(acc) > 0) & (t - last["first"] <= span), grown).otherwise(new)
-
-    each = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(seconds).cast("long"))).alias("all"))
-    return each.select(*keys, F.inline(F.aggregate("all", start, step))).withColumnRenamed("n", "members")
+    def run(key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, n, own = None, 0, None
+        for frame in frames:
+            out = []
+            own = tuple(frame.iloc[0][keys])
+            for t in frame["__at"].tolist():
+                if first is not None and t - first <= span:
+                    n += 1
+                    continue
+                if first is not None:
+                    out.append((*own, first, n))
+                first, n = t, 1
+            yield pd.DataFrame(out, columns=[*keys, "first", "members"])
+        if first is not None:
+            yield pd.DataFrame([(*own, first, n)], columns=[*keys, "first", "members"])
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    keyed = df.select(*keys, F.col(seconds).cast("long").alias("__at"), F.to_json(F.struct(*keys)).alias("__key"))
+    return _sorted_groups(keyed, "__key", ["__at"], run, ", ".join(f"{k} {types[k]}" for k in keys) + ", first long, members long")

