@@ -37,9 +37,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Entries of a task's table of distinct words.
 TABLE_WORDS = 400_000
-#: Fillings that the search tries before it settles for its incumbent, and those kept at each step.
+#: Fillings that the search looks at before it settles for its incumbent.
 NODES = 6_000
-WIDTH = 3
 
 
 class WordIds:
@@ -156,45 +155,51 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Fil
     return [(f, n) for x in open_.values() for f, n in x.items() if f]
 
 
-def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Up to width undominated fillings of room, least waste first. One piece of length y dominates every filling of smaller total, so only the largest single piece and fillings of more than its length count; each is completed by the largest pieces that still fit."""
-    have = np.flatnonzero(counts[: room + 1])
-    if not len(have):
-        return [()]
-    below = np.zeros(room + 1, np.int64)  # the largest length at hand up to x
-    below[have] = have
-    below = np.maximum.accumulate(below)
-    single = int(have[-1])
-    firsts = have[::-1][:512]
-    rest = room - firsts
-    second = below[rest]
-    twice = (second == firsts) & (counts[firsts] < 2)
-    second[twice] = below[np.maximum(np.minimum(rest, firsts)[twice] - 1, 0)]
-    third = below[rest - second]
-    alike = ((third == second) | (third == firsts)) & (third > 0)
-    need = 1 + (third == second).astype(int) + (third == firsts)
-    third[alike & (counts[third] < need)] = 0
-    total = firsts + second + third
-    out, seen = [], set()
-    for k in np.argsort(-total, kind="stable"):
-        if total[k] < single or len(out) >= width:
-            break
-        took = [int(x) for x in (firsts[k], second[k], third[k]) if x]
-        used = {x: took.count(x) for x in took}
-        left = room - sum(took)
-        while left > 0 and (x := int(below[left])):  # complete it
-            while x and counts[x] <= used.get(x, 0):
-                x = int(below[x - 1])
-            if not x:
-                break
-            took.append(x)
-            used[x] = used.get(x, 0) + 1
-            left -= x
-        key = tuple(sorted(took, reverse=True))
-        if key not in seen:
-            seen.add(key)
-            out.append(key)
-    return sorted(out, key=lambda f: (room - sum(f), len(f)))
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """The undominated fillings of room, least waste first, found one by one; None stands for a dominated one that was passed over.
+
+    Totals below the largest single piece are dominated by it. Which totals can be made of the pieces from a length down
+    is known beforehand, so no step leads into a dead end.
+    """
+    lengths = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+    if not lengths:
+        yield ()
+        return
+    reach = [1] * (len(lengths) + 1)  # bit t: pieces of lengths[k:] make a total of t
+    for k in range(len(lengths) - 1, -1, -1):
+        bits, left, part = reach[k + 1], min(int(counts[lengths[k]]), room // lengths[k]), 1
+        while left > 0:
+            bits |= bits << lengths[k] * min(part, left)
+            left, part = left - part, part * 2
+        reach[k] = bits & (1 << room + 1) - 1
+
+    def made(k: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+        for j in range(k, len(lengths)):
+            if not total or not reach[j] >> total & 1:
+                return
+            for times in range(min(int(counts[lengths[j]]), total // lengths[j]), 0, -1):
+                if reach[j + 1] >> total - times * lengths[j] & 1:
+                    for rest in made(j + 1, total - times * lengths[j]):
+                        yield (lengths[j],) * times + rest
+
+    for total in range(room, lengths[0] - 1, -1):
+        if reach[0] >> total & 1:
+            for filling in made(0, total):
+                yield None if _dominated(filling, counts, room) else filling
+
+
+def _dominated(filling: tuple[int, ...], counts: np.ndarray, room: int) -> bool:
+    """Whether one piece at hand could take the place of two or more of the filling's, or of a smaller one, within the room."""
+    waste = room - sum(filling)
+    sums, pairs = {0}, set()  # totals of some pieces, and of two or more
+    for x in filling:
+        pairs |= {p + x for p in pairs} | {s + x for s in sums if s}
+        sums |= {s + x for s in sums}
+    held = {x: filling.count(x) for x in filling}
+    at_hand = lambda y: counts[y] > held.get(y, 0)
+    return any(at_hand(y) for s in pairs for y in range(s, s + waste + 1)) or any(at_hand(y) for x in held for y in range(x + 1, x + waste + 1))
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -209,8 +214,8 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return most
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Filling, int]]:
-    """Fillings and how many sequences each gets, for so many pieces of each length."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: float = NODES, repeat: bool = True) -> list[tuple[Filling, int]]:
+    """Fillings and how many sequences each gets, for so many pieces of each length. With repeat a filling is taken as often as counts allow; without it, and with infinite nodes, the plan is optimal."""
     counts = {int(k): int(n) for k, n in counts.items() if n}
     best = best_fit_decreasing(counts, capacity)
     fewest, least = sum(n for _, n in best), lower_bound(counts, capacity)
@@ -225,7 +230,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     def step() -> list:
         largest = int(np.flatnonzero(left)[-1])
         left[largest] -= 1
-        options = fillings(left, capacity - largest, WIDTH)
+        options = fillings(left.copy(), capacity - largest)
         left[largest] += 1
         return [largest, options]
 
@@ -233,21 +238,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
         stack.append(step())
     while stack and nodes > 0:
         largest, options = stack[-1]
-        if len(path) == len(stack):  # take back what was tried last
+        if len(path) == len(stack):  # take back what was tried last here
             filling, n = path.pop()
             for k, m in filling:
                 left[k] += m * n
             bins -= n
             waste -= n * (capacity - sum(k * m for k, m in filling))
-        if not options:
+        option = next(options, "none")
+        if option == "none":
             stack.pop()
             continue
-        option = options.pop(0)
         nodes -= 1
+        if option is None:
+            continue
         held: dict[int, int] = {largest: 1}
         for k in option:
             held[k] = held.get(k, 0) + 1
-        n = int(min(left[k] // m for k, m in held.items()))
+        n = int(min(left[k] // m for k, m in held.items())) if repeat else 1
         lost = capacity - largest - sum(option)
         path.append((tuple(sorted(held.items(), reverse=True)), n))
         for k, m in held.items():
@@ -266,10 +273,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     return best
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """pieces (doc_id, piece, start, length, ids_crc32, and columns to carry) with sequence_id and offset."""
     spark = pieces.sparkSession
-    pieces = materialise(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pack-pieces")
+    pieces = materialise(pieces.select("doc_id", "piece", "start", "length", "ids_crc32", *carry), "pack-pieces")
     buckets = max(16, pieces.count() // 500_000)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -284,7 +291,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             used[length] += times * n
             offset += length * times
         sequence += n
-    # at most a few slots for each length and filling, and fewer fillings than twice the lengths: its size depends on capacity alone
+    # a few slots for each length and filling, and fewer fillings than twice the lengths: its size depends on capacity alone.
+    # The counts by length and bucket, which grow with the pieces, are joined without a hint
     table = F.broadcast(spark.createDataFrame(slots, "slot_length long, lo long, hi long, first long, times long, at long").coalesce(1))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start")
     ranked = pieces.join(counts.drop("n"), ["length", "bucket"]).withColumn("rank", F.col("ahead") + F.row_number().over(within) - 1)
@@ -295,11 +303,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "start",
         "length",
         "ids_crc32",
+        *carry,
         (F.col("first") + F.floor(in_slot / F.col("times"))).cast("long").alias("sequence_id"),
         (F.col("at") + F.pmod(in_slot, F.col("times")) * F.col("length")).cast("long").alias("offset"),
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
-    return pack(token_pieces(docs, tokenizer, capacity), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs; with ids also the token ids of each piece, little-endian unsigned 32-bit, so that a sequence is its pieces' ids by offset."""
+    return pack(token_pieces(docs, tokenizer, capacity), capacity, ("ids",) if ids else ())
