@@ -816,25 +816,54 @@ def anchored_clusters(spark, d):
     return sequential.anchored_clusters(driver_table(spark, d, "events").select("user_id", s.alias("s")), ["user_id"], "s", 604800)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {GAMES}, o AS (SELECT 'l' || CAST(orderkey % 16 AS VARCHAR) AS league, orderkey AS g, day, season, CAST(custkey % 30 AS INT) + 1 AS ih, CAST((custkey + orderkey % 29 + 1) % 30 AS INT) + 1 AS ia, qty % 7 AS hs, rev % 6 AS aw FROM games),
+n AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY day, g) AS i FROM o),
+f(league, i, g, h, a, r, seen) AS (
+  SELECT league, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 1500.0::DOUBLE, 1500.0::DOUBLE, list_transform(range(30), lambda x: 1500.0::DOUBLE), list_transform(range(30), lambda x: CAST(0 AS INT)) FROM (SELECT DISTINCT league FROM n)
+  UNION ALL
+  SELECT league, i, g, h, a, list_transform(r, lambda x, j: CASE j WHEN ih THEN h + 20 * (won - e) WHEN ia THEN a - 20 * (won - e) ELSE x END), list_transform(seen, lambda x, j: CASE WHEN j = ih OR j = ia THEN season ELSE x END)
+  FROM (SELECT *, 1 / (1 + pow(10, -((h + 50) - a) / 400)) AS e FROM (
+    SELECT n.league, n.i, n.g, n.ih, n.ia, n.season, f.r, f.seen, CASE WHEN hs > aw THEN 1.0 WHEN hs < aw THEN 0.0 ELSE 0.5 END AS won,
+      CASE WHEN f.seen[ih] IN (0, n.season) THEN f.r[ih] ELSE f.r[ih] + (1500 - f.r[ih]) / 3 END AS h, CASE WHEN f.seen[ia] IN (0, n.season) THEN f.r[ia] ELSE f.r[ia] + (1500 - f.r[ia]) / 3 END AS a
+    FROM f JOIN n ON n.league = f.league AND n.i = f.i + 1)))
+SELECT league, g AS game_id, round(h, 1) AS home_rating, round(a, 1) AS away_rating FROM f WHERE i > 0"""
+)
 def elo_ratings(spark, d):
-    """Thirty sides in each of sixteen leagues play each other; leagues run side by side. Tested against a plain loop."""
+    """Thirty sides in each of sixteen leagues play each other; leagues run side by side."""
     o = games(spark, d).select(F.concat(F.lit("l"), F.pmod("orderkey", F.lit(16)).cast("string")).alias("league"), F.col("orderkey").alias("game_id"), F.col("day").alias("date"), "season", F.concat(F.lit("t"), F.pmod("custkey", F.lit(30))).alias("home"), F.concat(F.lit("t"), F.pmod(F.col("custkey") + F.col("orderkey") % 29 + 1, F.lit(30))).alias("away"), F.pmod("qty", F.lit(7.0)).alias("home_score"), F.pmod("rev", F.lit(6.0)).alias("away_score"), F.lit(True).alias("final"))
     return sequential.elo(o)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {GAMES}, b AS (SELECT day, orderkey, CAST(left(priority, 1) AS INT) AS item, (orderkey % 50) / 1000.0::DOUBLE AS edge, 0.005 + (orderkey % 16) / 1000.0::DOUBLE AS stake FROM games),
+n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY edge DESC, orderkey) AS i FROM b),
+f(day, i, orderkey, kept, used, sums, ns) AS (
+  SELECT day, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, 0.0::DOUBLE, [0.0::DOUBLE, 0, 0, 0, 0], [0, 0, 0, 0, 0] FROM (SELECT DISTINCT day FROM n)
+  UNION ALL
+  SELECT day, i, orderkey, fits, used + CASE WHEN fits THEN stake ELSE 0 END, list_transform(sums, lambda x, j: x + CASE WHEN fits AND j = item THEN stake ELSE 0 END), list_transform(ns, lambda x, j: x + CASE WHEN fits AND j = item THEN 1 ELSE 0 END)
+  FROM (SELECT n.*, f.used, f.sums, f.ns, f.used + n.stake <= 0.1 + 1e-9 AND f.sums[item] + n.stake <= 0.04 + 1e-9 AND f.ns[item] < 3 AS fits FROM f JOIN n ON n.day = f.day AND n.i = f.i + 1))
+SELECT orderkey, kept FROM f WHERE i > 0"""
+)
 def exposure_caps(spark, d):
-    """Tested against a plain loop."""
     b = games(spark, d).select("day", "orderkey", F.col("priority").alias("item"), (F.pmod("orderkey", F.lit(50)) / 1000).alias("edge"), (0.005 + F.pmod("orderkey", F.lit(16)) / 1000).alias("stake"))
-    return sequential.allocate(b, ["day"], "item", "edge", "stake", [-F.col("edge"), F.col("orderkey")])
+    return sequential.allocate(b, ["day"], "item", "edge", "stake", [-F.col("edge"), F.col("orderkey")]).select("orderkey", "kept")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {GAMES}, b AS (SELECT priority AS s, day, orderkey, 0.01 + (orderkey % 10) / 1000.0::DOUBLE AS stake, CASE WHEN orderkey % 2 = 0 THEN 0.95 ELSE -1.0 END AS gain FROM games),
+n AS (SELECT *, row_number() OVER (PARTITION BY s, day ORDER BY orderkey) AS i FROM b),
+f(s, day, i, used, took, stake, gain) AS (
+  SELECT s, day, i, CASE WHEN stake <= 0.1 + 1e-9 THEN stake ELSE 0 END, stake <= 0.1 + 1e-9, stake, gain FROM n WHERE i = 1
+  UNION ALL SELECT n.s, n.day, n.i, f.used + CASE WHEN f.used + n.stake <= 0.1 + 1e-9 THEN n.stake ELSE 0 END, f.used + n.stake <= 0.1 + 1e-9, n.stake, n.gain FROM f JOIN n ON n.s = f.s AND n.day = f.day AND n.i = f.i + 1),
+t AS (SELECT s, day, count(*) FILTER (WHERE took) AS bets, coalesce(sum(stake) FILTER (WHERE took), 0) AS staked, coalesce(sum(stake * gain) FILTER (WHERE took), 0) AS ret FROM f GROUP BY 1, 2),
+m AS (SELECT *, 1000 * product(1 + ret) OVER (PARTITION BY s ORDER BY day) AS balance FROM t)
+SELECT s AS strategy, CAST(day AS VARCHAR) AS day, bets, round(staked * balance / (1 + ret), 4) AS staked, round(ret * balance / (1 + ret), 4) AS pnl, round(balance, 4) AS balance, round(1 - balance / greatest(1000, max(balance) OVER (PARTITION BY s ORDER BY day)), 5) AS drawdown FROM m"""
+)
 def bankroll_path(spark, d):
-    """Tested against a plain loop."""
     b = games(spark, d).select(F.col("priority").alias("strategy"), "day", "orderkey", (0.01 + F.pmod("orderkey", F.lit(10)) / 1000).alias("stake"), F.when(F.pmod("orderkey", F.lit(2)) == 0, 0.95).otherwise(-1.0).alias("gain"))
-    return sequential.bankroll(b, "strategy", "day", ["orderkey"], "stake", "gain")
+    out = sequential.bankroll(b, "strategy", "day", ["orderkey"], "stake", "gain")
+    return out.select("strategy", F.col("day").cast("string").alias("day"), "bets", *[F.round(c, 4).alias(c) for c in ("staked", "pnl", "balance")], F.round("drawdown", 5).alias("drawdown"))
 
 
 @query(
