@@ -110,3 +110,14 @@ def bisect(f, target: Column, low: float, high: float, steps: int = 40) -> Colum
 
     out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
     return (out["lo"] + out["hi"]) / 2
+
+
+def sides(pmf: Column, line: Column) -> Column:
+    """struct(over, under, push): the push's mass is taken out of the first two."""
+    p, o = push(pmf, line), over(pmf, line)
+    return F.struct((o / (1 - p)).alias("over"), ((1 - p - o) / (1 - p)).alias("under"), p.alias("push"))
+
+
+def implied_mean(chance: Column, line: Column, alpha: float, low: float = 0.05, high: float = 12.0, kmax: int = 40) -> Column:
+    """The mean at which the negative binomial's over, without the push, has that chance."""
+    return bisect(lambda m: sides(negative_binomial(m, alpha, kmax), line)["over"], chance, low, high)

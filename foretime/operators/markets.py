@@ -109,3 +109,20 @@ def tied_best(df: DataFrame, item: list[str], price: str, venue: str = "venue")
     d = df.filter(F.col(price).isNotNull()).withColumn("__d", F.round(decimal_odds(F.col(price)), 12))
     top = d.groupBy(*item).agg(F.max("__d").alias("__d"))
     return d.join(top, [*item, "__d"]).groupBy(*item).agg(F.min(price).alias(price), F.sort_array(F.collect_set(venue)).alias("venues"))
+
+
+def pregame_pair(over: Column, under: Column, open_over: Column, open_under: Column, updated: Column, start: Column) -> Column:
+    """struct(over, under, source) of a two-sided price from before the start: the current one if it was updated before, else the opening one; NULL without either. Prices under 100 in size are none."""
+    fine = lambda a, b: (F.abs(a) >= 100) & (F.abs(b) >= 100)
+    pair = lambda a, b, source: F.struct(a.alias("over"), b.alias("under"), F.lit(source).alias("source"))
+    return F.when((updated < start) & fine(over, under), pair(over, under, "current")).when(fine(open_over, open_under), pair(open_over, open_under, "open"))
+
+
+def matched_props(props: DataFrame, predictions: DataFrame, played: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
+    """props with the predictions of their keys and matched, or the reason why there is none: no_player_id, did_not_play, not_eligible (under least games before) or other."""
+    out = props.join(predictions.withColumn("__hit", F.lit(True)), keys, "left").join(played.select(*keys, "n_prior").dropDuplicates(keys), keys, "left")
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    reason = F.when(F.col("__hit"), "matched").when(missing, "no_player_id").when(F.col("n_prior").isNull(), "did_not_play").when(F.col("n_prior") < least, "not_eligible").otherwise("other")
+    return out.withColumn("reason", reason).drop("__hit", "n_prior")

@@ -117,10 +117,10 @@ def fast_and_slow(df: DataFrame, keys: list[str], date: str, value: str, fast: t
 
 
 def previous_event(df: DataFrame, keys: list[str], order: list[str], ts: str, carry: list[str], cap: float = 600.0) -> DataFrame:
-    """seconds_since (capped) and prev_{c}: what the event before in the group was."""
+    """seconds_since (capped) and prev_{c}: what the event before in the group was; NULL for the first."""
     w = Window.partitionBy(*keys).orderBy(*order)
     gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) / 1e6
-    return df.withColumns({"seconds_since": F.least(gap, F.lit(cap))} | {f"prev_{c}": F.lag(c).over(w) for c in carry})
+    return df.withColumns({"seconds_since": F.when(gap > cap, F.lit(cap)).otherwise(gap)} | {f"prev_{c}": F.lag(c).over(w) for c in carry})
 
 
 def recent_count(df: DataFrame, keys: list[str], order: list[str], ts: str, seconds: int) -> DataFrame:

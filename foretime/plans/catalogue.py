@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foretime.plans import pricing, queries, reports
+from foretime.plans import feeds, pricing, queries, reports
 
-MODULES = (queries, pricing, reports)
+MODULES = (queries, pricing, reports, feeds)
 QUERIES, SQL, flagship = queries.QUERIES, queries.SQL, queries.flagship

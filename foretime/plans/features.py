@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretime.functions.calendar import haversine_km, utc_offset_hours
-from foretime.functions.guards import both_or_neither, stage_of
+from foretime.functions.guards import both_or_neither, clip, stage_of
+from foretime.functions.text import strength
 from foretime.operators.pit import prior_ratios, shrunk
 from foretime.operators.reshape import differences, pair_sides, sides, vector
 
@@ -108,3 +109,49 @@ def recent_share(df: DataFrame, keys: list[str], order: list[str], flag: str, n:
     """The share of the n rows before with flag; NULL under least rows."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, -1)
     return F.when(F.count(flag).over(w) >= least, F.avg(F.col(flag).cast("double")).over(w))
+
+
+def goalie_rates(base: DataFrame, windows: list[int] = WINDOWS, k: float = 66.0, league_sv: float = 0.905, league_gsax: float = 0.0, keys: tuple[str, ...] = ("goalie_id", "season")) -> DataFrame:
+    """base (a row for each appearance) with n_{w}, credibility z_{w}, rates over the w appearances before and their blends with the league's; without any before, the blend is the league's rate."""
+    sort, out = Window.partitionBy(*keys).orderBy("date", "game_id"), {}
+    sums = ("saves", "shots", "gsax", "toi", "hd_goals", "hd_att", "fen_goals", "fen_att", "xga")
+    for n in windows:
+        w = sort.rowsBetween(-n, -1)
+        s = {c: F.sum(c).over(w).cast("double") for c in sums}
+        count = F.count(F.lit(1)).over(w).cast("int")
+        z = count / (count + F.lit(k))
+        hourly = lambda c: F.when(s["toi"] > 0, 3600 * s[c] / s["toi"])  # noqa: E731, B023
+        sv, gsax = F.try_divide(s["saves"], s["shots"]), clip(hourly("gsax"), -99.0, 99.0)
+        blend = lambda raw, league: F.when(count > 0, z * raw + (1 - z) * F.lit(league)).otherwise(F.lit(league))  # noqa: E731, B023
+        out |= {
+            f"n_{n}": count, f"z_{n}": z, f"sv_{n}": sv, f"gsax60_{n}": gsax, f"hd_sv_{n}": 1 - F.try_divide(s["hd_goals"], s["hd_att"]), f"fenwick_sv_{n}": 1 - F.try_divide(s["fen_goals"], s["fen_att"]),
+            f"xga60_{n}": F.when(s["toi"] > 0, F.least(hourly("xga"), F.lit(99.0))), f"shrunk_sv_{n}": blend(sv, league_sv), f"shrunk_gsax_{n}": blend(gsax, league_gsax),
+        }
+    return base.withColumns(out)
+
+
+def shot_context(shots: DataFrame, cap: float = 600.0) -> DataFrame:
+    """shots (game_id, shot_id, t, period, team, home_team, x, y, angle, distance, goal, strength, score) with what a model of goals may know: the shot itself, the state of play, and the shot before it in the game.
+
+    Distance moved and rate of turning count within a period only; the game's first shot has no shot before it.
+    """
+    w = Window.partitionBy("game_id").orderBy("t", "shot_id")
+    before = lambda c: F.lag(c).over(w)
+    same, secs = before("period") == F.col("period"), clip(F.col("t") - before("t"), 0.0, cap)
+    home, men = F.col("team") == F.col("home_team"), strength(F.col("strength"))
+    out = shots.withColumns({
+        "secs_since_prev": secs, "prev_same_team": (before("team") == F.col("team")).cast("double"), "prev_dist_moved": F.when(same, F.hypot(F.col("x") - before("x"), F.col("y") - before("y"))),
+        "prev_angle_rate": F.when(same, F.abs(F.col("angle") - before("angle")) / F.when(secs > 1, secs).otherwise(F.lit(1.0))), "prev_was_goal": before("goal").cast("double"), "prev_distance": before("distance"),
+    })
+    return out.withColumns({
+        "x_abs": F.abs("x"), "y_abs": F.abs("y"), "shooter_skaters": men["own"], "defender_skaters": men["other"], "empty_net": (men["other"] >= 6).cast("double"), "period_seconds": clip(F.col("t") - 1200.0 * (F.col("period") - 1), 0.0, 1200.0),
+        "overtime": (F.col("period") >= 4).cast("double"), "period": F.least("period", F.lit(4)), "score_diff": clip(F.when(home, F.col("score")).otherwise(-F.col("score")), -4, 4), "shooter_home": home.cast("double"),
+    })
+
+
+def expected_sums(shots: DataFrame, by: list[str], xg: str = "xg", dangerous: float = 0.2) -> DataFrame:
+    """For each key: expected goals of all shots and of those on the power play (NULL without any), and how many on target are dangerous and went in."""
+    on_target, threat = F.col("event").isin("SHOT", "GOAL"), F.col(xg) >= dangerous
+    return shots.groupBy(*by).agg(
+        F.sum(xg).alias("xg"), F.sum(F.when(F.col("strength").isin("5v4", "5v3", "4v3"), F.col(xg))).alias("pp_xg"), F.count_if(on_target & threat).alias("hd_att"), F.count_if(on_target & threat & F.col("goal")).alias("hd_goals")
+    )

@@ -200,12 +200,12 @@ def rest_and_game_number(spark, d):
 
 @query(
     """WITH e AS (SELECT event_id, user_id, ts, event_type, value FROM events)
-SELECT event_id, least(round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 3), 600.0) AS seconds_since, lag(event_type) OVER w AS prev_event_type, lag(value) OVER w AS prev_value
+SELECT event_id, CASE WHEN lag(ts) OVER w IS NOT NULL THEN least(round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 3), 600.0) END AS seconds_since, lag(event_type) OVER w AS prev_event_type, lag(value) OVER w AS prev_value
 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
 )
 def previous_event(spark, d):
-    out = pit.previous_event(driver_table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "ts", ["event_type", "value"], 1e12)
-    return out.select("event_id", F.least(F.round("seconds_since", 3), F.lit(600.0)).alias("seconds_since"), "prev_event_type", "prev_value")
+    out = pit.previous_event(driver_table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "ts", ["event_type", "value"], 600.0)
+    return out.select("event_id", F.round("seconds_since", 3).alias("seconds_since"), "prev_event_type", "prev_value")
 
 
 @query(
