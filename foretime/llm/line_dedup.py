@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +133,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"), F.col("doc_id").isNull().alias("no_id"))
 
 
 def _shard_of(keys: list[bytes], shards: int) -> np.ndarray:
@@ -264,7 +265,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
                     text = b"\n".join(lines)
                 dropped.append(totals[-1] - len(lines))
                 texts.append(text)
-            yield pa.record_batch([batch.column(0), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
+            ids = pc.if_else(batch.column(3), pa.scalar(None, pa.int64()), batch.column(0))
+            yield pa.record_batch([ids, pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_text"])
 
-    out = source.join(drops, "doc_id", "left").select("doc_id", "text", "drops").mapInArrow(rewrite, "doc_id long, n_lines long, n_dropped long, kept_text string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return source.join(drops, "doc_id", "left").select("doc_id", "text", "drops", "no_id").mapInArrow(rewrite, "doc_id long, n_lines long, n_dropped long, kept_text string")

@@ -112,7 +112,7 @@ def fingerprints(docs: DataFrame, p: Params = NEAR) -> DataFrame:
             made = [fingerprint(t, p) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fingerprint binary")
 
 
 def key_masks(nodes: int, p: Params) -> list[int]:
@@ -249,12 +249,13 @@ def _parted(keyed: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, p: Params = NEAR) -> DataFrame:
     """doc_id, fingerprint binary, component_id: a row for each row of docs."""
     prints = materialise(fingerprints(docs, p), "simhash-prints")
-    nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "simhash-nodes")
+    nodes = materialise(prints.groupBy("fingerprint").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id")), "simhash-nodes")
     keyed = materialise(_keyed(nodes, key_masks(nodes.count(), p), p), "simhash-keyed")
     found = components(_tree_links(_parted(keyed), p.radius))
     labels = nodes.join(found, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return prints.join(labels, "fingerprint").select(real("doc_id"), "fingerprint", real("component_id"))
+    # a group whose smallest id is NO_ID has no id, or that very number
+    real = F.when((F.col("component_id") != NO_ID) | (F.col("doc_id") == NO_ID), F.col("component_id"))
+    return prints.join(labels, "fingerprint").select("doc_id", "fingerprint", real.alias("component_id"))
 
 
 def _row_key() -> Column:

@@ -67,6 +67,15 @@ def test_line_index_is_reversible(spark, odd, odd_rows):
     assert lines_of(line_dedup.dedup_lines(first, index)) == brute_lines([r for r in rows if r[0] % 4 == 1])
 
 
+def test_the_largest_id_is_an_id(spark):
+    from foretime.llm import imatch, simhash
+
+    df = spark.createDataFrame([(2**63 - 1, "one line that two texts share\nand another"), (7, "one line that two texts share"), (None, "no id here")], "doc_id long, text string")
+    ids = Counter([2**63 - 1, 7, None])
+    for out in (line_dedup.dedup_lines(df), imatch.edit_study(df), simhash.near_groups(df)):
+        assert Counter(r["doc_id"] for r in out.collect()) == ids
+
+
 def test_cuckoo_filter():
     keys = [hashlib.md5(str(i).encode()).digest() for i in range(5000)]
     c = line_dedup._filled(keys[:3000])
