@@ -20,11 +20,12 @@ A tree gives links that connect what it holds, not all pairs.
 
 `drop_near_duplicates` links two texts when their fingerprints are within the radius and
 their sets of shingles have a Jaccard similarity of SIMILAR or more, compared on the whole
-texts. At that similarity
-about 19 of 128 bits differ, with a deviation of 4 to 5, so the radius of 26 takes in 19 of 20 pairs at exactly 0.8
-and nearly all that are more alike. At such a radius a BK-tree skips no edge, so shards are compared in blocks. The search loses no such pair, at any number of texts: sets so alike share one of
-the smallest (1 - SIMILAR) * size + 1 hashes of each, so texts meet under those hashes
-(prefix filter). Texts that meet in a shard, differ little enough in size and are within the
+texts. At that similarity 78 of 512 bits differ on average, with a deviation of about 8, so the radius of 100 takes
+in all but one pair in three hundred at exactly 0.8, and nearly all that are more alike; pairs under 0.65 are almost
+never within it. At such a radius a BK-tree skips no edge, so shards are compared in blocks. Texts meet under the smallest
+hashes of their shingles: a pair of similarity 0.8 or more shares one of the smallest (1 - SIMILAR) * size + 1 of each, and,
+as eight in nine of the hashes of one are the other's too, one of the SEEDS smallest but for about two pairs in a million; neither
+chance depends on the number of texts. Texts that meet in a shard, differ little enough in size and are within the
 radius are candidates. They are compared in rounds, a few for each text of a shard first;
 pairs that are in one group by then need no comparison, so a dense group costs few.
 
@@ -51,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, materialise, slices, text_of
+from ._common import NO_ID, materialise, released, slices, text_of
 from ._components import components
 
 #: Nodes in one part of a shard.
@@ -60,6 +61,8 @@ SHARD = 4096
 MOST_KEYS = 500
 #: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
 SIMILAR = (4, 5)
+#: Hashes under which a text meets others, at most.
+SEEDS = 6
 #: Pairs of whole texts handed to Python at once.
 PAIRS = 64
 #: Candidates for each text of a shard in the first round, and how many times more in each next one.
@@ -69,12 +72,12 @@ FEW, MORE = 4, 16
 @dataclass(frozen=True)
 class Params:
     words: int = 5
-    bits: int = 128  # 64: XXH64, 128: XXH3
-    radius: int = 26  # of 128 bits
+    bits: int = 512  # 64: XXH64; 512: eight words mixed from XXH3's 128 bits
+    radius: int = 100
     seed: int = 42
 
 
-#: Five-word shingles, and a radius that takes in nearly all pairs of similarity 0.8 or more.
+#: Five-word shingles, and a radius that takes in nearly all pairs of similarity 0.8 or more, and few others.
 NEAR = Params()
 
 
@@ -91,10 +94,26 @@ def _digests(words: list[bytes], p: Params) -> Iterator[np.ndarray]:
         yield np.frombuffer(hashes, np.uint8).reshape(len(first), -1)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64: every bit depends on all bits."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _widened(x: np.ndarray) -> np.ndarray:
+    """512 bits of each 128: eight words, each mixed from both halves and its own number."""
+    high, low = x.view(">u8").astype(np.uint64).T
+    with np.errstate(over="ignore"):
+        steps = np.arange(1, 9, dtype=np.uint64)
+        words = _mixed(high[:, None] + np.uint64(0x9E3779B97F4A7C15) * steps) ^ _mixed(low[:, None] + np.uint64(0xD1B54A32D192ED03) * steps)
+    return np.ascontiguousarray(words.astype(">u8")).view(np.uint8)
+
+
 def _majority(slices_: list[np.ndarray], p: Params) -> bytes:
     ones = np.zeros(p.bits, np.int64)
     for x in slices_:
-        ones += np.unpackbits(x, axis=1).sum(0, dtype=np.int32)
+        ones += np.unpackbits(x if p.bits == 64 else _widened(x), axis=1).sum(0, dtype=np.int32)
     return np.packbits(2 * ones > sum(map(len, slices_))).tobytes()
 
 
@@ -283,7 +302,7 @@ def _sketches(docs: DataFrame, p: Params) -> DataFrame:
                 made = list(_digests(words, p))
                 hashes = np.unique(np.concatenate([x[:, :8] for x in made]).copy().view(np.int64))
                 shared = -(-SIMILAR[0] * len(hashes) // SIMILAR[1])  # at least so many are in a near copy too
-                out.append((key, _majority(made, p), len(hashes), hashes[: len(hashes) - shared + 1]))
+                out.append((key, _majority(made, p), len(hashes), hashes[: min(len(hashes) - shared + 1, SEEDS)]))
             ends = np.cumsum([0, *(len(x[3]) for x in out)], dtype=np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[3] for x in out])))
             yield pa.record_batch(
@@ -313,8 +332,8 @@ def _meetings(nodes: DataFrame) -> DataFrame:
 def shard_candidates(prints: np.ndarray, sizes: np.ndarray, groups: np.ndarray, radius: int, few: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Places (later, earlier) of pairs within the radius, of sizes that allow SIMILAR and of distinct groups: the first few of each later one, and whether there are more."""
     later, earlier, more = [], [], False
-    for lo in range(0, len(sizes), 256):
-        hi = min(len(sizes), lo + 256)
+    for lo in range(0, len(sizes), 128):
+        hi = min(len(sizes), lo + 128)
         near = np.bitwise_count(prints[lo:hi, None] ^ prints[None, :hi]).sum(2, dtype=np.int64) <= radius
         least, most = np.minimum(sizes[lo:hi, None], sizes[None, :hi]), np.maximum(sizes[lo:hi, None], sizes[None, :hi])
         near &= (SIMILAR[1] * least >= SIMILAR[0] * most) & (groups[lo:hi, None] != groups[None, :hi])
@@ -426,12 +445,13 @@ def near_links(nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame | None
 
 def drop_near_duplicates(docs: DataFrame, p: Params = NEAR) -> DataFrame:
     """The rows of docs with the smallest id of their group; all columns stay as they are."""
-    rows = materialise(_sketches(docs, p), "simhash-sketches")
-    first = lambda c: F.first(c).alias(c)
-    nodes = materialise(rows.groupBy("words").agg(F.min("row").alias("node"), first("fingerprint"), first("size"), first("prefix")), "simhash-nodes")
-    found = near_links(nodes, docs, p)
-    labels = nodes.select("words", F.col("node").alias("component"))
-    if found is not None:
-        labels = nodes.join(found.toDF("node", "component"), "node", "left").select("words", F.coalesce("component", "node").alias("component"))
-    dropped = rows.select("row", "words").join(labels, "words").filter("row <> component").select(F.col("row").alias("dropped_row")).distinct()
+    with released(docs.sparkSession):
+        rows = materialise(_sketches(docs, p), "simhash-sketches")
+        first = lambda c: F.first(c).alias(c)
+        nodes = materialise(rows.groupBy("words").agg(F.min("row").alias("node"), first("fingerprint"), first("size"), first("prefix")), "simhash-nodes")
+        found = near_links(nodes, docs, p)
+        labels = nodes.select("words", F.col("node").alias("component"))
+        if found is not None:
+            labels = nodes.join(found.toDF("node", "component"), "node", "left").select("words", F.coalesce("component", "node").alias("component"))
+        dropped = materialise(rows.select("row", "words").join(labels, "words").filter("row <> component").select(F.col("row").alias("dropped_row")).distinct(), "simhash-dropped")
     return docs.join(dropped, _row_key() == dropped["dropped_row"], "left_anti")
