@@ -74,23 +74,39 @@ def _target(p: Column) -> Column:
     return F.greatest(F.least(p, F.lit(TARGETS[1])), F.lit(TARGETS[0]))
 
 
+def _total(cells: Column, weight) -> Column:
+    """The sum of weight(cell)."""
+    return F.aggregate(cells, F.lit(0.0), lambda s, x: s + weight(x))
+
+
 def tilt_total(cells: Column, p_over: Column, line: Column) -> Column:
     """Cells times exp(phi * total), so that over wins with p_over where there is no push; within a total nothing changes."""
-    bent = lambda c, phi: scaled(c, lambda h, a: F.exp(phi * (settled_total(h, a) - 6)))
-    return once(cells, lambda c: once(pmf.bisect(lambda phi: over_without_push(bent(c, phi), line), _target(p_over), -5.0, 5.0), lambda phi: bent(c, phi)))
+    goals = lambda x: settled_total(x["h"], x["a"])
+
+    def chance(c, phi):
+        weight = lambda x: x["p"] * F.exp(phi * (goals(x) - 6))
+        return _total(F.filter(c, lambda x: goals(x) > line), weight) / _total(F.filter(c, lambda x: goals(x) != line), weight)
+
+    return once(cells, lambda c: once(pmf.bisect(lambda phi: chance(c, phi), _target(p_over), -5.0, 5.0), lambda phi: scaled(c, lambda h, a: F.exp(phi * (settled_total(h, a) - 6)))))
 
 
 def tilt_margin(cells: Column, p_home: Column, overtime: Column, most: int = 2 * pmf.LEVELS + 1) -> Column:
     """Cells times exp(theta * (h - a)), each total keeping its chance, so that home wins with p_home."""
-    totals = F.sequence(F.lit(0), F.lit(most))
-    sums = lambda c: F.transform(totals, lambda t: mass(c, lambda h, a: settled_total(h, a) == t))
+    bent = lambda x, theta: x["p"] * F.exp(theta * (x["h"] - x["a"]))
+    wins = lambda x: F.when(x["h"] > x["a"], F.lit(1.0)).when(x["h"] == x["a"], overtime).otherwise(F.lit(0.0))
+    of_total = lambda c, t: F.filter(c, lambda x: settled_total(x["h"], x["a"]) == t)
+    # the cells of each total with the chance that the total keeps; no cells settle at 0
+    groups = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda t: once(of_total(cells, t), lambda g: F.struct(g.alias("cells"), _total(g, lambda x: x["p"]).alias("kept"))))
+    groups = F.filter(groups, lambda g: g["kept"] > 0)
+
+    def chance(all_, theta):
+        part = lambda g: g["kept"] * _total(g["cells"], lambda x: bent(x, theta) * wins(x)) / _total(g["cells"], lambda x: bent(x, theta))
+        return F.aggregate(all_, F.lit(0.0), lambda s, g: s + part(g))
 
-    def bent(c, kept, theta):
-        w = F.transform(c, lambda x: F.struct(x["h"].alias("h"), x["a"].alias("a"), (x["p"] * F.exp(theta * (x["h"] - x["a"]))).alias("p")))
-        rescale = lambda x, now: x["p"] * F.element_at(kept, settled_total(x["h"], x["a"]) + 1) / F.element_at(now, settled_total(x["h"], x["a"]) + 1)
-        return once(w, lambda v: once(sums(v), lambda now: F.transform(v, lambda x: F.struct(x["h"].alias("h"), x["a"].alias("a"), rescale(x, now).alias("p")))))
+    def rescaled(g, theta):
+        return once(_total(g["cells"], lambda x: bent(x, theta)), lambda s: F.transform(g["cells"], lambda x: F.struct(x["h"].alias("h"), x["a"].alias("a"), (bent(x, theta) * g["kept"] / s).alias("p"))))
 
-    return once(cells, lambda c: once(sums(c), lambda kept: once(pmf.bisect(lambda theta: home_win(bent(c, kept, theta), overtime), _target(p_home), -8.0, 8.0), lambda theta: bent(c, kept, theta))))
+    return once(groups, lambda all_: once(pmf.bisect(lambda theta: chance(all_, theta), _target(p_home), -8.0, 8.0), lambda theta: F.flatten(F.transform(all_, lambda g: rescaled(g, theta)))))
 
 
 def final_scores(cells: Column, overtime: Column) -> Column:
