@@ -851,7 +851,7 @@ def exposure_caps(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {GAMES}, b AS (SELECT priority AS s, day, orderkey, 0.010137 + (orderkey % 10) / 1000.0::DOUBLE AS stake, CASE WHEN orderkey % 2 = 0 THEN 0.95 ELSE -1.0 END AS gain FROM games),
+    f"""WITH RECURSIVE {GAMES}, b AS (SELECT priority AS s, day, orderkey, 0.010137 + (orderkey % 10) / 1000.0::DOUBLE AS stake, CASE WHEN orderkey % 2 = 0 THEN 0.9513 ELSE -1.0 END AS gain FROM games),
 n AS (SELECT *, row_number() OVER (PARTITION BY s, day ORDER BY orderkey) AS i FROM b),
 f(s, day, i, used, took, stake, gain) AS (
   SELECT s, day, i, CASE WHEN stake <= 0.1 + 1e-9 THEN stake ELSE 0 END, stake <= 0.1 + 1e-9, stake, gain FROM n WHERE i = 1
@@ -861,7 +861,7 @@ m AS (SELECT *, 1000 * product(1 + ret) OVER (PARTITION BY s ORDER BY day) AS ba
 SELECT s AS strategy, CAST(day AS VARCHAR) AS day, bets, round(staked * balance / (1 + ret), 4) AS staked, round(ret * balance / (1 + ret), 4) AS pnl, round(balance, 4) AS balance, round(1 - balance / greatest(1000, max(balance) OVER (PARTITION BY s ORDER BY day)), 5) AS drawdown FROM m"""
 )
 def bankroll_path(spark, d):
-    b = games(spark, d).select(F.col("priority").alias("strategy"), "day", "orderkey", (0.010137 + F.pmod("orderkey", F.lit(10)) / 1000).alias("stake"), F.when(F.pmod("orderkey", F.lit(2)) == 0, 0.95).otherwise(-1.0).alias("gain"))
+    b = games(spark, d).select(F.col("priority").alias("strategy"), "day", "orderkey", (0.010137 + F.pmod("orderkey", F.lit(10)) / 1000).alias("stake"), F.when(F.pmod("orderkey", F.lit(2)) == 0, 0.9513).otherwise(-1.0).alias("gain"))
     out = sequential.bankroll(b, "strategy", "day", ["orderkey"], "stake", "gain")
     return out.select("strategy", F.col("day").cast("string").alias("day"), "bets", *[F.round(c, 4).alias(c) for c in ("staked", "pnl", "balance")], F.round("drawdown", 5).alias("drawdown"))
 
