@@ -141,3 +141,13 @@ def boxscore_feed(spark, d):
     body = F.struct(F.struct(F.lit("HHH").alias("abbrev")).alias("homeTeam"), F.struct(F.lit("AAA").alias("abbrev")).alias("awayTeam"), F.struct(stats(0).alias("homeTeam"), stats(1).alias("awayTeam")).alias("playerByGameStats"))
     bodies = li.groupBy(F.col("l_orderkey").alias("game_id")).agg(F.to_json(body).alias("body"))
     return tables.boxscore(bodies)
+
+
+@query()
+def boosted_folds(spark, d):
+    """Orders boosted on an offset, season by season; tested on made data."""
+    from foretime.plans import models
+
+    g = games(spark, d).select("season", F.col("day").alias("date"), "orderkey", F.col("qty").cast("double").alias("qty"), F.col("lines").cast("double").alias("lines"), (F.pmod("orderkey", F.lit(17)) / 10 - 0.8).alias("market"), (F.col("returned") > 1).cast("int").alias("y"))
+    out = models.walk_forward_boosted(g, ["qty", "lines"], "y", "market", rounds=10)
+    return out.select("orderkey", "fold", r6("p", "p"))
