@@ -295,3 +295,41 @@ def coverage_report(spark, d):
     return out.groupBy("season").agg(
         F.count(F.lit(1)).alias("games"), F.count("shifts").alias("stored"), F.count_if(F.col("shifts").isNull()).alias("missing"), F.count_if(F.col("players") < 3).alias("thin"), F.count("flag").alias("flagged"), F.median("shifts").alias("median_shifts"), F.sum("shifts").alias("shifts")
     )
+
+
+@query(
+    """WITH e AS (SELECT event_type, value, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM events), w AS (SELECT event_type, value, (s // 3600 - k) * 3600 AS a FROM e, (SELECT unnest(range(3)) AS k))
+SELECT CAST(a AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2"""
+)
+def sliding_windows(spark, d):
+    """Three-hour windows that start every hour."""
+    e = driver_table(spark, d, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    out = changes.windowed(e, "ts", "10 minutes", "3 hours", "1 hour", ["event_type"], "value")
+    return out.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, epoch_us(ts) AS u FROM events), g AS (SELECT *, CASE WHEN u - lag(u) OVER w > 7200000000 THEN 1 ELSE 0 END AS cut FROM e WINDOW w AS (PARTITION BY user_id ORDER BY u)), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY u ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, CAST(min(u) // 1000000 AS BIGINT) AS start, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def session_windows(spark, d):
+    """Sessions of a user that end after two quiet hours."""
+    e = driver_table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return changes.sessions(e, "ts", "10 minutes", "2 hours", ["user_id"]).select("user_id", F.unix_seconds("start").alias("start"), "n")
+
+
+@query(
+    """WITH s AS (SELECT user_id, quantile_disc(epoch_us(ts), 0.5) AS start FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT event_id FROM events JOIN s USING (user_id) WHERE epoch_us(ts) < start"""
+)
+def rows_before_start(spark, d):
+    """Rows that come before their item's start."""
+    e = driver_table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("u"))
+    starts = e.filter(F.pmod("event_id", F.lit(3)) == 0).groupBy("user_id").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY u)").cast("long").alias("start"))
+    return changes.before_start(e, "u", starts, "user_id", "start").select("event_id")
+
+
+@query(f"""WITH {GAMES} SELECT orderkey, coalesce(sum(qty) OVER w, 0) AS qty_before FROM games WINDOW w AS (PARTITION BY custkey ORDER BY day, orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def totals_before(spark, d):
+    from foretime.operators import pit
+
+    return pit.cumulative_before(games(spark, d), ["custkey"], ["day", "orderkey"], ["qty"]).select("orderkey", "qty_before")
