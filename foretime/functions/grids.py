@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,8 +152,19 @@ def price_legs(cells: Column, legs: list, decimals: list[Column]) -> Column:
 
 
 def market_scale(home_rate: Column, away_rate: Column, p_over: Column, line: Column, margin_weights: list[float] | None = None, low: float = 0.25, high: float = 4.0) -> Column:
-    """The factor on both rates at which over wins with p_over where there is no push, found on a log scale in [low, high]."""
-    import math
+    """The factor on both rates at which over wins with p_over where there is no push, found on a log scale in [low, high].
+
+    A cell's chance under factor c is its chance under 1 times c to the power of its goals, but for a factor that all cells share.
+    """
+    levels = F.sequence(F.lit(0), F.lit(pmf.LEVELS))
+    weights = F.array(*[F.lit(float(w)) for w in margin_weights or [1.0]])
+    last = len(margin_weights or [1.0]) - 1
+    term = lambda rate, k: F.pow(rate, k) / F.factorial(k)
+    cell = lambda h, a: F.struct((h + a).alias("s"), settled_total(h, a).alias("t"), (term(home_rate, h) * term(away_rate, a) * F.element_at(weights, F.least(F.abs(h - a), F.lit(last)) + 1)).alias("p"))
+    cells = F.flatten(F.transform(levels, lambda h: F.transform(levels, lambda a: cell(h, a))))
+
+    def chance(all_, c):
+        weight = lambda x: x["p"] * F.exp(c * x["s"])
+        return _total(F.filter(all_, lambda x: x["t"] > line), weight) / _total(F.filter(all_, lambda x: x["t"] != line), weight)
 
-    chance = lambda c: over_without_push(grid(pmf.poisson(home_rate * F.exp(c)), pmf.poisson(away_rate * F.exp(c)), margin_weights), line)
-    return F.exp(pmf.bisect(chance, p_over, math.log(low), math.log(high)))
+    return F.exp(once(cells, lambda all_: pmf.bisect(lambda c: chance(all_, c), p_over, math.log(low), math.log(high))))
