@@ -79,3 +79,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
     pa.default_memory_pool().release_unused()  # workers go on to other stages
+
+
+#: Rows of a table of short keys that is broadcast, about 100 bytes each in memory.
+MOST_BROADCAST = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a written table of short keys, with a broadcast hint if it has at most MOST_BROADCAST rows; beyond, Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df

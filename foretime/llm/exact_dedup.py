@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, released, text_of
+from ._common import materialise, released, small, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -55,11 +55,10 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text no row of a smaller id has; all columns stay as they are.
 
     A row is told by its id and its text: other texts under the same id, or without an
-    id, stay. Only the dropped rows are joined, so the join moves few rows on one side and
-    Spark may broadcast them when it finds them small.
+    id, stay. Only the dropped rows are joined: broadcast if they are counted to be few, so that texts aren't shuffled.
     """
     with released(docs.sparkSession):
-        dropped = duplicate_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_sha")).distinct()
+        dropped = duplicate_groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"), F.unhex("text_sha256").alias("dropped_sha")).distinct()
         dropped = materialise(dropped, "exact-dropped")
-    same = docs["doc_id"].eqNullSafe(dropped["dropped_id"]) & (F.sha2(normalised(text_of()), 256) == dropped["dropped_sha"])
-    return docs.join(dropped, same, "left_anti")
+    same = docs["doc_id"].eqNullSafe(dropped["dropped_id"]) & (F.unhex(F.sha2(normalised(text_of()), 256)) == dropped["dropped_sha"])
+    return docs.join(small(dropped), same, "left_anti")

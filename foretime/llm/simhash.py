@@ -20,9 +20,8 @@ A tree gives links that connect what it holds, not all pairs.
 
 `drop_near_duplicates` links two texts when their fingerprints are within the radius and
 their sets of shingles have a Jaccard similarity of SIMILAR or more, compared on the whole
-texts. At that similarity 78 of 512 bits differ on average, with a deviation of about 8, so the radius of 100 takes
-in all but one pair in three hundred at exactly 0.8, and nearly all that are more alike; pairs under 0.65 are almost
-never within it. At such a radius a BK-tree skips no edge, so shards are compared in blocks. Texts meet under the smallest
+texts. At that similarity 155 of 1,024 bits differ on average, with a deviation of about 11.5, so the radius of 176 takes
+in 96 of 100 pairs at exactly 0.8, nearly all from 0.82 on, and few under 0.75. At such a radius a BK-tree skips no edge, so shards are compared in blocks. Texts meet under the smallest
 hashes of their shingles: a pair of similarity 0.8 or more shares one of the smallest (1 - SIMILAR) * size + 1 of each, and,
 as eight in nine of the hashes of one are the other's too, one of the SEEDS smallest but for about two pairs in a million; neither
 chance depends on the number of texts. Texts that meet in a shard, differ little enough in size and are within the
@@ -52,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, materialise, released, slices, text_of
+from ._common import NO_ID, materialise, released, slices, small, text_of
 from ._components import components
 
 #: Nodes in one part of a shard.
@@ -63,17 +62,19 @@ MOST_KEYS = 500
 SIMILAR = (4, 5)
 #: Hashes under which a text meets others, at most.
 SEEDS = 6
+#: Fills prefixes up to SEEDS.
+NO_HASH = -(2**63)
 #: Pairs of whole texts handed to Python at once.
 PAIRS = 64
 #: Candidates for each text of a shard in the first round, and how many times more in each next one.
-FEW, MORE = 4, 16
+FEW, MORE = 16, 64
 
 
 @dataclass(frozen=True)
 class Params:
     words: int = 5
-    bits: int = 512  # 64: XXH64; 512: eight words mixed from XXH3's 128 bits
-    radius: int = 100
+    bits: int = 1024  # 64: XXH64; more: words mixed from XXH3's 128 bits
+    radius: int = 176
     seed: int = 42
 
 
@@ -101,11 +102,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _widened(x: np.ndarray) -> np.ndarray:
-    """512 bits of each 128: eight words, each mixed from both halves and its own number."""
+def _widened(x: np.ndarray, bits: int) -> np.ndarray:
+    """So many bits of each 128: words, each mixed from both halves and its own number."""
     high, low = x.view(">u8").astype(np.uint64).T
     with np.errstate(over="ignore"):
-        steps = np.arange(1, 9, dtype=np.uint64)
+        steps = np.arange(1, bits // 64 + 1, dtype=np.uint64)
         words = _mixed(high[:, None] + np.uint64(0x9E3779B97F4A7C15) * steps) ^ _mixed(low[:, None] + np.uint64(0xD1B54A32D192ED03) * steps)
     return np.ascontiguousarray(words.astype(">u8")).view(np.uint8)
 
@@ -113,7 +114,7 @@ def _widened(x: np.ndarray) -> np.ndarray:
 def _majority(slices_: list[np.ndarray], p: Params) -> bytes:
     ones = np.zeros(p.bits, np.int64)
     for x in slices_:
-        ones += np.unpackbits(x if p.bits == 64 else _widened(x), axis=1).sum(0, dtype=np.int32)
+        ones += np.unpackbits(x if p.bits == 64 else _widened(x, p.bits), axis=1).sum(0, dtype=np.int32)
     return np.packbits(2 * ones > sum(map(len, slices_))).tobytes()
 
 
@@ -314,7 +315,7 @@ def _sketches(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def _meetings(nodes: DataFrame) -> DataFrame:
-    """shard, node: nodes that share a hash of their prefixes. Shards of over SHARD nodes become one for every two of their parts."""
+    """shard, hash, node: nodes that share a hash of their prefixes. Shards of over SHARD nodes become one for every two of their parts."""
     posted = nodes.select("node", F.explode("prefix").alias("shard"))
     sizes = posted.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = materialise(posted.join(sizes, "shard"), "simhash-met")
@@ -324,13 +325,13 @@ def _meetings(nodes: DataFrame) -> DataFrame:
         .withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .filter("own <> other")
-        .select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "node")
+        .select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), F.col("shard").alias("hash"), "node")
     )
-    return met.filter(F.col("n") <= SHARD).select("shard", "node").unionByName(split)
+    return met.filter(F.col("n") <= SHARD).select("shard", F.col("shard").alias("hash"), "node").unionByName(split)
 
 
-def shard_candidates(prints: np.ndarray, sizes: np.ndarray, groups: np.ndarray, radius: int, few: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Places (later, earlier) of pairs within the radius, of sizes that allow SIMILAR and of distinct groups: the first few of each later one, and whether there are more."""
+def shard_candidates(prints: np.ndarray, sizes: np.ndarray, groups: np.ndarray, prefixes: np.ndarray, hash_: int, radius: int, few: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places (later, earlier) of pairs within the radius, of sizes that allow SIMILAR, of distinct groups and with hash_ as the first hash that both prefixes have: the first few of each later one, and whether there are more."""
     later, earlier, more = [], [], False
     for lo in range(0, len(sizes), 128):
         hi = min(len(sizes), lo + 128)
@@ -338,6 +339,10 @@ def shard_candidates(prints: np.ndarray, sizes: np.ndarray, groups: np.ndarray,
         least, most = np.minimum(sizes[lo:hi, None], sizes[None, :hi]), np.maximum(sizes[lo:hi, None], sizes[None, :hi])
         near &= (SIMILAR[1] * least >= SIMILAR[0] * most) & (groups[lo:hi, None] != groups[None, :hi])
         near &= np.arange(lo, hi)[:, None] > np.arange(hi)[None]
+        a, b = near.nonzero()
+        # a pair is looked at where it meets first
+        shared = (prefixes[a + lo][:, :, None] == prefixes[b][:, None, :]).any(2) & (prefixes[a + lo] != NO_HASH)
+        near[a, b] = np.where(shared, prefixes[a + lo], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == hash_
         first = near & (near.cumsum(1) <= few)
         more = more or bool((first != near).any())
         a, b = first.nonzero()
@@ -357,13 +362,17 @@ def _candidates(shards: DataFrame, p: Params, few: int) -> DataFrame:
             table = table.combine_chunks()
             shard, node, sizes = table.column("shard").to_numpy(), table.column("node").to_pylist(), table.column("size").to_numpy()
             prints = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), np.uint64).reshape(len(shard), -1)
+            hashes = table.column("hash").to_numpy()
+            prefixes = np.full((len(shard), SEEDS), NO_HASH, np.int64)
+            for k, x in enumerate(table.column("prefix").to_pylist()):
+                prefixes[k, : len(x)] = x
             groups = np.unique(np.array(table.column("component").to_pylist(), "S24").view("V24"), return_inverse=True)[1]
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
             out: set[tuple] = set()
             for lo, hi in itertools.pairwise(cuts.tolist()):
                 if hi - lo < 2:
                     continue
-                a, b, more = shard_candidates(prints[lo:hi], sizes[lo:hi], groups[lo:hi], p.radius, few)
+                a, b, more = shard_candidates(prints[lo:hi], sizes[lo:hi], groups[lo:hi], prefixes[lo:hi], int(hashes[lo]), p.radius, few)
                 out.update((node[lo + x], node[lo + y]) for x, y in zip(a.tolist(), b.tolist()))
                 if more:
                     out.add((None, None))
@@ -424,12 +433,12 @@ def _alike(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
 
 def near_links(nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame | None:
     """id, component: nodes joined by links of texts that are within the radius and alike. None where there are no candidates."""
-    shards = materialise(_meetings(nodes).join(nodes.select("node", "fingerprint", "size"), "node"), "simhash-shards")
+    shards = materialise(_meetings(nodes).join(nodes.select("node", "fingerprint", "size", "prefix"), "node"), "simhash-shards")
     tested = links = found = None
     few = FEW
     while True:
         labelled = shards.withColumn("component", F.col("node")) if found is None else shards.join(found.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        made = materialise(_candidates(labelled.select("shard", "node", "fingerprint", "size", "component"), p, few), "simhash-candidates")
+        made = materialise(_candidates(labelled.select("shard", "hash", "node", "fingerprint", "size", "prefix", "component"), p, few), "simhash-candidates")
         more, pairs = not made.filter("a IS NULL").isEmpty(), made.filter("a IS NOT NULL")
         new = pairs if tested is None else materialise(pairs.join(tested, ["a", "b"], "left_anti"), "simhash-candidates")
         if not new.isEmpty():
@@ -454,4 +463,4 @@ def drop_near_duplicates(docs: DataFrame, p: Params = NEAR) -> DataFrame:
         if found is not None:
             labels = nodes.join(found.toDF("node", "component"), "node", "left").select("words", F.coalesce("component", "node").alias("component"))
         dropped = materialise(rows.select("row", "words").join(labels, "words").filter("row <> component").select(F.col("row").alias("dropped_row")).distinct(), "simhash-dropped")
-    return docs.join(dropped, _row_key() == dropped["dropped_row"], "left_anti")
+    return docs.join(small(dropped), _row_key() == dropped["dropped_row"], "left_anti")

@@ -95,7 +95,7 @@ def naive_print(text, w, h):
         return 0
     shingles = [b" ".join(words[k : k + w]) for k in range(max(1, len(words) - w + 1))]
     hashes = [h(s) for s in shingles]
-    bits = 64 if h is H64 else 512
+    bits = 64 if h is H64 else 1024
     return sum(1 << b for b in range(bits) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
 
 
@@ -108,10 +108,10 @@ def mixed(x):
     return x ^ x >> 31
 
 
-def H512(s):
+def H1024(s):
     high, low = divmod(xxhash.xxh3_128_intdigest(s, 42), 2**64)
-    words = [mixed((high + 0x9E3779B97F4A7C15 * j) % 2**64) ^ mixed((low + 0xD1B54A32D192ED03 * j) % 2**64) for j in range(1, 9)]
-    return sum(w << 64 * (7 - k) for k, w in enumerate(words))
+    words = [mixed((high + 0x9E3779B97F4A7C15 * j) % 2**64) ^ mixed((low + 0xD1B54A32D192ED03 * j) % 2**64) for j in range(1, 17)]
+    return sum(w << 64 * (15 - k) for k, w in enumerate(words))
 
 
 def brute_components(prints, radius):
@@ -144,7 +144,7 @@ def brute_kept(texts, prints, p):
     return {i for i in texts if least[i] == i}
 
 
-@pytest.mark.parametrize("p,h", [(simhash.Params(4, 64, 4), H64), (simhash.NEAR, H512)])
+@pytest.mark.parametrize("p,h", [(simhash.Params(4, 64, 4), H64), (simhash.NEAR, H1024)])
 def test_simhash_equals_brute_force(odd, odd_rows, none, p, h):
     last = 2**63 - 1
     prints = {}
@@ -235,7 +235,7 @@ def test_near_dedup_finds_isolated_pairs_and_keeps_the_less_alike(spark):
     near, loose = 0, 0
     for k, (a, b) in enumerate(pairs):
         x, y = ({" ".join(t.split()[j : j + 5]) for j in range(200)} for t in (a, b))
-        within = (naive_print(a, 5, H512) ^ naive_print(b, 5, H512)).bit_count() <= simhash.NEAR.radius
+        within = (naive_print(a, 5, H1024) ^ naive_print(b, 5, H1024)).bit_count() <= simhash.NEAR.radius
         link = within and 5 * len(x & y) >= 4 * len(x | y)
         near, loose = near + link, loose + (within and not link)
         assert 2 * k in kept and (2 * k + 1 in kept) != link
@@ -254,6 +254,6 @@ def test_near_dedup_of_a_dense_group_in_rounds(spark, monkeypatch):
         for k in rnd.sample(range(100), rnd.choice((1, 1, 2, 3, 4))):
             t[k] = f"x{rnd.randrange(10**6)}"
         texts[i] = " ".join(t)
-    prints = {i: naive_print(t, 5, H512) for i, t in texts.items()}
+    prints = {i: naive_print(t, 5, H1024) for i, t in texts.items()}
     kept = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {r["doc_id"] for r in kept.collect()} == brute_kept(texts, prints, simhash.NEAR)
