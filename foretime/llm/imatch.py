@@ -35,7 +35,7 @@ SUBSETS = LEVELS * EACH
 #: Document frequencies of the lexicon, as shares of all documents.
 BAND = (0.001, 0.1)
 #: Terms of a lexicon that is sent with the expressions: at most about 80 bytes each.
-MOST_SLOTTED = 20_000
+MOST_SLOTTED = 100_000
 #: Fewest documents that hold a term of the lexicon.
 LEAST = 5
 _EMPTY = "0" * 8
