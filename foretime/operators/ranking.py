@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foretime.sources.shared import written
+
 
 def average_rank(by: list[str], value: str) -> Column:
     """Rank by falling value where ties share the mean of their ranks; NULL stays NULL."""
@@ -27,17 +29,19 @@ def share_of_group(by: list[str], value: str) -> Column:
 def whole_row_number(df: DataFrame, order: list[str], name: str = "row_no", count: str | None = None) -> DataFrame:
     """1..n over the whole table in a total order, and n itself under the name count.
 
-    Rows are dealt by ranges of the order; each range numbers its own rows and adds the sizes of those before,
-    which are one row for each partition. Both passes read the same exchange of the range shuffle.
+    Rows are dealt by ranges of the order, numbered within their range and written; the sizes of the ranges before, one row
+    for each partition, are added on reading. The bounds of a range shuffle are sampled anew each time it is planned, so the
+    numbers and the sizes must come from one and the same pass.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # the id holds the partition above bit 33 and the place in the sorted partition below: no further shuffle
+    dealt = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "row-numbers")
+    dealt = dealt.withColumns({"__part": F.shiftright("__id", 33), "__own": F.col("__id").bitwiseAND((1 << 33) - 1) + 1}).drop("__id")
+    sizes = dealt.groupBy("__part").agg(F.max("__own").alias("__n"))
     # one row for each partition of the range shuffle
     before, all_ = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     ahead = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"), F.sum("__n").over(all_).alias("__all"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    out = dealt.withColumn("__own", own).join(F.broadcast(ahead), "__part").withColumn(name, (F.col("__own") + F.col("__ahead")).cast("long"))
+    out = dealt.join(F.broadcast(ahead), "__part").withColumn(name, (F.col("__own") + F.col("__ahead")).cast("long"))
     return (out.withColumnRenamed("__all", count) if count else out).drop("__own", "__ahead", "__part", "__all")
 
 

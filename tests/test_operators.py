@@ -320,3 +320,20 @@ def test_sides_and_back(spark):
     df = spark.createDataFrame([(1, "A", "B", 3, 2)], "g int, h string, a string, hs int, as_ int")
     s = reshape.sides(df, ["g"], {"team": "h", "score": "hs"}, {"team": "a", "score": "as_"})
     assert tuple(reshape.pair_sides(s, ["g"], "is_home", ["team", "score"]).select("home_team", "away_team", "home_score", "away_score").first()) == ("A", "B", 3, 2)
+
+
+def test_whole_row_numbers_of_a_large_table(spark):
+    """Ranges are sampled: with so many rows and columns, two passes over them would not agree."""
+    rows = spark.range(2_000_000).select(F.xxhash64("id").alias("x"), "id", F.md5(F.col("id").cast("string")).alias("payload"), (F.col("id") % 7).alias("other"))
+    out = ranking.whole_row_number(rows.repartition(16), ["x", "id"], count="n").agg(F.countDistinct("row_no"), F.min("row_no"), F.max("row_no"), F.min("n"), F.max("n")).first()
+    assert tuple(out) == (2_000_000, 1, 2_000_000, 2_000_000, 2_000_000)
+    bins = ranking.equal_count_bins(rows, ["x", "id"], 7).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("bin").collect()
+    assert [r["bin"] for r in bins] == list(range(7)) and {r["n"] for r in bins} <= {285_714, 285_715}
+    assert all(a["hi"] <= b["lo"] for a, b in zip(bins, bins[1:]))
+
+
+def test_row_numbers_of_nothing_and_of_nulls(spark):
+    empty = spark.createDataFrame([], "k int, v string")
+    assert ranking.whole_row_number(empty, ["k", "v"]).count() == 0
+    rows = spark.createDataFrame([(None, "a"), (2, None), (2, "b"), (None, None)], "k int, v string")
+    assert [(r["k"], r["v"]) for r in ranking.whole_row_number(rows, ["k", "v"]).orderBy("row_no").collect()] == [(None, None), (None, "a"), (2, None), (2, "b")]
