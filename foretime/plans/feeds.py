@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foretime.functions import pmf, prices
 from foretime.operators import markets
-from foretime.plans import features
+from foretime.plans import boosting, features
 from foretime.plans.pricing import BETS, IMPLIED, _bets
 from foretime.plans.queries import GAMES, games, query, r6
 from foretime.sources import tables
@@ -145,9 +145,32 @@ def boxscore_feed(spark, d):
 
 @query()
 def boosted_folds(spark, d):
-    """Orders boosted on an offset, season by season; tested on made data."""
-    from foretime.plans import models
-
-    g = games(spark, d).select("season", F.col("day").alias("date"), "orderkey", F.col("qty").cast("double").alias("qty"), F.col("lines").cast("double").alias("lines"), (F.pmod("orderkey", F.lit(17)) / 10 - 0.8).alias("market"), (F.col("returned") > 1).cast("int").alias("y"))
-    out = models.walk_forward_boosted(g, ["qty", "lines"], "y", "market", rounds=10)
+    """Orders boosted season by season, two of three with a price; the trees are held against a plain booster on made data."""
+    market = F.pmod("orderkey", F.lit(17)) / 10 - 0.8
+    g = games(spark, d).select("season", F.col("day").alias("date"), "orderkey", "qty", "lines", (F.pmod("orderkey", F.lit(3)) > 0).alias("market_available"), (F.col("returned") > 1).cast("int").alias("y"))
+    g = g.withColumn("market_prob", F.when(F.col("market_available"), 1 / (1 + F.exp(-market))))
+    out = boosting.walk_forward(g, ["qty", "lines", *boosting.MARKET], "y", boosting.Settings(rounds=6, depth=2, step=0.3))
     return out.select("orderkey", "fold", r6("p", "p"))
+
+
+@query("""
+WITH rows AS (
+  SELECT (SELECT count(*) + 1 FROM (VALUES (10), (20), (30), (40)) e(x) WHERE l_quantity > x) AS q,
+         (SELECT count(*) + 1 FROM (VALUES (0.02), (0.05), (0.08)) e(x) WHERE l_discount > x) AS c,
+         CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, (l_linenumber - 4) / 10.0::DOUBLE AS market FROM lineitem
+), placed AS (
+  SELECT *, 1 / (1 + exp(-(market + CASE WHEN c <= 2 THEN 0.25::DOUBLE ELSE -0.125::DOUBLE END))) AS p, CASE WHEN q <= 2 THEN 0 ELSE 1 END AS node FROM rows
+), long AS (
+  SELECT node, 0 AS feature, q AS bin, p, y FROM placed UNION ALL SELECT node, 1, c, p, y FROM placed
+)
+SELECT CAST(node AS INT) AS node, CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, CAST(sum(CAST(round((p - y) * 16777216) AS BIGINT)) AS BIGINT) AS g,
+       CAST(sum(CAST(round(p * (1 - p) * 16777216) AS BIGINT)) AS BIGINT) AS h, count(*) AS n
+FROM long GROUP BY node, feature, bin""")
+def boosted_level(spark, d):
+    """Sums by node, feature and bin for the second level of the second tree, with the gradients that the first tree leaves."""
+    edges = [[10.0, 20.0, 30.0, 40.0], [0.02, 0.05, 0.08]]
+    li = driver_table(spark, d, "lineitem")
+    x = F.array(boosting.bin_of(F.col("l_quantity"), edges[0]), boosting.bin_of(F.col("l_discount"), edges[1]))
+    rows = li.select(x.alias("x"), (F.col("l_returnflag") == "R").cast("double").alias("y"), ((F.col("l_linenumber") - 4) / 10.0).alias("margin"), F.lit(False).alias("tail"), F.lit(0).cast("long").alias("key"))
+    first = boosting.Trees(["quantity", "discount"], edges, boosting.Settings(depth=1), [[(1, 2)]], [[0.25, -0.125]])
+    return boosting.level_sums(rows, first, [(0, 2)], 1, 0).filter("feature >= 0")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,43 +80,7 @@ def core_and_tail(df: DataFrame, date: str, tail: float = 0.15) -> DataFrame:
     return df.join(parts, date)
 
 
-def drift(df: DataFrame, adjustment: str, prior_rows: float = 25.0) -> Column:
-    """Sum of same-season adjustments on strictly earlier days, over their number plus prior_rows."""
-    from pyspark.sql import Window
-
-    from foretime.functions.calendar import day_number
-
-    w = Window.partitionBy("season").orderBy(day_number(F.col("date"))).rangeBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(adjustment).over(w), F.lit(0.0)) / (F.count(adjustment).over(w) + F.lit(prior_rows))
-
-
 def with_drift(df: DataFrame, adjustment: str, prior_rows: float = 25.0) -> DataFrame:
-    """df (season, date) with shift: the same as `drift`, from sums by day, so that the window runs over days and not over rows."""
+    """df (season, date) with shift: the sum of same-season adjustments on strictly earlier days, over their number plus prior_rows. The window runs over sums by day, not over rows."""
     out = day_sums(df, ["season"], "date", [adjustment], {"before": (None, -1)})
     return out.withColumn("shift", F.coalesce(f"{adjustment}_sum_before", F.lit(0.0)) / (F.coalesce(f"{adjustment}_n_before", F.lit(0)) + F.lit(prior_rows))).drop(f"{adjustment}_sum_before", f"{adjustment}_n_before")
-
-
-def boosted_on_offset(train: DataFrame, validate: DataFrame, features: list[str], label: str, offset: str, date: str, rounds: int = 60, depth: int = 3, step: float = 0.1) -> DataFrame:
-    """validate with p: the chance that offset (log-odds, as of a market) gives, corrected by boosted trees on features.
-
-    The trees are fitted to what the offset leaves unexplained, (y - q) / (q (1 - q)) with weight q (1 - q), that is a Newton
-    step of the logistic loss; they stop early on the last days of train, and slope and intercept of the corrected log-odds are
-    fitted on those days too.
-    """
-    q = 1 / (1 + F.exp(-F.col(offset)))
-    ready = core_and_tail(train, date).withColumns({"__w": q * (1 - q), "__z": (F.col(label) - q) / (q * (1 - q)), "__tail": F.col("part") == "tail"})
-    assemble = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform
-    trees = GBTRegressor(featuresCol="__x", labelCol="__z", weightCol="__w", validationIndicatorCol="__tail", maxIter=rounds, maxDepth=depth, stepSize=step, seed=7).fit(assemble(ready))
-
-    def corrected(df: DataFrame) -> DataFrame:
-        return trees.transform(assemble(df)).withColumn("__margin", F.col(offset) + F.col("prediction")).drop("__x", "prediction")
-
-    slope, intercept = temperature(corrected(ready.filter("part = 'tail'")), "__margin", label)
-    out = corrected(validate).withColumn("p", 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("__margin")))))
-    return out.drop("__margin")
-
-
-def walk_forward_boosted(df: DataFrame, features: list[str], label: str, offset: str, purge_days: int = 7, **settings) -> DataFrame:
-    """df's predictable seasons with fold and p, each fold boosted on the seasons before."""
-    out = [boosted_on_offset(train, validate, features, label, offset, "date", **settings).withColumn("fold", F.lit(fold)) for fold, train, validate in _each_fold(df, purge_days)]
-    return reduce(DataFrame.unionByName, out)

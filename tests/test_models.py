@@ -1,35 +1,16 @@
-"""Boosted trees on an offset, temperature and the two forms of drift."""
+"""Drift by days."""
 
 import datetime
-import math
-import random
 
-from pyspark.sql import functions as F
+import pytest
 
-from foretime.operators import stats
 from foretime.plans import models
 
 
-def rows(n, seed):
-    """The truth is the offset and 1.5 more where x is over 0.5."""
-    rnd, out = random.Random(seed), []
-    for i in range(n):
-        x, market = rnd.random(), rnd.gauss(0, 0.8)
-        p = 1 / (1 + math.exp(-(market + (1.5 if x > 0.5 else -0.5))))
-        out.append((2000 + i * 3 // n, datetime.date(2000 + i * 3 // n, 1, 1) + datetime.timedelta(days=i * 3 % n * 300 // n), x, rnd.random(), market, int(rnd.random() < p)))
-    return out
-
-
-def test_boosted_trees_correct_an_offset(spark):
-    df = spark.createDataFrame(rows(1500, 1), "season int, date date, x double, noise double, market double, y int")
-    out = models.walk_forward_boosted(df, ["x", "noise"], "y", "market", rounds=25)
-    assert {r["fold"] for r in out.select("fold").distinct().collect()} == {2001, 2002} and out.count() == df.filter("season > 2000").count()
-    loss = lambda p: F.avg(stats.log_loss(F.col("y").cast("double"), p))
-    r = out.agg(loss(F.col("p")).alias("boosted"), loss(1 / (1 + F.exp(-F.col("market")))).alias("market")).first()
-    assert r["boosted"] < r["market"] - 0.05
-
-
-def test_drift_by_days_equals_drift_by_rows(spark):
-    df = spark.createDataFrame([(s, datetime.date(s, 1, 1 + k % 9), (k % 7 - 3) / 4) for s in (2001, 2002) for k in range(40)], "season int, date date, adj double")
-    both = models.with_drift(df, "adj").withColumn("rowwise", models.drift(df, "adj")).agg(F.max(F.abs(F.col("shift") - F.col("rowwise")))).first()[0]
-    assert both < 1e-12
+def test_drift_knows_earlier_days_of_the_season_only(spark):
+    rows = [(s, datetime.date(s, 1, 1 + k % 9), (k % 7 - 3) / 4) for s in (2001, 2002) for k in range(40)]
+    got = models.with_drift(spark.createDataFrame(rows, "season int, date date, adj double"), "adj").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        before = [a for s, d, a in rows if s == r["season"] and d < r["date"]]
+        assert r["shift"] == pytest.approx(sum(before) / (len(before) + 25), abs=1e-12)
