@@ -4,8 +4,9 @@ Built of DataFrame functions only. Terms are the words `[^\\x20\\x09-\\x0D]+` of
 text, by their 64-bit hash. The lexicon keeps the terms whose document frequency over the whole corpus
 lies in a band of shares, that is a band of inverse document frequencies. A term needs at least the
 lower share, so the lexicon has at most (mean number of distinct terms of a text) / BAND[0] terms,
-however many documents there are. Up to MOST_SLOTTED terms it is part of the expressions, as a constant
-hash table in which a term has two places; beyond, words are laid out and joined with it.
+however many documents there are; it is broadcast when its count shows that it is small. Distinct words are laid out
+and meet it where the text lies, so most of them go before anything is gathered, and gathering follows the
+partitioning that the texts already have.
 
 A fingerprint hashes the sorted distinct lexicon terms of a text: once for the whole lexicon and
 once for each of LEVELS * EACH randomised subsets, which are fixed for the lexicon: a term is in a subset
@@ -22,23 +23,21 @@ result. Other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, materialise, text_of
+from ._common import NO_ID, materialise, small, text_of
 
 #: Subsets: levels, subsets of each, and the power of a half that is the share of the first level.
 LEVELS, EACH, FIRST = 8, 7, 3
 SUBSETS = LEVELS * EACH
 #: Document frequencies of the lexicon, as shares of all documents.
 BAND = (0.001, 0.1)
-#: Terms of a lexicon that is sent with the expressions: at most about 80 bytes each.
-MOST_SLOTTED = 100_000
 #: Fewest documents that hold a term of the lexicon.
 LEAST = 5
 _EMPTY = "0" * 8
+#: A code has the number of the subset (SUBSETS: the whole lexicon) above so many bits, the term's high bits below.
+_TERM_BITS = 57
 
 
 def words_of(text: Column) -> Column:
@@ -51,109 +50,68 @@ def _in_subset(term: Column, k: int) -> Column:
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, least: int = LEAST) -> DataFrame:
-    """term, subsets (a bit for each): the lexicon of docs, of terms in the band that least documents hold. Counts cover all documents."""
+    """term, codes (one for each subset that holds it, and one for the whole): the lexicon of docs, of terms in the band that least documents hold. Counts cover all documents."""
     n = docs.count()
     terms = docs.select(F.explode(F.array_distinct(words_of(text_of()))).alias("word")).filter("word <> ''").select(F.xxhash64("word").alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     kept = df.filter((F.col("df") >= F.lit(max(float(least), band[0] * n))) & (F.col("df") <= F.lit(max(float(least), band[1] * n))))
-    bits = [F.when(_in_subset(F.col("term"), k), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(SUBSETS)]
-    subsets = bits[0]
-    for bit in bits[1:]:
-        subsets = subsets.bitwiseOR(bit)
-    return materialise(kept.select("term", subsets.alias("subsets")), "imatch-lexicon")
+    code = lambda k: F.lit(k << _TERM_BITS).bitwiseOR(F.shiftrightunsigned("term", 64 - _TERM_BITS))
+    codes = F.array_compact(F.array(*[F.when(_in_subset(F.col("term"), k), code(k)) for k in range(SUBSETS)], code(SUBSETS)))
+    return materialise(kept.select("term", codes.alias("codes")), "imatch-lexicon")
 
 
-def _hashed(terms: Column) -> Column:
-    return F.lower(F.hex(F.xxhash64(F.transform(terms, lambda x: x["term"]))))
+def _one(value: Column, f) -> Column:
+    """f of a value that is computed once: a lambda over an array of it alone."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _digests(terms: Column, plain: Column) -> Column:
-    """16 hex digits for the whole lexicon, then 8 for each subset, of terms array<struct<term, subsets>>; without terms those of plain, and all subsets empty."""
-    each = F.transform(
-        F.sequence(F.lit(0), F.lit(SUBSETS - 1)),
-        lambda k: F.element_at(
-            F.transform(F.array(F.filter(terms, lambda x: F.getbit(x["subsets"], k) == 1)), lambda held: F.when(F.size(held) == 0, F.lit(_EMPTY)).otherwise(F.substring(F.lpad(_hashed(held), 16, "0"), 9, 8))), 1
-        ),
-    )
-    whole = F.when(F.size(terms) == 0, F.substring(F.lower(F.hex(plain)), 1, 16)).otherwise(F.lpad(_hashed(terms), 16, "0"))
-    return F.concat(whole, F.array_join(each, ""))
-
-
-@dataclass(frozen=True)
-class Slots:
-    """A lexicon as a constant hash table: terms and their subsets by slot, numbers joined by commas. A term is at one of its two places."""
-
-    size: int
-    terms: str
-    subsets: str
-
-    @staticmethod
-    def of(words: dict[int, int]) -> Slots:
-        """The table of words (term -> subsets), by cuckoo hashing; its size is a power of two."""
-        size = 1 << max(4, (5 * len(words) // 2).bit_length())
-        while True:
-            slots: dict[int, int] = {}
-            if all(Slots._place(slots, term, size) for term in words):
-                break
-            size *= 2
-        # a free slot holds a number that belongs elsewhere, so no term is ever found there
-        free = [(k + 1) % size * ((1 << 20) + 1) for k in range(size)]
-        return Slots(size, ",".join(str(slots.get(k, free[k])) for k in range(size)), ",".join(str(words[slots[k]] if k in slots else 0) for k in range(size)))
-
-    @staticmethod
-    def _place(slots: dict[int, int], term: int, size: int) -> bool:
-        at = term % size
-        for _ in range(200):
-            term, slots[at] = slots.get(at), term
-            if term is None:
-                return True
-            at = (term >> 20) % size if term % size == at else term % size
-        return False
-
-    def found(self, text: Column, terms: Column, subsets: Column) -> Column:
-        """The sorted distinct terms of a text that the table (terms, subsets) holds, with their subsets."""
-        places = lambda t: (F.pmod(t, F.lit(self.size)).cast("int") + 1, F.pmod(F.shiftright(t, 20), F.lit(self.size)).cast("int") + 1)
-        hashes = F.transform(F.array_distinct(F.filter(words_of(text), lambda w: w != "")), lambda w: F.xxhash64(w))
-        held = F.filter(hashes, lambda t: (F.element_at(terms, places(t)[0]) == t) | (F.element_at(terms, places(t)[1]) == t))
-        of = lambda t: F.when(F.element_at(terms, places(t)[0]) == t, F.element_at(subsets, places(t)[0])).otherwise(F.element_at(subsets, places(t)[1]))
-        return F.sort_array(F.transform(held, lambda t: F.struct(t.alias("term"), of(t).alias("subsets"))))
-
-    def fingerprints(self, texts: list[Column]) -> Column:
-        """An array of the fingerprints of texts. The table is bound to a variable, so it stands in the expression once."""
-        table = F.array(*[F.split(F.lit(x), ",").cast("array<long>") for x in (self.terms, self.subsets)])
-        # lambdas over one value: what they are over is computed once
-        one = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
-        return one(table, lambda t: F.transform(F.array(*texts), lambda text: one(self.found(text, t[0], t[1]), lambda terms: _digests(terms, F.unhex(F.md5(text))))))
-
-
-def _with_prints(rows: DataFrame, words: DataFrame, texts: dict[str, Column], keys: list[str], carried: list[str]) -> DataFrame:
-    """keys, carried, and for each of texts its fingerprint by the lexicon words. `keys` must tell rows apart."""
-    if words.count() <= MOST_SLOTTED:
-        slots = Slots.of({r["term"]: r["subsets"] for r in words.collect()})
-        made = rows.select(*keys, *carried, slots.fingerprints(list(texts.values())).alias("__prints"))
-        return made.select(*keys, *carried, *[F.col("__prints")[k].alias(name) for k, name in enumerate(texts)])
-    # the words of each text are laid out, meet the lexicon and are gathered for each row again
+def _digests(codes: Column, plain: Column) -> Column:
+    """The fingerprint of a text with these codes of lexicon terms, as bytes: 8 for the whole lexicon, then 4 for each subset; without terms those of plain, and all subsets empty.
+
+    One sort puts the distinct terms of all subsets in order; marks that sort before the codes of each subset tell where it begins.
+    """
+    marks = F.array(*[F.lit(k << _TERM_BITS) for k in range(SUBSETS + 2)])
+    places = lambda x: F.transform(marks, lambda mark: F.array_position(x, mark).cast("int"))
+
+    def hashed(x: Column, at: Column, k: Column) -> Column:
+        begin, end = F.element_at(at, k + 1), F.element_at(at, k + 2)
+        return F.when(end - begin > 1, F.lpad(F.hex(F.xxhash64(F.slice(x, begin + 1, end - begin - 1))), 16, "0"))
+
+    def digits(x: Column, at: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.coalesce(F.substring(hashed(x, at, k), 9, 8), F.lit(_EMPTY)))
+        return F.concat(F.coalesce(hashed(x, at, F.lit(SUBSETS)), F.substring(F.hex(plain), 1, 16)), F.array_join(each, ""))
+
+    return F.unhex(_one(F.sort_array(F.concat(codes, marks)), lambda x: _one(places(x), lambda at: digits(x, at))))
+
+
+def _with_prints(rows: DataFrame, words: DataFrame, texts: dict[str, Column], carried: list[str]) -> DataFrame:
+    """id, tie, carried, and for each of texts its fingerprint (bytes) by the lexicon words. id and tie must tell rows apart.
+
+    The distinct words are laid out and meet the lexicon; what is gathered again is the codes of those that it holds. When rows
+    come partitioned by (id, tie), all of that stays in its partition.
+    """
     names = list(texts)
-    plain = ["plain_" + name for name in names]
-    rows = rows.withColumns({p: F.unhex(F.md5(c)) for p, c in zip(plain, texts.values())})
-    laid = rows.select(*keys, F.struct(*carried, *plain).alias("meta"), F.explode(F.array(*[F.struct(F.lit(k).alias("which"), c.alias("text")) for k, c in enumerate(texts.values())])).alias("one"))
-    laid = laid.select(*keys, "meta", F.col("one.which").alias("which"), F.posexplode(F.array_distinct(words_of(F.col("one.text")))).alias("place", "word"))
+    laid = rows.select("id", "tie", F.struct(*carried).alias("meta"), F.array(*texts.values()).alias("bodies")).select("id", "tie", "meta", F.posexplode("bodies").alias("which", "body"))
+    laid = laid.withColumn("meta", F.struct("meta", F.unhex(F.md5("body")).alias("plain")))
+    laid = laid.select("id", "tie", "which", "meta", F.posexplode(F.array_distinct(words_of(F.col("body")))).alias("place", "word"))
     # the first word stays in any case, so that no row is lost, and it alone carries what belongs to the row
-    met = laid.select(*keys, F.when(F.col("place") == 0, F.col("meta")).alias("meta"), "which", "place", F.xxhash64("word").alias("term")).join(words, "term", "left").filter("subsets IS NOT NULL OR place = 0")
-    hit = lambda k: F.when((F.col("which") == k) & F.col("subsets").isNotNull(), F.struct("term", "subsets"))
-    gathered = met.groupBy(*keys).agg(F.first("meta", ignorenulls=True).alias("meta"), *[F.sort_array(F.collect_list(hit(k))).alias("terms_" + name) for k, name in enumerate(names)])
-    return gathered.select(*keys, *[F.col("meta." + c).alias(c) for c in carried], *[_digests(F.col("terms_" + name), F.col("meta.plain_" + name)).alias(name) for name in names])
+    laid = laid.select("id", "tie", "which", F.when(F.col("place") == 0, F.col("meta")).alias("meta"), F.xxhash64("word").alias("term"))
+    met = laid.join(small(words), "term", "left").filter("codes IS NOT NULL OR meta IS NOT NULL").drop("term")
+    each = met.groupBy("id", "tie", "which").agg(F.first("meta", ignorenulls=True).alias("meta"), F.flatten(F.collect_list("codes")).alias("codes"))
+    each = each.select("id", "tie", "which", "meta", _digests(F.col("codes"), F.col("meta.plain")).alias("print"))
+    own = lambda k: F.first(F.when(F.col("which") == k, F.col("print")), ignorenulls=True)
+    made = each.groupBy("id", "tie").agg(F.first("meta.meta").alias("meta"), *[own(k).alias(name) for k, name in enumerate(names)])
+    return made.select("id", "tie", *[F.col("meta." + c).alias(c) for c in carried], *names)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal hashes among the subsets with terms, over the levels in which some subset has none of either text; without such subsets 1 for equal fingerprints, else 0."""
-    of = lambda c, k: F.substring(c, k * 8 + 17, F.lit(8))
-    told = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.when(of(a, k) != of(b, k), 1).when(of(a, k) == _EMPTY, 0).otherwise(2))
-    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.slice(told, k * EACH + 1, F.lit(EACH)))
-    sparse = F.flatten(F.filter(levels, lambda x: F.array_contains(x, 0)))
+    """Of two fingerprints (bytes): the share of equal hashes among the subsets with terms, over the levels in which some subset has none of either text; without such subsets 1 for equal fingerprints, else 0."""
+    of = lambda c, k: F.substring(c, k * 4 + 9, F.lit(4))
+    told = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.when(of(a, k) != of(b, k), 1).when(of(a, k) == F.unhex(F.lit(_EMPTY)), 0).otherwise(2))
+    levels = lambda x: F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.slice(x, k * EACH + 1, F.lit(EACH)))
+    sparse = _one(told, lambda x: F.flatten(F.filter(levels(x), lambda level: F.array_contains(level, 0))))
     share = lambda x: F.when(F.array_contains(x, 1) | F.array_contains(x, 2), F.size(F.filter(x, lambda t: t == 2)) / F.size(F.filter(x, lambda t: t > 0)))
-    # a lambda over one value: the comparison is made once
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.element_at(F.transform(F.array(sparse), share), 1), F.lit(0.0)))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(_one(sparse, share), F.lit(0.0)))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -185,41 +143,48 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return linked.select("id", "tie", "no_id", F.col("next.id").alias("next_id"), F.col("next.tie").alias("next_tie"), F.col("prev.id").alias("prev_id"), F.col("prev.tie").alias("prev_tie"), F.col("prev.chars").alias("prev_chars"))
 
 
+def _distinct_rows(docs: DataFrame) -> DataFrame:
+    """id, tie, no_id, text, copies: rows that repeat id and text are one, combined before the shuffle."""
+    return _rows(docs).groupBy("id", "tie").agg(F.first("no_id").alias("no_id"), F.first("text").alias("text"), F.count(F.lit(1)).cast("int").alias("copies"))
+
+
+def _each_copy(df: DataFrame) -> DataFrame:
+    """A row for each row of the table again."""
+    return df.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+
+
+def _hex(name: str) -> Column:
+    return F.lower(F.hex(name)).alias(name)
+
+
 def fingerprints(docs: DataFrame, words: DataFrame) -> DataFrame:
     """doc_id, fingerprint: a row for each row of docs, by the lexicon words."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_of().alias("text"))
-    return _with_prints(rows, words, {"fingerprint": F.col("text")}, ["row"], ["doc_id"]).select("doc_id", "fingerprint")
+    made = _with_prints(_distinct_rows(docs), words, {"fingerprint": F.col("text")}, ["no_id", "copies"])
+    return _each_copy(made).select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), _hex("fingerprint"))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """id, no_id, tie, next_id, next_tie, text, edited: the last quarter of the text is replaced by the beginning of the next document.
+    """id, tie, no_id, copies, next_id, next_tie, text, edited: the last quarter of the text is replaced by the beginning of the next document.
 
     Each text is shuffled once, by its id; what of it goes to the document before is a quarter of that one's length at most.
     """
-    links = materialise(neighbours(docs), "imatch-links")
+    links = materialise(neighbours(docs), "imatch-links").drop("no_id")
     # both sides of the join below need the same columns, so Spark shuffles the texts once
-    texts = _rows(docs).select("id", "tie", "text").join(links, ["id", "tie"])
+    texts = _distinct_rows(docs).join(links, ["id", "tie"])
     heads = texts.select(F.col("prev_id").alias("id"), F.col("prev_tie").alias("tie"), F.expr("left(text, cast(prev_chars div 4 as int))").alias("head"))
-    heads = heads.groupBy("id", "tie").agg(F.first("head").alias("head"))  # rows that repeat have equal heads
     edited = F.concat(F.expr("left(text, cast(char_length(text) - char_length(text) div 4 as int))"), F.coalesce("head", F.lit("")))
-    return texts.join(heads, ["id", "tie"], "left").select("id", "no_id", "tie", "next_id", "next_tie", "text", edited.alias("edited"))
+    return texts.join(heads, ["id", "tie"], "left").select("id", "tie", "no_id", "copies", "next_id", "next_tie", "text", edited.alias("edited"))
 
 
 def edit_study(docs: DataFrame, band: tuple[float, float] = BAND, least: int = LEAST) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: how alike are a document's fingerprint and those of its edited text and of the next document."""
     words = lexicon(docs, band, least)
-    texts = edited_texts(docs).withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.sha2("edited", 256), "row": F.monotonically_increasing_id()})
-    made = _with_prints(
-        texts, words, {"fingerprint": F.col("text"), "edited_fingerprint": F.col("edited")}, ["id", "tie", "row"], ["no_id", "next_id", "next_tie", "n_chars", "edited_sha256"]
-    )
-    made = materialise(made.drop("row"), "imatch-prints")
-    following = made.groupBy(F.col("id").alias("next_id"), F.col("tie").alias("next_tie")).agg(F.first("fingerprint").alias("next_fingerprint"))
-    return made.join(following, ["next_id", "next_tie"]).select(
-        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
-        "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    texts = edited_texts(docs).withColumns({"n_chars": F.char_length("text").cast("long"), "edited_sha256": F.unhex(F.sha2("edited", 256))})
+    made = _with_prints(texts, words, {"fingerprint": F.col("text"), "edited_fingerprint": F.col("edited")}, ["no_id", "copies", "next_id", "next_tie", "n_chars", "edited_sha256"])
+    made = materialise(made, "imatch-prints")
+    following = made.select(F.col("id").alias("next_id"), F.col("tie").alias("next_tie"), F.col("fingerprint").alias("next_fingerprint"))
+    # names that are made anew stand in a select of their own: inside lambdas they would be taken for the columns of the same select
+    alike = made.join(following, ["next_id", "next_tie"]).withColumns(
+        {"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("next_fingerprint"))}
     )
+    return _each_copy(alike).select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_chars", _hex("edited_sha256"), _hex("fingerprint"), _hex("edited_fingerprint"), "near_edited", "near_next")

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import xxhash
 from pyspark.sql import functions as F
 
-from foretime.llm import exact_dedup, imatch, queries, simhash, url_filter
+from foretime.llm import _common, exact_dedup, imatch, queries, simhash, url_filter
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -138,13 +138,13 @@ def brute_prints_of(rows, edits, band):
     terms = lambda t: {spark_hash(w) for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w}
     df = Counter(x for t in rows for x in terms(t))
     kept = {x for x, n in df.items() if max(2, band[0] * len(rows)) <= n <= max(2, band[1] * len(rows))}
-    digits = lambda ts: f"{spark_hash(*sorted(ts)) % 2**64:016x}"
+    digits = lambda ts, k: f"{spark_hash(*sorted((k << 57) | (x % 2**64 >> 7) for x in ts)) % 2**64:016x}"
     holds = {x: [spark_hash(x, (k,)) % 2**64 >> (64 - imatch.FIRST - k // imatch.EACH) == 0 for k in range(imatch.SUBSETS)] for x in kept}
     out = []
     for t in rows + edits:
         own = terms(t) & kept
         subsets = [[x for x in own if holds[x][k]] for k in range(imatch.SUBSETS)]
-        out.append((digits(own) if own else hashlib.md5(t.encode()).hexdigest()[:16]) + "".join(digits(x)[8:] if x else "0" * 8 for x in subsets))
+        out.append((digits(own, imatch.SUBSETS) if own else hashlib.md5(t.encode()).hexdigest()[:16]) + "".join(digits(x, k)[8:] if x else "0" * 8 for k, x in enumerate(subsets)))
     return out
 
 
@@ -166,8 +166,8 @@ def test_imatch_equals_brute_force(odd, odd_rows, monkeypatch):
     # the lexicon counts the rows of the table, repeated ones too
     rows = [r[1] or "" for r in odd_rows if r[0] is not None]
     prints = dict(zip(rows + edits, brute_prints_of(rows, edits, band)))
-    for most in (imatch.MOST_SLOTTED, 0):  # the lexicon is a constant table or joined
-        monkeypatch.setattr(imatch, "MOST_SLOTTED", most)
+    for most in (_common.MOST_BROADCAST, 0):  # the lexicon is broadcast, or joined as Spark sees fit
+        monkeypatch.setattr(_common, "MOST_BROADCAST", most)
         got = imatch.edit_study(odd.filter("doc_id IS NOT NULL").select("text", "doc_id", "key"), band, 2).collect()
         assert len(got) == len(rows)
         at = {(i, hashlib.sha256(e.encode()).hexdigest()): k for k, ((i, _), e) in enumerate(zip(docs, edits))}
@@ -187,17 +187,6 @@ def test_imatch_equal_texts_have_equal_fingerprints(odd, odd_rows):
     assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) > 30
 
 
-def test_slots_hold_each_term_at_one_of_its_places():
-    rnd = random.Random(3)
-    words = {rnd.getrandbits(64) - (1 << 63): k for k in range(3000)} | {0: 1, 1: 2, -1: 3}
-    slots = imatch.Slots.of(words)
-    terms, subsets = ([int(x) for x in c.split(",")] for c in (slots.terms, slots.subsets))
-    find = lambda t: next((subsets[k] for k in (t % slots.size, (t >> 20) % slots.size) if terms[k] == t), None)
-    assert all(find(t) == k for t, k in words.items())
-    free = [k for k, t in enumerate(terms) if t not in words]
-    assert all(k not in (terms[k] % slots.size, (terms[k] >> 20) % slots.size) for k in free)
-
-
 def test_imatch_tells_edited_from_next(spark):
     out = queries.op6_imatch(spark, "/root/testdata/sf0.001").agg(F.avg("near_edited"), F.avg("near_next")).first()
     assert out[0] > 0.4 and out[1] < 0.05
