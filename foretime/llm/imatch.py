@@ -119,18 +119,18 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """id, tie, no_id, next_id, next_tie, prev_id, prev_tie, prev_chars: a row for each document in ascending order, the first after the last.
+    """id, tie, no_id, copies, next_id, next_tie, prev_id, prev_tie, prev_chars: a row for each document in ascending order, the first after the last.
 
     Documents are dealt by ranges of the id; in each range a window finds the neighbours, and the ends of the
     ranges, one row for each partition, are linked among themselves.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _rows(docs).select("id", "tie", "no_id", F.char_length("text").cast("long").alias("chars")).distinct()
+    rows = _rows(docs).select("id", "tie", "no_id", F.char_length("text").cast("long").alias("chars")).groupBy("id", "tie", "no_id", "chars").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     dealt = materialise(rows.repartitionByRange(parts, "id", "tie").withColumn("part", F.spark_partition_id()), "imatch-order")
     me = F.struct("id", "tie", "chars")
     w = Window.partitionBy("part").orderBy("id", "tie")
-    near = materialise(dealt.select("part", "id", "tie", "no_id", F.lead(me).over(w).alias("next"), F.lag(me).over(w).alias("prev"), me.alias("me")), "imatch-near")
+    near = materialise(dealt.select("part", "id", "tie", "no_id", "copies", F.lead(me).over(w).alias("next"), F.lag(me).over(w).alias("prev"), me.alias("me")), "imatch-near")
     # one row for each partition
     ends = near.groupBy("part").agg(F.min("me").alias("first"), F.max("me").alias("last"))
     over, whole = Window.orderBy("part"), Window.partitionBy()
@@ -139,8 +139,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
         F.coalesce(F.lead("first").over(over), F.min("first").over(whole)).alias("after"),
         F.coalesce(F.lag("last").over(over), F.max("last").over(whole)).alias("before"),
     )
-    linked = near.join(ends, "part").select("id", "tie", "no_id", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
-    return linked.select("id", "tie", "no_id", F.col("next.id").alias("next_id"), F.col("next.tie").alias("next_tie"), F.col("prev.id").alias("prev_id"), F.col("prev.tie").alias("prev_tie"), F.col("prev.chars").alias("prev_chars"))
+    linked = near.join(ends, "part").select("id", "tie", "no_id", "copies", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
+    return linked.select("id", "tie", "no_id", "copies", F.col("next.id").alias("next_id"), F.col("next.tie").alias("next_tie"), F.col("prev.id").alias("prev_id"), F.col("prev.tie").alias("prev_tie"), F.col("prev.chars").alias("prev_chars"))
 
 
 def _distinct_rows(docs: DataFrame) -> DataFrame:
@@ -168,9 +168,9 @@ def edited_texts(docs: DataFrame) -> DataFrame:
 
     Each text is shuffled once, by its id; what of it goes to the document before is a quarter of that one's length at most.
     """
-    links = materialise(neighbours(docs), "imatch-links").drop("no_id")
-    # both sides of the join below need the same columns, so Spark shuffles the texts once
-    texts = _distinct_rows(docs).join(links, ["id", "tie"])
+    links = materialise(neighbours(docs), "imatch-links")
+    # both sides of the join below need the same columns of the texts, so Spark shuffles them once
+    texts = _distinct_rows(docs).select("id", "tie", "text").join(links, ["id", "tie"])
     heads = texts.select(F.col("prev_id").alias("id"), F.col("prev_tie").alias("tie"), F.expr("left(text, cast(prev_chars div 4 as int))").alias("head"))
     edited = F.concat(F.expr("left(text, cast(char_length(text) - char_length(text) div 4 as int))"), F.coalesce("head", F.lit("")))
     return texts.join(heads, ["id", "tie"], "left").select("id", "tie", "no_id", "copies", "next_id", "next_tie", "text", edited.alias("edited"))
