@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foretime.plans import feeds, pricing, queries, reports
+from foretime.plans import feeds, live, pricing, queries, reports, skaters
 
-MODULES = (queries, pricing, reports, feeds)
+MODULES = (queries, pricing, reports, feeds, live, skaters)
 QUERIES, SQL, flagship = queries.QUERIES, queries.SQL, queries.flagship

@@ -111,9 +111,10 @@ def recent_share(df: DataFrame, keys: list[str], order: list[str], flag: str, n:
     return F.when(F.count(flag).over(w) >= least, F.avg(F.col(flag).cast("double")).over(w))
 
 
-def goalie_rates(base: DataFrame, windows: list[int] = WINDOWS, k: float = 66.0, league_sv: float = 0.905, league_gsax: float = 0.0, keys: tuple[str, ...] = ("goalie_id", "season")) -> DataFrame:
+def goalie_rates(base: DataFrame, windows: list[int] = WINDOWS, k: float = 66.0, league_sv: float | Column = 0.905, league_gsax: float | Column = 0.0, keys: tuple[str, ...] = ("goalie_id", "season")) -> DataFrame:
     """base (a row for each appearance) with n_{w}, credibility z_{w}, rates over the w appearances before and their blends with the league's; without any before, the blend is the league's rate."""
     sort, out = Window.partitionBy(*keys).orderBy("date", "game_id"), {}
+    league_sv, league_gsax = (x if isinstance(x, Column) else F.lit(x) for x in (league_sv, league_gsax))
     sums = ("saves", "shots", "gsax", "toi", "hd_goals", "hd_att", "fen_goals", "fen_att", "xga")
     for n in windows:
         w = sort.rowsBetween(-n, -1)
@@ -122,7 +123,7 @@ def goalie_rates(base: DataFrame, windows: list[int] = WINDOWS, k: float = 66.0,
         z = count / (count + F.lit(k))
         hourly = lambda c: F.when(s["toi"] > 0, 3600 * s[c] / s["toi"])  # noqa: E731, B023
         sv, gsax = F.try_divide(s["saves"], s["shots"]), clip(hourly("gsax"), -99.0, 99.0)
-        blend = lambda raw, league: F.when(count > 0, z * raw + (1 - z) * F.lit(league)).otherwise(F.lit(league))  # noqa: E731, B023
+        blend = lambda raw, league: F.when(count > 0, z * raw + (1 - z) * league).otherwise(league)  # noqa: E731, B023
         out |= {
             f"n_{n}": count, f"z_{n}": z, f"sv_{n}": sv, f"gsax60_{n}": gsax, f"hd_sv_{n}": 1 - F.try_divide(s["hd_goals"], s["hd_att"]), f"fenwick_sv_{n}": 1 - F.try_divide(s["fen_goals"], s["fen_att"]),
             f"xga60_{n}": F.when(s["toi"] > 0, F.least(hourly("xga"), F.lit(99.0))), f"shrunk_sv_{n}": blend(sv, league_sv), f"shrunk_gsax_{n}": blend(gsax, league_gsax),
