@@ -46,10 +46,10 @@ def elo(games: DataFrame, k: float = 20.0, advantage: float = 50.0, start: float
             yield pd.DataFrame(out, columns=["league", "game_id", "home_rating", "away_rating"])
 
     types = {f.name: f.dataType.simpleString() for f in games.schema.fields}
-    return _sorted_groups(games, "league", ["date", "game_id"], run, f"league {types['league']}, game_id {types['game_id']}, home_rating double, away_rating double")
+    return sorted_runs(games, "league", ["date", "game_id"], run, f"league {types['league']}, game_id {types['game_id']}, home_rating double, away_rating double")
 
 
-def _sorted_groups(df: DataFrame, key: str, order: list[str], run, schema: str) -> DataFrame:
+def sorted_runs(df: DataFrame, key: str, order: list[str], run, schema: str) -> DataFrame:
     """run((key,), frames) for each group with its rows in order; a group is streamed in batches and never held whole."""
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,25 +87,34 @@ class _Runs:
 def allocate(bets: DataFrame, day: list[str], item: str, edge: str, stake: str, order: list[Column], daily: float = 0.10, per_item: float = 0.04, most: int = 3) -> DataFrame:
     """bets with `kept`: taken in order (strongest first) while the day's and the item's caps hold; one that doesn't fit is skipped and the next tried.
 
-    Days run side by side; a day's bets are streamed in order, and what is kept in memory are the sums of the items taken.
+    Days run side by side; the bets of a partition are streamed in the order of their day, and what is kept in memory are the sums of the items that the day has taken.
     """
-    columns = bets.columns
+    columns, orders = bets.columns, [f"__o{i}" for i in range(len(order))]
 
-    def run(key, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used, taken = 0.0, {}
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used, taken, last = 0.0, {}, None
         for frame in frames:
-            kept = []
-            for what, s in zip(frame[item], frame[stake]):
+            if not len(frame):
+                continue
+            # a day begins where a row's day isn't that of the row before, in this frame or at the end of the last
+            before = frame[day].shift()
+            new = ((frame[day] != before) & ~(frame[day].isna() & before.isna())).to_numpy().any(axis=1)
+            first = tuple(frame[day].iloc[0])
+            new[0] = first != last
+            last, kept = tuple(frame[day].iloc[-1]), []
+            for begins, what, s in zip(new.tolist(), frame[item].tolist(), frame[stake].tolist()):
+                if begins:
+                    used, taken = 0.0, {}
                 n, on_item = taken.get(what, (0, 0.0))
-                fits = bool(used + s <= daily + 1e-9 and on_item + s <= per_item + 1e-9 and n < most)
+                fits = used + s <= daily + 1e-9 and on_item + s <= per_item + 1e-9 and n < most
                 if fits:
                     used, taken[what] = used + s, (n + 1, on_item + s)
                 kept.append(fits)
             yield frame[columns].assign(kept=kept)
 
-    keyed = bets.withColumns({"__key": F.to_json(F.struct(*day))} | {f"__o{i}": c for i, c in enumerate(order)})
+    keyed = bets.withColumns(dict(zip(orders, order)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bets.schema.fields)
-    return _sorted_groups(keyed, "__key", [f"__o{i}" for i in range(len(order))], run, f"{fields}, kept boolean")
+    return keyed.repartition(*day).sortWithinPartitions(*day, *orders).mapInPandas(run, f"{fields}, kept boolean")
 
 
 def bankroll(bets: DataFrame, strategy: str, day: str, order: list[str], stake: str, gain: str, start: float = 1000.0, daily: float = 0.10) -> DataFrame:
@@ -135,7 +144,7 @@ def bankroll(bets: DataFrame, strategy: str, day: str, order: list[str], stake:
         yield pd.DataFrame(out, columns=["strategy", "day", "bets", "staked", "pnl", "balance", "drawdown"])
 
     types = {f.name: f.dataType.simpleString() for f in bets.schema.fields}
-    return _sorted_groups(bets, strategy, [day, *order], run, f"strategy {types[strategy]}, day {types[day]}, bets long, staked double, pnl double, balance double, drawdown double")
+    return sorted_runs(bets, strategy, [day, *order], run, f"strategy {types[strategy]}, day {types[day]}, bets long, staked double, pnl double, balance double, drawdown double")
 
 
 def anchored_clusters(df: DataFrame, keys: list[str], seconds: str, span: int) -> DataFrame:
@@ -159,4 +168,4 @@ def anchored_clusters(df: DataFrame, keys: list[str], seconds: str, span: int) -
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     keyed = df.select(*keys, F.col(seconds).cast("long").alias("__at"), F.to_json(F.struct(*keys)).alias("__key"))
-    return _sorted_groups(keyed, "__key", ["__at"], run, ", ".join(f"{k} {types[k]}" for k in keys) + ", first long, members long")
+    return sorted_runs(keyed, "__key", ["__at"], run, ", ".join(f"{k} {types[k]}" for k in keys) + ", first long, members long")

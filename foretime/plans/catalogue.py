@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foretime.plans import feeds, live, pricing, queries, reports, skaters
+from foretime.plans import feeds, live, pricing, queries, reports, skaters, sweeps
 
-MODULES = (queries, pricing, reports, feeds, live, skaters)
+MODULES = (queries, pricing, reports, feeds, live, skaters, sweeps)
 QUERIES, SQL, flagship = queries.QUERIES, queries.SQL, queries.flagship
