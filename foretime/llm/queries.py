@@ -29,8 +29,7 @@ RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "e
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = url_filter.train(url_filter.seed_urls(spark))
-    return url_filter.judge(read_table(spark, sf_dir, "pages"), RULES, model)
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), RULES, url_filter.seeded_model(spark))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,21 +16,23 @@ carried. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
+from functools import cache
 from pathlib import Path
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import ascii_lower
 
 #: Hashed features, and the lengths of the n-grams.
-DIM = 8192
+DIM = 16384
 GRAMS = (3, 4, 5)
 STEPS = 100
-DECAY = 1e-3
+DECAY = 1e-4
 GOOD_WEIGHT = 2.0
 
 
@@ -47,14 +49,13 @@ def features_of(host: Column, path: Column) -> Column:
 
     def grams(part: Column, mark: str) -> Column:
         text = F.concat(F.lit("^"), F.translate(part, "123456789", "000000000"), F.lit("$"))
-        each = [
-            F.when(
-                F.length(text) >= n,
-                F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k, n=n: F.concat(F.lit(mark), F.substring(text, k, F.lit(n)))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in GRAMS
-        ]
-        return F.concat(*each)
+
+        def of_length(n: int) -> Column:
+            # a lambda of one argument: Spark gives a second one the index
+            each = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k: F.concat(F.lit(mark), F.substring(text, k, F.lit(n))))
+            return F.when(F.length(text) >= n, each).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(*[of_length(n) for n in GRAMS])
 
     return F.array_distinct(F.transform(F.concat(grams(host, "h"), grams(path, "p")), lambda g: F.pmod(F.xxhash64(g), F.lit(DIM)).cast("int")))
 
@@ -77,8 +78,9 @@ def train(labelled: DataFrame) -> Model:
     rows = labelled.filter("bad IN (0, 1) AND url IS NOT NULL").select(
         features_of(host_of(F.col("url")), path_of(F.col("url"))).alias("at"), F.col("bad").cast("double").alias("bad")
     )
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda k: F.array_contains("at", k).cast("double"))
-    rows = rows.select(array_to_vector(dense).alias("features"), "bad", F.when(F.col("bad") == 0, GOOD_WEIGHT).otherwise(1.0).alias("weight")).persist()
+    # the indices as words of a fixed vocabulary: sparse vectors
+    sparse = CountVectorizerModel.from_vocabulary(list(map(str, range(DIM))), "at", "features").setBinary(True).transform
+    rows = sparse(rows.withColumn("at", F.col("at").cast("array<string>"))).select("features", "bad", F.when(F.col("bad") == 0, GOOD_WEIGHT).otherwise(1.0).alias("weight")).coalesce(1).persist()
     seen = {r["bad"] for r in rows.select("bad").distinct().collect()}
     model = Model()
     if seen == {0.0, 1.0}:
@@ -113,17 +115,66 @@ def judge(pages: DataFrame, rules: dict[str, str], model: Model, threshold: floa
     )
 
 
-#: Paths and beginnings of hosts that tell nothing: each host of the seed table is taken with some of them, whatever its label.
-PLAIN_PATHS = ("/", "/en/12", "/de/7.html", "/fr/page/304/", "/es/58", "/index.html", "/en/2020/11/5", "")
-PLAIN_STARTS = ("www.", "", "m.", "blog.", "")
+#: Paths, suffixes and beginnings of hosts that tell nothing: urls of either label get them in turn.
+PATHS = ("/", "/about.html", "/news/archive/2", "/index.php", "/item/4417", "")
+SUFFIXES = ("com", "net", "org", "info", "biz", "co", "io", "de", "fr", "es", "eu", "co.uk", "online", "site")
+STARTS = ("www.", "", "", "my.", "web.")
+#: Urls composed of the words of `seed_words.txt`, as many of each label.
+COMPOSED = 8000
 
 
-def seed_urls(spark: SparkSession) -> DataFrame:
-    """url, bad: the small labelled table of `seed_urls.txt`, which states its origin; every host with its own path and with plain ones."""
+@cache
+def _lines(name: str) -> tuple[str, ...]:
+    return tuple(x for x in (Path(__file__).parent / name).read_text().splitlines() if x and not x.startswith("#"))
+
+
+def written_urls() -> list[tuple[str, int]]:
+    """(url, bad) of `seed_urls.txt`, which states its origin: every host with its own path, with its own suffix and with a plain one."""
     rows = []
-    for k, line in enumerate(x for x in (Path(__file__).parent / "seed_urls.txt").read_text().splitlines() if not x.startswith("#")):
+    for k, line in enumerate(_lines("seed_urls.txt")):
         said, url = line.split(" ", 1)
         host, _, path = url.split("://", 1)[1].removeprefix("www.").partition("/")
-        pick = lambda of, n: of[(k + n) % len(of)]
-        rows += [(f"http://{pick(PLAIN_STARTS, n)}{host}{end}", int(said == "bad")) for n, end in enumerate(("/" + path, pick(PLAIN_PATHS, 0), pick(PLAIN_PATHS, 3)))]
-    return spark.createDataFrame(rows, "url string, bad int")
+        name = host.rpartition(".")[0] or host
+        rows += [(f"http://{host}/{path}", int(said == "bad")), (f"http://{STARTS[k % len(STARTS)]}{name}.{SUFFIXES[k % len(SUFFIXES)]}{PATHS[k % len(PATHS)]}", int(said == "bad"))]
+    return rows
+
+
+def composed_urls(count: int = COMPOSED, seed: int = 7) -> list[tuple[str, int]]:
+    """(url, bad): as many of each label. A bad host holds a bad phrase, alone or with a word of either kind; a good one holds plain words, or a name made of pieces of them. What stands around the words is dealt alike."""
+    words: dict[str, list[str]] = {"bad": [], "good": []}
+    for line in _lines("seed_words.txt"):
+        label, *own = line.split()
+        words[label] += own
+    rnd, rows = random.Random(seed), []
+
+    def name(bad: bool) -> str:
+        if bad:
+            parts = [rnd.choice(words["bad"])] + [rnd.choice(words[rnd.choice(("bad", "good"))])] * (rnd.random() < 0.7)
+            rnd.shuffle(parts)
+        elif rnd.random() < 0.4:
+            pieces = [w[(at := rnd.randrange(max(1, len(w) - 3))) : at + rnd.randint(2, 5)] for w in rnd.choices(words["good"], k=rnd.randint(2, 3))]
+            return "".join(pieces)
+        else:
+            parts = rnd.choices(words["good"], k=rnd.choice((1, 2, 2, 3)))
+        out = rnd.choice(("-", "")).join(parts)
+        return out.replace("-", "") if rnd.random() < 0.3 else out
+
+    for k in range(count):
+        bad = k % 2
+        rows.append((f"http://{rnd.choice(STARTS)}{name(bool(bad))}.{rnd.choice(SUFFIXES)}{rnd.choice(PATHS)}", bad))
+    return rows
+
+
+def seed_urls(spark: SparkSession) -> DataFrame:
+    """url, bad: the small labelled table, written and composed."""
+    return spark.createDataFrame([*written_urls(), *composed_urls()], "url string, bad int")
+
+
+_fitted: list[Model] = []
+
+
+def seeded_model(spark: SparkSession) -> Model:
+    """The model of the labelled table, which never changes: fitted once in a process."""
+    if not _fitted:
+        _fitted.append(train(seed_urls(spark)))
+    return _fitted[0]
