@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,33 +29,47 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Folders of the tables written by this process, oldest first.
+#: Folders of the tables written outside of any `released` block by this process, oldest first.
 _written: list[str] = []
+#: The folders written in the innermost `released` block of this thread.
+_block: ContextVar[list[str] | None] = ContextVar("block", default=None)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors. `released` removes such tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foretime/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    block = _block.get()
+    (_written if block is None else block).append(path)  # before the write, so that what a failed one leaves is removed too
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Tables that `materialise` writes in this block are removed at its end, but for the last one."""
-    before = len(_written)
-    yield
-    remove_tables(spark, before, len(_written) - 1)
-
-
-def remove_tables(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
-    """Remove the tables that `materialise` wrote, when no result that reads them is needed any more."""
-    for path in _written[first:last]:
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _written[first:last]
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialise` writes in this block are removed at its end, but for the last one, which then belongs to the block around it; if the block fails, all of them. A block sees the tables of its own thread only."""
+    outer, own = _block.get(), []
+    token = _block.set(own)
+    kept: list[str] = []
+    try:
+        yield
+        kept = own[-1:]
+    finally:
+        _block.reset(token)
+        _remove(spark, own[: len(own) - len(kept)])
+        (_written if outer is None else outer).extend(kept)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Remove the tables that `materialise` wrote outside of blocks, and those that blocks left, when no result that reads them is needed any more."""
+    _remove(spark, _written)
+    _written.clear()
 
 
 def text_of(col: str = "text") -> Column:

@@ -28,6 +28,7 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -295,8 +296,9 @@ def _token_features(tokens: list[str], k: int) -> list[str]:
     return shape(tokens[k]) + near_word(at(k - 1), "b") + near_word(at(k - 2), "bb") + near_word(at(k + 1), "a")
 
 
+@cache
 def train(sequences: int = SEQUENCES, steps: int = STEPS, seed: int = 7) -> Field:
-    """The field, from so many sequences made by rule, each a chain of all its tokens."""
+    """The field, made once in a process, from so many sequences made by rule, each a chain of all its tokens."""
     rnd = random.Random(seed)
     runs: list[tuple[list[list[str]], list[int]]] = []
     for _ in range(sequences):

@@ -21,12 +21,15 @@ A tree gives links that connect what it holds, not all pairs.
 `drop_near_duplicates` links two texts when their fingerprints are within the radius and
 their sets of shingles have a Jaccard similarity of SIMILAR or more, compared on the whole
 texts. At that similarity 155 of 1,024 bits differ on average, with a deviation of about 11.5, so the radius of 176 takes
-in 96 of 100 pairs at exactly 0.8, nearly all from 0.82 on, and few under 0.75. At such a radius a BK-tree skips no edge, so shards are compared in blocks. Texts meet under the smallest
+in 96 of 100 pairs at exactly 0.8, nearly all from 0.82 on, and few under 0.75. Texts meet under the smallest
 hashes of their shingles: a pair of similarity 0.8 or more shares one of the smallest (1 - SIMILAR) * size + 1 of each, and,
 as eight in nine of the hashes of one are the other's too, one of the SEEDS smallest but for about two pairs in a million; neither
-chance depends on the number of texts. Texts that meet in a shard, differ little enough in size and are within the
-radius are candidates. They are compared in rounds, a few for each text of a shard first;
-pairs that are in one group by then need no comparison, so a dense group costs few.
+chance depends on the number of texts. With `seeds=None` texts meet under all of these hashes and with a radius of all bits every
+pair that meets is compared: then no pair is missed. Who of a shard is within the radius is found by its BK-tree, here
+with all searches of a shard going down the tree together: at a radius as wide as this the edges of texts that have nothing in common
+are followed, and what is skipped are the near copies of a node that is far away. Candidates
+differ little enough in size, too. They are compared in rounds, a few for each text of a shard first;
+pairs that are in one group by then need no comparison, so a dense group costs few, and only shards that had more go on.
 
 Cases: a null or empty text has fingerprint zero and links like any other. A null id
 counts as the largest id and comes back as null. Rows that repeat are linked. An
@@ -62,7 +65,7 @@ MOST_KEYS = 500
 SIMILAR = (4, 5)
 #: Hashes under which a text meets others, at most.
 SEEDS = 6
-#: Fills prefixes up to SEEDS.
+#: Fills prefixes up to the longest.
 NO_HASH = -(2**63)
 #: Pairs of whole texts handed to Python at once.
 PAIRS = 64
@@ -288,7 +291,7 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(_row_key().alias("row"), text_of().alias("text"))
 
 
-def _sketches(docs: DataFrame, p: Params) -> DataFrame:
+def _sketches(docs: DataFrame, p: Params, seeds: int | None = SEEDS) -> DataFrame:
     """row, words (a digest of all words), fingerprint, size of the shingle set, prefix (its smallest hashes): a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +306,7 @@ def _sketches(docs: DataFrame, p: Params) -> DataFrame:
                 made = list(_digests(words, p))
                 hashes = np.unique(np.concatenate([x[:, :8] for x in made]).copy().view(np.int64))
                 shared = -(-SIMILAR[0] * len(hashes) // SIMILAR[1])  # at least so many are in a near copy too
-                out.append((key, _majority(made, p), len(hashes), hashes[: min(len(hashes) - shared + 1, SEEDS)]))
+                out.append((key, _majority(made, p), len(hashes), hashes[: min(len(hashes) - shared + 1, len(hashes) if seeds is None else seeds)]))
             ends = np.cumsum([0, *(len(x[3]) for x in out)], dtype=np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[3] for x in out])))
             yield pa.record_batch(
@@ -330,53 +333,80 @@ def _meetings(nodes: DataFrame) -> DataFrame:
     return met.filter(F.col("n") <= SHARD).select("shard", F.col("shard").alias("hash"), "node").unionByName(split)
 
 
+def tree_pairs(prints: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(earlier place, later places within the radius) of fingerprints, rows of uint64 words.
+
+    The BK-tree of the rows in their order: a node's children are keyed by their distance to it. The searches of all later rows reach a
+    node together, and go on to the children whose key differs from their own distance by the radius at most.
+    """
+    everyone = np.arange(len(prints))
+    stack = [(everyone, everyone[1:])]  # the rows of a subtree, its root first, and the searches that reach it
+    while stack:
+        rows, searches = stack.pop()
+        if not len(searches):
+            continue
+        root = int(rows[0])
+        distance = np.bitwise_count(prints[searches] ^ prints[root]).sum(1, dtype=np.int64)
+        near = searches[distance <= radius]
+        if len(near):
+            yield root, near
+        rest = rows[1:]
+        if not len(rest):
+            continue
+        key = distance[np.searchsorted(searches, rest)]  # every row of the subtree searches it too
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1))
+        for lo, hi in itertools.pairwise(cuts.tolist()):
+            child = rest[order[lo:hi]]
+            follow = searches[np.abs(distance - key[order[lo]]) <= radius]
+            stack.append((child, follow[np.searchsorted(follow, child[0], "right") :]))
+
+
 def shard_candidates(prints: np.ndarray, sizes: np.ndarray, groups: np.ndarray, prefixes: np.ndarray, hash_: int, radius: int, few: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Places (later, earlier) of pairs within the radius, of sizes that allow SIMILAR, of distinct groups and with hash_ as the first hash that both prefixes have: the first few of each later one, and whether there are more."""
-    later, earlier, more = [], [], False
-    for lo in range(0, len(sizes), 128):
-        hi = min(len(sizes), lo + 128)
-        near = np.bitwise_count(prints[lo:hi, None] ^ prints[None, :hi]).sum(2, dtype=np.int64) <= radius
-        least, most = np.minimum(sizes[lo:hi, None], sizes[None, :hi]), np.maximum(sizes[lo:hi, None], sizes[None, :hi])
-        near &= (SIMILAR[1] * least >= SIMILAR[0] * most) & (groups[lo:hi, None] != groups[None, :hi])
-        near &= np.arange(lo, hi)[:, None] > np.arange(hi)[None]
-        a, b = near.nonzero()
+    """Places (later, earlier) of pairs within the radius, of sizes that allow SIMILAR, of distinct groups and with hash_ as the first hash that both prefixes have: a few of each later one, and whether there are more."""
+    later, earlier, taken, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(sizes), np.int64), False
+    for root, near in tree_pairs(prints, radius):
+        least, most = np.minimum(sizes[near], sizes[root]), np.maximum(sizes[near], sizes[root])
+        near = near[(SIMILAR[1] * least >= SIMILAR[0] * most) & (groups[near] != groups[root])]
         # a pair is looked at where it meets first
-        shared = (prefixes[a + lo][:, :, None] == prefixes[b][:, None, :]).any(2) & (prefixes[a + lo] != NO_HASH)
-        near[a, b] = np.where(shared, prefixes[a + lo], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == hash_
-        first = near & (near.cumsum(1) <= few)
-        more = more or bool((first != near).any())
-        a, b = first.nonzero()
-        later.append(a + lo)
-        earlier.append(b)
+        lower = prefixes[root][(prefixes[root] < hash_) & (prefixes[root] != NO_HASH)]
+        if len(lower) and len(near):
+            near = near[~np.isin(prefixes[near], lower).any(1)]
+        left = taken[near] < few
+        more = more or not left.all()
+        near = near[left]
+        taken[near] += 1
+        later.append(near)
+        earlier.append(np.full(len(near), root))
     return np.concatenate(later), np.concatenate(earlier), more
 
 
 def _candidates(shards: DataFrame, p: Params, few: int) -> DataFrame:
-    """a, b: candidates of each shard; a row of nulls tells that there are more."""
+    """a, b, more: candidates of each shard; a row without a and b names a shard that has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("more", pa.int64())])
 
         def pairs(table: pa.Table) -> pa.RecordBatch:
             table = table.combine_chunks()
             shard, node, sizes = table.column("shard").to_numpy(), table.column("node").to_pylist(), table.column("size").to_numpy()
             prints = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), np.uint64).reshape(len(shard), -1)
-            hashes = table.column("hash").to_numpy()
-            prefixes = np.full((len(shard), SEEDS), NO_HASH, np.int64)
-            for k, x in enumerate(table.column("prefix").to_pylist()):
-                prefixes[k, : len(x)] = x
+            hashes, lists = table.column("hash").to_numpy(), table.column("prefix").to_pylist()
             groups = np.unique(np.array(table.column("component").to_pylist(), "S24").view("V24"), return_inverse=True)[1]
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
             out: set[tuple] = set()
             for lo, hi in itertools.pairwise(cuts.tolist()):
                 if hi - lo < 2:
                     continue
-                a, b, more = shard_candidates(prints[lo:hi], sizes[lo:hi], groups[lo:hi], prefixes[lo:hi], int(hashes[lo]), p.radius, few)
-                out.update((node[lo + x], node[lo + y]) for x, y in zip(a.tolist(), b.tolist()))
+                prefixes = np.full((hi - lo, max(map(len, lists[lo:hi]))), NO_HASH, np.int64)
+                for k, x in enumerate(lists[lo:hi]):
+                    prefixes[k, : len(x)] = x
+                a, b, more = shard_candidates(prints[lo:hi], sizes[lo:hi], groups[lo:hi], prefixes, int(hashes[lo]), p.radius, few)
+                out.update((node[lo + x], node[lo + y], None) for x, y in zip(a.tolist(), b.tolist()))
                 if more:
-                    out.add((None, None))
-            return pa.record_batch([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], schema=schema)
+                    out.add((None, None, int(shard[lo])))
+            return pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate(schema.types)], schema=schema)
 
         for batch in batches:
             table = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
@@ -390,7 +420,7 @@ def _candidates(shards: DataFrame, p: Params, few: int) -> DataFrame:
         if kept is not None and kept.num_rows:
             yield pairs(kept)
 
-    return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a binary, b binary").distinct()
+    return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a binary, b binary, more long").distinct()
 
 
 def shingles(text: bytes, w: int) -> set[bytes]:
@@ -433,13 +463,15 @@ def _alike(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
 
 def near_links(nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame | None:
     """id, component: nodes joined by links of texts that are within the radius and alike. None where there are no candidates."""
-    shards = materialise(_meetings(nodes).join(nodes.select("node", "fingerprint", "size", "prefix"), "node"), "simhash-shards")
+    # who meets whom, by their ids alone: fingerprints and prefixes join them in each round, so they are never written once more
+    met = _meetings(nodes)
+    sketches = nodes.select("node", "fingerprint", "size", "prefix")
     tested = links = found = None
     few = FEW
     while True:
-        labelled = shards.withColumn("component", F.col("node")) if found is None else shards.join(found.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        made = materialise(_candidates(labelled.select("shard", "hash", "node", "fingerprint", "size", "prefix", "component"), p, few), "simhash-candidates")
-        more, pairs = not made.filter("a IS NULL").isEmpty(), made.filter("a IS NOT NULL")
+        labelled = sketches.withColumn("component", F.col("node")) if found is None else sketches.join(found.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        made = materialise(_candidates(met.join(labelled, "node").select("shard", "hash", "node", "fingerprint", "size", "prefix", "component"), p, few), "simhash-candidates")
+        full, pairs = made.filter("a IS NULL").select(F.col("more").alias("shard")).distinct(), made.filter("a IS NOT NULL").select("a", "b")
         new = pairs if tested is None else materialise(pairs.join(tested, ["a", "b"], "left_anti"), "simhash-candidates")
         if not new.isEmpty():
             with _batches_of(docs.sparkSession, PAIRS):
@@ -447,15 +479,16 @@ def near_links(nodes: DataFrame, docs: DataFrame, p: Params) -> DataFrame | None
             tested = new if tested is None else tested.unionByName(new)
             links = alike if links is None else links.unionByName(alike)
             found = materialise(components(links), "simhash-found")
-        if not more:
+        if full.isEmpty():
             return found
+        met = met.join(small(full), "shard", "left_semi")
         few *= MORE
 
 
-def drop_near_duplicates(docs: DataFrame, p: Params = NEAR) -> DataFrame:
-    """The rows of docs with the smallest id of their group; all columns stay as they are."""
+def drop_near_duplicates(docs: DataFrame, p: Params = NEAR, seeds: int | None = SEEDS) -> DataFrame:
+    """The rows of docs with the smallest id of their group; all columns stay as they are. seeds: under how many hashes a text meets others, None for all that are needed to miss no pair."""
     with released(docs.sparkSession):
-        rows = materialise(_sketches(docs, p), "simhash-sketches")
+        rows = materialise(_sketches(docs, p, seeds), "simhash-sketches")
         first = lambda c: F.first(c).alias(c)
         nodes = materialise(rows.groupBy("words").agg(F.min("row").alias("node"), first("fingerprint"), first("size"), first("prefix")), "simhash-nodes")
         found = near_links(nodes, docs, p)

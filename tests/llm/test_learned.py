@@ -1,16 +1,21 @@
 """Toxicity, quality, SimHash and the pipeline."""
 
+import os
 import random
+import threading
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pytest
+import tokenizers
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foretime.llm import quality, queries, simhash, toxicity
+from foretime.llm import _common, quality, queries, simhash, toxicity
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -195,6 +200,107 @@ def test_bk_tree_equals_brute_force():
     assert {a: b for a, b in links} == {k: v for k, v in least.items() if k != v}
 
 
+@pytest.mark.parametrize("radius", [3, 40, 64, 128])
+def test_tree_pairs_equal_brute_force(radius):
+    """Dense groups, far apart, and equal rows: all pairs within the radius, each once, and fewer comparisons than pairs."""
+    rnd = random.Random(radius)
+    centres = [rnd.getrandbits(128) for _ in range(6)]
+    values = [rnd.choice(centres) ^ sum(1 << b for b in rnd.sample(range(128), rnd.randint(0, 6))) for _ in range(150)]
+    prints = np.frombuffer(b"".join(v.to_bytes(16, "big") for v in values), np.uint64).reshape(150, 2)
+    got = [(root, int(k)) for root, later in simhash.tree_pairs(prints, radius) for k in later]
+    want = {(a, b) for b in range(150) for a in range(b) if (values[a] ^ values[b]).bit_count() <= radius}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_trees_skip_near_copies_of_what_is_far(monkeypatch):
+    """The share of comparisons that a tree over dense groups makes, at the stage's own radius."""
+    rnd = random.Random(2)
+    centres = [rnd.getrandbits(1024) for _ in range(8)]
+    values = [rnd.choice(centres) ^ sum(1 << b for b in rnd.sample(range(1024), rnd.randint(0, 60))) for _ in range(400)]
+    prints = np.frombuffer(b"".join(v.to_bytes(128, "big") for v in values), np.uint64).reshape(400, 16)
+    made, count = [0], np.bitwise_count
+
+    def counted(x):
+        made[0] += len(x)
+        return count(x)
+
+    monkeypatch.setattr(simhash.np, "bitwise_count", counted)
+    pairs = sum(len(later) for _, later in simhash.tree_pairs(prints, simhash.NEAR.radius))
+    assert pairs > 400 and made[0] < 0.55 * 400 * 399 / 2
+
+
+def test_near_dedup_misses_nothing_with_all_hashes_and_bits(spark):
+    """Pairs at exactly the least similarity and above, the whole prefix, no radius: equal to brute force. With the stage's own settings at least 0.9 of them are found."""
+    pairs = [x for k, s in enumerate((0.79, 0.8, 0.803, 0.81, 0.83, 0.9)) for x in _pairs_at(s, 30, 50 + k)]
+    docs = spark.createDataFrame([(2 * k + j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)], "doc_id long, text string")
+    alike = set()
+    for k, (a, b) in enumerate(pairs):
+        x, y = (simhash.shingles(t.encode(), 5) for t in (a, b))
+        if 5 * len(x & y) >= 4 * len(x | y):
+            alike.add(2 * k + 1)
+    assert 100 < len(alike) < 180
+    dropped = lambda **kw: set(range(2 * len(pairs))) - {r["doc_id"] for r in simhash.drop_near_duplicates(docs, **kw).collect()}
+    assert dropped(p=simhash.Params(radius=1024), seeds=None) == alike
+    found = dropped()
+    assert found <= alike and len(found) >= 0.9 * len(alike)
+
+
+def test_pipeline_of_odd_rows_and_of_nothing(spark, odd, odd_rows, none, tmp_path, monkeypatch):
+    """Nulls, copies, rows that repeat and other columns go through every stage; the packed ids are those of the masked texts."""
+    for name in ("labels", "documents"):
+        folder = tmp_path / "in"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet") if name == "labels" else odd.withColumn("piece", F.lit("clash")).withColumn("length", F.lit(1)).write.parquet(str(folder / f"{name}.parquet"))
+    seen = {}
+    keep = corpus_pipeline.materialise
+
+    def noted(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(corpus_pipeline, "materialise", noted)
+    # the classifier would judge made words: it is told to keep all
+    monkeypatch.setattr(corpus_pipeline, "toxicity_model", lambda *_: queries.toxicity_model(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "/root/testdata/sf0.001"))
+    out = corpus_pipeline.run(spark, str(folder)).collect()
+    masked = seen["pipeline-secret-scans"].collect()
+    assert {c for c in odd.columns} <= set(seen["pipeline-secret-scans"].columns)
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in masked:
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[(r["doc_id"], piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want and len(masked) > 10
+    none.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    (tmp_path / "none" / "labels.parquet").symlink_to("/root/testdata/sf0.001/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_tables_of_a_failed_block_are_removed(spark):
+    where = lambda df: df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:")
+    rows = spark.range(3).toDF("n")
+    with _common.released(spark):
+        first = where(_common.materialise(rows, "first"))
+        with _common.released(spark):
+            inner = where(_common.materialise(rows, "inner"))
+            last_inner = where(_common.materialise(rows, "last-inner"))
+        assert not os.path.exists(inner) and os.path.exists(last_inner)
+        other = {}
+        thread = threading.Thread(target=lambda: other.update(at=where(_common.materialise(rows, "other-thread"))))
+        thread.start()
+        thread.join()
+        last = where(_common.materialise(rows, "last"))
+    assert [os.path.exists(x) for x in (first, last_inner, last, other["at"])] == [False, False, True, True]
+    made = []
+    with pytest.raises(ZeroDivisionError), _common.released(spark):
+        made.append(where(_common.materialise(rows, "lost")))
+        _ = 1 / 0
+    assert not os.path.exists(made[0])
+    _common.remove_tables(spark)
+    assert not os.path.exists(last) and not os.path.exists(other["at"])
+
+
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
