@@ -2,7 +2,7 @@
 
 ROWS frames (prior_rows) look at the rows before in a total order, so an earlier row of
 the same day counts. RANGE frames by day (trailing_days, expanding_before, decayed_before)
-leave out the whole own day. All of them shuffle once, by the keys.
+leave out the whole own day and run over sums by day, however many rows a day has.
 """
 
 from __future__ import annotations
@@ -45,9 +45,9 @@ def cumulative_before(df: DataFrame, keys: list[str], order: list[str], values:
 
 
 def trailing_days(df: DataFrame, keys: list[str], date: str, values: list[str], days: int) -> DataFrame:
-    """{value}_{days}d: the sum over the days before, own day left out; 0 if there are none."""
-    w = Window.partitionBy(*keys).orderBy(day_number(F.col(date))).rangeBetween(-days, -1)
-    return df.withColumns({f"{v}_{days}d": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
+    """{value}_{days}d: the sum over the days before, own day left out; 0 if there are none. The window runs over sums by day."""
+    out = day_sums(df, keys, date, values, {"d": (-days, -1)})
+    return out.withColumns({f"{v}_{days}d": F.coalesce(f"{v}_sum_d", F.lit(0)) for v in values}).drop("rows_d", *[f"{v}_{k}_d" for v in values for k in ("sum", "n")])
 
 
 def day_sums(df: DataFrame, keys: list[str], date: str, values: list[str], frames: dict[str, tuple[int | None, int]]) -> DataFrame:
@@ -80,16 +80,33 @@ def expanding_before(df: DataFrame, keys: list[str], date: str, values: list[str
 def decayed_before(df: DataFrame, keys: list[str], date: str, values: list[str], half_life: float) -> DataFrame:
     """{value}_decayed: the sum over strictly earlier days of value * 0.5^(age / half_life).
 
-    The growing weight 2^(day / half_life) is summed and scaled back, so one running sum does it. Days count from the
-    first of the key; a key that spans over 900 half-lives, where the weight would leave the range of doubles, is an error.
+    Rows are added up by key and day first. The growing weight 2^(day / half_life) is summed over the days and scaled back, so one
+    running sum does it. Days count from the first of the key; a key that spans over 900 half-lives, where the weight would
+    leave the range of doubles, is an error.
     """
-    days = day_number(F.col(date))
+    by = df.groupBy(*keys, F.col(date).alias("__day")).agg(*[F.sum(v).alias(f"__s_{v}") for v in values])
+    days = day_number(F.col("__day"))
     age = (days - F.min(days).over(Window.partitionBy(*keys))) / F.lit(float(half_life))
     age = F.when(age <= 900, age).when(age > 900, F.raise_error(F.lit("a key spans over 900 half-lives")).cast("double"))
     w = Window.partitionBy(*keys).orderBy(days).rangeBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("__age", age)
-    sums = {f"{v}_decayed": F.coalesce(F.sum(F.col(v) * F.pow(F.lit(2.0), F.col("__age"))).over(w), F.lit(0.0)) * F.pow(F.lit(2.0), -F.col("__age")) for v in values}
-    return out.withColumns(sums).drop("__age")
+    by = by.withColumn("__age", age)
+    sums = {f"{v}_decayed": F.coalesce(F.sum(F.col(f"__s_{v}") * F.pow(F.lit(2.0), F.col("__age"))).over(w), F.lit(0.0)) * F.pow(F.lit(2.0), -F.col("__age")) for v in values}
+    by = by.withColumns(sums).select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__day"), *sums)
+    same = df[date].eqNullSafe(by["__day"])
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(by[f"__key{i}"])
+    return df.join(by, same, "left").drop("__day", *[f"__key{i}" for i in range(len(keys))])
+
+
+def breaks(df: DataFrame, keys: list[str], seconds: str, gap: int) -> DataFrame:
+    """keys, before, after: neighbouring instants (whole seconds) of a key that are over gap apart.
+
+    Within a bucket of that length no two are, so instants are added up to the first and last of each bucket, and the window
+    runs over buckets.
+    """
+    by = df.groupBy(*keys, F.floor(F.col(seconds) / gap).alias("__bucket")).agg(F.min(seconds).alias("after"), F.max(seconds).alias("__last"))
+    before = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__bucket"))
+    return by.withColumn("before", before).filter(F.col("after") - F.col("before") > gap).select(*keys, "before", "after")
 
 
 def shrunk(value: Column, n: Column, k: float, prior: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foretime.sources.shared import written
+
 EPS = 1e-15
 
 
@@ -36,14 +38,20 @@ def scores(df: DataFrame, y: str, p: str, by: list[str] = []) -> DataFrame:  # n
 
 
 def auc(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Area under the ROC curve by the rank sum with mean ranks of ties, from counts by score: no sort of all rows in one task beyond the distinct scores rounded to 6 places."""
-    by = df.groupBy(F.round(p, 6).alias("s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    # at most a million and one distinct scores
-    from pyspark.sql import Window
-
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = by.select((F.col("pos") * (below + F.col("neg") / 2)).alias("u"), "pos", "neg")
-    return each.agg((F.sum("u") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    """Area under the ROC curve by the rank sum with mean ranks of ties, exact.
+
+    Rows are counted by score first; scores are dealt by ranges, written once, and each range adds the counts of those below, which are
+    one row for each partition. Rows without a score or a label are left out.
+    """
+    label = F.col(y).cast("long")
+    by = df.filter(label.isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).alias("s")).agg(F.sum(label).alias("pos"), F.sum(1 - label).alias("neg"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(by.repartitionByRange(parts, "s").withColumn("part", F.spark_partition_id()), "auc-scores")
+    # a row for each partition
+    ahead = dealt.groupBy("part").agg(F.sum("neg").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    own = F.coalesce(F.sum("neg").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = dealt.withColumn("own", own).join(F.broadcast(ahead), "part").select((F.col("pos") * (F.col("ahead") + F.col("own") + F.col("neg") / 2)).alias("u"), "pos", "neg")
+    return each.agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def paired(df: DataFrame, a: str, b: str) -> DataFrame:

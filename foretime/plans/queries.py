@@ -495,7 +495,7 @@ def scores_by_group(spark, d):
 
 
 @query(
-    f"""WITH {SCORED}, r AS (SELECT y, rank() OVER (ORDER BY round(p, 6)) + (count(*) OVER (PARTITION BY round(p, 6)) - 1) / 2.0 AS k FROM s)
+    f"""WITH {SCORED}, r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS k FROM s)
 SELECT round((sum(k) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc FROM r"""
 )
 def area_under_curve(spark, d):
@@ -799,8 +799,7 @@ SELECT event_type, count(*) AS gaps FROM g WHERE cut = 1 GROUP BY event_type"""
 def session_gaps(spark, d):
     s = F.unix_seconds(F.col("ts").cast("timestamp"))
     e = driver_table(spark, d, "events").select("event_type", s.alias("s"))
-    gap = F.col("s") - F.lag("s").over(Window.partitionBy("event_type").orderBy("s"))
-    return e.withColumn("gap", gap).filter("gap > 3600").groupBy("event_type").agg(F.count(F.lit(1)).alias("gaps"))
+    return pit.breaks(e, ["event_type"], "s", 3600).groupBy("event_type").agg(F.count(F.lit(1)).alias("gaps"))
 
 
 # --- folds ----------------------------------------------------------------------------------------------------------------------
