@@ -2,12 +2,62 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and their plain forms, for names in Latin script.
-_MARKED = "àáâãäåāăąçćčďđèéêëēęěìíîïīłñńňòóôõöøōőřśšťùúûüūůűýÿźżž"
-_PLAIN = "aaaaaaaaacccddeeeeeeeiiiiilnnnoooooooorsstuuuuuuuyyzzz"
+#: Letters with a stroke, which no decomposition takes apart, and the plain ones.
+_STROKED, _UNSTROKED = "đłøħŧ", "dloht"
+
+
+def _fold(ch: str) -> str:
+    """A sign taken apart (NFKD), without combining marks, in folded case."""
+    return "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x)).casefold()
+
+
+@cache
+def _fold_tables() -> tuple[str, str, str, str, str]:
+    """By the rule of _fold over all code points: signs that become one sign and those signs (signs that vanish stand last, without one), signs that become several and what they become, and a pattern of the latter."""
+    one, to, gone, many, parts = [], [], [], [], []
+    for k in (*range(0xD800), *range(0xE000, 0x110000)):
+        if k < 128 and not 65 <= k <= 90:
+            continue
+        ch = chr(k)
+        new = _fold(ch)
+        if new == ch:
+            continue
+        if len(new) == 1:
+            one.append(ch)
+            to.append(new)
+        elif new:
+            many.append(k)
+            parts.append(new)
+        else:
+            gone.append(ch)
+    # neighbouring code points as ranges
+    runs: list[list[int]] = []
+    for k in many:
+        if runs and runs[-1][1] == k - 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    pattern = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+    return "".join(one + gone), "".join(to), "\u0001".join(map(chr, many)), "\u0001".join(parts), pattern
+
+
+def folded(c: Column) -> Column:
+    """A text with every sign taken apart to its plain letters (NFKD), without marks, in folded case: the same for all ways of writing a name.
+
+    Nearly all of it is one translation; only texts that have a sign of several letters, such as a ligature, are gone through sign by
+    sign.
+    """
+    one, to, many, parts, pattern = _fold_tables()
+    plain = F.translate(c, one, to)
+    known = F.map_from_arrays(F.split(F.lit(many), "\u0001"), F.split(F.lit(parts), "\u0001"))
+    signs = F.regexp_extract_all(plain, F.lit(r"(?s)."), 0)
+    return F.when(plain.rlike(pattern), F.array_join(F.transform(signs, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")).otherwise(plain)
 
 
 def clock_seconds(c: Column) -> Column:
@@ -48,8 +98,8 @@ def milestone(c: Column) -> Column:
 
 
 def plain_name(c: Column) -> Column:
-    """Lower case without marks, points and apostrophes, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(c), _MARKED, _PLAIN), r"[.'’]", ""), r"[\s-]+", " "))
+    """A folded name without points and apostrophes, single spaces; a stroked o or l and the like, which have no plain letter in them, as that letter."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(folded(c), _STROKED, _UNSTROKED), r"[.'’]", ""), r"[\s-]+", " "))
 
 
 def initial_and_surname(c: Column) -> Column:

@@ -363,13 +363,23 @@ def set_operations(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT s_suppkey AS id, CAST(s_nationkey AS VARCHAR) AS team, s_name AS name FROM supplier)
-SELECT p.id AS mention, p.id AS person FROM p"""
+    """WITH p AS (SELECT s_suppkey AS id, s_nationkey % 5 AS team, ['anna', 'bob', 'carl', 'dora', 'alex'][s_suppkey % 5 + 1] AS first, 'x' || s_suppkey % 37 AS sur FROM supplier),
+m AS (SELECT id AS mention, team, CASE id % 3 WHEN 0 THEN first WHEN 1 THEN first[1] ELSE 'zed' END AS first, sur FROM p),
+k00 AS (SELECT team, first, sur, min(id) AS id FROM p GROUP BY team, first, sur HAVING count(DISTINCT id) = 1), k01 AS (SELECT first, sur, min(id) AS id FROM p GROUP BY first, sur HAVING count(DISTINCT id) = 1),
+k10 AS (SELECT team, first[1] AS i, sur, min(id) AS id FROM p GROUP BY team, first[1], sur HAVING count(DISTINCT id) = 1), k11 AS (SELECT first[1] AS i, sur, min(id) AS id FROM p GROUP BY first[1], sur HAVING count(DISTINCT id) = 1), k20 AS (SELECT team, sur, min(id) AS id FROM p GROUP BY team, sur HAVING count(DISTINCT id) = 1)
+SELECT mention, coalesce(k00.id, k01.id, k10.id, k11.id, k20.id) AS person FROM m LEFT JOIN k00 ON k00.team = m.team AND k00.first = m.first AND k00.sur = m.sur LEFT JOIN k01 ON k01.first = m.first AND k01.sur = m.sur
+  LEFT JOIN k10 ON k10.team = m.team AND k10.i = m.first[1] AND k10.sur = m.sur LEFT JOIN k11 ON k11.i = m.first[1] AND k11.sur = m.sur LEFT JOIN k20 ON k20.team = m.team AND k20.sur = m.sur"""
 )
 def name_resolution(spark, d):
-    s = driver_table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("team"), F.col("s_name").alias("name"))
-    m = s.select(F.col("id").alias("mention"), "team", F.upper(F.concat(F.lit(" "), F.col("name"))).alias("name"))
-    return joins.resolve_names(m, s, "name", "team", "id").select("mention", F.col("id").alias("person"))
+    """Whole names, initials and strange first names of people of five teams, in other letters than those of the list."""
+    c = F.col("s_suppkey")
+    first = F.element_at(F.array(*map(F.lit, ("anna", "bob", "carl", "dora", "alex"))), (F.pmod(c, F.lit(5)) + 1).cast("int"))
+    s = driver_table(spark, d, "supplier").select(c.alias("id"), F.pmod("s_nationkey", F.lit(5)).cast("string").alias("team"), first.alias("first"), F.concat(F.lit("x"), F.pmod(c, F.lit(37)).cast("string")).alias("sur"))
+    kind = F.pmod("id", F.lit(3))
+    given = F.when(kind == 0, F.translate(F.upper("first"), "AO", "ÁÖ")).when(kind == 1, F.concat(F.upper(F.substring("first", 1, 1)), F.lit("."))).otherwise("Zed")
+    m = s.select(F.col("id").alias("mention"), "team", F.concat(F.lit(" "), given, F.lit("  "), F.upper("sur")).alias("name"))
+    people = s.select("id", "team", F.concat("first", F.lit(" "), "sur").alias("name"))
+    return joins.resolve_names(m, people, "name", "team", "id").select("mention", F.col("id").alias("person"))
 
 
 @query(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foretime.plans import settling
+from foretime.functions import pmf
+from foretime.plans import margins, settling
 from foretime.plans.queries import query, r6
 from foretime.sources.tables import driver_table
 
@@ -86,3 +87,29 @@ def settled_slips(spark, d):
         "slip_id", (100.0 * (1 + mod(o, 4))).alias("stake"), F.when((mod(o, 2) == 0) & (F.col("unpriced") == 0), settling.american_odds(product)).otherwise(150 + mod(o, 700)).alias("price"), (mod(o, 5) == 0).alias("is_bonus"), F.lit("OPEN").alias("status"), F.lit(None).cast("double").alias("payout")
     )
     return settling.slip_results(slips, decided).select("slip_id", "status", F.when(F.col("status") == "WON", F.floor("payout").cast("double")).otherwise(F.col("payout")).alias("payout"))
+
+
+@query("""
+WITH RECURSIVE g AS (SELECT 2.2 + (o_orderkey % 5) * 0.3::DOUBLE AS lh, 2.0 + (o_custkey % 4) * 0.35::DOUBLE AS la, least(abs(o_orderkey * 7 % 6 - o_custkey % 5), 4) AS b FROM orders),
+ks AS (SELECT unnest(range(11)) AS k), fact AS (SELECT k, product(greatest(j.k2, 1)) AS f FROM ks JOIN (SELECT unnest(range(11)) AS k2) j ON j.k2 <= k GROUP BY k),
+cells AS (SELECT lh, la, count(*) AS n FROM g GROUP BY lh, la),
+ph AS (SELECT DISTINCT lh, k, pow(lh, k) / f AS p FROM cells, fact), pa AS (SELECT DISTINCT la, k, pow(la, k) / f AS p FROM cells, fact),
+nh AS (SELECT lh, k, p / sum(p) OVER (PARTITION BY lh) AS p FROM ph), na AS (SELECT la, k, p / sum(p) OVER (PARTITION BY la) AS p FROM pa),
+m AS (SELECT c.lh, c.la, c.n, least(abs(nh.k - na.k), 4) AS b, sum(nh.p * na.p) AS m FROM cells c JOIN nh ON nh.lh = c.lh JOIN na ON na.la = c.la GROUP BY c.lh, c.la, c.n, least(abs(nh.k - na.k), 4)),
+wide AS (SELECT lh, la, any_value(n) AS n, list(m ORDER BY b) AS m FROM m GROUP BY lh, la),
+obs AS (SELECT list(s ORDER BY b) AS o, any_value(t) AS t FROM (SELECT b, count(*) / (SELECT count(*) FROM g)::DOUBLE AS s, (SELECT count(*) FROM g)::DOUBLE AS t FROM g GROUP BY b)),
+it AS (
+  SELECT 0 AS i, 1.0::DOUBLE AS w0, 1.0::DOUBLE AS w1, 1.0::DOUBLE AS w2, 1.0::DOUBLE AS w3
+  UNION ALL
+  SELECT i + 1, w0 * o[1] / s0 / (o[5] / s4), w1 * o[2] / s1 / (o[5] / s4), w2 * o[3] / s2 / (o[5] / s4), w3 * o[4] / s3 / (o[5] / s4) FROM (
+    SELECT i, w0, w1, w2, w3, any_value(o) AS o, sum(n * w0 * m[1] / (w0 * m[1] + w1 * m[2] + w2 * m[3] + w3 * m[4] + m[5])) / any_value(t) AS s0, sum(n * w1 * m[2] / (w0 * m[1] + w1 * m[2] + w2 * m[3] + w3 * m[4] + m[5])) / any_value(t) AS s1, sum(n * w2 * m[3] / (w0 * m[1] + w1 * m[2] + w2 * m[3] + w3 * m[4] + m[5])) / any_value(t) AS s2,
+      sum(n * w3 * m[4] / (w0 * m[1] + w1 * m[2] + w2 * m[3] + w3 * m[4] + m[5])) / any_value(t) AS s3, sum(n * m[5] / (w0 * m[1] + w1 * m[2] + w2 * m[3] + w3 * m[4] + m[5])) / any_value(t) AS s4 FROM it, wide, obs WHERE i < 200 GROUP BY i, w0, w1, w2, w3)
+), last AS (SELECT [w0, w1, w2, w3, 1.0::DOUBLE] AS w FROM it ORDER BY i DESC LIMIT 1)
+SELECT CAST(k AS INT) AS bucket, round(o[k + 1], 6) AS observed, round(o[k + 1], 6) AS fitted, round(w[k + 1], 5) AS weight FROM obs, last, (SELECT unnest(range(5)) AS k)""")
+def margin_weights(spark, d):
+    """Weights fitted to the margins of orders; the SQL fits them by two hundred rounds of proportional fitting."""
+    o, k = driver_table(spark, d, "orders"), F.col("o_orderkey")
+    rate = lambda base, c, n, step: F.lit(base) + F.pmod(c, F.lit(n)) * step
+    g = o.select(margins.margin_masses(pmf.poisson(rate(2.2, k, 5, 0.3), 10), pmf.poisson(rate(2.0, F.col("o_custkey"), 4, 0.35), 10)).alias("m"), margins.margin_bucket(F.pmod(k * 7, F.lit(6)), F.pmod("o_custkey", F.lit(5))).alias("b"))
+    out = margins.fitted_shares(g, "m", "b", margins.fit_margin_weights(g, "m", "b"))
+    return out.select("bucket", r6("observed", "observed"), r6("fitted", "fitted"), F.round("weight", 5).alias("weight"))

@@ -10,6 +10,7 @@ from foretime.plans import requests, shifts
 from foretime.plans.queries import query
 from foretime.sources import reports
 from foretime.sources.tables import driver_table
+from foretime.streaming import news
 
 SPANS = "spans AS (SELECT user_id, event_type, epoch(date_trunc('second', ts))::BIGINT AS s, epoch(date_trunc('second', ts))::BIGINT + floor(value * 40)::BIGINT AS e FROM events)"
 
@@ -137,3 +138,15 @@ def report_shifts(spark, d):
     body = F.struct(F.struct(F.lit("H&H").alias("abbrev")).alias("homeTeam"), F.struct(F.struct(F.collect_set(F.when(F.pmod("sweater", F.lit(9)) > 0, player)).alias("forwards")).alias("homeTeam")).alias("playerByGameStats"))
     boxes = rows.groupBy("game_id").agg(F.to_json(body).alias("body"))
     return reports.player_shifts(pages, boxes).select("game_id", "player_id", "period", "start", "end", "duration", "shift_number", F.col("sweater").cast("int").alias("sweater"), "team")
+
+
+@query("""
+WITH s AS (SELECT user_id % 40 AS team, ts, CAST(ts AS DATE) + CAST(event_id % 2 AS INT) AS game_date, event_type AS goalie, value > 10 AS confirmed, event_id FROM events),
+b AS (SELECT *, lag(game_date) OVER w AS pd, lag(goalie) OVER w AS pg, lag(confirmed) OVER w AS pc FROM s WINDOW w AS (PARTITION BY team ORDER BY ts)),
+k AS (SELECT *, coalesce(pd = game_date, false) AS same FROM b)
+SELECT team, epoch_us(ts) AS at_us, CASE WHEN NOT same THEN 'STARTER_CONFIRMED' WHEN pg <> goalie THEN 'STARTER_CHANGED' WHEN confirmed THEN 'STARTER_CONFIRMED' ELSE 'STARTER_CHANGED' END AS kind, goalie, CASE WHEN same THEN pg END AS previous
+FROM k WHERE CASE WHEN NOT same THEN confirmed ELSE pg <> goalie OR confirmed <> pc END""")
+def starter_news(spark, d):
+    """News of who starts, from snapshots in order; the stream of streaming/news.py gives the same."""
+    e = driver_table(spark, d, "events").select(F.pmod("user_id", F.lit(40)).alias("team"), F.col("ts").cast("timestamp").alias("ts"), F.date_add(F.to_date("ts"), F.pmod("event_id", F.lit(2)).cast("int")).alias("game_date"), F.concat(F.upper("event_type")).alias("goalie"), (F.col("value") > 10).alias("confirmed"))
+    return news.starter_news(e).select("team", F.unix_micros("ts").alias("at_us"), "kind", F.lower("goalie").alias("goalie"), F.lower("previous").alias("previous"))

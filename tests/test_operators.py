@@ -337,3 +337,17 @@ def test_row_numbers_of_nothing_and_of_nulls(spark):
     assert ranking.whole_row_number(empty, ["k", "v"]).count() == 0
     rows = spark.createDataFrame([(None, "a"), (2, None), (2, "b"), (None, None)], "k int, v string")
     assert [(r["k"], r["v"]) for r in ranking.whole_row_number(rows, ["k", "v"]).orderBy("row_no").collect()] == [(None, None), (None, "a"), (2, None), (2, "b")]
+
+
+def test_folded_texts_equal_the_decomposition_of_every_code_point(spark):
+    import unicodedata
+
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold()
+    points = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000 and (k < 0x30000 or k % 997 == 0)]
+    texts = ["".join(points[k : k + 128]) for k in range(0, len(points), 128)]
+    names = ["Éric  O\u2019Brien", "Straße", "ﬁnal Ǆ ½", "한국", "e\u0301\u0327", "", "İstanbul", "Ⅷ 𝕬𝖇"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts + names)], "k int, t string").repartition(8)
+    got = {r["k"]: r["f"] for r in df.select("k", text.folded(F.col("t")).alias("f")).collect()}
+    bad = [k for k, t in enumerate(texts + names) if got[k] != fold(t)]
+    assert not bad
+    assert one(spark, n=text.plain_name(F.lit("Łukasz Ødegård-Žák")))["n"] == "lukasz odegard zak"

@@ -1,14 +1,17 @@
-"""Versioned tables, settlement twice and after a failure, slips and legs."""
+"""Versioned tables, settlement twice and after a failure, slips and legs; margin weights; the stream of starters."""
 
 import datetime as dt
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from foretime.operators import pit, stats
-from foretime.plans import settling
+from foretime.functions import pmf
+from foretime.plans import margins, settling
 from foretime.sources.versions import Versions
+from foretime.streaming import news
 
 T = lambda day, hour=0: dt.datetime(2024, 1, day, hour, tzinfo=dt.timezone.utc)
 
@@ -130,3 +133,75 @@ def test_breaks_between_buckets(spark):
     got = rows(pit.breaks(spark.createDataFrame([(k, t) for k, ts in times.items() for t in ts], "k string, s long"), ["k"], "s", 3600))
     want = sorted((k, x, y) for k, ts in times.items() for x, y in zip(ts, ts[1:]) if y - x > 3600)
     assert got == want
+
+
+def test_margin_weights_reproduce_what_was_seen(spark):
+    rnd = random.Random(9)
+    games = [(rnd.choice((2.0, 2.8, 3.5)), rnd.choice((2.1, 3.0)), rnd.choice((0, 0, 1, 1, 2, 3, 3, 4, 6))) for _ in range(600)]
+    df = spark.createDataFrame(games, "h double, a double, margin int").select(margins.margin_masses(pmf.poisson(F.col("h"), 8), pmf.poisson(F.col("a"), 8)).alias("m"), margins.margin_bucket(F.col("margin"), F.lit(0)).alias("b"))
+    total = df.select(F.aggregate("m", F.lit(0.0), lambda s, x: s + x).alias("t")).agg(F.min("t"), F.max("t")).first()
+    assert total[0] == pytest.approx(1) and total[1] == pytest.approx(1)
+    w = margins.fit_margin_weights(df, "m", "b")
+    assert w[4] == 1
+    for r in margins.fitted_shares(df, "m", "b", w).collect():
+        assert r["fitted"] == pytest.approx(r["observed"], abs=1e-9)
+    # a margin that was never seen, none at all, none to be relative to
+    some = df.filter("b <> 1")
+    unseen = margins.fit_margin_weights(some, "m", "b")
+    assert unseen[1] == 0 and all(r["fitted"] == pytest.approx(r["observed"], abs=1e-9) for r in margins.fitted_shares(some, "m", "b", unseen).collect())
+    with pytest.raises(ValueError, match="no games"):
+        margins.fit_margin_weights(df.limit(0), "m", "b")
+    with pytest.raises(ValueError, match="relative to"):
+        margins.fit_margin_weights(df.filter("b < 4"), "m", "b")
+
+
+def test_margin_masses_equal_a_plain_grid(spark):
+    h, a = [0.1, 0.2, 0.3, 0.15, 0.15, 0.1], [0.3, 0.3, 0.2, 0.1, 0.05, 0.05]
+    got = spark.range(1).select(margins.margin_masses(F.array(*map(F.lit, h)), F.array(*map(F.lit, a))).alias("m")).first()["m"]
+    want = [sum(x * y for i, x in enumerate(h) for j, y in enumerate(a) if min(abs(i - j), 4) == b) for b in range(5)]
+    assert got == pytest.approx(want)
+
+
+SNAPSHOT = "team string, ts timestamp, game_date date, goalie string, confirmed boolean"
+
+
+def snapshots(seed):
+    rnd = random.Random(seed)
+    return [(f"t{k}", dt.datetime(2024, 1, 1 + i // 8, i % 8 * 3, k), dt.date(2024, 1, 1 + i // 8), rnd.choice(["A B", "Á b", "C"]), rnd.random() < 0.4) for i in range(80) for k in range(3)]
+
+
+def test_stream_of_starters_equals_the_plan_after_a_restart(spark, tmp_path):
+    """Files come one by one; the stream is stopped in the middle and goes on from its checkpoint; late rows change nothing."""
+    rows_, src = snapshots(1), str(tmp_path / "in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    news.use_rocksdb(spark)
+    put = lambda part: spark.createDataFrame(part, SNAPSHOT).coalesce(1).write.mode("append").parquet(src)
+
+    def drain():
+        stream = spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(src)
+        q = news.starter_news_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+
+    try:
+        put(rows_[:70])
+        put(rows_[70:130])
+        drain()
+        put(rows_[130:200])
+        put([("t1", dt.datetime(2024, 1, 2), dt.date(2024, 1, 2), "LATE", True)])
+        put(rows_[200:])
+        drain()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    want = rows(news.starter_news(spark.createDataFrame(rows_, SNAPSHOT)))
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == want and len(want) > 100
+
+
+def test_news_of_starters(spark):
+    at = lambda hour, day, goalie, sure: ("t", T(1, hour), dt.date(2024, 1, day), goalie, sure)
+    told = [at(0, 1, "A", False), at(1, 1, "A", True), at(2, 1, "a\u0301", True), at(3, 1, "B", False), at(4, 1, "B", False), at(5, 2, "B", False), at(6, 3, "B", True), at(7, 3, "B", False)]
+    got = [(r["ts"].hour, r["kind"], r["goalie"], r["previous"]) for r in news.starter_news(spark.createDataFrame(told, SNAPSHOT)).orderBy("ts").collect()]
+    assert got == [(1, news.CONFIRMED, "A", "A"), (3, news.CHANGED, "B", "a\u0301"), (6, news.CONFIRMED, "B", None), (7, news.CHANGED, "B", "B")]
