@@ -144,10 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = Non
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [[at[x] for x in features(text, lambda w: [g for g in _grams(w) if g in grams]) if x in at] for text in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["p", "at"])
+            rows = [np.sort(np.array([at[x] for x in features(text, lambda w: [g for g in _grams(w) if g in grams]) if x in at], ">i4")).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(rows, pa.binary())], ["p", "at"])
 
-    rows = sorted((r["p"], sorted(r["at"])) for r in sample.mapInArrow(matched, "p boolean, at array<int>").collect())
+    # four bytes for each feature of the at most max_p + max_u rows
+    rows = sorted((r["p"], bytes(r["at"])) for r in sample.mapInArrow(matched, "p boolean, at binary").collect())
     sample.unpersist()
     is_p = np.array([p for p, _ in rows], bool)
     if not is_p.any() or not names:
@@ -155,17 +156,20 @@ def train(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = Non
     n_p, n_u = max(1, is_p.sum()), max(1, (~is_p).sum())
     in_p, in_u = np.zeros(len(names)), np.zeros(len(names))
     for p, found in rows:
-        (in_p if p else in_u)[found] += 1
+        (in_p if p else in_u)[np.frombuffer(found, ">i4")] += 1
     a, b = in_p / n_p, in_u / n_u
     z = (a - b) / np.sqrt(a * (1 - a) / n_p + b * (1 - b) / n_u + 1e-9)  # how surely a feature is more frequent in P
     kept = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
     kept = kept[z[kept] > 2]
     if not len(kept):
         return Model()
-    column = {int(k): c for c, k in enumerate(kept)}
+    column = np.full(len(names), -1)
+    column[kept] = np.arange(len(kept))
     x = np.zeros((len(rows), len(kept)), np.float32)
     for r, (_, found) in enumerate(rows):
-        x[r, [column[k] for k in found if k in column]] = 1
+        own = column[np.frombuffer(found, ">i4")]
+        x[r, own[own >= 0]] = 1
+    del rows
     prior = min(max(float(prior), 1e-4), 0.9)
     w = np.mean([nnpu(x[is_p], x[~is_p], prior, seed) for seed in range(CLASSIFIERS)], 0)
     return Model({names[k]: float(w[c]) for c, k in enumerate(kept)}, float(w[-1]))
