@@ -11,9 +11,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretime.plans import slate
+from foretime.plans import roles, slate
 from foretime.plans.features import TEAM_RATES, team_base
-from foretime.plans.queries import query
+from foretime.plans.queries import query, r6
 from foretime.plans.reports import _R
 from foretime.sources.tables import driver_table
 
@@ -119,3 +119,28 @@ def projected_starters(spark, d):
     starts = units.filter("is_starter")
     announced = starts.select("team", "date", F.when(F.pmod("team", F.lit(3)) == 0, F.col("goalie_id")).alias("goalie_id"), (F.pmod("team", F.lit(2)) == 0).alias("confirmed"))
     return slate.project_starters(starts, slates, announced).select("game_id", "season", "team", "goalie_id", "fallback")
+
+
+@query(f"""WITH {SIDE_SQL}, t AS (SELECT team, season, date, goalie_id, row_number() OVER (PARTITION BY team ORDER BY date) AS k, row_number() OVER (PARTITION BY team, season ORDER BY date) AS ks, row_number() OVER (PARTITION BY team, season, goalie_id ORDER BY date) AS own FROM starts),
+q AS (SELECT * FROM t),
+share AS (SELECT q.team, q.date, avg(CASE WHEN s.goalie_id = q.goalie_id THEN 1.0 ELSE 0 END) AS s10 FROM q JOIN t s ON s.team = q.team AND s.k < q.k AND s.k >= q.k - 10 WHERE q.k > 3 GROUP BY q.team, q.date),
+best AS (SELECT q.team, q.date, max(c.n) AS most FROM q JOIN (SELECT a.team, a.date, b.goalie_id, count(*) AS n FROM t a JOIN t b ON b.team = a.team AND b.season = a.season AND b.date < a.date GROUP BY a.team, a.date, b.goalie_id) c ON c.team = q.team AND c.date = q.date GROUP BY q.team, q.date),
+whole AS (SELECT team, season + 1 AS season, goalie_id, count(*) AS n FROM t GROUP BY team, season, goalie_id), topped AS (SELECT team, season, max(n) AS n FROM whole GROUP BY team, season),
+rest AS (SELECT q.team, q.date, max(u.date) AS last FROM q JOIN units u ON u.goalie_id = q.goalie_id AND u.date < q.date GROUP BY q.team, q.date),
+days AS (SELECT date, sum(saves) AS s, sum(shots) AS a, count(*) AS n FROM units GROUP BY date),
+lg AS (SELECT date, CASE WHEN sum(n) OVER w > 0 THEN CAST(sum(s) OVER w AS DOUBLE) / sum(a) OVER w ELSE 0.905::DOUBLE END AS p, CASE WHEN sum(n) OVER w > 0 THEN CAST(sum(a) OVER w AS DOUBLE) / sum(n) OVER w ELSE 28.0::DOUBLE END AS bar FROM days WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL 365 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+nu AS (SELECT *, row_number() OVER (PARTITION BY goalie_id ORDER BY date) AS i FROM units), cum AS (SELECT goalie_id, date, i, CAST(sum(saves) OVER w AS DOUBLE) AS cs, CAST(sum(shots) OVER w AS DOUBLE) AS ca FROM nu WINDOW w AS (PARTITION BY goalie_id ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+pairs AS (SELECT q.team, q.date, q.goalie_id, arg_max(c.who, c.n * 100000 + c.last) AS alt FROM q LEFT JOIN (SELECT a.team, a.date, b.goalie_id AS who, count(*) AS n, max(b.k) AS last FROM t a JOIN t b ON b.team = a.team AND b.k < a.k AND b.k >= a.k - 20 AND b.goalie_id <> a.goalie_id GROUP BY a.team, a.date, b.goalie_id) c ON c.team = q.team AND c.date = q.date GROUP BY q.team, q.date, q.goalie_id),
+asked AS (SELECT DISTINCT goalie_id AS g, date FROM q UNION SELECT alt, date FROM pairs WHERE alt IS NOT NULL),
+lasts AS (SELECT a.g, a.date, max(c.i) AS i FROM asked a LEFT JOIN cum c ON c.goalie_id = a.g AND c.date < a.date GROUP BY a.g, a.date),
+carry AS (SELECT l.g, l.date, CASE WHEN c.cs IS NULL THEN p ELSE (cs + 30 * bar * p) / (ca + 30 * bar) END AS sv FROM lasts l JOIN lg ON lg.date = l.date LEFT JOIN cum c ON c.goalie_id = l.g AND c.i = l.i)
+SELECT q.team, epoch(q.date)::BIGINT AS at_s, round(s10, 6) AS role_start_share_10, round(CASE WHEN q.ks > 1 THEN (q.own - 1) / (q.ks - 1.0) END, 6) AS role_start_share_season, CASE WHEN q.ks > 1 THEN CASE WHEN q.own - 1 >= most THEN 1.0 ELSE 0.0 END WHEN topped.n IS NOT NULL THEN CASE WHEN coalesce(whole.n, 0) >= topped.n THEN 1.0 ELSE 0.0 END END AS role_is_primary,
+  CAST(least(q.date - last, 10) AS DOUBLE) AS role_rest_days, CASE WHEN q.date - last = 1 THEN 1.0 ELSE 0.0 END AS role_started_yesterday, round(c.sv, 6) AS role_carry_sv, round(coalesce(c.sv - o.sv, 0), 6) AS role_starter_minus_alt
+FROM q LEFT JOIN share USING (team, date) LEFT JOIN best USING (team, date) LEFT JOIN rest USING (team, date) LEFT JOIN topped ON topped.team = q.team AND topped.season = q.season LEFT JOIN whole ON whole.team = q.team AND whole.season = q.season AND whole.goalie_id = q.goalie_id
+JOIN pairs ON pairs.team = q.team AND pairs.date = q.date JOIN carry c ON c.g = q.goalie_id AND c.date = q.date LEFT JOIN carry o ON o.g = pairs.alt AND o.date = q.date""")
+def goalie_roles(spark, d):
+    """The role of every starter before his game."""
+    _, _, _, units = _sides(spark, d)
+    asked = units.filter("is_starter").select("game_id", "team", "goalie_id", "date", "season")
+    out = roles.role_features(units, asked, F.col("season") - 1)
+    return out.select("team", F.unix_seconds(F.col("date").cast("timestamp")).alias("at_s"), *[r6(c, c) for c in roles.FEATURES])
