@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foretime.plans import feeds, live, pricing, queries, reports, settlements, skaters, sweeps
+from foretime.plans import feeds, live, pricing, queries, readers, reports, settlements, skaters, sweeps
 
-MODULES = (queries, pricing, reports, feeds, live, settlements, skaters, sweeps)
+MODULES = (queries, pricing, reports, feeds, readers, live, settlements, skaters, sweeps)
 QUERIES, SQL, flagship = queries.QUERIES, queries.SQL, queries.flagship

@@ -135,7 +135,7 @@ asked AS (SELECT DISTINCT goalie_id AS g, date FROM q UNION SELECT alt, date FRO
 lasts AS (SELECT a.g, a.date, max(c.i) AS i FROM asked a LEFT JOIN cum c ON c.goalie_id = a.g AND c.date < a.date GROUP BY a.g, a.date),
 carry AS (SELECT l.g, l.date, CASE WHEN c.cs IS NULL THEN p ELSE (cs + 30 * bar * p) / (ca + 30 * bar) END AS sv FROM lasts l JOIN lg ON lg.date = l.date LEFT JOIN cum c ON c.goalie_id = l.g AND c.i = l.i)
 SELECT q.team, epoch(q.date)::BIGINT AS at_s, round(s10, 6) AS role_start_share_10, round(CASE WHEN q.ks > 1 THEN (q.own - 1) / (q.ks - 1.0) END, 6) AS role_start_share_season, CASE WHEN q.ks > 1 THEN CASE WHEN q.own - 1 >= most THEN 1.0 ELSE 0.0 END WHEN topped.n IS NOT NULL THEN CASE WHEN coalesce(whole.n, 0) >= topped.n THEN 1.0 ELSE 0.0 END END AS role_is_primary,
-  CAST(least(q.date - last, 10) AS DOUBLE) AS role_rest_days, CASE WHEN q.date - last = 1 THEN 1.0 ELSE 0.0 END AS role_started_yesterday, round(c.sv, 6) AS role_carry_sv, round(coalesce(c.sv - o.sv, 0), 6) AS role_starter_minus_alt
+  CASE WHEN last IS NOT NULL THEN CAST(least(q.date - last, 10) AS DOUBLE) END AS role_rest_days, CASE WHEN q.date - last = 1 THEN 1.0 ELSE 0.0 END AS role_started_yesterday, round(c.sv, 6) AS role_carry_sv, round(coalesce(c.sv - o.sv, 0), 6) AS role_starter_minus_alt
 FROM q LEFT JOIN share USING (team, date) LEFT JOIN best USING (team, date) LEFT JOIN rest USING (team, date) LEFT JOIN topped ON topped.team = q.team AND topped.season = q.season LEFT JOIN whole ON whole.team = q.team AND whole.season = q.season AND whole.goalie_id = q.goalie_id
 JOIN pairs ON pairs.team = q.team AND pairs.date = q.date JOIN carry c ON c.g = q.goalie_id AND c.date = q.date LEFT JOIN carry o ON o.g = pairs.alt AND o.date = q.date""")
 def goalie_roles(spark, d):

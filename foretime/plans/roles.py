@@ -68,7 +68,7 @@ def role_features(app: DataFrame, asked: DataFrame, season_before: Column | None
     seen = app.select("goalie_id", "date", "game_id").withColumn("on", F.col("date"))
     rows = last_before(rows, seen, ["goalie_id"], "__l", ["on"], ["game_id"])
     gap = F.datediff("date", "__l.on")
-    rows = rows.withColumns({"role_start_share_season": F.when(F.col("__s").isNotNull(), zero("__m.own") / F.col("__s.ks")), "role_is_primary": primary.cast("double"), "role_rest_days": F.least(gap, F.lit(REST_CAP)).cast("double"), "role_started_yesterday": F.coalesce((gap == 1).cast("double"), F.lit(0.0))})
+    rows = rows.withColumns({"role_start_share_season": F.when(F.col("__s").isNotNull(), zero("__m.own") / F.col("__s.ks")), "role_is_primary": primary.cast("double"), "role_rest_days": F.when(gap.isNotNull(), F.least(gap, F.lit(REST_CAP))).cast("double"), "role_started_yesterday": F.coalesce((gap == 1).cast("double"), F.lit(0.0))})
     # the team's last games by number: at most ALT_GAMES rows for each question
     key = ["game_id", "team", "goalie_id", "date"]
     n = F.col("__t.k")
