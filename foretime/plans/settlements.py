@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretime.functions import pmf
-from foretime.plans import margins, settling
+from foretime.plans import counts, margins, settling
 from foretime.plans.queries import query, r6
 from foretime.sources.tables import driver_table
 
@@ -113,3 +113,50 @@ def margin_weights(spark, d):
     g = o.select(margins.margin_masses(pmf.poisson(rate(2.2, k, 5, 0.3), 10), pmf.poisson(rate(2.0, F.col("o_custkey"), 4, 0.35), 10)).alias("m"), margins.margin_bucket(F.pmod(k * 7, F.lit(6)), F.pmod("o_custkey", F.lit(5))).alias("b"))
     out = margins.fitted_shares(g, "m", "b", margins.fit_margin_weights(g, "m", "b"))
     return out.select("bucket", r6("observed", "observed"), r6("fitted", "fitted"), F.round("weight", 5).alias("weight"))
+
+
+PROPS = """props AS (SELECT l_orderkey % 400 AS game_id, l_returnflag || l_linestatus AS book, l_partkey % 5 AS shots, CASE WHEN l_suppkey % 3 = 0 THEN 2.0 ELSE l_suppkey % 3 + 0.5 END AS line, 0.3::DOUBLE + (l_partkey % 40) / 100.0::DOUBLE AS pm, 0.35::DOUBLE + (l_suppkey % 30) / 100.0::DOUBLE AS pk, 1.2::DOUBLE + (l_suppkey % 7) / 5.0::DOUBLE AS mu,
+  CASE WHEN l_partkey % 3 = 0 THEN -(110 + l_partkey % 60) ELSE 100 + l_partkey % 90 END AS price, 120 + l_suppkey % 50 AS opened, l_linenumber % 2 = 0 AS early FROM lineitem)"""
+_LL = "-(y * ln(greatest(least({0}, 1 - 1e-15), 1e-15)) + (1 - y) * ln(greatest(least(1 - {0}, 1 - 1e-15), 1e-15)))"
+
+
+def _props(spark, d):
+    mod = lambda c, n: F.pmod(c, F.lit(n))
+    s, p = F.col("l_suppkey"), F.col("l_partkey")
+    shots = mod(p, 5).cast("int")
+    return driver_table(spark, d, "lineitem").select(
+        mod("l_orderkey", 400).alias("game_id"), F.concat("l_returnflag", "l_linestatus").alias("book"), shots.alias("shots"), F.when(mod(s, 3) == 0, 2.0).otherwise(mod(s, 3) + 0.5).alias("line"), (F.lit(0.3) + mod(p, 40) / 100).alias("p_model"), (F.lit(0.35) + mod(s, 30) / 100).alias("p_mkt"), (F.lit(1.2) + mod(s, 7) / 5).alias("mu"),
+        F.when(mod(p, 3) == 0, -(110 + mod(p, 60))).otherwise(100 + mod(p, 90)).alias("over_price"), (120 + mod(s, 50)).alias("over_price_open"), F.when(mod("l_linenumber", 2) == 0, 1).otherwise(3).alias("updated"), F.lit(2).alias("start"),
+    )
+
+
+@query(f"""WITH {PROPS}, decided AS (SELECT *, CASE WHEN shots > line THEN 1.0 ELSE 0.0 END AS y FROM props WHERE shots <> line), scored AS (SELECT *, {_LL.format('pm')} AS lm, {_LL.format('pk')} AS lk FROM decided),
+both_groups AS (SELECT * FROM scored UNION ALL SELECT * REPLACE ('POOLED' AS book) FROM scored), g AS (SELECT book, game_id, sum(lm - lk) AS s, count(*) AS k FROM both_groups GROUP BY book, game_id), m AS (SELECT book, sum(s) / sum(k) AS mean, sum(k) AS n, count(*) AS games FROM g GROUP BY book),
+e AS (SELECT g.book, any_value(n)::BIGINT AS n, any_value(games) AS games, any_value(mean) AS mean, sqrt(any_value(games) / (any_value(games) - 1.0) * sum((s - k * mean) * (s - k * mean))) / any_value(n) AS se FROM g JOIN m USING (book) GROUP BY g.book)
+SELECT book, n, games, round(avg(y), 6) AS over_rate, round(avg(lm), 6) AS loss_model, round(avg(lk), 6) AS loss_market, round(any_value(mean), 6) AS diff, round(any_value(se), 6) AS se, round(avg((pm - y) * (pm - y)), 6) AS brier_model, n >= 500 AND any_value(mean) + 1.96 * any_value(se) < 0 AS beats_market
+FROM both_groups JOIN e USING (book) GROUP BY book, n, games""")
+def props_against_prices(spark, d):
+    """Model and market on the same props, errors clustered by game."""
+    props = _props(spark, d)
+    out = counts.against_prices(props.filter("shots <> line").withColumn("over_hit", (F.col("shots") > F.col("line")).cast("double")))
+    return out.select("book", "n", "games", *[r6(c, c) for c in ("over_rate", "loss_model", "loss_market", "diff", "se", "brier_model")], "beats_market")
+
+
+@query(f"""WITH {PROPS}, d AS (SELECT *, CASE WHEN early THEN price ELSE opened END AS used FROM props), o AS (SELECT *, CASE WHEN used < 0 THEN 1 - 100.0::DOUBLE / used ELSE 1 + used / 100.0::DOUBLE END AS dec FROM d), t AS (SELECT o.*, u AS threshold FROM o, (SELECT unnest([0.0::DOUBLE, 0.05, 0.1]) AS u))
+SELECT threshold, count(*) AS props, count(*) FILTER (WHERE pm - 1 / dec >= threshold - 1e-12) AS bets, count(*) FILTER (WHERE pm - 1 / dec >= threshold - 1e-12 AND shots > line) AS hits, round(avg(CASE WHEN shots > line THEN dec - 1 ELSE -1 END) FILTER (WHERE pm - 1 / dec >= threshold - 1e-12), 6) AS roi FROM t GROUP BY threshold""")
+def one_sided_overs(spark, d):
+    return counts.over_only(_props(spark, d), [0.0, 0.05, 0.1]).select("threshold", "props", "bets", "hits", r6("roi", "roi"))
+
+
+@query(f"""WITH {PROPS}, s AS (SELECT *, mu - shots * ln(mu) + ln(factorial(CAST(shots AS INT))::DOUBLE) AS po, mu * 1.1 - shots * ln(mu * 1.1) + ln(factorial(CAST(shots AS INT))::DOUBLE) AS hi FROM props), b AS (SELECT * FROM s UNION ALL SELECT * REPLACE ('POOLED' AS book) FROM s)
+SELECT book, count(*) AS n, round(avg(shots), 6) AS mean_count, round(avg(po), 6) AS nll_po, round(avg(mu) - avg(shots), 6) AS bias_po, round(avg(hi), 6) AS nll_hi, round(avg(hi - po), 6) AS diff_hi, round(stddev_samp(hi - po) / sqrt(count(*)), 6) AS se_hi FROM b GROUP BY book""")
+def count_scores(spark, d):
+    """Two Poisson models of a count, by venue and pooled."""
+    df = _props(spark, d).withColumn("mu_hi", F.col("mu") * 1.1)
+    out = counts.score_counts(df, "book", {"po": ("mu", 0.0), "hi": ("mu_hi", 0.0)}, "shots", "po")
+    return out.select("book", "n", *[r6(c, c) for c in ("mean_count", "nll_po", "bias_po", "nll_hi", "diff_hi", "se_hi")])
+
+
+@query(f"""WITH {PROPS} SELECT book, round(avg(shots) / avg(mu), 6) AS level FROM props GROUP BY book""")
+def level_of_venues(spark, d):
+    return counts.level_constants(_props(spark, d)).select("book", r6("level", "level"))
