@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretime.plans import roles, slate
+from foretime.plans import roles, slate, totals
 from foretime.plans.features import TEAM_RATES, team_base
 from foretime.plans.queries import query, r6
 from foretime.plans.reports import _R
@@ -144,3 +144,24 @@ def goalie_roles(spark, d):
     asked = units.filter("is_starter").select("game_id", "team", "goalie_id", "date", "season")
     out = roles.role_features(units, asked, F.col("season") - 1)
     return out.select("team", F.unix_seconds(F.col("date").cast("timestamp")).alias("at_s"), *[r6(c, c) for c in roles.FEATURES])
+
+
+def _attack_sql() -> str:
+    names = [f"round({p}.{n}_{k}{' / (0.5 * s.env)' if n in totals.PER_HOUR else ''}, 5) AS {q}_{n}_w{k}" for k in W for p, q, ns in (("o", "off", totals.ATTACK), ("d", "def", totals.DEFENCE)) for n in ns] + [f"round(g.{n}_{k}, 5) AS goalie_{n}_w{k}" for k in W for n in slate.GOALIE_RATES]
+    return _vector_sql().split("\nSELECT s.game_id")[0] + f""", both_ways AS (SELECT game_id, season, date, home AS team, away AS opp, 1.0 AS is_home, 5.0 + game_id % 3 AS env FROM slates UNION ALL SELECT game_id, season, date, away, home, 0.0, 5.0 + game_id % 3 FROM slates)
+SELECT s.game_id, s.team, s.is_home, {", ".join(names)}, CAST(o.games_5 AS DOUBLE) AS off_gp_w5, CAST(d.games_5 AS DOUBLE) AS def_gp_w5, CAST(s.team - s.opp AS DOUBLE) AS elo_edge, CASE WHEN s.game_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS is_playoff, 0.0 AS starter_fallback
+FROM both_ways s JOIN rates o ON o.team = s.team AND o.date = s.date JOIN rates d ON d.team = s.opp AND d.date = s.date JOIN starts st ON st.team = s.opp AND st.date = s.date JOIN goalies g ON g.goalie_id = st.goalie_id AND g.date = s.date"""
+
+
+@query(_attack_sql())
+def attack_rows(spark, d):
+    """Both attacks of every slate game, goal rates against the league's of the day."""
+    base, _, slates, units = _sides(spark, d)
+    first = units.filter("is_starter").select("game_id", "season", "date", "team", "goalie_id")
+    goalie = slate.goalie_asof(units, slates.join(first, ["game_id", "season", "date"]).select("game_id", "season", "date", "goalie_id"), slate.league_priors(units, F.col("season") + 1), W)
+    of = lambda side, name: first.select("game_id", F.col("team").alias(side), F.col("goalie_id").alias(name))
+    games = slates.join(of("home", "home_starter"), ["game_id", "home"]).join(of("away", "away_starter"), ["game_id", "away"])
+    games = games.withColumns({"env": (5 + F.pmod("game_id", F.lit(3))).cast("double"), "game_type": F.when(F.pmod("game_id", F.lit(2)) == 0, 3).otherwise(2), "stage": F.lit("MID")} | {f"{p}_{c}": F.lit(None).cast(t) for p in ("home", "away") for c, t in (("score", "int"), ("rest", "int"), ("b2b", "boolean"), ("travel_km", "double"), ("game_num", "int"))} | {"home_elo": F.col("home").cast("double"), "away_elo": F.col("away").cast("double")})
+    out = totals.attack_rows(games, slate.team_asof(base, slates, W), goalie, W, env="env")
+    shown = [f"{q}_{n}_w{k}" for k in W for q, ns in (("off", totals.ATTACK), ("def", totals.DEFENCE)) for n in ns] + [f"goalie_{n}_w{k}" for k in W for n in slate.GOALIE_RATES]
+    return out.select("game_id", "team", "is_home", *[F.round(c, 5).alias(c) for c in shown], "off_gp_w5", "def_gp_w5", "elo_edge", "is_playoff", "starter_fallback")

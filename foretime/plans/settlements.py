@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretime.functions import pmf
-from foretime.plans import counts, margins, settling
+from foretime.plans import counts, margins, settling, totals
 from foretime.plans.queries import query, r6
 from foretime.sources.tables import driver_table
 
@@ -160,3 +160,52 @@ def count_scores(spark, d):
 @query(f"""WITH {PROPS} SELECT book, round(avg(shots) / avg(mu), 6) AS level FROM props GROUP BY book""")
 def level_of_venues(spark, d):
     return counts.level_constants(_props(spark, d)).select("book", r6("level", "level"))
+
+
+CLOSES = """o AS (SELECT user_id % 60 AS game_id, event_type AS book, CASE WHEN event_id % 2 = 0 THEN 'over' ELSE 'under' END AS side, CASE WHEN event_id % 9 > 0 THEN -(101 + event_id % 30) END AS price, 5.5::DOUBLE + event_id % 3 * 0.5::DOUBLE AS point, date_trunc('day', ts) AS at_day FROM events),
+known AS (SELECT * FROM o WHERE at_day < TIMESTAMP '2024-01-20' + to_days(CAST(game_id % 9 AS INT)) AND price IS NOT NULL),
+snap AS (SELECT game_id, book, at_day, max(row(price, point)) FILTER (WHERE side = 'over') AS o, max(row(price, point)) FILTER (WHERE side = 'under') AS u FROM known GROUP BY game_id, book, at_day),
+closing AS (SELECT game_id, book, o[2] AS line, o[1] AS over_price, u[1] AS under_price FROM snap WHERE o[2] = u[2] QUALIFY row_number() OVER (PARTITION BY game_id, book ORDER BY at_day DESC) = 1)"""
+
+
+def _closing(spark, d):
+    k, game = F.col("event_id"), F.pmod("user_id", F.lit(60))
+    mod = lambda n: F.pmod(k, F.lit(n))
+    start = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-20").cast("timestamp")) + F.pmod(game, F.lit(9)) * 86400)
+    rows = driver_table(spark, d, "events").select(game.alias("game_id"), F.col("event_type").alias("book"), F.when(mod(2) == 0, "over").otherwise("under").alias("side"), F.when(mod(9) > 0, -(101 + mod(30))).alias("price"), (5.5 + mod(3) * 0.5).alias("point"), F.date_trunc("day", F.col("ts").cast("timestamp")).alias("at"), start.alias("start"))
+    return totals.closing_totals(rows)
+
+
+@query(f"WITH {CLOSES} SELECT * FROM closing")
+def closing_totals(spark, d):
+    return _closing(spark, d)
+
+
+@query(f"""WITH {CLOSES}, l AS (SELECT game_id, line, median(({_P.format('over_price')}) / (({_P.format('over_price')}) + ({_P.format('under_price')}))) AS f, count(*) AS n FROM closing GROUP BY game_id, line)
+SELECT game_id, line, round(f, 6) AS fair_over, n AS n_books FROM l QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY n DESC, abs(f - 0.5), line) = 1""")
+def market_overs(spark, d):
+    return totals.market_overs(_closing(spark, d)).withColumn("fair_over", F.round("fair_over", 6))
+
+
+@query("""WITH t AS (SELECT o_orderkey % 9 AS total, 3 + o_custkey % 8 / 2.0 AS line, 0.3::DOUBLE + (o_orderkey % 40) / 100.0::DOUBLE AS po, CASE WHEN o_custkey % 2 = 0 THEN 0.1::DOUBLE ELSE 0.0 END AS push, 0.4::DOUBLE + (o_custkey % 20) / 100.0::DOUBLE AS fo FROM orders),
+s AS (SELECT CASE WHEN total > line THEN 1.0 ELSE 0.0 END AS y, po / (1 - push) AS m, fo AS k FROM t WHERE total <> line), l AS (SELECT -(y * ln(m) + (1 - y) * ln(1 - m)) AS a, -(y * ln(k) + (1 - y) * ln(1 - k)) AS b FROM s)
+SELECT count(*) AS n, round(avg(a), 6) AS model_loss, round(avg(b), 6) AS market_loss, round(avg(a - b), 6) AS diff, round(stddev_samp(a - b) / sqrt(count(*)), 6) AS se, avg(a - b) + 1.96 * stddev_samp(a - b) / sqrt(count(*)) < 0 AS beats_market FROM l""")
+def totals_against_prices(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    mod = lambda x, n: F.pmod(x, F.lit(n))
+    df = driver_table(spark, d, "orders").select(mod(k, 9).alias("total"), (3 + mod(c, 8) / 2).alias("line"), (0.3 + mod(k, 40) / 100).alias("p_over"), F.when(mod(c, 2) == 0, 0.1).otherwise(0.0).alias("p_push"), (0.4 + mod(c, 20) / 100).alias("fair_over"))
+    return totals.totals_check(df).select("n", *[r6(x, x) for x in ("model_loss", "market_loss", "diff", "se")], "beats_market")
+
+
+@query("""WITH r AS (SELECT user_id AS game_id, user_id % 4 AS season, CASE event_type WHEN 'click' THEN 'a' ELSE 'b' END AS side, arg_max(value, ts) AS v, max(ts) AS at_time FROM events WHERE event_type IN ('click', 'view') AND user_id % 7 + event_id % 40 > 0 GROUP BY 1, 2, 3),
+q AS (SELECT *, round((v - floor(v)) * 0.9, 2)::DOUBLE - 0.02::DOUBLE AS bid, round((v - floor(v)) * 0.9, 2)::DOUBLE + 0.05::DOUBLE AS ask FROM r),
+g AS (SELECT game_id, season, count(*) = 2 AND count(*) FILTER (WHERE bid > 0 AND ask < 1) = 2 AS ok, sum(ask) - 1 AS o FROM q GROUP BY game_id, season)
+SELECT g.season, count(DISTINCT g.game_id) AS games, count(DISTINCT g.game_id) FILTER (WHERE ok) AS with_close, round(median(ask - bid) FILTER (WHERE ok), 4) AS median_spread, any_value(mo) AS median_overround, round(median((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(at_time)) / 6e7) FILTER (WHERE ok), 2) AS median_lead_min
+FROM q JOIN g USING (game_id, season) JOIN (SELECT season, round(median(o) FILTER (WHERE ok), 4) AS mo FROM g GROUP BY season) m ON m.season = g.season GROUP BY g.season""")
+def closes_by_season(spark, d):
+    """Closes of an exchange, of which some lack a side or have no bid."""
+    e = driver_table(spark, d, "events").filter("event_type IN ('click', 'view') AND user_id % 7 + event_id % 40 > 0").withColumn("t", F.col("ts").cast("timestamp"))
+    r = e.groupBy(F.col("user_id").alias("game_id"), F.pmod("user_id", F.lit(4)).alias("season"), F.when(F.col("event_type") == "click", "a").otherwise("b").alias("side")).agg(F.max_by("value", "t").alias("v"), F.max("t").alias("at"))
+    part = F.round((F.col("v") - F.floor("v")) * 0.9, 2)
+    rows = r.select("game_id", "season", "side", (part - 0.02).alias("bid"), (part + 0.05).alias("ask"), "at", F.lit("2024-02-01").cast("timestamp").alias("start"))
+    return totals.closes_by_season(rows).withColumn("median_lead_min", F.round("median_lead_min", 2))

@@ -56,3 +56,29 @@ def rechecked(shifts: DataFrame, games: DataFrame, ice_time: DataFrame, fetches:
     other = [c for c in fetches.columns if c not in ("status", "n_shifts", "n_players")]
     out = fetches.select(*other, "status").join(new, "game_id", "left")
     return kept, out.select(*other, F.coalesce("__new", "status").alias("status"), (F.col("__new") != F.col("status")).alias("changed"), "n_shifts", "n_players")
+
+
+def coverage(games: DataFrame, fetches: DataFrame, shifts: DataFrame, ice_time: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """For each season of finished games (game_id, season, home, away): how they were fetched (fetches: game_id, status, source, n_shifts), players of the box score without a shift, gaps between shifts and ice time, repeated rows and rows of other teams.
+
+    Everything is counted by game first, then by season; gaps are of skaters with shifts in games fetched as ok (ice_time:
+    game_id, player_id, toi_seconds, skater).
+    """
+    played = ice_time.filter("toi_seconds > 0")
+    fine = fetches.filter("status = 'ok'").select("game_id")
+    summed = shifts.groupBy("game_id", "player_id").agg(F.sum("duration").alias("secs"))
+    box = played.select("game_id", "player_id", "toi_seconds", "skater").join(fine, "game_id").join(summed.withColumn("__shifted", F.lit(True)), ["game_id", "player_id"], "left")
+    missing = box.groupBy("game_id").agg(F.countDistinct(F.when(F.col("__shifted").isNull(), F.col("player_id"))).alias("missing"))
+    gap = F.abs(F.col("secs") - F.col("toi_seconds"))
+    gaps = box.filter("skater AND secs IS NOT NULL").join(games.select("game_id", "season"), "game_id").groupBy("season").agg(F.median(gap).alias("median_gap"), F.count(F.lit(1)).alias("checked"), F.count_if(gap > 5).alias("over_5"), F.count_if(gap > tolerance).alias("over_tolerance"))
+    repeated = shifts.groupBy("game_id", "player_id", "period", "start").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("game_id").agg(F.sum("n").alias("repeated"))
+    g = games.select("game_id", "season", "home", "away")
+    foreign = shifts.select("game_id", "team").join(g, "game_id").filter(~F.col("team").eqNullSafe(F.col("home")) & ~F.col("team").eqNullSafe(F.col("away"))).groupBy("game_id").agg(F.count(F.lit(1)).alias("foreign"))
+    rows = g.join(fetches.select("game_id", "status", "source", "n_shifts"), "game_id", "left").join(missing, "game_id", "left").join(repeated, "game_id", "left").join(foreign, "game_id", "left")
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    total = lambda c, n: F.coalesce(F.sum(c), F.lit(0)).alias(n)
+    by = rows.groupBy("season").agg(
+        F.count(F.lit(1)).alias("finished"), of("ok"), F.count_if((F.col("status") == "ok") & (F.col("source") == "html")).alias("ok_from_html"), of("suspect"), of("partial"), of("empty"), of("error"), F.count_if(F.col("status").isNull()).alias("not_fetched"),
+        total("n_shifts", "shifts"), total("missing", "players_without_shifts"), total("repeated", "repeated_rows"), total("foreign", "wrong_team_rows"),
+    )
+    return by.join(gaps, "season", "left")

@@ -94,6 +94,20 @@ SHIFTS = """shifts AS (
 ), ice AS (SELECT game_id, player_id, CAST(sum(coalesce(duration, 0)) + (player_id * 7 + game_id) % 41 - 5 AS BIGINT) AS toi FROM shifts WHERE team <> 'X' AND game_id % 5 > 0 GROUP BY game_id, player_id)"""
 
 
+def _stored_shifts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Shifts, games and ice time."""
+    o, li = driver_table(spark, d, "orders"), driver_table(spark, d, "lineitem")
+    rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
+        F.col("o_custkey").alias("game_id"), F.col("l_suppkey").alias("player_id"), F.col("l_linenumber").alias("period"), (F.pmod("l_partkey", F.lit(20)) * 30).alias("start"), F.element_at(F.array(F.lit("H"), F.lit("A"), F.lit("X")), (F.pmod("l_suppkey", F.lit(3)) + 1).cast("int")).alias("team"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("shift_id"), F.lit(None).cast("long").alias("end"), F.when(F.col("l_quantity") > 5, F.col("l_quantity").cast("long")).alias("duration"),
+    )
+    ours = F.pmod("c_custkey", F.lit(7)) > 0
+    games = driver_table(spark, d, "customer").select(F.col("c_custkey").alias("game_id"), F.when(ours, "H").alias("home"), F.when(ours, "A").alias("away"))
+    ice = rows.filter("team <> 'X' AND game_id % 5 > 0").groupBy("game_id", "player_id").agg(F.sum(F.coalesce("duration", F.lit(0))).alias("s"))
+    ice = ice.select("game_id", "player_id", (F.col("s") + F.pmod(F.col("player_id") * 7 + F.col("game_id"), F.lit(41)) - 5).alias("toi_seconds"))
+    return rows, games, ice
+
+
 @query(f"""WITH {SHIFTS}, fated AS (
   SELECT s.*, home IS NOT NULL AND team NOT IN (home, away) AS wrong FROM shifts s JOIN sides USING (game_id)
 ), ranked AS (SELECT *, NOT wrong AND row_number() OVER (PARTITION BY game_id, wrong, player_id, period, start ORDER BY shift_id, duration) > 1 AS repeated FROM fated
@@ -104,15 +118,7 @@ SHIFTS = """shifts AS (
 SELECT game_id, CASE WHEN n_shifts = 0 THEN 'empty' WHEN NOT is_full THEN 'partial' WHEN n_off IS NULL OR n_off > 0 THEN 'suspect' ELSE 'ok' END AS status, n_shifts, n_players, wrong_team, repeated, CASE WHEN is_full THEN n_off END AS n_off, CASE WHEN is_full THEN w[2] END AS worst_player, CASE WHEN is_full THEN w[3] END AS worst_shifts, CASE WHEN is_full THEN w[4] END AS worst_ice FROM done""")
 def shift_verdicts(spark, d):
     """Every game's shifts judged, without rows of other sides and repeated ones."""
-    o, li = driver_table(spark, d, "orders"), driver_table(spark, d, "lineitem")
-    rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
-        F.col("o_custkey").alias("game_id"), F.col("l_suppkey").alias("player_id"), F.col("l_linenumber").alias("period"), (F.pmod("l_partkey", F.lit(20)) * 30).alias("start"), F.element_at(F.array(F.lit("H"), F.lit("A"), F.lit("X")), (F.pmod("l_suppkey", F.lit(3)) + 1).cast("int")).alias("team"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("shift_id"), F.lit(None).cast("long").alias("end"), F.when(F.col("l_quantity") > 5, F.col("l_quantity").cast("long")).alias("duration"),
-    )
-    ours = F.pmod("c_custkey", F.lit(7)) > 0
-    games = driver_table(spark, d, "customer").select(F.col("c_custkey").alias("game_id"), F.when(ours, "H").alias("home"), F.when(ours, "A").alias("away"))
-    ice = rows.filter("team <> 'X' AND game_id % 5 > 0").groupBy("game_id", "player_id").agg(F.sum(F.coalesce("duration", F.lit(0))).alias("s"))
-    ice = ice.select("game_id", "player_id", (F.col("s") + F.pmod(F.col("player_id") * 7 + F.col("game_id"), F.lit(41)) - 5).alias("toi_seconds"))
+    rows, games, ice = _stored_shifts(spark, d)
     return shifts.judged(rows, games, ice, 20, 12, 20)
 
 
@@ -150,3 +156,22 @@ def starter_news(spark, d):
     """News of who starts, from snapshots in order; the stream of streaming/news.py gives the same."""
     e = driver_table(spark, d, "events").select(F.pmod("user_id", F.lit(40)).alias("team"), F.col("ts").cast("timestamp").alias("ts"), F.date_add(F.to_date("ts"), F.pmod("event_id", F.lit(2)).cast("int")).alias("game_date"), F.concat(F.upper("event_type")).alias("goalie"), (F.col("value") > 10).alias("confirmed"))
     return news.starter_news(e).select("team", F.unix_micros("ts").alias("at_us"), "kind", F.lower("goalie").alias("goalie"), F.lower("previous").alias("previous"))
+
+
+_FETCHES = "fetches AS (SELECT c_custkey AS game_id, ['ok', 'ok', 'suspect', 'partial', 'empty', 'error', 'ok'][c_custkey % 7 + 1] AS status, CASE WHEN c_custkey % 4 = 0 THEN 'html' ELSE 'api' END AS source, c_custkey % 50 AS n_shifts FROM customer WHERE c_custkey % 11 > 0)"
+
+
+@query(f"""WITH {SHIFTS}, {_FETCHES}, g AS (SELECT game_id, home, away, c_nationkey % 4 AS season FROM sides JOIN customer ON c_custkey = game_id),
+box AS (SELECT game_id, player_id, toi FROM ice WHERE toi > 0), okbox AS (SELECT box.*, secs, s.player_id IS NULL AS gone FROM box JOIN fetches f ON f.game_id = box.game_id AND f.status = 'ok' LEFT JOIN (SELECT game_id, player_id, sum(duration) AS secs FROM shifts GROUP BY game_id, player_id) s ON s.game_id = box.game_id AND s.player_id = box.player_id),
+gap AS (SELECT season, abs(secs - toi) AS gap FROM okbox JOIN g USING (game_id) WHERE player_id % 2 = 0 AND secs IS NOT NULL), stats AS (SELECT season, median(gap) AS median_gap, count(*) AS checked, count(*) FILTER (WHERE gap > 5) AS over_5, count(*) FILTER (WHERE gap > 20) AS over_tolerance FROM gap GROUP BY season),
+miss AS (SELECT game_id, count(*) AS n FROM okbox WHERE gone GROUP BY game_id), rep AS (SELECT game_id, sum(n - 1) AS n FROM (SELECT game_id, count(*) AS n FROM shifts GROUP BY game_id, player_id, period, start) GROUP BY game_id), wrong AS (SELECT s.game_id, count(*) AS n FROM shifts s JOIN g USING (game_id) WHERE s.team IS DISTINCT FROM g.home AND s.team IS DISTINCT FROM g.away GROUP BY s.game_id)
+SELECT g.season, count(*) AS finished, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'ok' AND source = 'html') AS ok_from_html, count(*) FILTER (WHERE status = 'suspect') AS suspect, count(*) FILTER (WHERE status = 'partial') AS partial, count(*) FILTER (WHERE status = 'empty') AS "empty", count(*) FILTER (WHERE status = 'error') AS error, count(*) FILTER (WHERE f.game_id IS NULL) AS not_fetched,
+  coalesce(sum(n_shifts), 0)::BIGINT AS shifts, coalesce(sum(miss.n), 0)::BIGINT AS players_without_shifts, coalesce(sum(rep.n), 0)::BIGINT AS repeated_rows, coalesce(sum(wrong.n), 0)::BIGINT AS wrong_team_rows, any_value(median_gap) AS median_gap, any_value(checked) AS checked, any_value(over_5) AS over_5, any_value(over_tolerance) AS over_tolerance
+FROM g LEFT JOIN fetches f ON f.game_id = g.game_id LEFT JOIN miss ON miss.game_id = g.game_id LEFT JOIN rep ON rep.game_id = g.game_id LEFT JOIN wrong ON wrong.game_id = g.game_id LEFT JOIN stats ON stats.season = g.season GROUP BY g.season""")
+def shift_coverage(spark, d):
+    """How complete stored shifts are, season by season."""
+    rows, games, ice = _stored_shifts(spark, d)
+    k = F.col("c_custkey")
+    c = driver_table(spark, d, "customer").select(k.alias("game_id"), F.pmod("c_nationkey", F.lit(4)).alias("season"), F.element_at(F.array(*map(F.lit, ("ok", "ok", "suspect", "partial", "empty", "error", "ok"))), (F.pmod(k, F.lit(7)) + 1).cast("int")).alias("status"), F.when(F.pmod(k, F.lit(4)) == 0, "html").otherwise("api").alias("source"), F.pmod(k, F.lit(50)).alias("n_shifts"))
+    games = games.join(c.select("game_id", "season"), "game_id")
+    return shifts.coverage(games, c.filter("game_id % 11 > 0"), rows, ice.withColumn("skater", F.pmod("player_id", F.lit(2)) == 0), 20)
