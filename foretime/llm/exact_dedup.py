@@ -27,28 +27,24 @@ def normalised(text: Column) -> Column:
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs.
 
-    The groups come from one hash aggregation on (128-bit hash, text): rows meet
-    by hash and are told apart by their bytes, and copies are combined before the
-    shuffle, so a group of any size sends one row from each task. What follows is
-    narrow: rows find their group by the two digests, in a join whose skewed
-    partitions Spark may split.
+    Digests are counted first; a text whose 128-bit hash no other row has is a group of its own, and its bytes go nowhere. The others
+    are read again by their ids, which are broadcast if they are counted to be few, and come to one hash aggregation on (hash, text): rows meet by
+    hash and are told apart by their bytes, and copies are combined before the shuffle, so a group of any size sends one row
+    from each task. What follows is narrow: rows find their group by the two digests.
     """
-    norm = normalised(text_of())
-    keyed = docs.select("doc_id", norm.alias("norm")).withColumn("hash", F.unhex(F.md5("norm")))
-    rows = materialise(keyed.select("doc_id", "hash", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
-    groups = materialise(
-        keyed.groupBy("hash", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("hash", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"),
-        "exact-groups",
-    )
-    return rows.join(groups, ["hash", "sha"]).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    rows = docs.select("doc_id", normalised(text_of()).alias("norm"))
+    rows = materialise(rows.select("doc_id", F.unhex(F.md5("norm")).alias("hash"), F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-rows")
+    shared = materialise(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "exact-shared")
+    ids = materialise(rows.join(small(shared), "hash", "left_semi").select(F.col("doc_id").alias("its_id")).distinct(), "exact-ids")
+    again = docs.join(small(ids), docs["doc_id"].eqNullSafe(ids["its_id"]), "left_semi")
+    keyed = again.select("doc_id", normalised(text_of()).alias("norm")).withColumn("hash", F.unhex(F.md5("norm")))
+    groups = keyed.groupBy("hash", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # an id may have other texts too, which are alone
+    groups = materialise(groups.filter("group_size > 1").select("hash", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "exact-groups")
+    out = rows.join(small(groups), ["hash", "sha"], "left")
+    size = F.coalesce("group_size", F.lit(1).cast("long"))
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
