@@ -200,6 +200,64 @@ def test_bk_tree_equals_brute_force():
     assert {a: b for a, b in links} == {k: v for k, v in least.items() if k != v}
 
 
+def plain_nnpu(p, u, prior, seed, steps, decay):
+    """The non-negative risk and its steps by loops over rows."""
+    import math
+
+    rnd = np.random.default_rng(seed)
+    u = [u[k] for k in rnd.permutation(len(u))[: max(1, (len(u) + 1) // 2)]]
+    p, u = [[*map(float, x), 1.0] for x in p], [[*map(float, x), 1.0] for x in u]
+    n = len(p[0])
+    w, m, v = [0.0] * (n - 1) + [math.log(prior / (1 - prior))], [0.0] * n, [0.0] * n
+    z = lambda x: sum(a * b for a, b in zip(w, x))
+    sigmoid = lambda t: 1 / (1 + math.exp(-t))
+    mean = lambda rows, f: [sum(f(x) * x[k] for x in rows) / len(rows) for k in range(n)]
+    for step in range(1, steps + 1):
+        # the risk of clean texts, from unlabelled rows less the positives among them, can't be below zero
+        clean = sum(math.log1p(math.exp(z(x))) for x in u) / len(u) - prior * sum(math.log1p(math.exp(z(x))) for x in p) / len(p)
+        as_clean = [a - prior * b for a, b in zip(mean(u, lambda x: sigmoid(z(x))), mean(p, lambda x: sigmoid(z(x))))]
+        as_toxic = [-prior * a for a in mean(p, lambda x: sigmoid(-z(x)))]
+        g = [a + b for a, b in zip(as_toxic, as_clean)] if clean >= 0 else [-a for a in as_clean]
+        g = [a + (decay * b if k < n - 1 else 0) for k, (a, b) in enumerate(zip(g, w))]
+        m, v = [0.9 * a + 0.1 * b for a, b in zip(m, g)], [0.999 * a + 0.001 * b * b for a, b in zip(v, g)]
+        w = [a - 0.05 * (b / (1 - 0.9**step)) / (math.sqrt(c / (1 - 0.999**step)) + 1e-8) for a, b, c in zip(w, m, v)]
+    return w
+
+
+@pytest.mark.parametrize("prior", [0.02, 0.3, 0.9])
+def test_training_equals_plain_steps(prior):
+    """With a large prior the corrected risk falls below zero, and the steps turn round."""
+    rnd = np.random.default_rng(4)
+    p, u = rnd.random((9, 4)) * 2, rnd.random((21, 4))
+    got, want = toxicity.nnpu(p, u, prior, 3, 12, 2e-4), plain_nnpu(p, u, prior, 3, 12, 2e-4)
+    assert np.allclose(got, want, atol=1e-2)
+
+
+def test_score_is_the_sum_of_what_a_text_has():
+    model = toxicity.Model({"bad": 1.5, "bad2": 0.5, "badl-": 0.25, "day%": -2.0}, -1.0)
+    for text, z in (("", -1.0), ("a bad day", -1 + 1.5 - 2), ("Bad bad", -1 + 1.5 + 0.5), ("badly", -1 + 0.25), ("bad " + "x " * 400, -1 + 1.5)):
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-9, text
+
+
+def test_quality_scores_equal_a_plain_sum(spark):
+    """Scores by the table of words and array sums, against a loop over the words of each text."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rnd = np.random.default_rng(6)
+    weights = rnd.normal(0, 2, quality.DIM + 1)
+    labels = quality.expectation_maximisation({"-" * len(quality.LABELLERS): 1})
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels, weights).collect()}
+    rows = docs.collect()
+    for r in rows[:60]:
+        table = quality.Words()
+        found = quality.examine([r["text"] or ""], table)
+        words = found.total[0]
+        if not words:
+            assert got[r["doc_id"]] == 0
+            continue
+        z = weights[-1] + sum(weights[k] for row in found.rows for k in table.hashed[row]) / words + sum(weights[k] * x for k, x in zip(found.buckets()[0], quality.BUCKET_VALUES))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
 @pytest.mark.parametrize("radius", [3, 40, 64, 128])
 def test_tree_pairs_equal_brute_force(radius):
     """Dense groups, far apart, and equal rows: all pairs within the radius, each once, and fewer comparisons than pairs."""

@@ -121,6 +121,18 @@ def test_any_text_is_encoded_as_by_the_libraries(text):
     assert np.frombuffer(_words.encode([text])[0], "<u4").tolist() == _tok.encode(text, add_special_tokens=False).ids
 
 
+def test_the_table_of_chunks_may_be_emptied(monkeypatch):
+    """With room for a few chunks the table is emptied again and again, and the ids stay those of the library."""
+    monkeypatch.setattr(piece_codec, "TABLE_CHUNKS", 3)
+    table, texts = piece_codec.ChunkTable(PIECES), [f"word{k} other{k % 7}  again" for k in range(40)]
+    for at in range(0, 40, 5):
+        ids, decoded = piece_codec.encode_batch(texts[at : at + 5], table)
+        assert len(table.ids) < 3 + 16
+        for t, i, d in zip(texts[at : at + 5], ids, decoded):
+            want = _sp.encode(t, add_eos=True)
+            assert np.frombuffer(i, np.int32).tolist() == want and d == _sp.decode(want)
+
+
 def test_packing_is_whole_and_gapless(odd, odd_rows, none):
     out = packing.pack_documents(odd, WORDS, 256).collect()
     want = Counter()
