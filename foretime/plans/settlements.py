@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretime.functions import pmf
-from foretime.plans import counts, margins, settling, totals
+from foretime.plans import checker, counts, margins, settling, totals
 from foretime.plans.queries import query, r6
 from foretime.sources.tables import driver_table
 
@@ -209,3 +209,40 @@ def closes_by_season(spark, d):
     part = F.round((F.col("v") - F.floor("v")) * 0.9, 2)
     rows = r.select("game_id", "season", "side", (part - 0.02).alias("bid"), (part + 0.05).alias("ask"), "at", F.lit("2024-02-01").cast("timestamp").alias("start"))
     return totals.closes_by_season(rows).withColumn("median_lead_min", F.round("median_lead_min", 2))
+
+
+@query(f"""WITH l AS (SELECT l_orderkey AS slip_id, l_suppkey AS game_id, CASE WHEN l_partkey % 4 = 0 THEN 'total' ELSE 'ml' END AS market, CASE WHEN l_partkey % 3 = 0 THEN -(110 + l_partkey % 40) ELSE 100 + l_partkey % 60 END AS price, CASE WHEN l_suppkey % 23 > 0 THEN 0.42::DOUBLE + (l_suppkey % 17) / 100.0::DOUBLE END AS p, CASE WHEN l_partkey % 4 = 0 THEN 0.05::DOUBLE ELSE 0.0 END AS push, l_linenumber FROM lineitem WHERE l_linenumber <= 2),
+v AS (SELECT *, CASE WHEN price < 0 THEN 1 - 100.0::DOUBLE / price ELSE 1 + price / 100.0::DOUBLE END AS d, CASE WHEN push > 0 THEN p / (p + (1 - p - push)) ELSE p END - ({_P.format('price')}) AS edge FROM l),
+j AS (SELECT *, CASE WHEN p IS NULL THEN 'NO-MODEL' WHEN p * (d - 1) - (1 - p - push) <= 0 THEN 'PASS' WHEN edge >= 0.025 AND market = 'ml' THEN 'BET' ELSE 'THIN' END AS verdict FROM v),
+s AS (SELECT slip_id, count(*) AS legs, count(DISTINCT game_id) AS games, count(*) FILTER (WHERE p IS NULL) AS unknown, count(*) FILTER (WHERE verdict = 'BET') AS bets, product(d) AS fair, product(p) AS p_all, product(p * d + push) AS mult FROM j GROUP BY slip_id)
+SELECT slip_id, legs, CASE WHEN unknown = 0 AND games = legs THEN round(mult - 1, 12) END AS ev, CASE WHEN unknown = 0 AND games = legs THEN round(CASE WHEN mult > 1 THEN least(greatest(((fair - 1) * p_all - (1 - p_all)) / (fair - 1), 0) * 0.25, 0.02) ELSE 0 END, 12) END AS stake,
+  CASE WHEN unknown > 0 THEN 'NO-MODEL' WHEN games < legs THEN 'WITHHELD' WHEN mult <= 1 THEN 'PASS' WHEN bets = legs THEN 'BET' ELSE 'THIN' END AS verdict FROM s""")
+def checked_slips(spark, d):
+    """Slips of one or two legs against the model's chances."""
+    mod = lambda x, n: F.pmod(F.col(x), F.lit(n))
+    total = mod("l_partkey", 4) == 0
+    legs = driver_table(spark, d, "lineitem").filter("l_linenumber <= 2").select(
+        F.col("l_orderkey").alias("slip_id"), F.col("l_suppkey").alias("game_id"), F.when(total, "total").otherwise("ml").alias("market"), F.when(mod("l_partkey", 3) == 0, -(110 + mod("l_partkey", 40))).otherwise(100 + mod("l_partkey", 60)).alias("price"),
+        F.when(mod("l_suppkey", 23) > 0, F.lit(0.42) + mod("l_suppkey", 17) / 100).alias("p_win"), F.when(total, 0.05).otherwise(0.0).alias("p_push"), F.lit(None).cast("int").alias("offered"),
+    )
+    out = checker.judged_slips(checker.judged_legs(legs))
+    return out.select("slip_id", "legs", F.round("ev", 12).alias("ev"), F.round("stake", 12).alias("stake"), "verdict")
+
+
+@query(f"""WITH g AS (SELECT o_orderkey AS game_id, 0.35::DOUBLE + (o_orderkey % 31) / 100.0::DOUBLE AS p, 0.4::DOUBLE + (o_custkey % 21) / 100.0::DOUBLE AS fair, -115 + o_custkey % 10 AS hp, 100 + o_orderkey % 20 AS ap, 0.45::DOUBLE + (o_orderkey % 11) / 100.0::DOUBLE AS c, o_custkey % 2 = 0 AS won, o_orderkey % 3 = 0 AS ex FROM orders),
+h AS (SELECT *, CASE WHEN hp < 0 THEN 1 - 100.0::DOUBLE / hp ELSE 1 + hp / 100.0::DOUBLE END AS hd, CASE WHEN ap < 0 THEN 1 - 100.0::DOUBLE / ap ELSE 1 + ap / 100.0::DOUBLE END AS ad FROM g),
+s AS (SELECT *, CASE WHEN p - fair >= 0.025 AND ((hd - 1) * p - (1 - p)) > 0 THEN 'HOME' WHEN fair - p >= 0.025 AND ((ad - 1) * (1 - p) - p) > 0 THEN 'AWAY' END AS side FROM h),
+b AS (SELECT *, CASE side WHEN 'HOME' THEN p - fair ELSE (1 - p) - (1 - fair) END AS edge, CASE side WHEN 'HOME' THEN hp ELSE ap END AS price, (side = 'HOME') = won AS hit, CASE side WHEN 'HOME' THEN c ELSE 1 - c END AS pc FROM s WHERE side IS NOT NULL),
+f AS (SELECT *, CASE WHEN ex THEN 1 / (({_P.format('price')}) + 0.07 * ({_P.format('price')}) * (1 - ({_P.format('price')}))) ELSE 1 / ({_P.format('price')}) END AS dec FROM b),
+k AS (SELECT *, CASE WHEN edge + 1e-12 < 0.025 THEN '<0.025' WHEN edge + 1e-12 < 0.04 THEN '[0.025,0.04)' WHEN edge + 1e-12 < 0.06 THEN '[0.04,0.06)' WHEN edge + 1e-12 < 0.09 THEN '[0.06,0.09)' ELSE '>=0.09' END AS bucket FROM f)
+SELECT bucket, count(*) AS bets, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS hit_rate, round(avg(edge), 6) AS avg_edge, round(avg(CASE WHEN hit THEN dec - 1 ELSE -1 END), 6) AS flat_roi, round(avg(pc * dec - 1), 6) AS close_ev, round(avg(CASE WHEN pc * dec - 1 > 0 THEN 1.0 ELSE 0 END), 6) AS beat_close FROM k GROUP BY ROLLUP (bucket)""")
+def bet_table(spark, d):
+    """What a strategy's bets brought, by edge and together."""
+    mod = lambda x, n: F.pmod(F.col(x), F.lit(n))
+    k, c = "o_orderkey", "o_custkey"
+    venue = F.when(mod(k, 3) == 0, "kalshi").otherwise("x")
+    games = driver_table(spark, d, "orders").select(
+        F.col(k).alias("game_id"), F.to_date("o_orderdate").alias("date"), (F.lit(0.35) + mod(k, 31) / 100).alias("p"), (F.lit(0.4) + mod(c, 21) / 100).alias("fair"), (-115 + mod(c, 10)).alias("home"), (100 + mod(k, 20)).alias("away"), venue.alias("home_book"), venue.alias("away_book"), (F.lit(0.45) + mod(k, 11) / 100).alias("fair_close"), (mod(c, 2) == 0).alias("home_win")
+    )
+    out = checker.bet_summary(checker.made_bets(games, {"kalshi": 0.07}))
+    return out.select("bucket", "bets", *[r6(x, x) for x in ("hit_rate", "avg_edge", "flat_roi", "close_ev", "beat_close")])
