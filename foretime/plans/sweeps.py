@@ -123,9 +123,9 @@ def shift_verdicts(spark, d):
 
 
 @query("""
-WITH li AS (SELECT l_orderkey AS game_id, l_suppkey % 90 AS sweater, l_linenumber AS n, l_partkey % 20 * 60 + l_suppkey % 60 AS start, CAST(l_quantity AS INT) AS len, l_linenumber % 5 AS p FROM lineitem),
+WITH li AS (SELECT l_orderkey AS game_id, l_suppkey % 90 AS sweater, l_linenumber AS n, l_partkey % 20 * 60 + l_suppkey % 60 AS start, CAST(l_quantity AS INT) AS len, CASE WHEN l_linenumber % 5 = 0 THEN 4 ELSE l_linenumber % 5 END AS p FROM lineitem),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY game_id, sweater, p, start ORDER BY n DESC, len DESC) AS k FROM li)
-SELECT game_id, CASE WHEN sweater % 9 > 0 THEN sweater + 8470000 END AS player_id, CASE WHEN p = 0 THEN 4 ELSE p END AS period, CAST(start AS INT) AS start, CAST(start + len AS INT) AS "end", CAST(len AS INT) AS duration, CAST(n AS INT) AS shift_number, CAST(sweater AS INT) AS sweater, CASE WHEN sweater % 9 > 0 THEN 'H&H' END AS team
+SELECT game_id, CASE WHEN sweater % 9 > 0 THEN sweater + 8470000 END AS player_id, CAST(p AS INT) AS period, CAST(start AS INT) AS start, CAST(start + len AS INT) AS "end", CAST(len AS INT) AS duration, CAST(n AS INT) AS shift_number, CAST(sweater AS INT) AS sweater, CASE WHEN sweater % 9 > 0 THEN 'H&H' END AS team
 FROM numbered WHERE k = 1 OR sweater % 9 = 0""")
 def report_shifts(spark, d):
     """Reports and box scores made of orders, as pages and JSON, and read again; every ninth sweater isn't in the box score."""
