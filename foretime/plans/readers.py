@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foretime.plans.queries import query, r6
+from foretime.plans.queries import query
 from foretime.sources import feeds
 from foretime.sources.tables import driver_table
 
@@ -23,8 +23,6 @@ LI = "li AS (SELECT l_orderkey AS game_id, l_suppkey AS s, l_partkey AS p, l_lin
 
 def _li(spark: SparkSession, d: str) -> DataFrame:
     """One row for each order and supplier: a player of a game."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     li = driver_table(spark, d, "lineitem").withColumn("k", F.row_number().over(w)).filter("k = 1")
     return li.select(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("n"))

@@ -85,8 +85,8 @@ def market_of_lines(lines: DataFrame) -> DataFrame:
     return known.select("game_id", fair(F.col("home_ml"), F.col("away_ml")).alias("fair_home"))
 
 
-#: Names of what else a vector knows of a game, and how it comes from the columns of both sides.
-CONTEXT: dict[str, Column | None] = dict.fromkeys(("elo_diff", "rest_diff", "b2b_home", "b2b_away", "travel_diff", "tz_home", "tz_away", "game_num_diff", "stage_early", "stage_late"))
+#: Names of what else a vector knows of a game.
+CONTEXT = ("elo_diff", "rest_diff", "b2b_home", "b2b_away", "travel_diff", "tz_home", "tz_away", "game_num_diff", "stage_early", "stage_late")
 
 
 def feature_names(windows: list[int] = WINDOWS) -> list[str]:
