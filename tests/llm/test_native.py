@@ -2,10 +2,8 @@
 
 import hashlib
 import math
-import random
 import re
 import struct
-import zlib
 from collections import Counter, defaultdict
 
 import xxhash
