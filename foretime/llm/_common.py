@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside the operators: such a row sorts after all others.
 NO_ID = 2**63 - 1
 #: Texts are handed to Python code in slices of about so many bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
