@@ -50,7 +50,8 @@ def agreement(a: DataFrame, b: DataFrame, keys: list[str], start: str = "start",
 def fewest_instants(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """keys, at, met: the fewest instants of which every closed interval [start, end] holds one, and of how many intervals each is the last one.
 
-    Taken by their ends, an interval that doesn't hold the last instant opens one at its own end; no smaller set meets them all.
+    Taken by their ends, an interval that doesn't hold the last instant opens one at its own end; no smaller set meets them all. Of
+    intervals with one end those that start last come first: if one of them opens an instant there, all of them hold it.
     The choice is serial within a key: keys run side by side, and each is streamed through one sorted pass.
     """
 
@@ -70,4 +71,5 @@ def fewest_instants(df: DataFrame, keys: list[str], start: str = "start", end: s
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = df.filter(F.col(start) <= F.col(end)).select(*keys, F.col(start).cast("long").alias("__s"), F.col(end).cast("long").alias("__e"), F.to_json(F.struct(*keys)).alias("__key"))
-    return sorted_runs(rows, "__key", ["__e", "__s"], run, ", ".join(f"{k} {types[k]}" for k in keys) + ", at long, met long")
+    rows = rows.withColumn("__late", -F.col("__s"))
+    return sorted_runs(rows, "__key", ["__e", "__late"], run, ", ".join(f"{k} {types[k]}" for k in keys) + ", at long, met long")

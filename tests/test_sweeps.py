@@ -55,6 +55,11 @@ def test_fewest_instants_meet_all_and_are_fewest(spark):
         assert sum(r["met"] for r in got if r["k"] == f"k{j}") == len(own)
 
 
+def test_intervals_that_end_where_an_instant_opens_are_counted_there(spark):
+    got = intervals.fewest_instants(spans(spark, [("a", 0, 3), ("a", 2, 5), ("a", 4, 5)]), ["k"]).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 3, 1), ("a", 5, 2)]
+
+
 def games(spark, rows):
     return spark.createDataFrame([(2024, dt.date.fromisoformat(d), dt.datetime.fromisoformat(s).replace(tzinfo=dt.timezone.utc) if s else None) for d, s in rows], "season int, date date, start timestamp")
 
