@@ -168,21 +168,21 @@ def priced(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 _SIDE = "struct<abbrev:string,score:int>"
-_WEEK = f"gameWeek array<struct<date:string,games:array<struct<id:long,gameType:int,gameState:string,gameScheduleState:string,startTimeUTC:timestamp,homeTeam:{_SIDE},awayTeam:{_SIDE},gameOutcome:struct<lastPeriodType:string>,periodDescriptor:struct<number:int,periodType:string>>>>>"
+_WEEK = f"gameWeek array<struct<date:string,games:array<struct<id:long,season:int,gameType:int,gameState:string,gameScheduleState:string,startTimeUTC:timestamp,homeTeam:{_SIDE},awayTeam:{_SIDE},gameOutcome:struct<lastPeriodType:string>,periodDescriptor:struct<number:int,periodType:string>>>>>"
 _PLAYERS = "array<struct<playerId:long,goals:int,toi:string,saveShotsAgainst:string>>"
 _ROLES = f"struct<forwards:{_PLAYERS},defense:{_PLAYERS},goalies:{_PLAYERS}>"
 _BOX = f"homeTeam struct<abbrev:string>, awayTeam struct<abbrev:string>, playerByGameStats struct<homeTeam:{_ROLES},awayTeam:{_ROLES}>"
 
 
 def schedule(bodies: DataFrame, season: int | None = None) -> DataFrame:
-    """A row for each regular-season and playoff game of weekly schedules (body: JSON). Scores and how a game ended are known once it is over; the season comes from the id."""
+    """A row for each regular-season and playoff game of weekly schedules (body: JSON). Scores and how a game ended are known once it is over; the season comes from the id where the game doesn't state it."""
     g = bodies.select(F.inline(F.from_json("body", _WEEK)["gameWeek"])).select("date", F.explode("games").alias("g")).filter("g.gameType IN (2, 3)")
     first = F.floor(F.col("g.id") / 1000000).cast("int")
     over = F.col("g.gameState").isin("FINAL", "OFF")
     plain = F.when((F.col("g.periodDescriptor.number") > 3) & (F.coalesce("g.periodDescriptor.periodType", F.lit("REG")) == "REG"), "OT").otherwise(F.coalesce("g.periodDescriptor.periodType", F.lit("REG")))
     last = F.coalesce("g.gameOutcome.lastPeriodType", plain)
     out = g.select(
-        F.col("g.id").alias("game_id"), (first * 10000 + first + 1).alias("season"), F.col("g.gameType").alias("game_type"), "date", F.col("g.homeTeam.abbrev").alias("home_team"), F.col("g.awayTeam.abbrev").alias("away_team"),
+        F.col("g.id").alias("game_id"), F.coalesce("g.season", first * 10000 + first + 1).alias("season"), F.col("g.gameType").alias("game_type"), "date", F.col("g.homeTeam.abbrev").alias("home_team"), F.col("g.awayTeam.abbrev").alias("away_team"),
         F.when(over, F.col("g.homeTeam.score")).alias("home_score"), F.when(over, F.col("g.awayTeam.score")).alias("away_score"), F.col("g.gameState").alias("game_state"), F.when(over, last.isin("OT", "SO")).alias("is_ot"), F.when(over, last == "SO").alias("is_so"),
     )
     return out if season is None else out.filter(F.col("season") == season)

@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from foretime.plans import roles
-from foretime.sources import feeds
+from foretime.sources import feeds, tables
 
 DAY = dt.date(2024, 1, 1)
 
@@ -127,3 +127,10 @@ def test_a_side_attacks_the_other_sides_goalie(spark):
     g = spark.createDataFrame([(200, DAY + dt.timedelta(days=9), 20232024, "T", "U", 2, 3)], "game_id int, date date, season int, home string, away string, home_starter int, away_starter int")
     r = roles.defending_roles(g, appearances(spark)).first()
     assert r["home_def_role_start_share_season"] == 1.0 and r["away_def_role_start_share_season"] == 2 / 8
+
+
+def test_a_stated_season_comes_before_the_one_of_the_id(spark):
+    game = lambda i, **more: {"id": i, "gameType": 2, "gameState": "FUT", **more}
+    week = {"gameWeek": [{"date": "2024-01-01", "games": [game(2021000005, season=20202021), game(2021000006)]}]}
+    got = {r["game_id"]: r["season"] for r in tables.schedule(bodies(spark, [(1, json.dumps(week))])).collect()}
+    assert got == {2021000005: 20202021, 2021000006: 20212022}
