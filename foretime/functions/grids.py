@@ -8,16 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foretime.functions import pmf
+from foretime.functions.pmf import once
 
 #: Chances that a tilt aims at are kept inside these.
 TARGETS = (0.01, 0.99)
 
 
-def once(value: Column, f) -> Column:
-    """f of a value that is computed once for each row."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def mass(cells: Column, keep=None) -> Column:
     """The sum of p, over the cells that keep(h, a) takes."""
     part = (lambda x: x["p"]) if keep is None else (lambda x: F.when(keep(x["h"], x["a"]), x["p"]).otherwise(F.lit(0.0)))
@@ -38,13 +34,14 @@ def grid(home: Column, away: Column, margin_weights: list[float] | None = None,
     weights = F.array(*[F.lit(float(w)) for w in margin_weights or [1.0]])
     last = len(margin_weights or [1.0]) - 1
     rho = F.lit(float(rho)) if isinstance(rho, float) else rho
-    product = F.flatten(F.transform(home, lambda x, h: F.transform(away, lambda y, a: F.struct(h.alias("h"), a.alias("a"), (x * y).alias("p")))))
+    product = lambda home, away: F.flatten(F.transform(home, lambda x, h: F.transform(away, lambda y, a: F.struct(h.alias("h"), a.alias("a"), (x * y).alias("p")))))
 
     def factor(means):
         low = lambda h, a: F.greatest(low_score(h, a, means["m"], means["n"], rho), F.lit(0.0))
         return lambda h, a: F.element_at(weights, F.least(F.abs(h - a), F.lit(last)) + 1) * low(h, a)
 
-    return once(F.struct(pmf.mean(home).alias("m"), pmf.mean(away).alias("n")), lambda means: scaled(product, factor(means)))
+    means = lambda home, away: F.struct(pmf.mean(home).alias("m"), pmf.mean(away).alias("n"))
+    return once(home, lambda p: once(away, lambda q: once(means(p, q), lambda m: scaled(product(p, q), factor(m)))))
 
 
 def low_score(h: Column, a: Column, m: Column, n: Column, rho: Column) -> Column:
@@ -60,11 +57,11 @@ def settled_total(h: Column, a: Column) -> Column:
 
 
 def over_without_push(cells: Column, line: Column) -> Column:
-    return mass(cells, lambda h, a: settled_total(h, a) > line) / (1 - mass(cells, lambda h, a: settled_total(h, a) == line))
+    return once(cells, lambda c: mass(c, lambda h, a: settled_total(h, a) > line) / (1 - mass(c, lambda h, a: settled_total(h, a) == line)))
 
 
 def home_win(cells: Column, overtime: Column) -> Column:
-    return mass(cells, lambda h, a: h > a) + overtime * mass(cells, lambda h, a: h == a)
+    return once(cells, lambda c: mass(c, lambda h, a: h > a) + overtime * mass(c, lambda h, a: h == a))
 
 
 def overtime_share(p_home: Column, slope: float = 0.15) -> Column:
@@ -86,10 +83,14 @@ def tilt_total(cells: Column, p_over: Column, line: Column) -> Column:
     goals = lambda x: settled_total(x["h"], x["a"])
 
     def chance(c, phi):
-        weight = lambda x: x["p"] * F.exp(phi * (goals(x) - 6))
-        return _total(F.filter(c, lambda x: goals(x) > line), weight) / _total(F.filter(c, lambda x: goals(x) != line), weight)
+        weight = lambda x: x["p"] * F.exp(phi * (x["t"] - 6))
+        return _total(c["over"], weight) / _total(c["settled"], weight)
 
-    return once(cells, lambda c: once(pmf.bisect(lambda phi: chance(c, phi), _target(p_over), -5.0, 5.0), lambda phi: scaled(c, lambda h, a: F.exp(phi * (settled_total(h, a) - 6)))))
+    # a total's cells are one, and those of a line are told apart before the search
+    sums = lambda c: F.transform(F.array_distinct(F.transform(c, goals)), lambda t: F.struct(t.alias("t"), _total(F.filter(c, lambda x: goals(x) == t), lambda x: x["p"]).alias("p")))
+    parts = lambda all_: F.struct(F.filter(all_, lambda x: x["t"] > line).alias("over"), F.filter(all_, lambda x: x["t"] != line).alias("settled"))
+    tilt = lambda c: once(once(sums(c), parts), lambda x: pmf.bisect(lambda phi: chance(x, phi), _target(p_over), -5.0, 5.0))
+    return once(cells, lambda c: once(tilt(c), lambda phi: scaled(c, lambda h, a: F.exp(phi * (settled_total(h, a) - 6)))))
 
 
 def tilt_margin(cells: Column, p_home: Column, overtime: Column, most: int = 2 * pmf.LEVELS + 1) -> Column:
@@ -113,9 +114,13 @@ def tilt_margin(cells: Column, p_home: Column, overtime: Column, most: int = 2 *
 
 def final_scores(cells: Column, overtime: Column) -> Column:
     """Cells of final scores: a tie becomes a win by one, home's with chance overtime. A score may stand in two cells."""
-    won = F.transform(F.filter(cells, lambda x: x["h"] == x["a"]), lambda x: F.struct((x["h"] + 1).alias("h"), x["a"].alias("a"), (x["p"] * overtime).alias("p")))
-    lost = F.transform(F.filter(cells, lambda x: x["h"] == x["a"]), lambda x: F.struct(x["h"].alias("h"), (x["a"] + 1).alias("a"), (x["p"] * (1 - overtime)).alias("p")))
-    return F.concat(F.filter(cells, lambda x: x["h"] != x["a"]), won, lost)
+
+    def decided(c):
+        won = F.transform(F.filter(c, lambda x: x["h"] == x["a"]), lambda x: F.struct((x["h"] + 1).alias("h"), x["a"].alias("a"), (x["p"] * overtime).alias("p")))
+        lost = F.transform(F.filter(c, lambda x: x["h"] == x["a"]), lambda x: F.struct(x["h"].alias("h"), (x["a"] + 1).alias("a"), (x["p"] * (1 - overtime)).alias("p")))
+        return F.concat(F.filter(c, lambda x: x["h"] != x["a"]), won, lost)
+
+    return once(cells, decided)
 
 
 def leg(market: str, side: str, line: Column | None = None, team: str | None = None):
@@ -165,6 +170,7 @@ def market_scale(home_rate: Column, away_rate: Column, p_over: Column, line: Col
 
     def chance(all_, c):
         weight = lambda x: x["p"] * F.exp(c * x["s"])
-        return _total(F.filter(all_, lambda x: x["t"] > line), weight) / _total(F.filter(all_, lambda x: x["t"] != line), weight)
+        return _total(all_["over"], weight) / _total(all_["settled"], weight)
 
-    return F.exp(once(cells, lambda all_: pmf.bisect(lambda c: chance(all_, c), p_over, math.log(low), math.log(high))))
+    parts = lambda all_: F.struct(F.filter(all_, lambda x: x["t"] > line).alias("over"), F.filter(all_, lambda x: x["t"] != line).alias("settled"))
+    return F.exp(once(once(cells, parts), lambda all_: pmf.bisect(lambda c: chance(all_, c), p_over, math.log(low), math.log(high))))

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 LEVELS = 12
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once for each row: what stands in a lambda's body is computed each time that the lambda is called."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalised(pmf: Column) -> Column:
-    """Divided by its sum. The sum is taken once for each row."""
-    total = F.aggregate(pmf, F.lit(0.0), lambda a, x: a + x)
-    return F.flatten(F.transform(F.array(total), lambda s: F.transform(pmf, lambda x: x / s)))
+    """Divided by its sum. PMF and sum are taken once for each row."""
+    return once(pmf, lambda q: once(F.aggregate(q, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(q, lambda x: x / s)))
 
 
 def poisson(rate: Column, kmax: int = LEVELS) -> Column:
@@ -36,16 +40,16 @@ def joint(home: Column, away: Column, margin_weights: list[float] | None = None)
     weights = F.array(*[F.lit(float(w)) for w in margin_weights or [1.0]])
     last = len(margin_weights or [1.0]) - 1
     weigh = lambda h, a: F.element_at(weights, F.least(F.abs(h - a), F.lit(last)) + 1)
-    grid = F.transform(home, lambda x, h: F.transform(away, lambda y, a: x * y * weigh(h, a)))
-    total = F.aggregate(F.flatten(grid), F.lit(0.0), lambda s, x: s + x)
-    return F.flatten(F.transform(F.array(total), lambda s: F.transform(grid, lambda row: F.transform(row, lambda x: x / s))))
+    grid = once(home, lambda p: once(away, lambda q: F.transform(p, lambda x, h: F.transform(q, lambda y, a: x * y * weigh(h, a)))))
+    total = lambda g: F.aggregate(F.flatten(g), F.lit(0.0), lambda s, x: s + x)
+    return once(grid, lambda g: once(total(g), lambda s: F.transform(g, lambda row: F.transform(row, lambda x: x / s))))
 
 
 def total_of(grid: Column, kmax: int = LEVELS) -> Column:
     """PMF of the sum of the two scores; a tie adds one, for the goal that decides it."""
     cells = F.flatten(F.transform(grid, lambda row, h: F.transform(row, lambda p, a: F.struct((h + a + (h == a).cast("int")).alias("t"), p.alias("p")))))
-    at = lambda t: F.aggregate(F.filter(cells, lambda c: c["t"] == t), F.lit(0.0), lambda s, c: s + c["p"])
-    return F.transform(F.sequence(F.lit(0), F.lit(2 * kmax + 1)), at)
+    at = lambda all_, t: F.aggregate(F.filter(all_, lambda c: c["t"] == t), F.lit(0.0), lambda s, c: s + c["p"])
+    return once(cells, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(2 * kmax + 1)), lambda t: at(all_, t)))
 
 
 def home_win(grid: Column, overtime: Column) -> Column:
@@ -90,7 +94,6 @@ def tilted(pmf: Column, line: Column, chance: Column) -> Column:
     """The PMF with each mass times exp(theta * value), renormalised; theta is such that, the line itself left out, the mass above it is chance."""
     total = lambda q: F.aggregate(q, F.lit(0.0), lambda s, x: s + x)
     weighed = lambda q, theta: F.transform(q, lambda p, k: p * F.exp(theta * k))
-    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  a lambda over one value: it is computed once
 
     def bent(q: Column) -> Column:
         above = lambda theta: once(weighed(q, theta), lambda w: over(w, line) / (total(w) - push(w, line)))
@@ -105,17 +108,15 @@ def bisect(f, target: Column, low: float, high: float, steps: int = 40) -> Colum
 
     def halve(s, _):
         mid = (s["lo"] + s["hi"]) / 2
-        below = f(mid) < target
-        return F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi"))
+        return once(f(mid) < target, lambda below: F.struct(F.when(below, mid).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(mid).alias("hi")))
 
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
-    return (out["lo"] + out["hi"]) / 2
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
 
 
 def sides(pmf: Column, line: Column) -> Column:
     """struct(over, under, push): the push's mass is taken out of the first two."""
-    p, o = push(pmf, line), over(pmf, line)
-    return F.struct((o / (1 - p)).alias("over"), ((1 - p - o) / (1 - p)).alias("under"), p.alias("push"))
+    both = once(pmf, lambda q: F.struct(push(q, line).alias("p"), over(q, line).alias("o")))
+    return once(both, lambda b: F.struct((b["o"] / (1 - b["p"])).alias("over"), ((1 - b["p"] - b["o"]) / (1 - b["p"])).alias("under"), b["p"].alias("push")))
 
 
 def implied_mean(chance: Column, line: Column, alpha: float, low: float = 0.05, high: float = 12.0, kmax: int = 40) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretime.functions import pmf
 from foretime.sources.shared import written
 
 #: Fixed value: margins from this one on share a weight, which is 1.
@@ -79,7 +80,6 @@ def fit_margin_weights(games: DataFrame, masses: str, bucket: str, tolerance: fl
 def fitted_shares(games: DataFrame, masses: str, bucket: str, weights: list[float]) -> DataFrame:
     """bucket, observed, fitted, weight: how often each margin was seen and is expected."""
     part = F.transform(F.col(masses), lambda m, k: m * F.element_at(F.array(*map(F.lit, weights)), k + 1))
-    total = F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
-    rows = games.filter(F.col(bucket).isNotNull() & F.col(masses).isNotNull()).select(F.posexplode(F.transform(part, lambda x: x / total)).alias("bucket", "p"), F.col(bucket).alias("seen"))
+    rows = games.filter(F.col(bucket).isNotNull() & F.col(masses).isNotNull()).select(F.posexplode(pmf.normalised(part)).alias("bucket", "p"), F.col(bucket).alias("seen"))
     out = rows.groupBy("bucket").agg(F.avg((F.col("seen") == F.col("bucket")).cast("double")).alias("observed"), F.avg("p").alias("fitted"))
     return out.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("bucket") + 1))

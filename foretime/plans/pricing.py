@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foretime.functions import grids, pmf, prices
 from foretime.operators import ledger
-from foretime.plans.queries import query, r6
+from foretime.plans.queries import query, r6, spread
 from foretime.sources.tables import driver_table
 
 #: Weights of margins 0 to 3 and of 4 and more.
@@ -27,7 +27,7 @@ cells AS (SELECT k, h, a, w / sum(w) OVER (PARTITION BY k) AS p, mh, ma FROM wei
 
 def _rates(spark, d):
     k = F.col("s_suppkey")
-    return driver_table(spark, d, "supplier").select(
+    return spread(driver_table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").select(
         k.alias("k"), (2.0 + F.pmod(k, F.lit(17)) / 10).alias("lh"), (1.8 + F.pmod(k, F.lit(13)) / 10).alias("la"), (0.35 + F.pmod(k, F.lit(7)) / 20).alias("p"), (5.5 + F.pmod(k, F.lit(3)) / 2).alias("line")
     )
 

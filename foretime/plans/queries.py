@@ -37,6 +37,11 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores: the rows of a small file, each of which costs much work, would all be one task's."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def games(spark: SparkSession, d: str) -> DataFrame:
     """custkey, orderkey, day, season and sums by order; prices are rounded to whole numbers, so sums are exact in any order."""
     li = driver_table(spark, d, "lineitem").groupBy("l_orderkey").agg(
@@ -670,7 +675,8 @@ def tilted_chance(spark, d):
     """A PMF bent to a given chance has that chance."""
     chance = F.lit(0.3) + F.pmod("p_partkey", F.lit(40)) / 100.0
     bent = pmf.tilted(pmf.poisson(F.lit(1.5) + F.pmod("p_size", F.lit(20)) / 10.0), F.lit(2.5), chance)
-    return driver_table(spark, d, "part").select("p_partkey", F.round(pmf.over(bent, F.lit(2.5)), 6).alias("over_2_5"))
+    parts = spread(driver_table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    return parts.select("p_partkey", F.round(pmf.over(bent, F.lit(2.5)), 6).alias("over_2_5"))
 
 
 # --- ledgers --------------------------------------------------------------------------------------------------------------

@@ -109,7 +109,9 @@ def margin_weights(spark, d):
     """Weights fitted to the margins of orders; the SQL fits them by two hundred rounds of proportional fitting."""
     o, k = driver_table(spark, d, "orders"), F.col("o_orderkey")
     rate = lambda base, c, n, step: F.lit(base) + F.pmod(c, F.lit(n)) * step
-    g = o.select(margins.margin_masses(pmf.poisson(rate(2.2, k, 5, 0.3), 10), pmf.poisson(rate(2.0, F.col("o_custkey"), 4, 0.35), 10)).alias("m"), margins.margin_bucket(F.pmod(k * 7, F.lit(6)), F.pmod("o_custkey", F.lit(5))).alias("b"))
+    # as columns of their own, distributions are made once for each row and not in each sum over them
+    g = o.select(pmf.poisson(rate(2.2, k, 5, 0.3), 10).alias("h"), pmf.poisson(rate(2.0, F.col("o_custkey"), 4, 0.35), 10).alias("a"), margins.margin_bucket(F.pmod(k * 7, F.lit(6)), F.pmod("o_custkey", F.lit(5))).alias("b"))
+    g = g.select(margins.margin_masses(F.col("h"), F.col("a")).alias("m"), "b")
     out = margins.fitted_shares(g, "m", "b", margins.fit_margin_weights(g, "m", "b"))
     return out.select("bucket", r6("observed", "observed"), r6("fitted", "fitted"), F.round("weight", 5).alias("weight"))
 
