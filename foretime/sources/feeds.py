@@ -141,7 +141,9 @@ def partner_quotes(bodies: DataFrame) -> DataFrame:
     """game_id, source, book, updated, start, market (ml, pl, total, ml3) and prices of bodies (source, body): markets of which every side has a price, and that look real."""
     b = bodies.select("source", F.from_json("body", _PARTNER).alias("b"))
     book = F.coalesce(F.nullif(venue_key(F.col("b.bettingPartner.name")), F.lit("")), F.concat(F.lit("partner"), F.coalesce(F.col("b.bettingPartner.partnerId").cast("string"), F.lit(""))))
-    g = b.select("source", book.alias("book"), F.col("b.lastUpdatedUTC").alias("updated"), F.explode("b.games").alias("g")).filter("g.gameId <> 0")
+    # a body's list alone goes into the explosion: a body beside it would be copied for each of its games
+    b = b.select("source", book.alias("book"), F.col("b.lastUpdatedUTC").alias("updated"), F.col("b.games").alias("games"))
+    g = b.select("source", "book", "updated", F.explode("games").alias("g")).filter("g.gameId <> 0")
     none = F.from_json(F.lit("[]"), _ODDS)
     entries = lambda side: F.transform(F.coalesce(F.col(f"g.{side}.odds"), none), lambda o: F.struct(F.coalesce(o["description"], F.lit("")).alias("d"), feed_price(o["value"]).alias("price"), F.trim(F.coalesce(o["qualifier"], F.lit(""))).alias("q")))
     g = g.withColumns({"h": entries("homeTeam"), "a": entries("awayTeam")})
@@ -172,7 +174,8 @@ _SCHEDULE = f"oddsPartners array<struct<partnerId:long,name:string>>, gameWeek a
 def schedule_quotes(bodies: DataFrame) -> DataFrame:
     """game_id, book, start, state, home_price, away_price (market ml) of schedules (body) with prices: a row for each game and venue that priced both sides; of several prices of one side the last counts."""
     b = bodies.select(F.from_json("body", _SCHEDULE).alias("b"))
-    g = b.select("b.oddsPartners", F.explode(F.flatten(F.transform("b.gameWeek", lambda d: F.coalesce(d["games"], F.expr("array()"))))).alias("g")).filter("g.id <> 0")
+    b = b.select("b.oddsPartners", F.flatten(F.transform("b.gameWeek", lambda d: F.coalesce(d["games"], F.expr("array()")))).alias("games"))
+    g = b.select("oddsPartners", F.explode("games").alias("g")).filter("g.id <> 0")
     none = F.from_json(F.lit("[]"), _ODDS)
     known = lambda side: F.filter(F.coalesce(F.col(f"g.{side}.odds"), none), lambda o: o["providerId"].isNotNull())
     g = g.withColumns({"h": known("homeTeam"), "a": known("awayTeam")})
@@ -304,12 +307,14 @@ SLOTS = {"lw": "L", "c": "C", "rw": "R", "ld": "D", "rd": "D", "g1": "G", "g2":
 def lineups(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """keep columns, team_name, updated_at, unit, slot, player_name, position, injury_status, game_time_decision of line-up pages: the first player of a unit's slot; who has an even-strength slot has its position everywhere. Pages without line-ups give no rows."""
     c = embedded_json(pages, _COMBINATIONS, "__NEXT_DATA__", html, keep).select(*keep, F.col("data.props.pageProps.combinations").alias("c")).filter("c.players IS NOT NULL")
-    p = c.select(*keep, F.col("c.teamName").alias("team_name"), F.col("c.updatedAt").alias("updated_at"), F.posexplode("c.players").alias("at", "p"))
+    # the list alone goes into the explosion: a page beside it would be copied for each of its players
+    c = c.select(*keep, F.col("c.teamName").alias("team_name"), F.col("c.updatedAt").alias("updated_at"), F.col("c.players").alias("players"))
+    p = c.select(*keep, "team_name", "updated_at", F.posexplode("players").alias("at", "p"))
     blank = lambda x: F.nullif(F.lower(F.trim(x)), F.lit(""))
     unit, slot = F.substring(F.upper(blank(F.col("p.groupIdentifier"))), 1, 6), F.substring(blank(F.col("p.positionIdentifier")), 1, 6)
     p = p.withColumns({"unit": unit, "slot": slot, "player_name": F.substring(F.nullif(F.trim("p.name"), F.lit("")), 1, 80)}).filter("unit IS NOT NULL AND slot IS NOT NULL AND player_name IS NOT NULL")
     even = F.when(F.col("p.categoryIdentifier") == "ev", F.try_element_at(F.create_map(*[F.lit(x) for kv in SLOTS.items() for x in kv]), F.col("slot")))
     one = F.struct("player_name", F.col("p.playerId").alias("site_id"), even.alias("even"), F.substring(blank(F.col("p.injuryStatus")), 1, 12).alias("injury_status"), F.coalesce("p.gameTimeDecision", F.lit(False)).alias("game_time_decision"), "at")
     first = p.groupBy(*keep, "team_name", "updated_at", "unit", "slot").agg(F.min_by(one, "at").alias("r")).select(*keep, "team_name", "updated_at", "unit", "slot", "r.*")
-    own = first.filter("even IS NOT NULL").groupBy(*keep, "player_name").agg(F.max_by("even", "at").alias("__even"))
-    return first.join(own, [*keep, "player_name"], "left").withColumn("position", F.coalesce("even", "__even")).drop("even", "__even", "at")
+    own = F.max_by("even", F.when(F.col("even").isNotNull(), F.col("at"))).over(Window.partitionBy(*keep, "player_name"))
+    return first.withColumn("position", F.coalesce("even", own)).drop("even", "at")
