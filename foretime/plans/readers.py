@@ -70,8 +70,13 @@ def game_info(spark, d):
     return feeds.game_info(rows)
 
 
-#: Bodies are bounded, as those of feeds are: with more games there are more bodies, not longer ones.
-_BODY = F.floor(F.col("o_orderkey") / 20000).alias("block")
+#: Fixed value: order keys of which a body holds games. With more games there are more bodies, not longer ones.
+_BODY_KEYS = 20000
+
+
+def _block() -> Column:
+    return F.floor(F.col("o_orderkey") / _BODY_KEYS).alias("block")
+
 
 _IMPLIED = "CASE WHEN {0} < 0 THEN -{0} / (100.0 - {0}) ELSE 100.0 / (100 + {0}) END"
 _BOTH = f"({_IMPLIED.format('h')} + {_IMPLIED.format('a')})"
@@ -95,7 +100,7 @@ def partner_quotes(spark, d):
     )
     game = F.struct(k.alias("gameId"), F.struct(home.alias("odds")).alias("homeTeam"), F.struct(away.alias("odds")).alias("awayTeam"))
     body = F.struct(F.struct(F.lit("Some Book!").alias("name")).alias("bettingPartner"), F.collect_list(game).alias("games"))
-    bodies = driver_table(spark, d, "orders").groupBy(_mod("o_custkey", 20).alias("c"), _BODY).agg(F.to_json(body).alias("body")).withColumn("source", F.lit("partner"))
+    bodies = driver_table(spark, d, "orders").groupBy(_mod("o_custkey", 20).alias("c"), _block()).agg(F.to_json(body).alias("body")).withColumn("source", F.lit("partner"))
     out = feeds.partner_quotes(bodies).filter("book = 'somebook'")
     over = F.col("market") == "total"
     return out.select("game_id", "market", F.when(over, F.col("over_price")).otherwise(F.col("home_price")).alias("first_price"), F.when(over, F.col("under_price")).otherwise(F.col("away_price")).alias("second_price"), "line")
@@ -115,7 +120,7 @@ def schedule_quotes(spark, d):
     partner = F.array(F.struct(F.lit(1).alias("partnerId"), F.lit("Book One").alias("name")), F.struct(F.lit(2).alias("partnerId"), F.lit("Book-Two").alias("name")))
     body = F.struct(partner.alias("oddsPartners"), F.array(F.struct(F.collect_list(game).alias("games"))).alias("gameWeek"))
     orders = driver_table(spark, d, "orders")
-    bodies = orders.groupBy(_mod("o_custkey", 20).alias("c"), _BODY).agg(F.to_json(body).alias("body"))
+    bodies = orders.groupBy(_mod("o_custkey", 20).alias("c"), _block()).agg(F.to_json(body).alias("body"))
     games = orders.filter("o_orderkey % 5 > 0").select(k.alias("game_id"), F.when(_mod("o_orderkey", 7) > 0, F.lit("2030-01-01").cast("timestamp")).alias("start"))
     out = feeds.judged_quotes(feeds.schedule_quotes(bodies), games, F.lit("2024-01-01").cast("timestamp"))
     return out.filter("NOT (game_id % 4 = 0 AND game_id % 5 = 0)").select("game_id", "book", "fate", F.col("home_price").cast("long").alias("home_price"), F.col("away_price").cast("long").alias("away_price"))
