@@ -12,12 +12,15 @@ Growth is by levels to a fixed depth. Values go to bins by quantile edges; a mis
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from foretime.sources.shared import written
 
 UNIT_BITS = 24
 REWRITE = 8
+#: Folds fitted at a time: a level is a short job, which alone leaves most cores idle.
+PARALLEL = 6
 
 
 @dataclass(frozen=True)
@@ -280,6 +285,12 @@ def _sigmoid(slope: float, intercept: float, logit: Column) -> Column:
     return 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * logit)))
 
 
+def _side_by_side(spark: SparkSession, steps: list[Callable]) -> list:
+    """The results of steps whose jobs run at the same time, in their order."""
+    with ThreadPool(max(1, min(PARALLEL, len(steps)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda step: step()), steps, 1)
+
+
 def fit_scorer(train: DataFrame, features: list[str], label: str, date: str, settings: Settings = Settings(), least_rows: int = 1, key: Column | None = None) -> Scorer:
     """Both models, each split into core and tail on its own rows: the first on rows with a price, the second on all.
 
@@ -293,14 +304,17 @@ def fit_scorer(train: DataFrame, features: list[str], label: str, date: str, set
     offset = market_logit(price, available)
     blind_features = [f for f in features if f not in MARKET]
     priced = train.filter(available)
-    with_market = fit(priced, features, label, offset, date, settings, key)
-    blind = fit(train, blind_features, label, F.lit(0.0), date, settings, key)
 
     def heat(df: DataFrame, trees: Trees, offset: Column) -> tuple[float, float]:
         tail = adjustment(core_and_tail(df, date).filter("part = 'tail'"), trees, "__a")
-        return temperature(tail.select((offset + F.col("__a")).alias("__margin"), label), "__margin", label)
+        return temperature(written(tail.select((offset + F.col("__a")).alias("__margin"), label), "boosting-tail"), "__margin", label)
+
+    def model(part: DataFrame, names: list[str], offset: Column) -> tuple[Trees, tuple[float, float]]:
+        trees = fit(part, names, label, offset, date, settings, key)
+        return trees, heat(part, trees, offset)
 
-    return Scorer(list(features), with_market, heat(priced, with_market, offset), blind, heat(train, blind, F.lit(0.0)), size["n"], size["through"])
+    (with_market, hot), (blind, blind_hot) = _side_by_side(train.sparkSession, [lambda: model(priced, features, offset), lambda: model(train, blind_features, F.lit(0.0))])
+    return Scorer(list(features), with_market, hot, blind, blind_hot, size["n"], size["through"])
 
 
 def score(df: DataFrame, scorer: Scorer, features: list[str] | None = None, name: str = "p") -> DataFrame:
@@ -316,16 +330,19 @@ def score(df: DataFrame, scorer: Scorer, features: list[str] | None = None, name
 
 def walk_forward(df: DataFrame, features: list[str], label: str, settings: Settings = Settings(), purge_days: int = 7, key: Column | None = None) -> DataFrame:
     """df's predictable seasons with fold and p, each by a scorer of the seasons before."""
-    out = None
-    for fold, train, validate in _each_fold(df, purge_days):
-        one = score(validate, fit_scorer(train, features, label, "date", settings, key=key)).withColumn("fold", F.lit(fold))
-        out = one if out is None else out.unionByName(one)
+    df, out = written(df, "boosting-input"), None  # every fold reads it a dozen times
+
+    def one(fold: int, train: DataFrame, validate: DataFrame) -> DataFrame:
+        return score(validate, fit_scorer(train, features, label, "date", settings, key=key)).withColumn("fold", F.lit(fold))
+
+    for each in _side_by_side(df.sparkSession, [partial(one, *f) for f in _each_fold(df, purge_days)]):
+        out = each if out is None else out.unionByName(each)
     return out if out is not None else df.limit(0).withColumns({"p": F.lit(0.0), "fold": F.lit(0)})
 
 
 def cross_fitted(df: DataFrame, groups: str, features: list[str], label: str, date: str, folds: int = 5, settings: Settings = Settings(), name: str = "p") -> DataFrame:
     """df with chances from models of the other groups: a first season has none before it. Groups (games) go to folds by a hash, so none is split."""
-    dealt, out = df.withColumn("__fold", F.pmod(F.xxhash64(groups), F.lit(folds))), None
+    dealt, out = written(df.withColumn("__fold", F.pmod(F.xxhash64(groups), F.lit(folds))), "boosting-input"), None
     for k in range(folds):
         trees = fit(dealt.filter(F.col("__fold") != k), features, label, F.lit(0.0), date, settings)
         one = adjustment(dealt.filter(F.col("__fold") == k), trees, "__a")

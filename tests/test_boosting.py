@@ -154,3 +154,17 @@ def test_cross_fitting_leaves_the_own_group_out(spark, priced):
     b = boosting.cross_fitted(df.withColumn("y", F.when(fold == 1, 0).otherwise(F.col("y"))), "game", ["x"], "y", "date", 3, s)
     p, q = ({r["id"]: r["p"] for r in x.filter(fold == 1).collect()} for x in (a, b))
     assert p and p == q and a.count() == df.count()
+
+
+def test_walk_forward_makes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(made(900, 3), SCHEMA).withColumns({"market_prob": F.lit(0.5), "market_available": F.col("id") % 2 == 0}).coalesce(2)
+    df = df.mapInArrow(counted, df.schema)
+    out = boosting.walk_forward(df, ["x", "noise", *boosting.MARKET], "y", Settings(rounds=1, depth=1, least_rows=20)).collect()
+    assert {r["fold"] for r in out} == {2001, 2002} and seen.value == 900
