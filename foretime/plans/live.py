@@ -15,6 +15,7 @@ from foretime.plans import roles, slate, totals
 from foretime.plans.features import TEAM_RATES, team_base
 from foretime.plans.queries import query, r6
 from foretime.plans.reports import _R
+from foretime.sources.shared import written
 from foretime.sources.tables import driver_table
 
 W = [5, 20]
@@ -47,7 +48,9 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
         F.pmod("o_custkey", F.lit(8)).cast("int").alias("team"), F.to_date("o_orderdate").alias("date"), F.pmod("l_suppkey", F.lit(3)).cast("int").alias("unit"), F.col("l_quantity").alias("q"), F.round("l_extendedprice").alias("price"), (F.col("l_returnflag") == "R").cast("int").alias("r")
     )
     season, game = F.year("date"), F.datediff("date", F.lit("1990-01-01").cast("date")).cast("long") * 10 + F.pmod("team", F.lit(4))
-    raw = lines.groupBy("team", "date").agg(F.sum("q").alias("qty"), F.count(F.lit(1)).alias("n"), F.sum("price").alias("rev"), F.sum("r").alias("returned")).withColumns({"season": season, "game_id": game})
+    # a row for each side, day and unit: everything else is made of these, so the lines are read once
+    by = written(lines.groupBy("team", "date", "unit").agg(F.sum("q").alias("q"), F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"), F.sum("r").alias("r")), "sides")
+    raw = by.groupBy("team", "date").agg(F.sum("q").alias("qty"), F.sum("n").alias("n"), F.sum("price").alias("rev"), F.sum("r").alias("returned")).withColumns({"season": season, "game_id": game})
     c = F.col
     base = team_base(raw.select(
         "team", "season", "date", "game_id", c("qty").alias("gf"), c("n").alias("ga"), (c("rev") / 1e4).alias("xgf"), (c("qty") / 7).alias("xga"), (c("qty") + 5).alias("ff"), (c("n") + 7).alias("fa"), c("returned").alias("blocks_own"), c("n").alias("blocks_opp"), F.when(F.pmod("game_id", F.lit(11)) > 0, 3600.0).otherwise(0.0).alias("toi"),
@@ -58,7 +61,7 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     pair = raw.groupBy("game_id", "season", "date").agg(F.min("team").alias("home"), F.max("team").alias("away")).filter("home < away")
     last = pair.groupBy("season").agg(F.max("date").alias("last"))
     slates = pair.join(F.broadcast(last), "season").filter("date = last").drop("last")  # a row for each season
-    units = lines.groupBy("team", "date", "unit").agg(F.sum("q").alias("q"), F.count(F.lit(1)).alias("n"), F.sum("price").alias("price")).withColumns({"season": season, "game_id": game})
+    units = by.withColumns({"season": season, "game_id": game})
     units = units.select("team", "date", "season", "game_id", (c("team") * 10 + c("unit")).alias("goalie_id"), (c("q") + 20).alias("saves"), (c("q") + c("n") + 20).alias("shots"), ((F.pmod("price", F.lit(7)) - 3) / 4).alias("gsax"), (c("n") * 60).alias("toi"), *[F.lit(0).alias(x) for x in ("hd_goals", "hd_att", "fen_goals", "fen_att", "xga")])
     first = units.groupBy("team", "date").agg(F.min_by("goalie_id", F.struct(-c("toi"), "goalie_id")).alias("first"))
     units = units.join(first, ["team", "date"]).withColumn("is_starter", c("goalie_id") == c("first")).drop("first")

@@ -136,3 +136,10 @@ def test_games_missed_by_the_present_team(spark):
     df = spark.createDataFrame([row(1, "a", 6, 2), row(2, "b", 7, 2), row(3, "c", 4, None)], "player_id int, team string, date date, last_date date")
     got = {r["player_id"]: (r["team_games_missed"], r["b2b"]) for r in players.with_schedule(df, games).collect()}
     assert got == {1: (3.0, 1.0), 2: (2.0, 0.0), 3: (None, 0.0)}
+
+
+def test_slates_read_the_lines_once(spark, small):
+    from foretime.plans import live
+
+    for query in (live.slate_vectors, live.attack_rows, live.goalie_roles):
+        assert not [f for f in query(spark, small).inputFiles() if "lineitem" in f or "orders" in f], query.__name__
