@@ -14,6 +14,7 @@ from foretime.functions.text import strength
 from foretime.operators.pit import day_sums, decayed_before
 from foretime.operators.ranking import rank_share
 from foretime.operators.reshape import sides
+from foretime.sources.shared import written
 
 #: How far back the windows go, in rows of the player or the team.
 RATE_ROWS, TOI_ROWS, TEAM_ROWS = (5, 10, 20, 40), (5, 10), (10, 20)
@@ -177,9 +178,11 @@ def lineup_ranks(df: DataFrame) -> DataFrame:
 
 def player_features(skaters: DataFrame, games: DataFrame, attempts: DataFrame, team_games: DataFrame, shots: DataFrame | None = None, ratings: DataFrame | None = None) -> DataFrame:
     """One row for each skater and game that he played, with what is known of him before it. See played_rows for the inputs; team_games: game_id, team, sog; ratings: game_id, home_elo, away_elo before the game."""
-    df = own_history(_team_totals(league_levels(played_rows(skaters, games, attempts, shots))))
-    df = lineup_ranks(with_schedule(decayed_level(df), games))
-    tf = team_shots(team_games, games)
+    # each step reads its rows more than once; without tables between, every step would multiply the work of those before
+    df = written(_team_totals(league_levels(written(played_rows(skaters, games, attempts, shots), "played"))), "played-levels")
+    df = written(decayed_level(written(own_history(df), "played-history")), "played-decayed")
+    df = lineup_ranks(with_schedule(df, games))
+    tf = written(team_shots(team_games, games), "team-shots")
     own = tf.select("game_id", "team", *[f"team_sf_l{n}_rel" for n in TEAM_ROWS])
     opp = tf.select("game_id", F.col("team").alias("opp"), *[F.col(f"team_sa_l{n}_rel").alias(f"opp_sa_l{n}_rel") for n in TEAM_ROWS])
     df = df.join(own, ["game_id", "team"], "left").join(opp, ["game_id", "opp"], "left")
@@ -196,7 +199,7 @@ def player_xg_features(df: DataFrame, shots: DataFrame, xg: str = "xg") -> DataF
     """df (rows of player_features) with XG_FEATURES: chances by expected goals, each against the league of the year before. shots: game_id, shooter_id, team and the expected goals of each. A game without shots is unknown."""
     covered = shots.select("game_id").distinct().withColumn("__covered", F.lit(1.0))
     own = shots.filter("shooter_id IS NOT NULL").groupBy("game_id", F.col("shooter_id").alias("player_id")).agg(F.sum(xg).alias("__xg"))
-    out = df.join(own, ["game_id", "player_id"], "left").join(covered, "game_id", "left")
+    out = written(df.join(own, ["game_id", "player_id"], "left").join(covered, "game_id", "left"), "played-xg")
     known = F.col("__covered").isNotNull()
     out = out.withColumns({"__x": F.when(known, F.coalesce("__xg", F.lit(0.0))).otherwise(0.0), "__t": F.when(known, F.col("toi")).otherwise(0.0), "__a": F.when(known, F.coalesce("att", F.lit(0.0))).otherwise(0.0)})
     out = day_sums(out, ["pos_group"], "date", ["__x", "__t"], {"pos": (-LEAGUE_DAYS, -1)})

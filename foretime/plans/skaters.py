@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foretime.plans import players
 from foretime.plans.queries import query, r6
+from foretime.sources.shared import written
 from foretime.sources.tables import driver_table
 
 SKATER_SQL = """
@@ -97,6 +98,7 @@ def _frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         (F.sum("q") * 30).alias("toi_seconds"), (F.count(F.lit(1)) + F.sum("r")).alias("shots"), F.sum(F.pmod("part", F.lit(100))).alias("pp_toi"), F.sum(F.pmod("part", F.lit(50))).alias("sh_toi"), F.sum("line").alias("fow"), F.count(F.lit(1)).alias("fol"), F.count_if(F.pmod("line", F.lit(3)) == 0).alias("strong"), F.count(F.lit(1)).alias("n")
     )
     rows = rows.withColumns({"season": F.year("date"), "team": F.pmod(F.col("player_id") + F.year("date"), F.lit(8)).cast("int"), "position": F.when(F.pmod("player_id", F.lit(3)) == 0, "D").otherwise("C"), "stats_known": F.pmod(F.col("player_id") + F.col("day"), F.lit(11)) > 0}).withColumn("game_id", F.col("day") * 10 + F.pmod("team", F.lit(4)))
+    rows = written(rows, "skaters")  # all inputs are made of these
     games = rows.groupBy("game_id", "season", "date", "day").agg(F.min("team").alias("home"), F.max("team").alias("away")).filter("home < away")
     games = games.withColumns({"game_type": F.when(F.pmod("day", F.lit(50)) == 0, 1).otherwise(2), "state": F.lit("FINAL")}).drop("day")
     played = rows.drop("season", "date").join(games.select("game_id"), "game_id")

@@ -143,3 +143,10 @@ def test_slates_read_the_lines_once(spark, small):
 
     for query in (live.slate_vectors, live.attack_rows, live.goalie_roles):
         assert not [f for f in query(spark, small).inputFiles() if "lineitem" in f or "orders" in f], query.__name__
+
+
+def test_player_features_read_the_lines_once(spark, small):
+    from foretime.plans import skaters
+
+    for query in (skaters.player_features, skaters.player_xg):
+        assert not [f for f in query(spark, small).inputFiles() if "lineitem" in f or "orders" in f], query.__name__
