@@ -60,21 +60,26 @@ def folded(c: Column) -> Column:
     return F.when(plain.rlike(pattern), F.array_join(F.transform(signs, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")).otherwise(plain)
 
 
+def _number(c: Column, pattern: str, k: int) -> Column:
+    """A group of the pattern as int; NULL for strings that don't fit. Only what fits is cast, as a cast that fails builds an error and drops it, row by row."""
+    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, k).try_cast("int"))
+
+
 def clock_seconds(c: Column) -> Column:
     """"MM:SS" in seconds; anything else is 0."""
-    m, s = F.regexp_extract(c, r"^(\d+):(\d{2})$", 1), F.regexp_extract(c, r"^(\d+):(\d{2})$", 2)
-    return F.coalesce(m.try_cast("int") * 60 + s.try_cast("int"), F.lit(0))
+    part = lambda k: _number(c, r"^(\d+):(\d{2})$", k)
+    return F.coalesce(part(1) * 60 + part(2), F.lit(0))
 
 
 def fraction(c: Column) -> Column:
     """"19/21" as struct(made, tried); malformed strings give zeros."""
-    part = lambda k: F.coalesce(F.regexp_extract(c, r"^(\d+)/(\d+)$", k).try_cast("int"), F.lit(0))
+    part = lambda k: F.coalesce(_number(c, r"^(\d+)/(\d+)$", k), F.lit(0))
     return F.struct(part(1).alias("made"), part(2).alias("tried"))
 
 
 def strength(c: Column, default: int = 5, low: int = 3, high: int = 6) -> Column:
     """"5v4" as struct(own, other), each clipped."""
-    part = lambda k: F.greatest(F.least(F.coalesce(F.regexp_extract(c, r"^(\d+)v(\d+)$", k).try_cast("int"), F.lit(default)), F.lit(high)), F.lit(low))
+    part = lambda k: F.greatest(F.least(F.coalesce(_number(c, r"^(\d+)v(\d+)$", k), F.lit(default)), F.lit(high)), F.lit(low))
     return F.struct(part(1).alias("own"), part(2).alias("other"))
 
 
@@ -94,7 +99,7 @@ def line(c: Column) -> Column:
 
 def milestone(c: Column) -> Column:
     """"3+" is the line 2.5."""
-    return F.regexp_extract(F.trim(c), r"^(\d+)\+$", 1).try_cast("int") - F.lit(0.5)
+    return _number(F.trim(c), r"^(\d+)\+$", 1) - F.lit(0.5)
 
 
 def plain_name(c: Column) -> Column:

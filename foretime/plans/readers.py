@@ -10,7 +10,7 @@ from foretime.sources import feeds
 from foretime.sources.tables import driver_table
 
 
-def _mod(c: str, n: int) -> Column:
+def _mod(c: str | Column, n: int) -> Column:
     return F.pmod(c, F.lit(n))
 
 
@@ -21,26 +21,31 @@ def _s(c: Column) -> Column:
 LI = "li AS (SELECT l_orderkey AS game_id, l_suppkey AS s, l_partkey AS p, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k FROM lineitem QUALIFY k = 1)"
 
 
-def _li(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each order and supplier: a player of a game."""
-    w = Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    li = driver_table(spark, d, "lineitem").withColumn("k", F.row_number().over(w)).filter("k = 1")
-    return li.select(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("n"))
+def _games(spark: SparkSession, d: str) -> DataFrame:
+    """game_id and men: an array of (s, n, p), one for each supplier of an order: a player of a game. Lines meet by game once, and their columns alone travel."""
+    line = F.struct(F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), "l_quantity", "l_extendedprice")
+    games = driver_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("game_id")).agg(F.sort_array(F.collect_list(line)).alias("men"))
+    # of a supplier's lines the first one in order stays
+    return games.select("game_id", F.filter("men", lambda x, i: (i == 0) | ~x["s"].eqNullSafe(F.get("men", i - 1)["s"])).alias("men"))
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    toi = F.concat(_s(_mod("p", 40)), F.lit(":"), F.lpad(_s(_mod("p", 60)), 2, "0"))
     two = lambda a, b: F.concat_ws("/", _s(a), _s(b))
-    fields = {
-        "playerId": F.col("s"), "position": F.when(_mod("s", 4) > 0, "C"), "toi": F.when(_mod("p", 11) > 0, toi), "goals": F.when(_mod("p", 3) > 0, _mod("p", 3)), "assists": _mod("p", 4), "points": _mod("p", 5), "sog": F.when(_mod("p", 5) > 0, _mod("p", 9)), "shots": F.when(_mod("p", 7) > 0, _mod("p", 8)),
-        "hits": _mod("p", 6), "blockedShots": _mod("p", 3), "blocks": F.when(_mod("p", 13) > 0, _mod("p", 12)), "pim": 2 * _mod("n", 3), "plusMinus": _mod("p", 5) - 2, "starter": F.when(_mod("p", 4) > 0, _mod("p", 2) == 0), "decision": F.element_at(F.array(*map(F.lit, ("W", "L", "O", "x"))), (_mod("p", 4) + 1).cast("int")),
-        "shotsAgainst": _mod("p", 31), "saves": _mod("p", 29), "goalsAgainst": _mod("p", 6), "evenStrengthShotsAgainst": F.when(_mod("p", 9) > 0, two(_mod("p", 20), _mod("p", 20) + 2)), "powerPlayShotsAgainst": two(_mod("n", 4), _mod("n", 4) + 1),
-    }
-    player = F.struct(*[c.alias(n) for n, c in fields.items()])
-    role = lambda home, k: F.collect_list(F.when((_mod("s", 2) == home) & (_mod("s", 3) == k), player))
+
+    def player(x: Column) -> Column:
+        s, p, n = x["s"], x["p"], x["n"]
+        toi = F.concat(_s(_mod(p, 40)), F.lit(":"), F.lpad(_s(_mod(p, 60)), 2, "0"))
+        fields = {
+            "playerId": s, "position": F.when(_mod(s, 4) > 0, "C"), "toi": F.when(_mod(p, 11) > 0, toi), "goals": F.when(_mod(p, 3) > 0, _mod(p, 3)), "assists": _mod(p, 4), "points": _mod(p, 5), "sog": F.when(_mod(p, 5) > 0, _mod(p, 9)), "shots": F.when(_mod(p, 7) > 0, _mod(p, 8)),
+            "hits": _mod(p, 6), "blockedShots": _mod(p, 3), "blocks": F.when(_mod(p, 13) > 0, _mod(p, 12)), "pim": 2 * _mod(n, 3), "plusMinus": _mod(p, 5) - 2, "starter": F.when(_mod(p, 4) > 0, _mod(p, 2) == 0), "decision": F.element_at(F.array(*map(F.lit, ("W", "L", "O", "x"))), (_mod(p, 4) + 1).cast("int")),
+            "shotsAgainst": _mod(p, 31), "saves": _mod(p, 29), "goalsAgainst": _mod(p, 6), "evenStrengthShotsAgainst": F.when(_mod(p, 9) > 0, two(_mod(p, 20), _mod(p, 20) + 2)), "powerPlayShotsAgainst": two(_mod(n, 4), _mod(n, 4) + 1),
+        }
+        return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+    role = lambda home, k: F.transform(F.filter("men", lambda x: (_mod(x["s"], 2) == home) & (_mod(x["s"], 3) == k)), player)
     side = lambda home: F.struct(role(home, 1).alias("forwards"), role(home, 2).alias("defense"), role(home, 0).alias("goalies"))
     body = F.struct(F.struct(F.lit("HHH").alias("abbrev")).alias("homeTeam"), F.struct(F.lit("AAA").alias("abbrev")).alias("awayTeam"), F.struct(side(0).alias("homeTeam"), side(1).alias("awayTeam")).alias("playerByGameStats"))
-    return _li(spark, d).groupBy("game_id").agg(F.to_json(body).alias("body"))
+    return _games(spark, d).select("game_id", F.to_json(body).alias("body"))
 
 
 @query(f"""WITH {LI} SELECT game_id, CASE WHEN s % 2 = 0 THEN 'HHH' ELSE 'AAA' END AS team, s AS player_id, CASE WHEN s % 4 > 0 THEN 'C' ELSE '' END AS position, CAST(CASE WHEN p % 11 > 0 THEN p % 40 * 60 + p % 60 ELSE 0 END AS INT) AS toi_seconds, CAST(p % 3 AS INT) AS goals, CAST(p % 4 AS INT) AS assists, CAST(p % 5 AS INT) AS points,
@@ -60,13 +65,14 @@ def goalie_lines(spark, d):
 SELECT game_id, CASE WHEN game_id % 8 = 0 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN game_id % 8 > 0 THEN 'Coach ' || game_id % 9 END AS home_coach, CAST(NULL AS VARCHAR) AS away_coach, CASE WHEN game_id % 8 > 0 THEN h ELSE 0 END AS n_scratches_home, CASE WHEN game_id % 8 > 0 THEN a ELSE 0 END AS n_scratches_away, CASE WHEN game_id % 8 > 0 THEN r ELSE 0 END AS n_referees, CASE WHEN game_id % 8 > 0 THEN l ELSE 0 END AS n_linesmen FROM c""")
 def game_info(spark, d):
     name = lambda c: F.struct(c.alias("default"))
-    man = F.struct(F.col("s").alias("id"), name(F.concat(F.lit("F"), _s(F.col("s")))).alias("firstName"), name(F.lit("Last")).alias("lastName"))
+    man = lambda x: F.struct(x["s"].alias("id"), name(F.concat(F.lit("F"), _s(x["s"]))).alias("firstName"), name(F.lit("Last")).alias("lastName"))
+    of = lambda k, f: F.transform(F.filter("men", lambda x: _mod(x["s"], 4) == k), f)
     # everyone is listed twice
-    listed = lambda k: F.flatten(F.array(*[F.collect_list(F.when(_mod("s", 4) == k, man))] * 2))
-    official = lambda k, n: F.collect_list(F.when(_mod("s", 4) == k, F.struct(name(F.concat(F.lit(" Off "), _s(_mod("s", n)))).alias("fullName"), _mod("s", 90).alias("sweaterNumber"))))
+    listed = lambda k: F.flatten(F.array(*[of(k, man)] * 2))
+    official = lambda k, n: of(k, lambda x: F.struct(name(F.concat(F.lit(" Off "), _s(_mod(x["s"], n)))).alias("fullName"), _mod(x["s"], 90).alias("sweaterNumber")))
     coach = name(F.concat(F.lit("Coach "), _s(_mod("game_id", 9))))
     info = F.struct(F.struct(coach.alias("headCoach"), listed(0).alias("scratches")).alias("homeTeam"), F.struct(name(F.lit(" ")).alias("headCoach"), listed(1).alias("scratches")).alias("awayTeam"), official(2, 3).alias("referees"), official(3, 5).alias("linesmen"))
-    rows = _li(spark, d).groupBy("game_id").agg(F.when(_mod("game_id", 8) > 0, F.to_json(F.struct(info.alias("gameInfo")))).otherwise("{}").alias("body"), F.lit("HHH").alias("home"), F.lit("AAA").alias("away"))
+    rows = _games(spark, d).select("game_id", F.when(_mod("game_id", 8) > 0, F.to_json(F.struct(info.alias("gameInfo")))).otherwise("{}").alias("body"), F.lit("HHH").alias("home"), F.lit("AAA").alias("away"))
     return feeds.game_info(rows)
 
 

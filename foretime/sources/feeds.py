@@ -21,20 +21,18 @@ def instant(c: Column) -> Column:
 
 # --- box scores -----------------------------------------------------------------------------------------------------------------
 
-_BOX_PLAYER = (
-    "array<struct<playerId:long,position:string,toi:string,goals:int,assists:int,points:int,sog:int,shots:int,hits:int,blockedShots:int,blocks:int,pim:int,plusMinus:int,"
-    "starter:boolean,decision:string,shotsAgainst:int,saves:int,goalsAgainst:int,evenStrengthShotsAgainst:string,powerPlayShotsAgainst:string,shorthandedShotsAgainst:string>>"
-)
-_BOX_SIDE = f"struct<forwards:{_BOX_PLAYER},defense:{_BOX_PLAYER},goalies:{_BOX_PLAYER}>"
-_BOX = f"homeTeam struct<abbrev:string>, awayTeam struct<abbrev:string>, playerByGameStats struct<homeTeam:{_BOX_SIDE},awayTeam:{_BOX_SIDE}>"
+#: What is read of a skater and of a goalie; the rest of an entry is skipped.
+_SKATER = "array<struct<playerId:long,position:string,toi:string,goals:int,assists:int,points:int,sog:int,shots:int,hits:int,blockedShots:int,blocks:int,pim:int,plusMinus:int>>"
+_GOALIE = "array<struct<playerId:long,toi:string,starter:boolean,decision:string,shotsAgainst:int,saves:int,goalsAgainst:int,evenStrengthShotsAgainst:string,powerPlayShotsAgainst:string,shorthandedShotsAgainst:string>>"
 #: Fixed value: who played longer than so many seconds started, where the box score doesn't say.
 STARTER_SECONDS = 1800
 
 
-def _box_players(bodies: DataFrame, roles: tuple[str, ...]) -> DataFrame:
-    b = bodies.select("game_id", F.from_json("body", _BOX).alias("b"))
-    group = lambda side, role: F.struct(F.col(f"b.{side}.abbrev").alias("team"), F.coalesce(F.col(f"b.playerByGameStats.{side}.{role}"), F.from_json(F.lit("[]"), _BOX_PLAYER)).alias("players"))
-    rows = b.select("game_id", F.inline(F.array(*[group(side, role) for side in ("homeTeam", "awayTeam") for role in roles])))
+def _box_players(bodies: DataFrame, roles: tuple[str, ...], player: str) -> DataFrame:
+    side = f"struct<{','.join(f'{role}:{player}' for role in roles)}>"
+    b = bodies.select("game_id", F.from_json("body", f"homeTeam struct<abbrev:string>, awayTeam struct<abbrev:string>, playerByGameStats struct<homeTeam:{side},awayTeam:{side}>").alias("b"))
+    group = lambda s, role: F.struct(F.col(f"b.{s}.abbrev").alias("team"), F.coalesce(F.col(f"b.playerByGameStats.{s}.{role}"), F.from_json(F.lit("[]"), player)).alias("players"))
+    rows = b.select("game_id", F.inline(F.array(*[group(s, role) for s in ("homeTeam", "awayTeam") for role in roles])))
     return rows.select("game_id", "team", F.explode("players").alias("p")).filter("p.playerId <> 0")
 
 
@@ -42,7 +40,7 @@ def skater_lines(bodies: DataFrame) -> DataFrame:
     """A row for each skater of box scores (game_id, body); counts that are missing are 0."""
     count = lambda *names: F.coalesce(*[F.col(f"p.{n}") for n in names], F.lit(0)).alias(names[0])
     blocks = F.coalesce(F.nullif(F.col("p.blockedShots"), F.lit(0)), F.col("p.blocks"), F.lit(0)).alias("blocks")
-    rows = _box_players(bodies, ("forwards", "defense"))
+    rows = _box_players(bodies, ("forwards", "defense"), _SKATER)
     return rows.select(
         "game_id", "team", F.col("p.playerId").alias("player_id"), F.coalesce("p.position", F.lit("")).alias("position"), clock_seconds(F.coalesce("p.toi", F.lit("0:00"))).alias("toi_seconds"), count("goals"), count("assists"), count("points"),
         F.coalesce("p.sog", "p.shots", F.lit(0)).alias("shots"), count("hits"), blocks, count("pim"), F.coalesce("p.plusMinus", F.lit(0)).alias("plus_minus"),
@@ -56,7 +54,7 @@ def goalie_lines(bodies: DataFrame) -> DataFrame:
     split = {"even": "evenStrengthShotsAgainst", "pp": "powerPlayShotsAgainst", "sh": "shorthandedShotsAgainst"}
     by = {k: fraction(F.coalesce(f"p.{n}", F.lit(""))) for k, n in split.items()}
     decision = F.when(F.col("p.decision") == "O", "OTL").when(F.col("p.decision").isin("W", "L"), F.col("p.decision"))
-    return _box_players(bodies, ("goalies",)).select(
+    return _box_players(bodies, ("goalies",), _GOALIE).select(
         "game_id", "team", F.col("p.playerId").alias("player_id"), decision.alias("decision"), F.coalesce("p.starter", toi > STARTER_SECONDS).alias("is_starter"), shots.alias("shots_against"), saves.alias("saves"), count("goalsAgainst").alias("goals_against"),
         F.when(shots > 0, saves / shots).alias("sv_pct"), toi.alias("toi_seconds"), *[c for k, f in by.items() for c in (f["tried"].alias(f"{k}_shots"), f["made"].alias(f"{k}_saves"))],
     )
@@ -95,13 +93,23 @@ def officials(bodies: DataFrame) -> DataFrame:
     return each.groupBy("game_id", "role", "official_name").agg(F.min_by("o.sweaterNumber", "at").alias("sweater_number"))
 
 
+#: What the counts need: ids of the scratched and names of officials.
+_COUNTED_SIDE = "struct<headCoach:struct<default:string>,scratches:array<struct<id:long>>>"
+_COUNTED_OFFICIAL = "array<struct<fullName:struct<default:string>>>"
+_COUNTED = f"gameInfo struct<homeTeam:{_COUNTED_SIDE},awayTeam:{_COUNTED_SIDE},referees:{_COUNTED_OFFICIAL},linesmen:{_COUNTED_OFFICIAL}>"
+
+
 def game_info(bodies: DataFrame) -> DataFrame:
-    """game_id, status (ok, or empty without the block), coaches, and how many scratches and officials there are."""
-    rows = _info(bodies).select("game_id", F.when(F.col("g").isNull(), "empty").otherwise("ok").alias("status"), _text(F.col("g.homeTeam.headCoach.default")).alias("home_coach"), _text(F.col("g.awayTeam.headCoach.default")).alias("away_coach"))
-    out = scratches(bodies).groupBy("game_id").agg(F.count_if(F.col("side") == "home").alias("n_scratches_home"), F.count_if(F.col("side") == "away").alias("n_scratches_away"))
-    who = officials(bodies).groupBy("game_id").agg(F.count_if(F.col("role") == "referee").alias("n_referees"), F.count_if(F.col("role") == "linesman").alias("n_linesmen"))
-    counts = ["n_scratches_home", "n_scratches_away", "n_referees", "n_linesmen"]
-    return rows.join(out, "game_id", "left").join(who, "game_id", "left").fillna(0, counts)
+    """game_id, status (ok, or empty without the block), coaches, and how many scratches and officials there are: those that `scratches` and `officials` list, counted in the body, which is read once."""
+    g = bodies.select("game_id", F.from_json("body", _COUNTED)["gameInfo"].alias("g"))
+    ids = lambda s: F.coalesce(F.array_compact(F.col(f"g.{s}Team.scratches.id")), F.expr("CAST(array() AS array<bigint>)"))
+    g = g.select("game_id", F.col("g").isNull().alias("none"), F.col("g.homeTeam.headCoach.default").alias("home_coach"), F.col("g.awayTeam.headCoach.default").alias("away_coach"), ids("home").alias("home"), ids("away").alias("away"), F.col("g.referees.fullName.default").alias("referees"), F.col("g.linesmen.fullName.default").alias("linesmen"))
+    names = lambda c: F.array_remove(F.array_distinct(F.array_compact(F.transform(c, lambda x: F.trim(x)))), F.lit(""))
+    count = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("long")
+    return g.select(
+        "game_id", F.when(F.col("none"), "empty").otherwise("ok").alias("status"), _text(F.col("home_coach")).alias("home_coach"), _text(F.col("away_coach")).alias("away_coach"), count(F.array_distinct("home")).alias("n_scratches_home"),
+        count(F.array_except("away", "home")).alias("n_scratches_away"), count(names("referees")).alias("n_referees"), count(names("linesmen")).alias("n_linesmen"),
+    )
 
 
 # --- prices -----------------------------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from foretime.functions import text
 from foretime.plans import readers, roles
 from foretime.sources import feeds, tables
 
@@ -158,3 +159,26 @@ def test_a_line_up_is_read_once(spark):
 def test_prices_come_in_bodies_of_bounded_size(spark):
     rows = spark.range(100000).select(F.col("id").alias("o_orderkey"), F.lit(20).alias("o_custkey"))
     assert rows.groupBy(F.pmod("o_custkey", F.lit(20)), readers._block()).count().agg(F.max("count")).first()[0] == readers._BODY_KEYS
+
+
+def test_box_bodies_meet_once_and_are_read_without_failed_casts(spark):
+    """Lines travel once, by game; strings that aren't numbers aren't cast."""
+    path = "/root/testdata/sf0.001"
+    for made in (readers.goalie_lines, readers.skater_lines, readers.game_info):
+        plan = made(spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
+    odd_clocks = spark.createDataFrame([("",), ("x",), ("1:5",), ("12:34",), (None,), ("99999999999:00",)], "c string")
+    seconds = odd_clocks.select(text.clock_seconds(F.col("c")).alias("s"))
+    assert [r["s"] for r in seconds.collect()] == [0, 0, 0, 754, 0, 0]
+    assert "RLIKE" in seconds._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_game_info_counts_each_body(spark):
+    """Ids and names that are null, blank or repeated, lists that are missing, and a player of both sides."""
+    man = lambda i: {"id": i}
+    info = {"homeTeam": {"scratches": [man(1), man(None), man(1), None]}, "awayTeam": {"scratches": [man(1), man(2), man(2)]}, "linesmen": [{"fullName": {"default": " L"}}, {"fullName": {"default": "L "}}, {"fullName": {"default": " "}}, {"fullName": None}, None]}
+    rows = [(1, json.dumps({"gameInfo": info})), (2, json.dumps({"gameInfo": {"awayTeam": {"scratches": [man(5)]}}})), (3, "not json"), (4, None), (None, json.dumps({"gameInfo": info}))]
+    df = bodies(spark, [(g, "H", "A", b) for g, b in rows], "game_id int, home string, away string, body string")
+    got = {r["game_id"]: tuple(r)[1:] for r in feeds.game_info(df).collect()}
+    none = ("empty", None, None, 0, 0, 0, 0)
+    assert got == {1: ("ok", None, None, 1, 1, 0, 1), 2: ("ok", None, None, 0, 1, 0, 0), 3: none, 4: none, None: ("ok", None, None, 1, 1, 0, 1)}
