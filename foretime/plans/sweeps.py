@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretime.operators import intervals
@@ -132,17 +132,24 @@ def report_shifts(spark, d):
     s = lambda c: c.cast("string")
     clock = lambda c: F.concat(s(F.floor(c / 60)), F.lit(":"), F.lpad(s(F.pmod(c, F.lit(60))), 2, "0"))
     cell = lambda c: F.concat(F.lit('<td class="x">'), c, F.lit("</td>"))
-    start, n = F.pmod("l_partkey", F.lit(20)) * 60 + F.pmod("l_suppkey", F.lit(60)), F.col("l_linenumber")
-    end, period = start + F.col("l_quantity").cast("int"), F.pmod(n, F.lit(5))
     both = lambda c: F.concat(clock(c), F.lit(" / "), clock(F.greatest(F.lit(1200) - c, F.lit(0))))
-    row = F.concat(F.lit("<tr>"), cell(s(n)), cell(F.when(period == 0, "OT").otherwise(s(period))), cell(both(start)), cell(F.concat(F.lit("<b>"), both(end), F.lit("</b>&nbsp;"))), cell(clock(F.col("l_quantity").cast("int"))), F.lit("</tr>"))
-    rows = driver_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.pmod("l_suppkey", F.lit(90)).alias("sweater"), n.alias("n"), row.alias("row"))
+
+    def row(x: Column) -> Column:
+        n, start, length = x["n"], x["start"], x["length"]
+        period = F.pmod(n, F.lit(5))
+        return F.concat(F.lit("<tr>"), cell(s(n)), cell(F.when(period == 0, "OT").otherwise(s(period))), cell(both(start)), cell(F.concat(F.lit("<b>"), both(start + length), F.lit("</b>&nbsp;"))), cell(clock(length)), F.lit("</tr>"))
+
+    # lines meet by game once, and their columns alone travel
+    start = F.pmod("l_partkey", F.lit(20)) * 60 + F.pmod("l_suppkey", F.lit(60))
+    shift = F.struct(F.pmod("l_suppkey", F.lit(90)).alias("sweater"), F.col("l_linenumber").alias("n"), start.alias("start"), F.col("l_quantity").cast("int").alias("length"))
+    games = driver_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("game_id")).agg(F.sort_array(F.collect_list(shift)).alias("shifts"))
+    games = games.withColumn("worn", F.array_distinct("shifts.sweater"))
     totals = "<tr><td>1</td><td>2</td><td>30:00</td><td>x</td><td>0:40</td></tr>"
-    block = F.concat(F.lit('<td class="playerHeading + border">'), s(F.col("sweater")), F.lit(" DOE, JO</td><table>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "row"))), lambda x: x["row"]), "\n"), F.lit(totals + "</table>"))
-    pages = rows.groupBy("game_id", "sweater").agg(block.alias("block")).groupBy("game_id").agg(F.lit("H").alias("side"), F.concat(F.lit("<html>"), F.array_join(F.sort_array(F.collect_list("block")), "")).alias("html"))
-    player = F.struct((F.col("sweater") + 8470000).alias("playerId"), F.col("sweater").alias("sweaterNumber"))
-    body = F.struct(F.struct(F.lit("H&H").alias("abbrev")).alias("homeTeam"), F.struct(F.struct(F.collect_set(F.when(F.pmod("sweater", F.lit(9)) > 0, player)).alias("forwards")).alias("homeTeam")).alias("playerByGameStats"))
-    boxes = rows.groupBy("game_id").agg(F.to_json(body).alias("body"))
+    block = lambda w: F.concat(F.lit('<td class="playerHeading + border">'), s(w), F.lit(" DOE, JO</td><table>"), F.array_join(F.transform(F.filter("shifts", lambda x: x["sweater"] == w), row), "\n"), F.lit(totals + "</table>"))
+    pages = games.select("game_id", F.lit("H").alias("side"), F.concat(F.lit("<html>"), F.array_join(F.transform("worn", block), "")).alias("html"))
+    player = lambda w: F.struct((w + 8470000).alias("playerId"), w.alias("sweaterNumber"))
+    body = F.struct(F.struct(F.lit("H&H").alias("abbrev")).alias("homeTeam"), F.struct(F.struct(F.transform(F.filter("worn", lambda w: F.pmod(w, F.lit(9)) > 0), player).alias("forwards")).alias("homeTeam")).alias("playerByGameStats"))
+    boxes = games.select("game_id", F.to_json(body).alias("body"))
     return reports.player_shifts(pages, boxes).select("game_id", "player_id", "period", "start", "end", "duration", "shift_number", F.col("sweater").cast("int").alias("sweater"), "team")
 
 

@@ -5,22 +5,28 @@ from __future__ import annotations
 import html
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from foretime.functions.text import clock_seconds
-
 _HEADING = re.compile(r'class="playerHeading[^"]*"[^>]*>\s*(\d+)\s+[^<]*<', re.I)
 _ROW, _CELL = re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.I | re.S), re.compile(r"<td\b[^>]*>(.*?)</td>", re.I | re.S)
 _BOTH_CLOCKS = re.compile(r"\d{1,2}:\d{2}\s*/\s*\d{1,2}:\d{2}")
+_CLOCK = re.compile(r"([0-9]{1,2}):([0-9]{2})")
 
 
 def _text(cell: str) -> str:
-    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", cell)).split())
+    if "<" in cell:
+        cell = re.sub(r"<[^>]+>", " ", cell)
+    return " ".join((html.unescape(cell) if "&" in cell else cell).split())
+
+
+def _seconds(clock: str) -> int | None:
+    m = _CLOCK.fullmatch(clock)
+    return int(m[1]) * 60 + int(m[2]) if m else None
 
 
-@udtf(returnType="sweater int, number string, period string, start string, finish string, length string")
+@udtf(returnType="sweater int, number string, period string, start int, end int, length int")
 class ReportRows:
     """The table rows of one team's report that have a clock (elapsed / left) as their start, each with the sweater of the heading above. Totals under a player have no such clock."""
 
@@ -33,18 +39,16 @@ class ReportRows:
             for row in _ROW.findall(part):
                 cells = [_text(c) for c in _CELL.findall(row)]
                 if len(cells) >= 5 and _BOTH_CLOCKS.fullmatch(cells[2]):
-                    yield int(sweater), cells[0], cells[1].upper(), cells[2], cells[3] if _BOTH_CLOCKS.fullmatch(cells[3]) else None, cells[4]
+                    end = _seconds(cells[3].split("/")[0].strip()) if _BOTH_CLOCKS.fullmatch(cells[3]) else None
+                    yield int(sweater), cells[0], cells[1].upper(), _seconds(cells[2].split("/")[0].strip()), end, _seconds(cells[4])
 
 
 def report_shifts(pages: DataFrame, keep: list[str], page: str = "html") -> DataFrame:
     """keep columns and sweater, shift_number, period (OT is 4), start, end, duration in seconds: a row for each shift of the reports; a missing duration is end minus start."""
     # the generator's argument names the column of the row that it is joined to
     rows = pages.select(*keep, F.col(page).alias("__page")).lateralJoin(ReportRows(F.col("__page").outer()))
-    known = lambda c: F.when(c.rlike(r"^\d{1,2}:\d{2}$"), clock_seconds(c))
-    elapsed = lambda c: known(F.trim(F.split_part(c, F.lit("/"), F.lit(1))))
-    start, end, length = elapsed("start"), elapsed("finish"), known(F.col("length"))
     return rows.select(
-        *keep, "sweater", F.col("number").try_cast("int").alias("shift_number"), F.when(F.col("period") == "OT", 4).otherwise(F.col("period").try_cast("int")).alias("period"), start.alias("start"), end.alias("end"), F.coalesce(length, F.when(end >= start, end - start)).alias("duration")
+        *keep, "sweater", F.col("number").try_cast("int").alias("shift_number"), F.when(F.col("period") == "OT", 4).otherwise(F.col("period").try_cast("int")).alias("period"), "start", "end", F.coalesce("length", F.when(F.col("end") >= F.col("start"), F.col("end") - F.col("start"))).alias("duration")
     ).filter("period IS NOT NULL")
 
 
@@ -65,7 +69,11 @@ def sweaters(boxscores: DataFrame, game: str = "game_id", body: str = "body") ->
 
 def player_shifts(pages: DataFrame, boxscores: DataFrame, game: str = "game_id") -> DataFrame:
     """Shifts of both reports of a game (game, side, html) with player_id and team by the box score; a sweater it doesn't have leaves them NULL. Of a player's shifts with one start the one with the highest number stays."""
-    rows = report_shifts(pages, [game, "side"]).join(sweaters(boxscores, game), [game, "side", "sweater"], "left")
-    known = rows.filter("player_id IS NOT NULL").groupBy(game, "player_id", "period", "start").agg(F.max_by(F.struct("end", "duration", "team", "shift_number", "side", "sweater"), F.struct(F.coalesce("shift_number", F.lit(-1)), "end", "duration")).alias("r"))
-    out = known.select(game, "player_id", "period", "start", "r.*")
-    return out.unionByName(rows.filter("player_id IS NULL").select(*out.columns))
+    # a game's pages meet its list of sweaters, so that shifts needn't be sent to theirs; every page is read once
+    who = F.struct(F.struct("side", "sweater"), F.struct("player_id", "team"))
+    lists = sweaters(boxscores, game).groupBy(game).agg(F.map_from_entries(F.collect_list(who)).alias("__who"))
+    rows = report_shifts(pages.join(lists, game, "left"), [game, "side", "__who"])
+    rows = rows.withColumn("__found", F.try_element_at("__who", F.struct("side", "sweater")))
+    out = rows.select(game, "__found.player_id", "period", "start", "end", "duration", "__found.team", "shift_number", "side", "sweater")
+    best = Window.partitionBy(game, "player_id", "period", "start").orderBy(F.coalesce("shift_number", F.lit(-1)).desc(), *[F.col(c).desc_nulls_last() for c in ("end", "duration", "side", "sweater")])
+    return out.withColumn("__k", F.row_number().over(best)).filter("player_id IS NULL OR __k = 1").drop("__k")

@@ -167,3 +167,17 @@ def test_caps_begin_anew_each_day_whatever_the_batches(spark):
             if fits:
                 used, taken[item] = used + stake, (n + 1, on + stake)
             assert got[k] == fits
+
+
+def test_pages_are_read_once_and_the_highest_number_stays(spark):
+    """One pass of the row generator; of a player's shifts with one start the highest number stays, unknown sweaters keep all, and odd clocks are NULL."""
+    cell = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    two = cell(1, 1, "0:10 / 19:50", "0:50 / 19:10", "0:40") + cell(3, 1, "0:10 / 19:50", "0:30 / 19:30", "x") + cell("", 1, "0:10 / 19:50", "0:55 / 19:05", "")
+    page = "".join(f'<td class="playerHeading">{w} A</td>{two}' for w in (9, 77))
+    pages = spark.createDataFrame([(1, "H", page), (1, "V", page), (2, None, page)], "game_id int, side string, html string")
+    box = '{"homeTeam": {"abbrev": "AAA"}, "playerByGameStats": {"homeTeam": {"forwards": [{"playerId": 5, "sweaterNumber": 9}]}}}'
+    df = reports.player_shifts(pages, spark.createDataFrame([(1, box), (None, box)], "game_id int, body string"))
+    got = [tuple(r) for r in df.select("game_id", "side", "sweater", "player_id", "shift_number", "start", "end", "duration").collect()]
+    assert len(got) == 1 + 3 + 6 + 6 and [r for r in got if r[3]] == [(1, "H", 9, 5, 3, 10, 30, 20)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ReportRows") == 1 and "Union" not in plan
