@@ -19,6 +19,11 @@ def cleaned(shifts: DataFrame, games: DataFrame) -> DataFrame:
     return rows.withColumn("fate", F.when(F.col("__foreign"), "wrong_team").when(first > 1, "repeated").otherwise("kept")).drop("__foreign", "home", "away")
 
 
+def _by_game(df: DataFrame) -> DataFrame:
+    """df dealt by game over all shuffle partitions. Left to itself Spark joins small parts into a few of the size of its target, and a task's sorts hold several times that."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "game_id")
+
+
 def judged(shifts: DataFrame, games: DataFrame, ice_time: DataFrame, least_shifts: int = LEAST_SHIFTS, least_players: int = LEAST_PLAYERS, tolerance: int = TOLERANCE) -> DataFrame:
     """game_id, status, n_shifts, n_players, wrong_team, repeated, n_off, worst_player, worst_shifts, worst_ice for every game of games.
 
@@ -26,17 +31,22 @@ def judged(shifts: DataFrame, games: DataFrame, ice_time: DataFrame, least_shift
     (game_id, player_id, toi_seconds over 0), or there is none to compare with; else ok. Worst is the largest gap, of equal ones the
     highest player, and n_off counts them; both are for full games only.
     """
-    rows = cleaned(shifts, games)
-    by = rows.groupBy("game_id").agg(
-        F.count_if(F.col("fate") == "kept").alias("n_shifts"), F.countDistinct(F.when(F.col("fate") == "kept", F.col("player_id"))).alias("n_players"), F.count_if(F.col("fate") == "wrong_team").alias("wrong_team"), F.count_if(F.col("fate") == "repeated").alias("repeated")
+    fate, kept = F.col("fate"), F.col("fate") == "kept"
+    rows = cleaned(_by_game(shifts), games).select("game_id", "player_id", "fate", "duration", F.lit(None).cast(ice_time.schema["toi_seconds"].dataType).alias("toi_seconds"))
+    box = ice_time.filter("toi_seconds > 0").select("game_id", "player_id", F.lit(None).cast("string").alias("fate"), F.lit(None).cast(shifts.schema["duration"].dataType).alias("duration"), "toi_seconds")
+    # a player's shifts and ice time are added up side by side, then those of a game, where they lie
+    players = _by_game(rows.unionByName(box)).groupBy("game_id", "player_id").agg(
+        F.count_if(kept).alias("kept"), F.count_if(fate == "wrong_team").alias("wrong"), F.count_if(fate == "repeated").alias("again"), F.coalesce(F.sum(F.when(kept, F.col("duration"))), F.lit(0)).alias("seconds"), F.collect_list("toi_seconds").alias("boxes")
+    )
+    # rows without a player have no ice time to meet
+    seconds = F.when(F.col("player_id").isNull(), F.lit(0)).otherwise(F.col("seconds"))
+    gaps = F.transform("boxes", lambda t: F.struct(F.abs(F.col("seconds") - t).alias("gap"), "player_id", "seconds", t.alias("toi_seconds")))
+    off = F.filter("gaps", lambda g: g["gap"] > tolerance)
+    by = players.withColumn("seconds", seconds).withColumn("gaps", gaps).withColumn("off", off).groupBy("game_id").agg(
+        F.sum("kept").alias("n_shifts"), F.count_if((F.col("kept") > 0) & F.col("player_id").isNotNull()).alias("n_players"), F.sum("wrong").alias("wrong_team"), F.sum("again").alias("repeated"),
+        F.when(F.max(F.size("boxes")) > 0, F.sum(F.size("off")).cast("long")).alias("n_off"), F.max(F.array_max("off")).alias("worst"),
     )
-    summed = rows.filter("fate = 'kept'").groupBy("game_id", "player_id").agg(F.sum(F.coalesce("duration", F.lit(0))).alias("seconds"))
-    box = ice_time.filter("toi_seconds > 0").select("game_id", "player_id", "toi_seconds")
-    off = box.join(summed, ["game_id", "player_id"], "left").withColumn("seconds", F.coalesce("seconds", F.lit(0)))
-    gap = F.abs(F.col("seconds") - F.col("toi_seconds"))
-    worst = F.max(F.when(gap > tolerance, F.struct(gap.alias("gap"), "player_id", "seconds", "toi_seconds")))
-    off = off.groupBy("game_id").agg(F.count_if(gap > tolerance).alias("n_off"), worst.alias("worst"))
-    out = games.select("game_id").join(by, "game_id", "left").join(off, "game_id", "left")
+    out = games.select("game_id").join(by, "game_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     full = (zero("n_shifts") >= least_shifts) & (zero("n_players") >= least_players)
     status = F.when(zero("n_shifts") == 0, "empty").when(~full, "partial").when(F.col("n_off").isNull() | (F.col("n_off") > 0), "suspect").otherwise("ok")

@@ -181,3 +181,13 @@ def test_pages_are_read_once_and_the_highest_number_stays(spark):
     assert len(got) == 1 + 3 + 6 + 6 and [r for r in got if r[3]] == [(1, "H", 9, 5, 3, 10, 30, 20)]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ReportRows") == 1 and "Union" not in plan
+
+
+def test_verdicts_are_dealt_by_game_over_all_partitions(spark):
+    """Every shuffle of shifts goes by game in the set number of partitions, so a task's part doesn't follow a size target; a player with two ice times counts twice, one without shifts and a NULL player have none to meet."""
+    s, g = shift_frames(spark)
+    ice = spark.createDataFrame([(1, 0, 100), (1, 0, 5), (1, 7, 90), (1, None, 60), (2, 1, 0)], "game_id int, player_id int, toi_seconds int")
+    df = shifts.judged(s, g, ice, 10, 3, 20)
+    got = {r["game_id"]: r for r in df.collect()}
+    assert (got[1]["n_off"], got[1]["worst_player"], got[1]["worst_shifts"], got[1]["worst_ice"]) == (4, 0, 160, 5) and got[2]["n_off"] is None
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
