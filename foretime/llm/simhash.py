@@ -442,8 +442,9 @@ def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 
 def _alike(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose whole texts have a similarity of SIMILAR or more."""
-    needed = pairs.select("a").union(pairs.select("b")).distinct().toDF("row")
-    texts = materialise(_rows(docs).join(needed, "row").dropDuplicates(["row"]), "simhash-texts")
+    # written and counted first, so that a small list of keys goes to the texts: undecided, Spark sends all texts of docs to the keys
+    needed = materialise(pairs.select("a").union(pairs.select("b")).distinct().toDF("row"), "simhash-needed")
+    texts = materialise(_rows(docs).join(small(needed), "row").dropDuplicates(["row"]), "simhash-texts")
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "text_a", "b", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

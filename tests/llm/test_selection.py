@@ -216,3 +216,15 @@ def test_mix_of_nothing_and_of_larger_targets(spark, none):
     less, more = ({r["doc_id"]: r["taken"] for r in mixing.mix(docs, share=s).collect()} for s in (0.4, 0.9))
     assert all(less[i] <= more[i] for i in less)
     assert {r["taken"] == 2 * r["size"] for r in mixing.mix(docs, share=2.0).collect()} == {True}
+
+
+def test_few_needed_texts_are_found_without_sending_all(spark, monkeypatch):
+    from foretime.llm import simhash as near
+
+    plans, real = {}, near.materialise
+    monkeypatch.setattr(near, "materialise", lambda df, name: (plans.__setitem__(name, df._jdf.queryExecution().optimizedPlan().toString()), real(df, name))[1])
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
+    rows = [r["row"] for r in near._rows(docs).collect()]
+    pairs = spark.createDataFrame([(rows[0], rows[1]), (rows[0], rows[2])], "a binary, b binary")
+    assert [tuple(r) for r in near._alike(pairs, docs, near.NEAR).collect()] == [(rows[0], rows[1])]
+    assert "strategy=broadcast" in plans["simhash-texts"]
