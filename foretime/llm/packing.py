@@ -21,6 +21,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ END_ID = 0
 TABLE_WORDS = 300_000
 #: Fillings that the search looks at before it settles for its incumbent.
 NODES = 6_000
+#: Steps of the search that keep their generator of fillings, each up to a megabyte; those above make theirs anew when the search comes back.
+KEPT_STEPS = 16
 
 
 class WordIds:
@@ -224,29 +227,37 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: float = NODES,
         left[k] = n
     path: list[tuple[Filling, int]] = []
     waste, bins = 0, 0
-    stack: list[list] = []  # of steps: largest, the fillings still to try
+    stack: list[list] = []  # of steps: largest, the fillings still to try or None, how many were tried
 
-    def step() -> list:
-        largest = int(np.flatnonzero(left)[-1])
+    def options_of(largest: int) -> Iterator[tuple[int, ...] | None]:
         left[largest] -= 1
         options = fillings(left.copy(), capacity - largest)
         left[largest] += 1
-        return [largest, options]
+        return options
+
+    def step() -> None:
+        largest = int(np.flatnonzero(left)[-1])
+        stack.append([largest, options_of(largest), 0])
+        if len(stack) > KEPT_STEPS:
+            stack[-KEPT_STEPS - 1][1] = None
 
     if counts and fewest > least:
-        stack.append(step())
+        step()
     while stack and nodes > 0:
-        largest, options = stack[-1]
+        largest, options, tried = stack[-1]
         if len(path) == len(stack):  # take back what was tried last here
             filling, n = path.pop()
             for k, m in filling:
                 left[k] += m * n
             bins -= n
             waste -= n * (capacity - sum(k * m for k, m in filling))
+        if options is None:  # what is left is what it was when the step began
+            options = stack[-1][1] = itertools.islice(options_of(largest), tried, None)
         option = next(options, "none")
         if option == "none":
             stack.pop()
             continue
+        stack[-1][2] += 1
         nodes -= 1
         if option is None:
             continue
@@ -263,7 +274,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: float = NODES,
         if waste > (fewest - 1) * capacity - total:
             continue  # no better plan below
         if left.any():
-            stack.append(step())
+            step()
             continue
         if bins < fewest:
             best, fewest = list(path), bins

@@ -171,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = Non
         x[r, own[own >= 0]] = 1
     del rows
     prior = min(max(float(prior), 1e-4), 0.9)
-    w = np.mean([nnpu(x[is_p], x[~is_p], prior, seed) for seed in range(CLASSIFIERS)], 0)
+    cut = len(x) - int(is_p.sum())  # rows are sorted: P comes last, and parts of x are no copies
+    w = np.mean([nnpu(x[cut:], x[:cut], prior, seed) for seed in range(CLASSIFIERS)], 0)
     return Model({names[k]: float(w[c]) for c, k in enumerate(kept)}, float(w[-1]))
 
 

@@ -45,6 +45,17 @@ def test_toxicity_cases(spark, odd, odd_rows, none):
     assert toxicity.train(odd, labels).score("") <= 1
 
 
+def test_training_rows_are_not_copied(spark, monkeypatch):
+    given, nnpu = [], toxicity.nnpu
+    monkeypatch.setattr(toxicity, "nnpu", lambda p, u, *more: given.append((p, u)) or nnpu(p, u, *more))
+    docs, labels = _common.read_table(spark, MIDDLE, "documents"), _common.read_table(spark, MIDDLE, "labels")
+    assert toxicity.train(docs, labels).weights
+    p, u = given[0]
+    toxic = pd.read_parquet(f"{MIDDLE}/labels.parquet").toxic.sum()
+    assert len(given) == toxicity.CLASSIFIERS and len(p) == toxic and len(u) == 1000
+    assert p.base is not None and p.base is u.base
+
+
 def test_nnpu_learns_from_positives_alone():
     rnd = np.random.default_rng(0)
     make = lambda y, n: (rnd.random((n, 20)) < np.where(np.arange(20) < 5, 0.1 + 0.6 * y, 0.3)).astype(np.float32)
