@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foretime.plans import players
 from foretime.plans.queries import query, r6
-from foretime.sources.shared import written
+from foretime.sources.shared import small_step, step
 from foretime.sources.tables import driver_table
 
 SKATER_SQL = """
@@ -92,15 +92,17 @@ SELECT player_id, game_id, {", ".join(f"round({c}, 7) AS {c}" for c in _SHOWN)}
 def _frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The inputs of player_features."""
     o, li = driver_table(spark, d, "orders"), driver_table(spark, d, "lineitem")
-    day = F.datediff("date", F.lit("1990-01-01").cast("date")).cast("long")
-    sold = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("l_suppkey").cast("long").alias("player_id"), F.to_date("o_orderdate").alias("date"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") == "R").cast("int").alias("r")).withColumn("day", day)
-    rows = sold.groupBy("player_id", "date", "day").agg(
-        (F.sum("q") * 30).alias("toi_seconds"), (F.count(F.lit(1)) + F.sum("r")).alias("shots"), F.sum(F.pmod("part", F.lit(100))).alias("pp_toi"), F.sum(F.pmod("part", F.lit(50))).alias("sh_toi"), F.sum("line").alias("fow"), F.count(F.lit(1)).alias("fol"), F.count_if(F.pmod("line", F.lit(3)) == 0).alias("strong"), F.count(F.lit(1)).alias("n")
-    )
+    # lines and orders are made narrow before they meet
+    li = li.select("l_orderkey", F.col("l_suppkey").cast("long").alias("player_id"), F.col("l_quantity").alias("q"), F.pmod("l_partkey", F.lit(100)).alias("part"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") == "R").cast("int").alias("r"))
+    o = o.select("o_orderkey", F.to_date("o_orderdate").alias("date"))
+    rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy("player_id", "date").agg(
+        (F.sum("q") * 30).alias("toi_seconds"), (F.count(F.lit(1)) + F.sum("r")).alias("shots"), F.sum("part").alias("pp_toi"), F.sum(F.pmod("part", F.lit(50))).alias("sh_toi"), F.sum("line").alias("fow"), F.count(F.lit(1)).alias("fol"), F.count_if(F.pmod("line", F.lit(3)) == 0).alias("strong"), F.count(F.lit(1)).alias("n")
+    ).withColumn("day", F.datediff("date", F.lit("1990-01-01").cast("date")).cast("long"))
     rows = rows.withColumns({"season": F.year("date"), "team": F.pmod(F.col("player_id") + F.year("date"), F.lit(8)).cast("int"), "position": F.when(F.pmod("player_id", F.lit(3)) == 0, "D").otherwise("C"), "stats_known": F.pmod(F.col("player_id") + F.col("day"), F.lit(11)) > 0}).withColumn("game_id", F.col("day") * 10 + F.pmod("team", F.lit(4)))
-    rows = written(rows, "skaters")  # all inputs are made of these
+    rows = step(rows, "skaters")  # all inputs are made of these
     games = rows.groupBy("game_id", "season", "date", "day").agg(F.min("team").alias("home"), F.max("team").alias("away")).filter("home < away")
     games = games.withColumns({"game_type": F.when(F.pmod("day", F.lit(50)) == 0, 1).otherwise(2), "state": F.lit("FINAL")}).drop("day")
+    games = small_step(games, "games")
     played = rows.drop("season", "date").join(games.select("game_id"), "game_id")
     covered = played.filter(F.pmod("game_id", F.lit(7)) > 0)
     shots = covered.select("game_id", "player_id", F.inline(F.array(F.struct(F.lit("5v4").alias("strength"), F.col("strong").alias("n")), F.struct(F.lit("5v5").alias("strength"), (F.col("n") - F.col("strong")).alias("n")))))

@@ -2,10 +2,13 @@
 
 import datetime as dt
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from foretime.operators.ranking import rank_share
 from foretime.plans import boosting, players, slate
 from foretime.plans.features import team_rates
 
@@ -150,3 +153,36 @@ def test_player_features_read_the_lines_once(spark, small):
 
     for query in (skaters.player_features, skaters.player_xg):
         assert not [f for f in query(spark, small).inputFiles() if "lineitem" in f or "orders" in f], query.__name__
+
+
+def test_players_features_stay_where_they_are_made(spark, small):
+    """The result shuffles what was played, once; rows with all features are neither shuffled nor sorted."""
+    from foretime.plans import skaters
+
+    df = skaters.player_features(spark, small)
+    plan = [re.sub(r"^[ :+-]*(\*\(\d+\) )?", "", x) for x in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    shuffled = [k for k, x in enumerate(plan) if x.startswith("Exchange")]
+    assert len(shuffled) == 1 and plan[shuffled[0] + 1].startswith("FileScan"), plan
+    assert not [x for x in plan if x.startswith("SortMergeJoin")]
+    above = plan[: next(k for k, x in enumerate(plan) if x.startswith("Window") and "__day" in x and "game_id" in x)]
+    assert not [x for x in above if x.startswith("Sort ")]
+
+
+def test_steps_of_players_leave_no_shuffle_files(spark, small):
+    from foretime.plans import skaters
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, kept = files(), [skaters.player_features(spark, small)]
+    for _ in range(50):  # files go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and kept
+
+
+def test_ranks_of_a_lineup_in_one_sort(spark):
+    rnd = random.Random(3)
+    rows = [(k % 4, rnd.choice([None, 1.0, 2.0, 2.5, 4.0])) for k in range(60)] + [(9, 1.0), (10, None), (11, None), (11, 3.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    out = df.select("*", players._rank_share(["g"], "v").alias("a"), rank_share(["g"], "v").alias("b")).collect()
+    assert [r["a"] for r in out] == [r["b"] for r in out] and {r["a"] for r in out} >= {None, 0.0}
