@@ -17,7 +17,7 @@ from foretime.functions.guards import per60, ratio
 from foretime.functions.text import strength
 from foretime.operators.pit import day_sums
 from foretime.operators.reshape import sides
-from foretime.sources.shared import dealt, small_step, step, written
+from foretime.sources.shared import dealt, small_step, step
 
 #: How far back the windows go, in rows of the player or the team.
 RATE_ROWS, TOI_ROWS, TEAM_ROWS = (5, 10, 20, 40), (5, 10), (10, 20)
@@ -241,30 +241,35 @@ XG_FEATURES = ("ixg60_l10_rel", "ixg60_l20_rel", "ixg60_season_rel", "xg_per_att
 
 def player_xg_features(df: DataFrame, shots: DataFrame, xg: str = "xg") -> DataFrame:
     """df (rows of player_features) with XG_FEATURES: chances by expected goals, each against the league of the year before. shots: game_id, shooter_id, team and the expected goals of each. A game without shots is unknown."""
-    covered = shots.select("game_id").distinct().withColumn("__covered", F.lit(1.0))
-    own = shots.filter("shooter_id IS NOT NULL").groupBy("game_id", F.col("shooter_id").alias("player_id")).agg(F.sum(xg).alias("__xg"))
-    out = written(df.join(own, ["game_id", "player_id"], "left").join(covered, "game_id", "left"), "played-xg")
+    covered = small_step(shots.select("game_id").distinct(), "shots-covered").withColumn("__covered", F.lit(1.0))
+    own = shots.filter("shooter_id IS NOT NULL").select("game_id", F.col("shooter_id").alias("player_id"), F.col(xg).alias("__xg")).repartition("player_id").groupBy("game_id", "player_id").agg(F.sum("__xg").alias("__xg"))
     known = F.col("__covered").isNotNull()
+    out = df.join(own, ["game_id", "player_id"], "left").join(covered, "game_id", "left")
     out = out.withColumns({"__x": F.when(known, F.coalesce("__xg", F.lit(0.0))).otherwise(0.0), "__t": F.when(known, F.col("toi")).otherwise(0.0), "__a": F.when(known, F.coalesce("att", F.lit(0.0))).otherwise(0.0)})
-    out = day_sums(out, ["pos_group"], "date", ["__x", "__t"], {"pos": (-LEAGUE_DAYS, -1)})
-    out = day_sums(out.withColumn("__all", F.lit(0)), ["__all"], "date", ["__x", "__a"], {"all": (-LEAGUE_DAYS, -1)})
-    order = Window.partitionBy("player_id").orderBy("date", "game_id")
-    season = Window.partitionBy("player_id", "season").orderBy("date", "game_id").rowsBetween(Window.unboundedPreceding, -1)
-    s = lambda c, n: F.sum(c).over(order.rowsBetween(-n, -1))
+    out = step(out.drop("__xg", "__covered"), "played-xg")
+    by = step(out.groupBy("pos_group", "date").agg(*[F.sum(c).alias(c) for c in ("__x", "__t", "__a")]), "xg-days")
+    by = day_sums(by, ["pos_group"], "date", ["__x", "__t"], {"pos": (-LEAGUE_DAYS, -1)})
+    by = day_sums(by.withColumn("__all", F.lit(0)), ["__all"], "date", ["__x", "__a"], {"all": (-LEAGUE_DAYS, -1)})
     rel = per60(F.col("__x_sum_pos"), F.col("__t_sum_pos"))
     quality = ratio(F.col("__x_sum_all"), F.col("__a_sum_all"))
-    out = out.withColumns({f"ixg60_l{n}_rel": F.try_divide(per60(s("__x", n), s("__t", n)), rel) for n in (10, 20)} | {
-        "ixg60_season_rel": F.try_divide(per60(F.sum("__x").over(season), F.sum("__t").over(season)), rel), "xg_per_att_l20_rel": F.try_divide(ratio(s("__x", 20), s("__a", 20)), quality),
-    })
+    levels = small_step(by.select("pos_group", "date", rel.alias("__rel"), quality.alias("__quality")), "xg-levels")
     # what the opponent allowed: the other side's expected goals of each of its games
     by_side = shots.groupBy("game_id", F.col("team").alias("opp")).agg(F.sum(xg).alias("xga"))
-    tg = df.select("game_id", "date", "team", "opp").distinct().join(by_side, ["game_id", "opp"], "left").join(covered, "game_id", "left")
+    tg = step(out.select("game_id", "date", "team", "opp").distinct(), "xg-sides").join(by_side, ["game_id", "opp"], "left").join(covered, "game_id", "left")
     tg = tg.withColumns({"__k": F.coalesce("__covered", F.lit(0.0)), "__v": F.when(F.col("__covered").isNotNull(), F.coalesce("xga", F.lit(0.0))).otherwise(0.0), "__all": F.lit(0)})
-    tg = day_sums(tg, ["__all"], "date", ["__v", "__k"], {"lg": (-LEAGUE_DAYS, -1)})
+    tg = day_sums(step(tg, "xg-allowed"), ["__all"], "date", ["__v", "__k"], {"lg": (-LEAGUE_DAYS, -1)})
     w = Window.partitionBy("team").orderBy("date", "game_id").rowsBetween(-20, -1)
     allowed = F.try_divide(ratio(F.sum("__v").over(w), F.sum("__k").over(w)), ratio(F.col("__v_sum_lg"), F.col("__k_sum_lg")))
-    out = out.join(tg.select("game_id", F.col("team").alias("opp"), allowed.alias("opp_xga_l20_rel")), ["game_id", "opp"], "left")
-    return out.select(*df.columns, *XG_FEATURES)
+    tg = small_step(tg.select("game_id", F.col("team").alias("opp"), allowed.alias("opp_xga_l20_rel")), "xg-opponents")
+    # the last shuffle
+    out = _meets(dealt(out, "player_id"), levels, ["pos_group", "date"])
+    order = _own_order()
+    season = Window.partitionBy("player_id", "season").orderBy("date", "game_id").rowsBetween(Window.unboundedPreceding, -1)
+    s = lambda c, n: F.sum(c).over(order.rowsBetween(-n, -1))
+    out = out.withColumns({f"ixg60_l{n}_rel": F.try_divide(per60(s("__x", n), s("__t", n)), F.col("__rel")) for n in (10, 20)} | {
+        "ixg60_season_rel": F.try_divide(per60(F.sum("__x").over(season), F.sum("__t").over(season)), F.col("__rel")), "xg_per_att_l20_rel": F.try_divide(ratio(s("__x", 20), s("__a", 20)), F.col("__quality")),
+    })
+    return out.join(tg, ["game_id", "opp"], "left").select(*df.columns, *XG_FEATURES)
 
 
 def gsax60_prior(appearances: DataFrame, shots: DataFrame, xg: str = "xg") -> DataFrame:

@@ -131,7 +131,8 @@ SELECT player_id, own.game_id, round(i10, 6) AS ixg60_l10_rel, round(i20, 6) AS
 def player_xg(spark, d):
     """Expected goals of a skater and of his opponent, against the league; four of five skaters have shots, in games that are covered."""
     f = _frames(spark, d)
-    rows = players.played_rows(f["skaters"], f["games"], f["attempts"], f["shots"])
+    # what the expected goals go by, and no more: shots by strength make no difference
+    rows = players.played_rows(f["skaters"], f["games"], f["attempts"]).select("player_id", "game_id", "season", "date", "team", "opp", "pos_group", "toi", "att")
     shots = f["skaters"].filter((F.pmod("game_id", F.lit(7)) > 0) & (F.pmod("player_id", F.lit(5)) > 0)).select("game_id", F.col("player_id").alias("shooter_id"), "team", (F.col("shots") / 8).alias("xg"))
     out = players.player_xg_features(rows, shots)
     return out.select("player_id", "game_id", *[r6(c, c) for c in players.XG_FEATURES])

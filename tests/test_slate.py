@@ -186,3 +186,13 @@ def test_ranks_of_a_lineup_in_one_sort(spark):
     df = spark.createDataFrame(rows, "g int, v double")
     out = df.select("*", players._rank_share(["g"], "v").alias("a"), rank_share(["g"], "v").alias("b")).collect()
     assert [r["a"] for r in out] == [r["b"] for r in out] and {r["a"] for r in out} >= {None, 0.0}
+
+
+def test_player_xg_shuffles_what_its_features_need_once(spark, small):
+    from foretime.plans import skaters
+
+    plan = [re.sub(r"^[ :+-]*(\*\(\d+\) )?", "", x) for x in skaters.player_xg(spark, small)._jdf.queryExecution().executedPlan().toString().splitlines()]
+    shuffled = [k for k, x in enumerate(plan) if x.startswith("Exchange")]
+    assert len(shuffled) == 1 and plan[shuffled[0] + 1].startswith("FileScan") and not [x for x in plan if x.startswith("SortMergeJoin")], plan
+    read = plan[shuffled[0] + 1]
+    assert not [c for c in ("pp_sog", "fow", "sh_toi") if f"{c}#" in read]
